@@ -1,6 +1,7 @@
 """The training-data queries and their SQL, for the entry module."""
 
+from grantloom.llm.bpe import op5_bpe
 from grantloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+QUERIES = {"op5_bpe": op5_bpe, "op9_quality_rules": op9_quality_rules}
 SQL = {"op9_quality_rules": OP9_SQL}
