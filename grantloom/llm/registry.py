@@ -1,7 +1,8 @@
 """The training-data queries and their SQL, for the entry module."""
 
 from grantloom.llm.bpe import op5_bpe
+from grantloom.llm.pii import op10_pii
 from grantloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 
-QUERIES = {"op5_bpe": op5_bpe, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op10_pii": op10_pii, "op5_bpe": op5_bpe, "op9_quality_rules": op9_quality_rules}
 SQL = {"op9_quality_rules": OP9_SQL}
