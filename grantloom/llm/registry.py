@@ -3,6 +3,12 @@
 from grantloom.llm.bpe import op5_bpe
 from grantloom.llm.pii import op10_pii
 from grantloom.llm.quality_rules import OP9_SQL, op9_quality_rules
+from grantloom.llm.substrings import op6_substring_dedup
 
-QUERIES = {"op10_pii": op10_pii, "op5_bpe": op5_bpe, "op9_quality_rules": op9_quality_rules}
+QUERIES = {
+    "op5_bpe": op5_bpe,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_pii": op10_pii,
+}
 SQL = {"op9_quality_rules": OP9_SQL}
