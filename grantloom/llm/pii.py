@@ -265,6 +265,6 @@ def op10_pii(spark, sf_dir):
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     return found.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE],
         F.sha2(line("base"), 256).alias("base_sha256"), line("spans").alias("spans"),
     )
