@@ -1,12 +1,14 @@
 """The training-data queries and their SQL, for the entry module."""
 
 from grantloom.llm.bpe import op5_bpe
+from grantloom.llm.imatch import op1_imatch
 from grantloom.llm.near_dups import op8_minhash
 from grantloom.llm.pii import op10_pii
 from grantloom.llm.quality_rules import OP9_SQL, op9_quality_rules
 from grantloom.llm.substrings import op6_substring_dedup
 
 QUERIES = {
+    "op1_imatch": op1_imatch,
     "op5_bpe": op5_bpe,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash": op8_minhash,
