@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+KEPT: dict[int, np.ndarray] = {}
+
+
 def powers(b: np.uint64, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 1), b)]), dtype=np.uint64)
+    """b^0 .. b^n or further, modulo 2^64; tables of up to 2^18 powers are kept."""
+    if (table := KEPT.get(int(b))) is None or len(table) <= n:
+        size = 1 << max(12, int(n).bit_length())
+        table = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, b)]), dtype=np.uint64)
+        if size <= 1 << 18:
+            KEPT[int(b)] = table
+    return table
 
 
-def inverse(b: np.uint64) -> np.uint64:
+@lru_cache
+def inverse(b: int) -> np.uint64:
     return np.uint64(pow(int(b), -1, 1 << 64))
 
 

@@ -16,9 +16,9 @@ sequence also starts earlier (smaller doc_id, or same document and earlier start
    are grouped for each one's first place (a minimum, combined on the map side), and the other
    places follow by an equi-join that adaptive execution can split.
 
-The sketch has a fixed width, ``cells`` bits per row and level: 2^25 cells of one bit
-(4 MB a row) are sent to each executor whatever the input. Beyond about 3 * 10^7 anchors (some 2 * 10^8
-words) its estimates get looser, more windows reach the exact pass, and the result is still exact.
+The sketch has one to two cells a word, a bit each, up to ``MOST_BITS`` (32 MB a row); what is sent
+to the executors is bounded by that. Beyond, its estimates get looser, more windows reach the exact
+pass, and the result is still exact.
 
 Edge cases: null and empty texts have no words; texts with fewer words than a window keep all;
 rows of one doc_id are taken for one document (repeated rows all get that document's result);
@@ -38,7 +38,10 @@ from grantloom.llm.common import documents, read, written
 from grantloom.llm.hashing import B1, B2, C1, C2, copies_of, mix, runs, word_hashes, words_of
 
 LENGTH, ANCHOR = 20, 8
-CELL_BITS, BLOCK_BITS, ROWS = 25, 17, 2
+BLOCK_BITS, ROWS = 17, 2
+#: The sketch has 2^bits cells a row, as many as the corpus has words or up to twice as many,
+#: within these limits: at the upper one it takes 32 MB a row on each executor.
+LEAST_BITS, MOST_BITS = 20, 28
 class Windows:
     """A text's windows: two hashes of each, and the sketch cells of each one's anchor."""
 
@@ -58,30 +61,34 @@ class Windows:
             self.at, self.anchors = np.empty(0, np.int64), np.empty(0, np.uint64)
 
 
-def cells(h: np.ndarray, row: int) -> np.ndarray:
-    return (h >> np.uint64(0 if row == 0 else 64 - CELL_BITS)).astype(np.int64) & ((1 << CELL_BITS) - 1)
+def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (h >> np.uint64(0 if row == 0 else 64 - bits)).astype(np.int64) & ((1 << bits) - 1)
 
 
-def sketch(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+def sketch(docs: DataFrame, length: int, anchor: int, bits: int) -> DataFrame:
     """(block, again binary): the merged sketch's bits for ``counted twice or more``, by blocks of
     cells (row, upper bits of the cell)."""
 
     def count(batches):
-        seen, again = (np.zeros((ROWS, 1 << CELL_BITS), bool) for _ in range(2))
+        seen, again = (np.zeros((ROWS, 1 << (bits - 3)), np.uint8) for _ in range(2))
         for b in batches:
             for t in b.column("text").to_pylist():
                 w = Windows(t or "", length, anchor)
                 # one count for each place of an anchor, whatever number of windows it serves
-                h = w.anchors[np.unique(w.at, return_index=True)[1]]
+                h = w.anchors[np.flatnonzero(np.diff(w.at, prepend=-1))]
                 for r in range(ROWS):
-                    c, n = np.unique(cells(h, r), return_counts=True)
-                    again[r, c] |= seen[r, c] | (n > 1)
-                    seen[r, c] = True
+                    c = np.sort(cells(h, r, bits))
+                    twice = c[1:][c[1:] == c[:-1]]
+                    at, bit = c >> 3, (128 >> (c & 7)).astype(np.uint8)
+                    old = seen[r, at] & bit != 0
+                    np.bitwise_or.at(again[r], at[old], bit[old])
+                    np.bitwise_or.at(again[r], twice >> 3, (128 >> (twice & 7)).astype(np.uint8))
+                    np.bitwise_or.at(seen[r], at, bit)
         for r in range(ROWS):
-            blocks = [x.reshape(-1, 1 << BLOCK_BITS) for x in (seen[r], again[r])]
+            blocks = [x.reshape(-1, 1 << (BLOCK_BITS - 3)) for x in (seen[r], again[r])]
             for k in np.flatnonzero(blocks[0].any(axis=1)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r << (CELL_BITS - BLOCK_BITS) | int(k)], pa.int32()), *[pa.array([zlib.compress(np.packbits(x[k]).tobytes(), 1)], pa.binary()) for x in blocks]], ["block", "seen", "again"]
+                    [pa.array([r << (bits - BLOCK_BITS) | int(k)], pa.int32()), *[pa.array([zlib.compress(x[k].tobytes(), 1)], pa.binary()) for x in blocks]], ["block", "seen", "again"]
                 )
 
     def merge(key, table):  # at most one row of 2^BLOCK_BITS bits from each task
@@ -96,24 +103,24 @@ def sketch(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return parts.groupBy("block").applyInArrow(merge, "block int, again binary")
 
 
-def repeated(first: DataFrame, length: int, anchor: int) -> DataFrame:
+def repeated(first: DataFrame, length: int, anchor: int, bits: int) -> DataFrame:
     """(doc_id, starts array<int>): starts of the windows that also start earlier."""
     spark = first.sparkSession
-    again = np.zeros(ROWS << (CELL_BITS - 3), np.uint8)
-    for r in sketch(first, length, anchor).collect():  # fixed size: ROWS * 2^CELL_BITS bits
+    again = np.zeros(ROWS << (bits - 3), np.uint8)
+    for r in sketch(first, length, anchor, bits).collect():  # ROWS * 2^bits bits at most
         n = 1 << (BLOCK_BITS - 3)
         again[r["block"] * n : (r["block"] + 1) * n] = np.frombuffer(zlib.decompress(r["again"]), np.uint8)
     sent = spark.sparkContext.broadcast(again)
 
     def propose(batches):
-        bits = sent.value
+        repeat = sent.value
         for b in batches:
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 w = Windows(t or "", length, anchor)
                 keep = np.ones(len(w.h1), bool)
                 for r in range(ROWS):
-                    c = cells(w.anchors, r) + (r << CELL_BITS)
-                    keep &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
+                    c = cells(w.anchors, r, bits) + (r << bits)
+                    keep &= (repeat[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
                 at = np.flatnonzero(keep)
                 for k in range(0, len(at), 1 << 16):
                     i = at[k : k + (1 << 16)]
@@ -130,7 +137,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
     docs = documents(docs)
     copies = copies_of(docs, length)
     first = docs.join(copies, "doc_id", "left_anti")
-    starts = repeated(first, length, anchor)
+    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # some six bytes a word
+    bits = min(MOST_BITS, max(LEAST_BITS, (chars // 6).bit_length()))
+    starts = repeated(first, length, anchor, bits)
     marked = docs.join(starts, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "left")
 
     def cut(batches):
