@@ -101,6 +101,7 @@ class Bpe:
         self.pieces = regex.compile(PATTERN).findall
         older = PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||[{NEWER}]]").replace(r" ?\p{L}+", rf" ?[\p{{L}}--[{NEWER}]]+").replace(r" ?\p{N}+", rf" ?[\p{{N}}--[{NEWER}]]+")
         self.older_pieces = regex.compile("(?V1)" + older).findall
+        self.match, self.older_match = regex.compile(PATTERN).match, regex.compile("(?V1)" + older).match
         self.has_newer = re.compile(f"[{NEWER}]").search
         self.chunks = re.compile(CHUNK).findall
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
@@ -193,6 +194,13 @@ class Bpe:
     def pre_tokens(self, chunk: str) -> list[str]:
         return self.older_pieces(chunk) if self.has_newer(chunk) else self.pieces(chunk)
 
+    def next_piece(self, text: str, at: int) -> str:
+        """The pre-token that starts at ``at``."""
+        got = self.match(text, at)[0]
+        if self.has_newer(text, at, at + len(got) + 1):
+            got = self.older_match(text, at)[0]
+        return got
+
     def piece(self, p: str) -> list[int]:
         got = self.pieces_kept.get(p)
         if got is None:
@@ -270,22 +278,24 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded and its ids are
-    decoded again in the same pass over the data."""
+def round_trip(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``keep_ids`` also ids: each text is
+    encoded and its ids are decoded again in the same pass over the data."""
     path = path or default_path()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches):
         bpe = load(path)
         for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                ids = bpe.ids(t or "")
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.text(ids).encode()).hexdigest()))
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            ids = [bpe.ids(t or "") for t in b.column("text").to_pylist()]
+            cols = [
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(bpe.text(x).encode()).hexdigest() for x in ids], pa.string()),
+            ] + [pa.array(ids, pa.binary())] * keep_ids
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names)
+
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op5_bpe(spark, sf_dir):

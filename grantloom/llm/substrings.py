@@ -126,7 +126,8 @@ def repeated(first: DataFrame, length: int, anchor: int, bits: int) -> DataFrame
                     i = at[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(w.h1[i]), pa.array(w.h2[i]), pa.array(np.full(len(i), d, np.int64)), pa.array(i.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
 
-    places = written(first.mapInArrow(propose, "h1 long, h2 int, doc_id long, start int"), "windows")
+    # computed for both uses below: dearer in time than a written table, but it takes no disk
+    places = first.mapInArrow(propose, "h1 long, h2 int, doc_id long, start int")
     firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     later = places.join(firsts, ["h1", "h2"]).filter("struct(doc_id, start) > first")
     return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))

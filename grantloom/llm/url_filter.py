@@ -84,7 +84,7 @@ def score(weights: list[float], bias: float) -> str:
     return f"{bias:.8f}D + aggregate(f, 0D, (a, i) -> a + {table}[i]) / sqrt(greatest(size(f), 1))"
 
 
-def train(labelled: DataFrame, rounds: int = 20, rate: float = 4.0, l2: float = 1e-3) -> tuple[list[float], float]:
+def train(labelled: DataFrame, rounds: int = 30, rate: float = 12.0, l2: float = 1e-3) -> tuple[list[float], float]:
     """Weights and bias of the logistic regression."""
     rows = with_parts(labelled).select(F.expr(features()).alias("f"), F.col("label").cast("double").alias("y")).coalesce(1).cache()
     n = rows.count()
