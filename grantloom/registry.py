@@ -1,4 +1,7 @@
 """All queries of the engine and, where SQL can express them, their DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from grantloom.plans import fields
+
+MODULES = [fields]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+SQL: dict = {k: v for m in MODULES for k, v in m.SQL.items()}
