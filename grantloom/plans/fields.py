@@ -95,8 +95,8 @@ add(
 )
 add(
     "B16_extract_links",
-    lambda s, d: view(s, d, "pages").select("page_id", F.explode(F.array_distinct(F.expr(r"""regexp_extract_all(html, r'href="(https?://[^"\s]+)"', 1)"""))).alias("link")).select("page_id", "link", F.left(F.sha2("link", 256), F.lit(24)).alias("id")),
-    r"""select page_id, link, left(sha256(link), 24) as id from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="(https?://[^"\s]+)"', 1))) as link from {pages})""",
+    lambda s, d: view(s, d, "pages").select("page_id", F.explode(F.array_distinct(F.expr(r"""regexp_extract_all(html, r'href="([^"\s]+)"', 1)"""))).alias("link")).select("page_id", "link", F.left(F.sha2("link", 256), F.lit(24)).alias("id")),
+    r"""select page_id, link, left(sha256(link), 24) as id from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"\s]+)"', 1))) as link from {pages})""",
 )
 add("B17_looks_like_call", lambda s, d: raw(s, d, "words").select("id", N.looks_like_call(F.col("title"), F.lit(2025)).alias("call")), "select id, id % 5 = 3 as call from {raw_words}")
 DATE10 = r"case when regexp_full_match(left(iso, 10), '\d{4}-\d{2}-\d{2}') then try_cast(left(iso, 10) as date) end"
@@ -142,3 +142,26 @@ add(
     lambda s, d: raw(s, d, "words").select("id", N.status_mixed(F.col("words"), F.col("opens"), F.col("closes"), F.col("now")).alias("status")),
     f"select id, case when {SAID} in ('CANCELLED', 'PAUSED', 'CLOSED') then {SAID} else {WINDOW} end as status from {{raw_words}}",
 )
+
+PROSE = """select o_orderkey as id, concat('Podpora: min. ', cast(o_orderkey % 90 + 1 as string), ' tis. Kč, max. ', cast(o_orderkey % 40 + 2 as string), ' mil. Kč. Termín ', cast(o_orderkey % 28 + 1 as string), '. 3. 2024 - ', cast(o_orderkey % 28 + 1 as string), '. 5. 2024. Poslední změna.') as prose from {orders}"""
+amounts = lambda c, unit: F.transform(F.regexp_extract_all(c, F.lit(rf"(\d+) {unit}\. Kč"), F.lit(1)), lambda x: x.cast("bigint"))
+add(
+    "B30_cost_limits",
+    lambda s, d: sql(s, d, PROSE).withColumn("all", F.concat(F.transform(amounts("prose", "tis"), lambda x: x * 1000), F.transform(amounts("prose", "mil"), lambda x: x * 1_000_000))).select("id", F.array_min("all").alias("low"), F.when(F.size("all") > 1, F.array_max("all")).alias("high")),
+    "select o_orderkey as id, (o_orderkey % 90 + 1) * 1000 as low, (o_orderkey % 40 + 2) * 1000000 as high from {orders}",
+)
+add(
+    "B32_date_range",
+    lambda s, d: sql(s, d, PROSE).select("id", F.split(F.regexp_extract("prose", r"(\d{1,2}\. \d{1,2}\. \d{4} - \d{1,2}\. \d{1,2}\. \d{4})", 1), " - ").alias("r")).select("id", ISO(N.cz_date(F.concat(F.col("r")[0], F.lit(" 00:00")))).alias("opens"), ISO(N.cz_date(F.col("r")[1])).alias("closes")),
+    "select id, strftime((a at time zone 'Europe/Prague') at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as opens, strftime((b at time zone 'Europe/Prague') at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as closes from (select o_orderkey as id, make_timestamp(2024, 3, o_orderkey % 28 + 1, 0, 0, 0.0) as a, make_timestamp(2024, 5, o_orderkey % 28 + 1, 23, 59, 59.0) as b from {orders})",
+)
+add(
+    "B31_grant_range",
+    lambda s, d: sql(s, d, PROSE).select("id", F.array_max(amounts("prose", "mil")).alias("top")).select("id", (F.col("top") * 100_000_000).alias("max_minor")),
+    "select o_orderkey as id, (o_orderkey % 40 + 2) * 100000000 as max_minor from {orders}",
+)
+add(
+    "B36_labelled_section",
+    lambda s, d: sql(s, d, PROSE).select("id", F.trim(F.regexp_extract("prose", r"Podpora:\s*(.*?)\s*Termín", 1)).alias("section")),
+    "select o_orderkey as id, concat('min. ', o_orderkey % 90 + 1, ' tis. Kč, max. ', o_orderkey % 40 + 2, ' mil. Kč.') as section from {orders}",
+)

@@ -129,3 +129,59 @@ add("J6_workspace_status", lambda s, d: view(s, d, "projects").select("project_i
 add("J8_checklist_diff", lambda s, d: (lambda r: r.filter("version_number = 1").select("call_id", "requirement_id", col("necessity").alias("o")).join(r.filter("version_number = 2").select("call_id", "requirement_id", col("necessity").alias("n")), ["call_id", "requirement_id"], "full_outer").groupBy("call_id").agg(F.count_if(col("o").isNull()).alias("added"), F.count_if(col("n").isNull()).alias("removed"), F.count_if(col("o") != col("n")).alias("changed")))(view(s, d, "requirements")),
     "select call_id, count(*) filter (o.necessity is null) as added, count(*) filter (n.necessity is null) as removed, count(*) filter (o.necessity <> n.necessity) as changed from (select * from {requirements} where version_number = 1) o full outer join (select * from {requirements} where version_number = 2) n using (call_id, requirement_id) group by call_id")
 add("J9_version_drift", lambda s, d: view(s, d, "candidates").join(view(s, d, "versions").groupBy("call_id").agg(F.max("version_number").alias("current")), "call_id").filter("version_number <> current").groupBy("watch_id", "current", "call_id").agg(F.count("*").alias("baselines")), "select watch_id, \"current\", call_id, count(*) as baselines from {candidates} join (select call_id, max(version_number) as \"current\" from {versions} group by 1) using (call_id) where version_number <> \"current\" group by all")
+
+
+# --- further operators
+
+
+def document_versions(s, d):
+    """NEW_DOCUMENT, NEW_VERSION or NOT_MODIFIED in the order of observation, keyed (source, record)."""
+    o = view(s, d, "observations").withColumn("sha", F.sha2("payload", 256))
+    w = W("source_id", "external_id").orderBy("day")
+    seen = F.array_contains(F.collect_set("sha").over(w.rowsBetween(Window.unboundedPreceding, -1)), col("sha"))
+    return o.withColumn("nth", F.row_number().over(w)).withColumn("had", seen).select("source_id", "external_id", col("day").cast("string").alias("day"), F.when(col("nth") == 1, "NEW_DOCUMENT").when(col("had"), "NOT_MODIFIED").otherwise("NEW_VERSION").alias("action"))
+
+
+add("D2_observe_documents", document_versions,
+    """with o as (select *, sha256(payload) as sha from {observations}) select source_id, external_id, cast(day as varchar) as day, case when row_number() over (partition by source_id, external_id order by day) = 1 then 'NEW_DOCUMENT'
+    when exists (select 1 from o p where p.source_id = o.source_id and p.external_id = o.external_id and p.sha = o.sha and p.day < o.day) then 'NOT_MODIFIED' else 'NEW_VERSION' end as action from o""")
+add("D13_patch_merge", lambda s, d: (lambda f, p: f.join(p, "subject_id", "left").select("subject_id", F.when(col("mask").bitwiseAND(1) != 0, col("new_segment")).otherwise(col("segment")).alias("segment"), F.when(col("mask").bitwiseAND(2) != 0, F.lit(None)).otherwise(col("balance_minor")).alias("balance_minor")))(view(s, d, "facts"), view(s, d, "projects").groupBy(col("applicant_id").alias("subject_id")).agg(F.max("project_id").alias("p")).select("subject_id", F.concat(F.lit("S"), col("p").cast("string")).alias("new_segment"), F.pmod("p", F.lit(4)).cast("int").alias("mask"))),
+    """select subject_id, case when p % 4 in (1, 3) then 'S' || p else segment end as segment, case when p % 4 in (2, 3) then null else balance_minor end as balance_minor from {facts} left join (select applicant_id as subject_id, max(project_id) as p from {projects} group by 1) using (subject_id)""")
+add("D16_reprocess", lambda s, d: view(s, d, "projects").filter("eligible_minor is null").select("project_id", F.when(col("vat_minor").isNotNull(), "RESOLVED").otherwise("OPEN").alias("state"), F.lit(2).alias("parser_version")),
+    "select project_id, case when vat_minor is not null then 'RESOLVED' else 'OPEN' end as state, 2 as parser_version from {projects} where eligible_minor is null")
+add("E8_rule_graph_check", lambda s, d: view(s, d, "funded").groupBy("call_id").agg(F.count("*").alias("n"), F.count_if("has_group").alias("grouped"), F.count_if(col("has_group") & col("group_result").isNull()).alias("gaps")).select("call_id", F.when(col("n") > 64, "SCENARIO_LIMIT").when(col("grouped") == 0, "NO_CONDITION_GROUP").when(col("gaps") > 0, "CONDITION_MISSING").otherwise("OK").alias("code")),
+    "select call_id, case when count(*) > 64 then 'SCENARIO_LIMIT' when count(*) filter (has_group) = 0 then 'NO_CONDITION_GROUP' when count(*) filter (has_group and group_result is null) > 0 then 'CONDITION_MISSING' else 'OK' end as code from {funded} group by 1")
+add("E9_preflight", lambda s, d: view(s, d, "facts").select("subject_id", F.when(col("balance_is_text") & col("balance_minor").isNotNull(), 1).when(col("segment").isNull(), 2).when(col("geo_unknown"), 3).otherwise(9).alias("rank"), "rule_set").groupBy("rule_set").agg(F.min("rank").alias("first_reason"), F.count_if(col("rank") == 9).alias("ready")),
+    "select rule_set, min(r) as first_reason, count(*) filter (r = 9) as ready from (select rule_set, case when balance_is_text and balance_minor is not null then 1 when segment is null then 2 when geo_unknown then 3 else 9 end as r from {facts}) group by 1")
+add("F20_export_check", lambda s, d: view(s, d, "calls").join(view(s, d, "versions").groupBy("call_id").agg(F.count_if(col("status") == "OPEN").alias("evidence")), "call_id", "left").select("call_id", F.array_join(F.array_compact(F.array(F.when(F.trim("provider") == "", "NO_PROVIDER"), F.when(F.coalesce("evidence", F.lit(0)) == 0, "NO_EVIDENCE"))), ",").alias("problems")),
+    "select call_id, concat_ws(',', case when trim(provider) = '' then 'NO_PROVIDER' end, case when coalesce(e, 0) = 0 then 'NO_EVIDENCE' end) as problems from {calls} left join (select call_id, count(*) filter (status = 'OPEN') as e from {versions} group by 1) using (call_id)")
+FUNDING = ("rate_bps", "cap_minor")
+add("I4_scenario_diff", lambda s, d: view(s, d, "steps").filter("old_number is not null").select("call_id", "version_number", F.expr("stack(2, 'rate_bps', old_rate_bps, rate_bps, 'cap_minor', old_cap_minor, cap_minor) as (field, old_value, new_value)")).filter(~col("old_value").eqNullSafe(col("new_value"))),
+    " union all ".join(f"select call_id, version_number, '{c}' as field, old_{c} as old_value, {c} as new_value from {{steps}} where old_number is not null and old_{c} is distinct from {c}" for c in FUNDING))
+
+
+def eligibility_tasks(s, d):
+    """One task per unknown blocking condition, else one for the status."""
+    from grantloom.plans.decisions import conditions, statuses
+
+    st = statuses(s, d).select("subject_id", "status")
+    gaps = conditions(s, d).filter("result = 'UNKNOWN' and blocking").join(st.filter("status = 'NEEDS_INFORMATION'"), "subject_id").select("subject_id", col("condition_id").alias("reference_id"), F.lit("PROVIDE_INPUT").alias("task"))
+    whole = st.filter("status <> 'ELIGIBLE'").join(gaps.select("subject_id").distinct(), "subject_id", "left_anti")
+    return gaps.unionByName(whole.select("subject_id", col("status").alias("reference_id"), F.lit("REVIEW_STATUS").alias("task")))
+
+
+QUERIES["J2_eligibility_tasks"] = eligibility_tasks
+
+
+def finance_tasks(s, d):
+    """One task per missing input, else one for the status."""
+    from grantloom.operators import money as M
+
+    e = M.evaluate(view(s, d, "funded"))
+    gaps = e.filter("reasons like 'MISSING_%'").select("project_id", "scenario_id", F.explode(F.split("reasons", ",")).alias("task"))
+    return gaps.unionByName(e.filter("reasons not like 'MISSING_%' and status <> 'COMPLETE'").select("project_id", "scenario_id", col("status").alias("task")))
+
+
+add("J3_finance_tasks", finance_tasks)
+add("J7_checklist_items", lambda s, d: view(s, d, "requirements").select("call_id", "version_number", F.concat(F.lit("chk_"), F.left(F.sha2(F.concat_ws(":", "call_id", "version_number", "requirement_id"), 256), F.lit(24))).alias("item_id"), "title", col("necessity").alias("need")),
+    "select call_id, version_number, 'chk_' || left(sha256(concat_ws(':', call_id, version_number, requirement_id)), 24) as item_id, title, necessity as need from {requirements}")
