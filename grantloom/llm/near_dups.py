@@ -9,11 +9,11 @@ the same one with the chance of their weighted Jaccard likeness. Only darts up t
 the bound is doubled. So a document costs its length plus k ln k, not length times k.
 
 *Links.* Signatures are cut into bands; equal bands make buckets. All members of a bucket are
-compared with its pivot, exactly, on their sets. Members that end up in other components than the
-pivot become pivots themselves in later rounds (1, 4, 16, ... per bucket), against members they
-are not yet connected to and whose similarity with the first pivot does not rule them out (one
-minus Jaccard is a metric). So large groups of copies cost one comparison a member, while no pair
-of a bucket is left untested unless it is connected already or cannot be similar.
+compared with its pivot, exactly, on their sets. That connects most of a group of copies at one
+comparison a member. Members that are then in another component than the pivot are compared, by
+signature and in blocks, with the whole bucket; pairs of different components whose signatures
+agree in 0.8 less five standard deviations or more are tested exactly on their sets. So no pair of a
+bucket is left out unless it is connected already or its signatures rule it out.
 
 *Classes.* Connected components by minimum labels over the links with pointer jumping; every step
 is a join and a grouped minimum, written to the shared folder.
@@ -38,6 +38,8 @@ from grantloom.llm.common import documents, read, written
 from grantloom.llm.hashing import B1, C1, C2, copies_of, mix, runs, word_hashes, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
+#: About so many members of a bucket are compared with as many others at a time.
+BLOCK = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,6 +53,34 @@ def shingles(text: str, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix(runs(w, min(n, len(w)), C1)), return_counts=True)
 
 
+def throw(region: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dart ids, ranks, regions' places) of all darts up to rank ``bound``. A region's n-th dart
+    is the hash of the region and n; the hash's upper bits give the step from the dart before."""
+    if bound > 6:  # few regions, many darts each: a table of enough steps for all
+        n = int(bound + 4 * np.sqrt(bound) + 4)
+        while True:
+            dart = mix(region[:, None] + np.arange(1, n + 1, dtype=np.uint64) * STEP)
+            rank = np.cumsum(-np.log(uniform(dart)), axis=1)
+            if (rank[:, -1] > bound).all():
+                at, j = np.nonzero(rank <= bound)
+                return dart[at, j], rank[at, j], at
+            n *= 2
+    ids, ranks, places = [], [], []
+    at, rank, n = np.arange(len(region)), np.zeros(len(region)), np.uint64(0)
+    while len(at):
+        n += np.uint64(1)
+        dart = mix(region[at] + np.full(1, n) * STEP)
+        rank = rank - np.log(uniform(dart))
+        due = rank <= bound
+        at, rank, dart = at[due], rank[due], dart[due]
+        ids.append(dart), ranks.append(rank), places.append(at)
+    return np.concatenate(ids), np.concatenate(ranks), np.concatenate(places)
+
+
+def uniform(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+
+
 def darts(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """The k dart ids of a weighted set (uint64; all zero for an empty set)."""
     total = float(weights.sum())
@@ -62,37 +92,19 @@ def darts(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     room = np.minimum(weights[owner] - unit, 1.0)  # the part of the unit that is covered
     region = mix(elements[owner] + (unit + 1).astype(np.uint64) * C2)
     bound = k * (np.log(k) + 3) / total
-
-    def uniform(x):
-        return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-
-    def following(seed, rank):
-        seed = mix(seed + STEP)
-        return seed, rank - np.log(uniform(seed))
-
-    j = np.arange(len(owner))
-    seed, rank = following(region, np.zeros(len(owner)))
-    best, first = np.full(k, np.inf), np.zeros(k, np.uint64)
     while True:
-        later, ids, ranks = [], [], []
-        while len(j):  # every region's next dart
-            due = rank <= bound
-            later.append((seed[~due], rank[~due], j[~due]))
-            seed, rank, j = seed[due], rank[due], j[due]
-            dart = mix(seed ^ C1)
-            hit = uniform(mix(dart + STEP)) < room[j]
-            ids.append(dart[hit]), ranks.append(rank[hit])
-            seed, rank = following(seed, rank)
-        d, r = np.concatenate(ids), np.concatenate(ranks)
-        c = ((d >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-        order = np.lexsort((r, c))
-        lead = order[np.unique(c[order], return_index=True)[1]]
-        better = lead[r[lead] < best[c[lead]]]
-        best[c[better]], first[c[better]] = r[better], d[better]
-        if np.isfinite(best).all():
-            return first
+        dart, rank, at = throw(region, bound)
+        if (room < 1).any():  # a dart's position inside its unit must be covered
+            hit = uniform(mix(dart ^ C1)) < room[at]
+            dart, rank = dart[hit], rank[hit]
+        # the coordinate comes from the low bits, which the steps do not use
+        c = ((dart & np.uint64(2047)) * np.uint64(k) >> np.uint64(11)).astype(np.int64)
+        order = np.argsort(rank)[::-1]
+        lead = np.full(k, -1)
+        lead[c[order]] = order  # the earliest dart is written last
+        if (lead >= 0).all():
+            return dart[lead]
         bound *= 2
-        seed, rank, j = (np.concatenate(x) for x in zip(*later, strict=True))
 
 
 def bands_of(signature: np.ndarray, bands: int) -> np.ndarray:
@@ -110,22 +122,25 @@ def weighted(text: str, weighting: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
-    """(doc_id, bands array<long>) of documents with at least one word."""
+    """(doc_id, bands array<long>, sig binary) of documents with at least one word; ``sig`` has 16
+    bits of every coordinate's dart."""
 
     def run(batches):
         for b in batches:
-            ids, out = [], []
+            ids, out, sig = [], [], []
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s, w = weighted(t or "", weighting)
                 if len(s):
-                    ids.append(d), out.append(bands_of(darts(s, w, bands * rows), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "bands"])
+                    k = darts(s, w, bands * rows)
+                    ids.append(d), out.append(bands_of(k, bands)), sig.append((k >> np.uint64(40)).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "bands", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, bands array<long>, sig binary")
 
 
 def sets_of(docs: DataFrame, weighting: str = "set") -> DataFrame:
-    """(doc_id, items array<long>): the shingles, or with ``count`` one item per occurrence."""
+    """(doc_id, items array<long>, packed binary): the shingles, or with ``count`` one item per
+    occurrence, in order; ``packed`` holds the same numbers."""
 
     def run(batches):
         for b in batches:
@@ -134,10 +149,10 @@ def sets_of(docs: DataFrame, weighting: str = "set") -> DataFrame:
                 s, w = weighted(t or "", weighting)
                 n = w.astype(np.int64)
                 nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out.append(mix(np.repeat(s, n) + nth.astype(np.uint64) * C2).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "items"])
+                out.append(np.sort(mix(np.repeat(s, n) + nth.astype(np.uint64) * C2).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.list_(pa.int64())), pa.array([x.tobytes() for x in out], pa.binary())], ["doc_id", "items", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, items array<long>, packed binary")
 
 
 def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,38 +181,71 @@ def components(links: DataFrame) -> DataFrame:
 def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
     """Links (a, b, j) between different texts, enough to connect all that are similar, and the
     components' labels (doc_id, label)."""
-    banded = written(signatures(first, bands, rows, weighting), "bands").select("doc_id", F.explode("bands").alias("h"))
+    signed = written(signatures(first, bands, rows, weighting), "bands")
+    banded = signed.select("doc_id", F.posexplode("bands").alias("band", "h"))
     order = F.struct(F.xxhash64("doc_id"), "doc_id")  # one order for all buckets: the same pivot serves many
-    buckets = banded.groupBy("h").agg(F.min(order)["doc_id"].alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("h", "pivot")
+    buckets = banded.groupBy("h").agg(F.min(order)["doc_id"].alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     members = written(banded.join(buckets, "h"), "members")
     sets = written(sets_of(first.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), weighting), "sets")
     pairs = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-    tested = written(likeness(pairs, sets), "likeness")
-    links = tested.filter(F.col("j") >= threshold)
+    links = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
     labels = components(links)
-    to_pivot = tested.select(F.col("a").alias("doc_id"), F.col("b").alias("pivot"), (1 - F.col("j")).alias("d"))
-    # d: distance from the bucket's first pivot; done: has been compared with the whole bucket
-    members = written(members.join(to_pivot, ["doc_id", "pivot"], "left").select("h", "doc_id", "pivot", F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("doc_id") == F.col("pivot")).alias("done")), "members")
-    width = 1
-    while True:
-        at = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        main = labels.select(F.col("doc_id").alias("pivot"), F.col("label").alias("main"))
-        at = at.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")).filter("not done")
-        mixed = at.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 <> l1").select("h")
-        at = written(at.join(mixed, "h", "left_semi"), "open")
-        if at.isEmpty():
-            return links, labels
-        strangers = at.filter(F.col("label") != F.col("main"))
-        chosen = strangers.groupBy("h", F.pmod(F.xxhash64("doc_id", F.lit(width)), F.lit(width)).alias("part")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(width)), "doc_id", "d", "label")).alias("c"))
-        chosen = written(chosen.select("h", F.col("c.doc_id").alias("p"), F.col("c.d").alias("pd"), F.col("c.label").alias("pl")), "chosen")
-        near = F.abs(F.col("d") - F.col("pd")) <= 1 - threshold + 1e-9
-        pairs = at.join(chosen, "h").filter((F.col("label") != F.col("pl")) & near)
-        pairs = pairs.select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct()
-        links = written(links.union(likeness(pairs, sets).filter(F.col("j") >= threshold)), "links")
-        labels = components(links)
-        done = chosen.select("h", F.col("p").alias("doc_id"), F.lit(True).alias("now"))
-        members = written(members.join(done, ["h", "doc_id"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now"), "members")
-        width *= 4
+
+    at = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    main = labels.select(F.col("doc_id").alias("pivot"), F.col("label").alias("main"))
+    at = at.join(main, "pivot", "left").withColumn("stranger", F.col("label") != F.coalesce("main", "pivot"))
+    mixed = at.filter("stranger and n > 2").select("h").distinct()  # a bucket of two has been tested
+    at = at.join(mixed, "h", "left_semi").join(signed.select("doc_id", "sig"), "doc_id").join(sets.select("doc_id", "packed"), "doc_id")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    blocks = at.groupBy("h", "stranger", part.alias("part")).agg(F.first("band").alias("band"), F.collect_list("doc_id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("sig").alias("sigs"), F.collect_list("packed").alias("sets"))
+    blocks = written(blocks, "blocks")
+    other = blocks.select("h", F.col("stranger").alias("stranger2"), F.col("part").alias("part2"), F.col("ids").alias("ids2"), F.col("labels").alias("labels2"), F.col("sigs").alias("sigs2"), F.col("sets").alias("sets2"))
+    against = blocks.filter("stranger").join(other, "h").filter("not stranger2 or part2 >= part")
+    fresh = written(resembling(against, threshold, bands, rows), "links")
+    if not fresh.isEmpty():
+        links, labels = links.union(fresh), joined_labels(labels, fresh)
+    return links, labels
+
+
+def resembling(blocks: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(a, b, j): links between two blocks of a bucket, with different labels. Only pairs whose
+    signatures agree in a share of coordinates at most five standard deviations below the
+    threshold are tested, on their whole sets; each in the first band that it shares, so once."""
+    k = bands * rows
+    least = threshold - 5 * (threshold * (1 - threshold) / k) ** 0.5
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, y = (np.frombuffer(b"".join(r[c]), "<u2").reshape(-1, k) for c in ("sigs", "sigs2"))
+                ids, ids2 = np.array(r["ids"]), np.array(r["ids2"])
+                apart = np.array(r["labels"])[:, None] != np.array(r["labels2"])[None, :]
+                same = np.empty((len(x), len(y), k), bool)
+                np.equal(x[:, None, :], y[None, :, :], out=same)
+                apart &= same.mean(axis=2) >= least
+                i, j = np.nonzero(apart)
+                here = same[i, j].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == r["band"]
+                sets, sets2 = ([np.frombuffer(v, np.int64) for v in r[c]] for c in ("sets", "sets2"))
+                found = []
+                for p, q in zip(i[here].tolist(), j[here].tolist(), strict=True):
+                    both = len(np.intersect1d(sets[p], sets2[q], assume_unique=True))
+                    like = both / (len(sets[p]) + len(sets2[q]) - both)
+                    if like >= threshold:
+                        found.append((min(int(ids[p]), int(ids2[q])), max(int(ids[p]), int(ids2[q])), like))
+                a, b, v = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], ["a", "b", "j"])
+
+    return blocks.select("band", "ids", "labels", "sigs", "sets", "ids2", "labels2", "sigs2", "sets2").mapInArrow(run, "a long, b long, j double")
+
+
+def joined_labels(labels: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The labels after some more links: components of the links between labels, which are few,
+    then put in the place of the labels they contain."""
+    of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"l{c}"))
+    between = fresh.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a <> b")
+    over = components(between)
+    known = labels.join(over.select(F.col("doc_id").alias("label"), F.col("label").alias("top")), "label", "left").select("doc_id", F.coalesce("top", "label").alias("label"))
+    return written(known.union(over.join(labels, "doc_id", "left_anti").select("doc_id", "label")), "labels")
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
