@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import NOT_WS, WS, documents, free_name, read
+from grantloom.llm.common import NOT_WS, WS, documents, free_name, read, written
 
 #: (name, SQL condition over the measurements): the place in this list is the rule's bit.
 RULES: list[tuple[str, str]] = [
@@ -100,7 +100,11 @@ def verdict(bits: Column, policy: str) -> Column:
 def apply_policy(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the policy keeps."""
     df, names = measure(docs)
-    return df.filter(verdict(bits_of(names), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    bits = free_name(df, "bits")
+    # the ledger is written, measurements included: a filter right above them would have Catalyst
+    # copy their expressions into each other
+    led = written(df.withColumn(bits, bits_of(names)), "ledger")
+    return led.filter(verdict(F.col(bits), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def ablation(led: DataFrame, policy: str = "v1") -> DataFrame:
