@@ -88,7 +88,7 @@ def residuals(narrow: DataFrame, rate: str, targets: list[float]) -> list[float]
     return [(x or 0.0) - t for x, t in zip(narrow.agg(*sums).first(), targets, strict=True)]
 
 
-def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 60, tolerance: float = 1e-4) -> str:
+def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 1e-4) -> str:
     """SQL expression of the rate over ``p`` (array of probabilities) for documents (tokens, p)
     and target totals per domain."""
     k = range(len(targets))
