@@ -6,10 +6,11 @@ r"""Mixing sources to target weights (operator 2, DataFrame functions only): sof
    fit uses at most ``sample`` labelled documents (those with the smallest hash) and ``vocabulary``
    features, both documented bounds; only the feature table passes through the driver.
 2. *Rates.* Nonnegative rates r minimise the squared distance of the expected domain totals
-   ``sum_i r_i * tokens_i * p_i`` from the targets, by projected gradient steps from r = 1 in the
-   metric that weighs documents by their tokens. A step needs only the few domain residuals: a
-   document's rate is an expression over its probabilities and the residuals of all steps, so
-   each step is one grouped sum over a narrow table, and nothing of a document's size is kept.
+   ``sum_i r_i * tokens_i * p_i`` from the targets and, among such rates, stay next to 1 in the
+   metric that weighs documents by their tokens. The minimum is projected: a document's rate is
+   ``max(0, 1 - m * p_i)`` with one multiplier m per domain, found by Newton steps on the dual
+   until its gradient vanishes. A step needs only a few sums, so each is one grouped sum over a
+   narrow table, and nothing of a document's size is kept.
 3. *Copies.* A rate becomes a whole number of copies, its fraction decided by the doc_id's hash.
 
 Edge cases: null and empty texts have no tokens and their domain probabilities are the prior's;
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,23 +91,44 @@ def residuals(narrow: DataFrame, rate: str, targets: list[float]) -> list[float]
     return [(x or 0.0) - t for x, t in zip(narrow.agg(*sums).first(), targets, strict=True)]
 
 
-def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 1e-4) -> str:
+def dual(narrow: DataFrame, m: np.ndarray, goal: np.ndarray, total: float, near: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, gradient and Hessian of the dual at multipliers ``m``, by one grouped sum."""
+    k = range(len(m))
+    df = narrow.select("tokens", "p", F.expr(free_rate(m)).alias("x"))
+    moments = [F.sum(F.expr(f"if(x > 0, tokens * p[{a}] * p[{b}], 0D)")) for a in k for b in k]
+    sums = df.agg(F.sum(F.expr("if(x > 0, tokens * x * x, 0D)")), *[F.sum(F.expr(f"if(x > 0, tokens * x * p[{a}], 0D)")) for a in k], *moments).first()
+    sums = np.array([float(x or 0) for x in sums]) / total
+    n = len(m)
+    return near * m @ m / 2 + goal @ m + sums[0] / 2, near * m + goal - sums[1 : n + 1], near * np.eye(n) + sums[n + 1 :].reshape(n, n)
+
+
+def free_rate(m: np.ndarray) -> str:
+    return f"1D - ({' + '.join(f'({x:.15g}D) * p[{a}]' for a, x in enumerate(m))})"
+
+
+def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 200, tolerance: float = 1e-4) -> str:
     """SQL expression of the rate over ``p`` (array of probabilities) for documents (tokens, p)
-    and target totals per domain."""
-    k = range(len(targets))
-    cross = narrow.agg(F.sum("tokens"), *[F.sum(F.expr(f"tokens * p[{a}] * p[{b}]")) for a in k for b in k]).first()
-    total = float(cross[0] or 0)
-    rate = "1.0D"
+    and target totals per domain. The distance from the targets, as a share of all tokens, is the
+    least one up to ``tolerance`` times the rates' root mean square distance from 1."""
+    total = float(narrow.agg(F.sum("tokens")).first()[0] or 0)
     if total <= 0:
-        return rate
-    # the largest eigenvalue of the domains' cross products is at most the largest row sum
-    step = 1.0 / max(sum(abs(float(cross[1 + a * len(targets) + b])) for b in k) / total for a in k)
-    for _ in range(rounds):
-        e = [x / total for x in residuals(narrow, rate, targets)]
-        if max(map(abs, e)) < tolerance:
-            break
-        rate = f"greatest(0D, {rate} - ({' + '.join(f'({step * e[a]:.9f}D) * p[{a}]' for a in k)}))"
-    return rate
+        return "1.0D"
+    m, goal, near = np.zeros(len(targets)), np.array(targets) / total, tolerance**2
+    value, slope, bend = dual(narrow, m, goal, total, near)
+    done, used = tolerance * 1e-4, 1
+    while used < rounds and np.abs(slope).max() > done:
+        way, part = -np.linalg.solve(bend, slope), 1.0
+        while True:
+            to = m + part * way
+            found = dual(narrow, to, goal, total, near)
+            used += 1
+            if found[0] <= value + 1e-4 * part * (slope @ way) or np.abs(found[1]).max() <= done or used >= rounds:
+                break
+            part /= 2
+        m, (value, slope, bend) = to, found
+    if np.abs(slope).max() > tolerance:
+        warnings.warn(f"mixing: gradient {slope.tolist()} after {used} sums", stacklevel=2)
+    return f"greatest(0D, {free_rate(m)})"
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[DataFrame, str, str, str]:

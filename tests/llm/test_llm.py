@@ -96,6 +96,26 @@ def test_rates_meet_reachable_targets(spark):
     assert all(abs(x) < 0.01 * sum(goal) for x in mixing.residuals(df, rate, goal))
 
 
+def test_default_rates_of_rare_domains(spark):
+    rnd = random.Random(3)
+    rows = []
+    for i in range(400):
+        x = [0.97, 0.01, 0.02] if i % 20 else [0.1, 0.8, 0.1] if i % 40 else [0.0, 0.0, 1.0]
+        x = [v * rnd.uniform(0.5, 1.5) for v in x]
+        rows.append((float(rnd.randint(5, 500)), [v / sum(x) for v in x]))
+    df = spark.createDataFrame(rows, "tokens double, p array<double>")
+    total = sum(t for t, _ in rows)
+    now = [sum(t * p[k] for t, p in rows) for k in range(3)]
+    goal = [now[0] * 1.3, now[1] * 1.4, now[2] * 0.5]
+    assert all(abs(x) < 2e-4 * total for x in mixing.residuals(df, mixing.fit_rates(df, goal), goal))
+    # out of reach: at the least distance no document's rate can change for the better
+    goal = [now[0] * 1.3, now[1] * 1.4, 0.0]
+    rate = mixing.fit_rates(df, goal)
+    e = np.array(mixing.residuals(df, rate, goal)) / total
+    for p, r in df.selectExpr("p", f"{rate} as r").collect():
+        assert np.dot(p, e) > -1e-3 and (r == 0 or np.dot(p, e) < 1e-3)
+
+
 # 3: URLs
 
 
