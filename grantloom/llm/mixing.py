@@ -5,10 +5,13 @@ r"""Mixing sources to target weights (operator 2, DataFrame functions only): sof
    often in one domain become its features. It gives every document a probability per domain. The
    fit uses at most ``sample`` labelled documents (those with the smallest hash) and ``vocabulary``
    features, both documented bounds; only the feature table passes through the driver.
-2. *Rates.* Nonnegative rates r minimise the squared distance of the expected domain totals
-   ``sum_i r_i * tokens_i * p_i`` from the targets and, among such rates, stay next to 1 in the
-   metric that weighs documents by their tokens. The minimum is projected: a document's rate is
-   ``max(0, 1 - m * p_i)`` with one multiplier m per domain, found by Newton steps on the dual
+2. *Rates.* Documents that are surely of a domain without a share (by their label, or where they
+   have none by their posterior) get rate 0 and take no part in the fit; all others get rate 1 at
+   least, so that mixing repeats documents rather than removing clean ones. Rates r minimise the
+   squared distance of the expected domain totals ``sum_i r_i * tokens_i * p_i`` from the targets
+   and, among such rates, stay next to 1 in the metric that weighs documents by their tokens. The
+   minimum is projected: a document's rate is ``max(floor, 1 - m * p_i)`` with one multiplier m
+   per domain, found by Newton steps on the dual
    until its gradient vanishes. A step needs only a few sums, so each is one grouped sum over a
    narrow table, and nothing of a document's size is kept.
 3. *Copies.* A rate becomes a whole number of copies, its fraction decided by the doc_id's hash.
@@ -34,9 +37,12 @@ from grantloom.llm.common import free_name, read, written
 DOMAINS = ["good", "poor", "toxic"]
 DOMAIN_SQL = "case when toxic = 1 then 'toxic' when quality = 1 then 'good' else 'poor' end"
 #: Shares of the expected tokens. ``mix`` scales them so that every domain with a share grows by
-#: HEADROOM at least, which keeps documents of mildly uncertain domains.
+#: HEADROOM at least. Soft documents that stay also bring tokens to domains without a share; there
+#: HEADROOM times these is the target that rates from 1 up can reach.
 TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 HEADROOM, SLOTS, SEED = 1.25, 1 << 11, 17
+#: From this posterior on a document without a label is surely of its domain.
+SURE = 0.99
 
 
 def terms(t: str) -> str:
@@ -44,11 +50,16 @@ def terms(t: str) -> str:
     return rf"array_distinct(concat(split(lower({t}), r'[\s\p{{Punct}}]+'), split({t}, r'[^\p{{Punct}}]+')))"
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain), one row per labelled document."""
+    known = labels.filter("quality is not null and toxic is not null").select("doc_id", F.expr(DOMAIN_SQL).alias("domain"))
+    return known.groupBy("doc_id").agg(F.min("domain").alias("domain"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, vocabulary: int = 600) -> dict:
     """The classifier: per domain the prior's logarithm, and what each present feature adds (its
     log-likelihood ratio against all documents)."""
-    known = labels.filter("quality is not null and toxic is not null").select("doc_id", F.expr(DOMAIN_SQL).alias("domain"))
-    known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     seen = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two short columns
     seen = written(seen.select("domain", F.expr(f"filter({terms('coalesce(text, char(0))')}, x -> x <> '')").alias("terms")), "labelled")
     n = {d: 0 for d in DOMAINS} | {r["domain"]: r["n"] for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
@@ -91,36 +102,37 @@ def residuals(narrow: DataFrame, rate: str, targets: list[float]) -> list[float]
     return [(x or 0.0) - t for x, t in zip(narrow.agg(*sums).first(), targets, strict=True)]
 
 
-def dual(narrow: DataFrame, m: np.ndarray, goal: np.ndarray, total: float, near: float) -> tuple[float, np.ndarray, np.ndarray]:
+def dual(narrow: DataFrame, m: np.ndarray, goal: np.ndarray, total: float, near: float, floor: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Value, gradient and Hessian of the dual at multipliers ``m``, by one grouped sum."""
     k = range(len(m))
     df = narrow.select("tokens", "p", F.expr(free_rate(m)).alias("x"))
-    moments = [F.sum(F.expr(f"if(x > 0, tokens * p[{a}] * p[{b}], 0D)")) for a in k for b in k]
-    sums = df.agg(F.sum(F.expr("if(x > 0, tokens * x * x, 0D)")), *[F.sum(F.expr(f"if(x > 0, tokens * x * p[{a}], 0D)")) for a in k], *moments).first()
+    moments = [F.sum(F.expr(f"if(x > {floor}D, tokens * p[{a}] * p[{b}], 0D)")) for a in k for b in k]
+    value = F.sum(F.expr(f"tokens * if(x > {floor}D, x * x / 2, {floor}D * x - {floor**2 / 2}D)"))
+    sums = df.agg(value, *[F.sum(F.expr(f"tokens * greatest({floor}D, x) * p[{a}]")) for a in k], *moments).first()
     sums = np.array([float(x or 0) for x in sums]) / total
     n = len(m)
-    return near * m @ m / 2 + goal @ m + sums[0] / 2, near * m + goal - sums[1 : n + 1], near * np.eye(n) + sums[n + 1 :].reshape(n, n)
+    return near * m @ m / 2 + goal @ m + sums[0], near * m + goal - sums[1 : n + 1], near * np.eye(n) + sums[n + 1 :].reshape(n, n)
 
 
 def free_rate(m: np.ndarray) -> str:
     return f"1D - ({' + '.join(f'({x:.15g}D) * p[{a}]' for a, x in enumerate(m))})"
 
 
-def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 200, tolerance: float = 1e-4) -> str:
+def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 200, tolerance: float = 1e-4, floor: float = 0.0) -> str:
     """SQL expression of the rate over ``p`` (array of probabilities) for documents (tokens, p)
-    and target totals per domain. The distance from the targets, as a share of all tokens, is the
+    and target totals per domain, ``floor`` at least. The distance from the targets, as a share of all tokens, is the
     least one up to ``tolerance`` times the rates' root mean square distance from 1."""
     total = float(narrow.agg(F.sum("tokens")).first()[0] or 0)
     if total <= 0:
         return "1.0D"
     m, goal, near = np.zeros(len(targets)), np.array(targets) / total, tolerance**2
-    value, slope, bend = dual(narrow, m, goal, total, near)
+    value, slope, bend = dual(narrow, m, goal, total, near, floor)
     done, used = tolerance * 1e-4, 1
     while used < rounds and np.abs(slope).max() > done:
         way, part = -np.linalg.solve(bend, slope), 1.0
         while True:
             to = m + part * way
-            found = dual(narrow, to, goal, total, near)
+            found = dual(narrow, to, goal, total, near, floor)
             used += 1
             if found[0] <= value + 1e-4 * part * (slope @ way) or np.abs(found[1]).max() <= done or used >= rounds:
                 break
@@ -128,7 +140,22 @@ def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 200, tolera
         m, (value, slope, bend) = to, found
     if np.abs(slope).max() > tolerance:
         warnings.warn(f"mixing: gradient {slope.tolist()} after {used} sums", stacklevel=2)
-    return f"greatest(0D, {free_rate(m)})"
+    return f"greatest({floor}D, {free_rate(m)})"
+
+
+def totals(narrow: DataFrame) -> list[float]:
+    return [(x or 0.0) for x in narrow.agg(*[F.sum(F.expr(f"tokens * p[{k}]")) for k in range(len(DOMAINS))]).first()]
+
+
+def barred(df: DataFrame, labels: DataFrame, p: str, domains: list[str]) -> tuple[DataFrame, str]:
+    """``df`` with a boolean column, and its name: whether a document is surely of one of
+    ``domains``. Only labels that contradict the posterior are joined to whole documents."""
+    out, known = free_name(df, "barred"), free_name(df, "known")
+    sure = F.expr(" or ".join([f"`{p}`[{DOMAINS.index(d)}] >= {SURE}D" for d in domains]) or "false")
+    told = labelled(labels).select("doc_id", F.col("domain").isin(domains).alias(known))
+    wrong = df.select("doc_id", sure.alias("sure")).join(told, "doc_id").filter(f"sure <> `{known}`").select("doc_id", known).distinct()
+    df = df.join(written(wrong, "overruled"), "doc_id", "left")
+    return df.withColumn(out, F.coalesce(known, sure)).drop(known), out
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[DataFrame, str, str, str]:
@@ -139,11 +166,13 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     df = df.withColumn(t, F.expr(r"cast(greatest(size(split(trim(BOTH ' \n\t' FROM coalesce(text, '')), r'\s+')), 0) as double)"))
     df = df.withColumn(t, F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.col(t)))
     df = written(df, "mixing")
-    narrow = df.select(F.col(t).alias("tokens"), F.col(p).alias("p"))
-    now = [(x or 0.0) for x in narrow.agg(*[F.sum(F.expr(f"tokens * p[{k}]")) for k in range(len(DOMAINS))]).first()]
+    now = totals(df.select(F.col(t).alias("tokens"), F.col(p).alias("p")))
+    df, out = barred(df, labels, p, [d for d in DOMAINS if targets[d] == 0])
+    narrow = written(df.filter(f"not `{out}`").select(F.col(t).alias("tokens"), F.col(p).alias("p")), "staying")
     budget = HEADROOM * max((x / targets[d] for x, d in zip(now, DOMAINS, strict=True) if targets[d] > 0), default=0.0)
-    rate = fit_rates(narrow, [targets[d] * budget for d in DOMAINS])
-    return df.withColumn(r, F.expr(f"transform(array(`{p}`), p -> {rate})[0]")), t, p, r
+    goals = [max(targets[d] * budget, HEADROOM * x) for d, x in zip(DOMAINS, totals(narrow), strict=True)]
+    rate = fit_rates(narrow, goals, floor=1.0)
+    return df.withColumn(r, F.expr(f"if(`{out}`, 0D, transform(array(`{p}`), p -> {rate})[0])")), t, p, r
 
 
 def copies(doc_id: str, rate: str) -> Column:

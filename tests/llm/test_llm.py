@@ -116,6 +116,23 @@ def test_default_rates_of_rare_domains(spark):
         assert np.dot(p, e) > -1e-3 and (r == 0 or np.dot(p, e) < 1e-3)
 
 
+def test_clean_documents_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    df, t, p, r = mixing.mixed(docs, labels)
+    rows = df.select("doc_id", t, p, r).collect()
+    toxic = {x["doc_id"]: x["toxic"] for x in labels.collect()}
+    assert all(x[3] >= 1 if toxic.get(x[0], x[2][2] >= 0.99) == 0 else x[3] == 0 for x in rows)
+    now, after = [np.array([sum(x[1] * x[2][k] * x[3] ** n for x in rows) for k in range(3)]) for n in (0, 1)]
+    stay = np.array([sum(x[1] * x[2][k] for x in rows if x[3]) for k in range(3)])
+    goal = np.array([0.95, 0.05, 0.0]) * mixing.HEADROOM * max(now[0] / 0.95, now[1] / 0.05)
+    goal[2] = mixing.HEADROOM * stay[2]
+    e = (after - goal) / sum(x[1] for x in rows)  # too few labels here to reach all goals: but no rate can change for the better
+    assert all(np.dot(x[2], e) > -1e-3 and (x[3] == 1 or np.dot(x[2], e) < 1e-3) for x in rows if x[3])
+    kept = {x["doc_id"] for x in mixing.mix(docs, labels).select("doc_id").collect()}
+    assert {x[0] for x in rows if toxic.get(x[0]) == 0} <= kept and not any(toxic.get(d) for d in kept)
+
+
 # 3: URLs
 
 
