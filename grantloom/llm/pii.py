@@ -43,10 +43,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: What proposes added spans.
+#: What proposes added spans. A number may end a sentence; it never ends within a run of digits.
 CANDIDATES = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,256}(?![A-Za-z0-9_-])"),
-    "number": re.compile(r"(?<![0-9.+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,6}){1,4}(?![0-9.])|(?<![0-9])[0-9]{7,20}(?![0-9])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{16,}+"),
+    "number": re.compile(r"(?<![0-9.+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,6}+){1,4}(?!\.?[0-9])|(?<![0-9])[0-9]{7,20}(?![0-9])"),
     "contact": re.compile(r"\b[A-Za-z0-9._-]{2,40} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{2,40}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot ) ?[A-Za-z]{2,20})+"),
 }
 MAY_BE = {"secret": re.compile(r"[0-9]"), "number": re.compile(r"[0-9]"), "contact": re.compile(r"\bdot\b")}
@@ -56,7 +56,8 @@ GAZETTEER = frozenset(
     " passwd phone pin secret social ssn tel telephone token user whatsapp".split()
 )
 PUBLIC = frozenset("chapter figure page section table version vol volume year isbn issn step line no".split())
-STRICT = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9a-f]{20,}|[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*[A-Z][A-Za-z0-9_-]*[a-z][A-Za-z0-9_-]*|.*\b(?:at|dot)\b.*")
+# the last alternative but one takes the first digit, capital and small letter that will do, so that long spans are read once
+STRICT = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9a-f]{20,}|[A-Za-z_-]*+[0-9][a-z0-9_-]*+[A-Z][A-Z0-9_-]*+[a-z][A-Za-z0-9_-]*+|.*\b(?:at|dot)\b.*")
 DATE = re.compile(r"(?:19|20)[0-9]{2}[ .-][0-9]{1,2}(?:[ .-][0-9]{1,2})?|[0-9]{1,2}[ .-][0-9]{1,2}[ .-](?:19|20)[0-9]{2}|[0-9]{4}-[0-9]{2,4}")
 WORD = re.compile(r"[^\W\d_]+")
 

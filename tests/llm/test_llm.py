@@ -346,6 +346,25 @@ def test_pii(spark, docs, empty):
     assert pii.fit(empty) is None and pii.find(empty, None).count() == 0
 
 
+def test_numbers_before_full_stops_and_long_secrets(spark):
+    for t, span in [("call 212-555-1234.", "212-555-1234"), ("it is 123-45-6789. Next", "123-45-6789"), ("(212) 555-1234.", "(212) 555-1234"), ("ring 212.555.1234.", "212.555.1234"), ("id 212 555 1234 35.5", "212 555 1234")]:
+        assert [t[s:e] for s, e, _ in pii.candidates(t, [])] == [span]
+    for n in (16, 256, 257, 300, 5000, 200_000):
+        for c in ("aB3", "a3", "B3"):
+            t = f"token = {(c * n)[:n]}."
+            assert pii.candidates(t, []) == [(8, 8 + n, "secret")] and len(pii.votes(t, 8, 8 + n)) == len(pii.LABELERS)
+    old = re.compile(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*[A-Z][A-Za-z0-9_-]*[a-z][A-Za-z0-9_-]*")
+    rnd = random.Random(8)
+    for _ in range(5000):
+        t = "".join(rnd.choice("aB3-.") for _ in range(rnd.randint(1, 9)))
+        assert bool(pii.STRICT.fullmatch(t)) == bool(old.fullmatch(t) or re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", t))
+    long = "".join(sha(f"{k}") for k in range(5))[:300]
+    rows = [(i, f"My phone 212-555-{1000 + i}. The ssn is 123-45-{6000 + i}. password: {long[i:] + long[:i]} end") for i in range(40)]
+    rows += [(99 + i, f"See section {10 + i} 22 33 and page 11 {20 + i} of version 11.11.11 text") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["text"] for r in pii.redact(df, pii.fit(df)).filter("doc_id < 99").collect()} == {"My phone <number>. The ssn is <number>. password: <secret> end"}
+
+
 # the pipeline
 
 
