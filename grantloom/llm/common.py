@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,21 +28,53 @@ def free_name(df: DataFrame, base: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; a new
-    temporary folder only where that is unset (local mode, tests)."""
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``. Where it is
+    unset, local mode gets a temporary folder of its own, removed at exit; a cluster gets an error,
+    as its executors would write to their own disks and later reads would miss those files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table of the shared folder and read it again.
-    Unlike cached blocks the files survive the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    Unlike cached blocks the files survive the loss of executors. Tables lie in one folder per
+    application; :func:`release` removes those that no result needs any more."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by :func:`written` that nothing will read again."""
+    for t in tables:
+        jvm, spark = t.sparkSession._jvm, t.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.table_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with an id of its own for every row, and (row, doc_id) to go back.
+
+    Where no doc_id is null or occurs twice the rows stay as they are and the second is None.
+    Else rows get numbers in the order of doc_id (nulls first), ties by their text's hash; they are
+    written, so that every later step sees the same numbers.
+    """
+    docs = documents(docs)
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs, None
+    order = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    rows = written(order.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", "doc_id")
 
 
 def documents(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import NOT_WS, WS, documents, free_name, read, written
+from grantloom.llm.common import NOT_WS, WS, documents, free_name, read
 
 #: (name, SQL condition over the measurements): the place in this list is the rule's bit.
 RULES: list[tuple[str, str]] = [
@@ -33,7 +33,8 @@ POLICIES: dict[str, list[str]] = {
     "base": ["few_words", "repeated_phrases"],
     "v1": [name for name, _ in RULES],
 }
-#: Up to so many repeated windows of a document are looked up one by one.
+#: Up to so many repeated windows of a document are looked up one by one, more are sorted: the
+#: same result either way.
 FEW = 40
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_exclaims"]
 
@@ -50,7 +51,9 @@ def measure(df: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     repeated ones. Where these are few, the windows are looked up in their list, else (hash,
     position) pairs are sorted; either way in the order of n log n. Flagged starts in order then
     cover ``min(3, distance to the next)`` words each. Every intermediate is a column of its own, so
-    that Catalyst, which does not inline dear expressions used twice, computes it once.
+    that Catalyst, which does not inline dear expressions used twice, computes it once; the
+    measurements leave through a generator of one row, across which no filter, join or aggregate
+    above is pushed, as that would copy their expressions into each other.
     """
     own = [F.col(f"`{c}`") for c in df.columns]
     names = {m: free_name(df, m) for m in MEASURES}
@@ -76,7 +79,10 @@ def measure(df: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
         "n_repeat_words": f"case when {g} is null then 0L else aggregate(transform({g}, (x, k) -> case when k < size({g}) - 1 then least(3, {g}[k + 1] - x) else 3 end), 0L, (a, x) -> a + x) end",
         "n_exclaims": f"length({t}) - length(replace({t}, '!', ''))",
     }
-    return df.select(*own, *[F.expr(f"cast({sql[m]} as bigint)").alias(names[m]) for m in MEASURES]), [names[m] for m in MEASURES]
+    df = df.select(*own, *[F.expr(f"cast({sql[m]} as bigint)").alias(names[m]) for m in MEASURES])
+    row = F.inline(F.array(F.struct(*[F.col(names[m]).alias(f"of_{names[m]}") for m in MEASURES])))
+    df = df.select(*own, row)
+    return df.select(*own, *[F.col(f"of_{names[m]}").alias(names[m]) for m in MEASURES]), [names[m] for m in MEASURES]
 
 
 def bits_of(names: list[str]) -> Column:
@@ -101,9 +107,7 @@ def apply_policy(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """The rows of ``docs``, with all their columns, that the policy keeps."""
     df, names = measure(docs)
     bits = free_name(df, "bits")
-    # the ledger is written, measurements included: a filter right above them would have Catalyst
-    # copy their expressions into each other
-    led = written(df.withColumn(bits, bits_of(names)), "ledger")
+    led = df.withColumn(bits, bits_of(names))
     return led.filter(verdict(F.col(bits), policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

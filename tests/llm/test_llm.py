@@ -307,11 +307,22 @@ def test_quality(spark, docs, empty, corpus):
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), brute_repeats(text[r["doc_id"]]), len(lines) - len(set(lines)))
     kept = quality_rules.apply_policy(df, "v1")
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in led if r["bits"] == 0}
-    ab = {r["rule"]: r["n_failed"] for r in quality_rules.ablation(quality_rules.ledger(df)).collect()}
-    assert ab["few_words"] == sum(r["n_words"] < 50 for r in led)
+    ab = {r["rule"]: (r["n_failed"], r["n_only"]) for r in quality_rules.ablation(quality_rules.ledger(df)).collect()}
+    for k, (rule, _) in enumerate(quality_rules.RULES):
+        assert ab[rule] == (sum(r["bits"] >> k & 1 for r in led), sum(r["bits"] == 1 << k for r in led))
+    base = {r["rule"]: r["n_only"] for r in quality_rules.ablation(quality_rules.ledger(df), "base").collect()}
+    assert base == {"few_words": sum(r["bits"] & 3 == 1 for r in led), "repeated_phrases": sum(r["bits"] & 3 == 2 for r in led)}
     assert quality_rules.ledger(empty).count() == 0
 
 
+def test_filters_above_the_ledger_stay_above_the_measurements(spark, corpus):
+    led = quality_rules.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
+    plain = len(led._jdf.queryExecution().optimizedPlan().toString())
+    for df in (led.filter("bits = 0"), led.filter("n_repeat_words > 9 and bits & 2 = 0"), led.groupBy("bits").count(), led.alias("a").join(led.alias("b"), "doc_id")):
+        assert len(df._jdf.queryExecution().optimizedPlan().toString()) < 3 * plain
+    assert led.filter("bits = 0").count() == sum(r["bits"] == 0 for r in led.collect())
+
+
 # 10: personal data
 
 FIXED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
