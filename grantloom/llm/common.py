@@ -71,10 +71,11 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """
     docs = documents(docs)
     if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
-        return docs, None
+        # never null, which spares joins their null filters, so that they can share one shuffle
+        return docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))), None
     order = docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows = written(order.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    return rows.select(F.col("row").alias("doc_id"), "text"), rows.select("row", "doc_id")
+    return rows.select(F.coalesce("row", F.lit(0)).alias("doc_id"), "text"), rows.select("row", "doc_id")
 
 
 def documents(docs: DataFrame) -> DataFrame:

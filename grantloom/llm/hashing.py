@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import written
+from grantloom.llm.common import release, written
 
 B1, B2, C1, C2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 
@@ -65,15 +65,28 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, b: np.ui
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def copies_of(docs: DataFrame, least: int = 0) -> DataFrame:
-    """(doc_id, first) of documents whose word sequence an earlier doc_id has too, among those of
-    ``least`` words or more. Digests are shuffled, not texts."""
+def digest(words: list[bytes]) -> bytes:
+    """128 bits of a word sequence."""
+    return hashlib.sha256(b" ".join(words)).digest()[:16]
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, n): digest and length of each document's word sequence, as a table."""
 
-    def digest(batches):
+    def run(batches):
         for b in batches:
             rows = [(t or "").encode().split() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashlib.sha256(b" ".join(r)).digest()[:16] for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int64())], ["doc_id", "words", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(r) for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int64())], ["doc_id", "words", "n"])
 
-    keys = written(docs.mapInArrow(digest, "doc_id long, words binary, n long").filter(F.col("n") >= least), "digests")
-    firsts = keys.groupBy("words").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("words", "first")
-    return written(keys.join(firsts, "words").filter("doc_id > first").select("doc_id", "first").distinct(), "copies")
+    return written(docs.mapInArrow(run, "doc_id long, words binary, n long"), "digests")
+
+
+def copies_of(keys: DataFrame, least: int = 0) -> DataFrame:
+    """(doc_id, first) of documents whose word sequence an earlier doc_id has too, among those of
+    ``least`` words or more; ``keys`` has (doc_id, words, n). The first ones are a table of their
+    own, so that a large group's rows can be split when they meet theirs."""
+    keys = keys.filter(F.col("n") >= least).select("doc_id", "words")
+    firsts = written(keys.groupBy("words").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("words", "first"), "firsts")
+    copies = written(keys.join(firsts, "words").filter("doc_id > first").select("doc_id", "first"), "copies")
+    release(firsts)
+    return copies

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.llm.common import documents, read, written
-from grantloom.llm.hashing import B1, C1, C2, copies_of, mix, runs, word_hashes, words_of
+from grantloom.llm.hashing import B1, C1, C2, copies_of, digests, mix, runs, word_hashes, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 #: About so many members of a bucket are compared with as many others at a time.
@@ -251,7 +251,7 @@ def joined_labels(labels: DataFrame, fresh: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id): one row per input row; class_id is the smallest doc_id of the class."""
     docs = documents(docs)
-    copies = copies_of(docs)
+    copies = copies_of(digests(docs))
     first = docs.join(copies, "doc_id", "left_anti")
     _, labels = similar_links(first, **options)
     ids = docs.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))

@@ -3,144 +3,222 @@ r"""Substring dedup (operator 6) with a count-min prefilter.
 A window is ``length`` consecutive words of one document. Words covered by a window whose word
 sequence also starts earlier (smaller doc_id, or same document and earlier start) are removed.
 
-1. *Whole copies.* Documents of equal word sequences meet by digest; in all but the first, every
+1. *Scan.* Each window is counted under its anchor, the shingle of ``anchor`` words with the
+   smallest hash inside it: equal windows have equal anchors, so an anchor's count is at least
+   each of its windows' counts, while neighbouring windows share most anchors. A text's anchor
+   hashes and the digest of its words are kept as a table; later steps take up the text again only
+   where something repeats.
+2. *Whole copies.* Documents of equal word sequences meet by digest; in all but the first, every
    word is covered by an earlier window (if there are ``length`` words at all). Only first ones
    go on.
-2. *Sketch.* Each window is counted under its anchor, the shingle of ``anchor`` words with the
-   smallest hash inside it: equal windows have equal anchors, so an anchor's count is at least
-   each of its windows' counts, while neighbouring windows share most anchors. Every task counts
-   the distinct anchor places of its rows, a bit for ``seen`` and one for ``seen again`` per cell
-   and row of a count-min sketch; the partitions' sketches are merged by groups of cells. The
-   merged sketch, saturated at two, overestimates and never underestimates.
-3. *Exact pass.* Windows whose estimate is below two cannot repeat. Of the others, 96-bit hashes
-   are grouped for each one's first place (a minimum, combined on the map side), and the other
-   places follow by an equi-join that adaptive execution can split.
-
-The sketch has one to two cells a word, a bit each, up to ``MOST_BITS`` (32 MB a row); what is sent
-to the executors is bounded by that. Beyond, its estimates get looser, more windows reach the exact
-pass, and the result is still exact.
+3. *Sketch.* Each chunk of documents counts its anchors in the cells of a count-min sketch of
+   ``ROWS`` rows. A chunk's sketch is sparse: the cells it touches, with their counts. Cells are cut
+   into ranges, as many as the corpus asks for (``RANGE_LOAD`` anchors a range, ``RANGE_CELLS`` cells),
+   so the sketch grows with the data and is held by no one as a whole. Chunks' sketches are merged
+   range by range; each range tells each chunk which of its cells were counted twice or more, and
+   how often. The least count of an anchor's cells overestimates and never underestimates.
+4. *Exact pass.* Windows with an estimate below two cannot repeat. The others are ordered by a
+   96-bit hash and place; all but the first of a hash are later ones. Where the estimate exceeds
+   ``HOT``, a hash's windows are dealt over as many groups as that asks for, and only the groups'
+   first ones meet, so no common passage lands in one task.
 
 Edge cases: null and empty texts have no words; texts with fewer words than a window keep all;
-rows of one doc_id are taken for one document (repeated rows all get that document's result);
-an empty table gives an empty result; extra columns are neither read nor returned.
+rows of one doc_id are documents of their own, in the order of their texts' hashes (of equal rows
+all but one are whole copies), and a null doc_id comes before all others; an empty table gives an
+empty result; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
-import zlib
+import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import documents, read, written
-from grantloom.llm.hashing import B1, B2, C1, C2, copies_of, mix, runs, word_hashes, words_of
+from grantloom.llm.common import numbered, read, release, written
+from grantloom.llm.hashing import B1, B2, C1, C2, copies_of, digest, mix, runs, word_hashes, words_of
 
 LENGTH, ANCHOR = 20, 8
-BLOCK_BITS, ROWS = 17, 2
-#: The sketch has 2^bits cells a row, as many as the corpus has words or up to twice as many,
-#: within these limits: at the upper one it takes 32 MB a row on each executor.
-LEAST_BITS, MOST_BITS = 20, 28
-class Windows:
-    """A text's windows: two hashes of each, and the sketch cells of each one's anchor."""
+ROWS, RANGE_LOAD, RANGE_CELLS = 2, 1 << 19, 1 << 23
+#: About so many windows of one hash go to one group.
+HOT = 2000
+
+
+class Anchors:
+    """The anchors of a text's windows: hash of each window's anchor and its place."""
 
     def __init__(self, text: str, length: int, anchor: int):
         data = np.frombuffer(text.encode(), dtype=np.uint8)
-        starts, ends = words_of(data)
-        self.n = len(starts)
-        a, b = word_hashes(data, starts, ends, B1), word_hashes(data, starts, ends, B2)
-        self.h1 = mix(runs(a, length, C1)).view(np.int64)
-        self.h2 = (mix(runs(b, length, C2)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        grams, span = mix(runs(a, anchor, C2)), length - anchor + 1
-        if len(self.h1):
-            view = np.lib.stride_tricks.sliding_window_view(grams, span)
+        self.data, (self.starts, self.ends) = data, words_of(data)
+        self.words = word_hashes(data, self.starts, self.ends, B1)
+        if len(self.starts) >= length:
+            grams = mix(runs(self.words, anchor, C2))
+            view = np.lib.stride_tricks.sliding_window_view(grams, length - anchor + 1)
             self.at = np.arange(len(view)) + view.argmin(axis=1)
-            self.anchors = grams[self.at]
+            self.hashes = grams[self.at]
         else:
-            self.at, self.anchors = np.empty(0, np.int64), np.empty(0, np.uint64)
+            self.at, self.hashes = np.empty(0, np.int64), np.empty(0, np.uint64)
 
+    def places(self) -> np.ndarray:
+        """One hash for each place of an anchor, whatever number of windows it serves."""
+        return self.hashes[np.flatnonzero(np.diff(self.at, prepend=-1))]
 
-def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (h >> np.uint64(0 if row == 0 else 64 - bits)).astype(np.int64) & ((1 << bits) - 1)
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each window."""
+        b = word_hashes(self.data, self.starts, self.ends, B2)
+        return mix(runs(self.words, length, C1)).view(np.int64), (mix(runs(b, length, C2)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def sketch(docs: DataFrame, length: int, anchor: int, bits: int) -> DataFrame:
-    """(block, again binary): the merged sketch's bits for ``counted twice or more``, by blocks of
-    cells (row, upper bits of the cell)."""
+def scan(docs: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(doc_id, words, n, anchors binary): digest and number of words, anchor hashes."""
 
-    def count(batches):
-        seen, again = (np.zeros((ROWS, 1 << (bits - 3)), np.uint8) for _ in range(2))
+    def run(batches):
         for b in batches:
+            rows = []
             for t in b.column("text").to_pylist():
-                w = Windows(t or "", length, anchor)
-                # one count for each place of an anchor, whatever number of windows it serves
-                h = w.anchors[np.flatnonzero(np.diff(w.at, prepend=-1))]
-                for r in range(ROWS):
-                    c = np.sort(cells(h, r, bits))
-                    twice = c[1:][c[1:] == c[:-1]]
-                    at, bit = c >> 3, (128 >> (c & 7)).astype(np.uint8)
-                    old = seen[r, at] & bit != 0
-                    np.bitwise_or.at(again[r], at[old], bit[old])
-                    np.bitwise_or.at(again[r], twice >> 3, (128 >> (twice & 7)).astype(np.uint8))
-                    np.bitwise_or.at(seen[r], at, bit)
-        for r in range(ROWS):
-            blocks = [x.reshape(-1, 1 << (BLOCK_BITS - 3)) for x in (seen[r], again[r])]
-            for k in np.flatnonzero(blocks[0].any(axis=1)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r << (bits - BLOCK_BITS) | int(k)], pa.int32()), *[pa.array([zlib.compress(x[k].tobytes(), 1)], pa.binary()) for x in blocks]], ["block", "seen", "again"]
-                )
-
-    def merge(key, table):  # at most one row of 2^BLOCK_BITS bits from each task
-        seen, again = (np.zeros(1 << (BLOCK_BITS - 3), np.uint8) for _ in range(2))
-        for s, a in zip(table.column("seen").to_pylist(), table.column("again").to_pylist(), strict=True):
-            s, a = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (s, a))
-            again |= a | (seen & s)
-            seen |= s
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "again": pa.array([zlib.compress(again.tobytes(), 1)], pa.binary())})
-
-    parts = docs.mapInArrow(count, "block int, seen binary, again binary")
-    return parts.groupBy("block").applyInArrow(merge, "block int, again binary")
-
-
-def repeated(first: DataFrame, length: int, anchor: int, bits: int) -> DataFrame:
-    """(doc_id, starts array<int>): starts of the windows that also start earlier."""
-    spark = first.sparkSession
-    again = np.zeros(ROWS << (bits - 3), np.uint8)
-    for r in sketch(first, length, anchor, bits).collect():  # ROWS * 2^bits bits at most
-        n = 1 << (BLOCK_BITS - 3)
-        again[r["block"] * n : (r["block"] + 1) * n] = np.frombuffer(zlib.decompress(r["again"]), np.uint8)
-    sent = spark.sparkContext.broadcast(again)
-
-    def propose(batches):
-        repeat = sent.value
+                w = (t or "").encode().split()
+                rows.append((digest(w), len(w), Anchors(t or "", length, anchor).places().tobytes()))
+            words, n, hashes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(hashes, pa.binary())], ["doc_id", "words", "n", "anchors"])
+
+    return written(docs.mapInArrow(run, "doc_id long, words binary, n long, anchors binary"), "anchors")
+
+
+def cells(h: np.ndarray, row: int, ranges: int) -> np.ndarray:
+    """An anchor's cell in a row: (row and range) * 2^32 + cell."""
+    x = mix(h + np.full(1, row + 1, np.uint64) * C1)
+    part = (x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    return part + np.uint64(row * ranges) << np.uint64(32) | x & np.uint64(RANGE_CELLS - 1)
+
+
+def chunks_of(anchors: DataFrame) -> DataFrame:
+    """(chunk, ids, sizes, anchors): documents by the batch, as packed arrays. Written, so that a
+    chunk's name, which is random, stays."""
+
+    def run(batches):
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                w = Windows(t or "", length, anchor)
-                keep = np.ones(len(w.h1), bool)
-                for r in range(ROWS):
-                    c = cells(w.anchors, r, bits) + (r << bits)
-                    keep &= (repeat[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(keep)
-                for k in range(0, len(at), 1 << 16):
-                    i = at[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(w.h1[i]), pa.array(w.h2[i]), pa.array(np.full(len(i), d, np.int64)), pa.array(i.astype(np.int32))], ["h1", "h2", "doc_id", "start"])
+            a = b.column("anchors").to_pylist()
+            ids = b.column("doc_id").to_numpy().tobytes()
+            sizes = np.array([len(x) >> 3 for x in a], np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(7), "big")]), *[pa.array([x], pa.binary()) for x in (ids, sizes, b"".join(a))]], ["chunk", "ids", "sizes", "anchors"])
+
+    return written(anchors.select("doc_id", "anchors").mapInArrow(run, "chunk long, ids binary, sizes binary, anchors binary"), "chunks")
+
 
-    # computed for both uses below: dearer in time than a written table, but it takes no disk
-    places = first.mapInArrow(propose, "h1 long, h2 int, doc_id long, start int")
-    firsts = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    later = places.join(firsts, ["h1", "h2"]).filter("struct(doc_id, start) > first")
-    return later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+def sketches(chunks: DataFrame, ranges: int) -> DataFrame:
+    """(part, chunk, cells, counts): the chunks' sketches, by row and range."""
+
+    def run(batches):
+        for b in batches:
+            for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("anchors").to_pylist(), strict=True):
+                out = []
+                for r in range(ROWS):
+                    c, n = np.unique(cells(np.frombuffer(packed, np.uint64), r, ranges), return_counts=True)
+                    part, low = (c >> np.uint64(32)).astype(np.int32), c.astype(np.uint32)
+                    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                    for i, j in zip(cuts, [*cuts[1:], len(c)], strict=True):
+                        out.append((int(part[i]), chunk, low[i:j].tobytes(), n[i:j].astype(np.uint32).tobytes()))
+                p, k, c, n = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int64()), pa.array(c, pa.binary()), pa.array(n, pa.binary())], ["part", "chunk", "cells", "counts"])
+
+    return chunks.select("chunk", "anchors").mapInArrow(run, "part int, chunk long, cells binary, counts binary")
+
+
+def merge(key, table):
+    """One range of one row: for each chunk the cells counted twice or more in all, and their
+    counts. A group has about RANGE_LOAD cells, and one entry a chunk for a cell in common use."""
+    c, n = ([np.frombuffer(x, np.uint32) for x in table.column(k).to_pylist()] for k in ("cells", "counts"))
+    _, at = np.unique(np.concatenate(c), return_inverse=True)
+    total = np.minimum(np.bincount(at, np.concatenate(n).astype(np.float64)), 2.0**32 - 1).astype(np.uint32)[at]
+    out, i = [], 0
+    for chunk, own in zip(table.column("chunk").to_pylist(), c, strict=True):
+        mine = total[i : i + len(own)]
+        i += len(own)
+        if (again := mine >= 2).any():
+            out.append((key[0].as_py(), chunk, own[again].tobytes(), mine[again].tobytes()))
+    p, k, c, n = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table({"part": pa.array(p, pa.int32()), "chunk": pa.array(k, pa.int64()), "cells": pa.array(c, pa.binary()), "counts": pa.array(n, pa.binary())})
+
+
+def estimated(chunks: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
+    """(doc_id, hashes, estimates): the anchors with an estimate of two or more, in order, of the
+    documents that have any."""
+
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                h = np.frombuffer(r["anchors"], np.uint64)
+                least = np.full(len(h), 2**32 - 1, np.uint32)
+                told = sorted((a["part"], a["cells"], a["counts"]) for a in r["answers"])
+                for row in range(ROWS):
+                    mine = [x for x in told if x[0] // ranges == row]
+                    at = np.concatenate([np.frombuffer(c, np.uint32).astype(np.uint64) | np.uint64(p << 32) for p, c, _ in mine] or [np.empty(0, np.uint64)])
+                    n = np.concatenate([*[np.frombuffer(x, np.uint32) for _, _, x in mine], np.ones(1, np.uint32)])
+                    c = cells(h, row, ranges)
+                    k = np.searchsorted(at, c)
+                    hit = np.append(at, np.uint64(2**64 - 1))[k] == c
+                    least = np.minimum(least, np.where(hit, n[k], 1))
+                keep = np.flatnonzero(least >= 2)
+                owner = np.repeat(np.arange(len(r["ids"]) >> 3), np.frombuffer(r["sizes"], np.int32))[keep]
+                order = np.lexsort((h[keep], owner))
+                keep, owner = keep[order], owner[order]
+                new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(h[keep].view(np.int64), prepend=0) != 0))  # distinct in a document
+                keep, owner = keep[new], owner[new]
+                cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+                ids = np.frombuffer(r["ids"], np.int64)[owner[cuts]]
+                ends = [*cuts[1:].tolist(), len(keep)]
+                out = [[x[keep[i:j]].tobytes() for i, j in zip(cuts.tolist(), ends, strict=False)] for x in (h, least)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(x, pa.binary()) for x in out]], ["doc_id", "hashes", "estimates"])
+
+    return chunks.join(answers, "chunk").mapInArrow(run, "doc_id long, hashes binary, estimates binary")
+
+
+def places(docs: DataFrame, repeats: DataFrame, length: int, anchor: int) -> DataFrame:
+    """(h1, h2, deal, doc_id, start) of the windows whose anchors may repeat; ``deal`` is the group
+    of a window with a common anchor, else -1."""
+
+    def run(batches):
+        for b in batches:
+            for d, t, h, e in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "hashes", "estimates")), strict=True):
+                w, h, e = Anchors(t or "", length, anchor), np.frombuffer(h, np.uint64), np.frombuffer(e, np.uint32)
+                at = np.minimum(np.searchsorted(h, w.hashes), len(h) - 1)
+                keep = np.flatnonzero(h[at] == w.hashes)
+                h1, h2 = w.windows(length)
+                groups = np.maximum(-(-e[at[keep]].astype(np.int64) // HOT), 1)
+                deal = np.where(groups > 1, int(mix(np.array([d], np.int64).view(np.uint64))[0] >> np.uint64(1)) % groups, -1).astype(np.int32)
+                for k in range(0, len(keep), 1 << 16):
+                    i = keep[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(h1[i]), pa.array(h2[i]), pa.array(deal[k : k + (1 << 16)]), pa.array(np.full(len(i), d, np.int64)), pa.array(i.astype(np.int32))], ["h1", "h2", "deal", "doc_id", "start"])
+
+    return docs.join(repeats, "doc_id").select("doc_id", "text", "hashes", "estimates").mapInArrow(run, "h1 long, h2 int, deal int, doc_id long, start int")
+
+
+def repeats_of(anchors: DataFrame, copies: DataFrame) -> DataFrame:
+    """Scan table to (doc_id, hashes, estimates), through the sketch; the scan table goes."""
+    chunks = chunks_of(anchors.join(copies.select("doc_id"), "doc_id", "left_anti"))
+    release(anchors)
+    total = chunks.agg(F.sum(F.octet_length("anchors"))).first()[0] or 0
+    ranges = max(4, -(-total // (8 * RANGE_LOAD)))
+    answers = sketches(chunks, ranges).groupBy("part").applyInArrow(merge, "part int, chunk long, cells binary, counts binary")
+    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "cells", "counts")).alias("answers"))  # no longer than the chunk
+    out = written(estimated(chunks, answers, ranges), "repeats")
+    release(chunks)
+    return out
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): words left, joined by one space."""
-    docs = documents(docs)
-    copies = copies_of(docs, length)
-    first = docs.join(copies, "doc_id", "left_anti")
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # some six bytes a word
-    bits = min(MOST_BITS, max(LEAST_BITS, (chars // 6).bit_length()))
-    starts = repeated(first, length, anchor, bits)
+    docs, rows = numbered(docs)
+    anchors = scan(docs, length, anchor)
+    copies = copies_of(anchors, length)
+    found = places(docs, repeats_of(anchors, copies), length, anchor)
+    order = Window.partitionBy("h1", "h2", "deal").orderBy("doc_id", "start")
+    ranked = found.withColumn("k", F.row_number().over(order))
+    tops = ranked.filter("if(deal >= 0, k, 0) = 1").withColumn("top", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "start")))
+    later = ranked.filter("k > 1").select("doc_id", "start").union(tops.filter("top > 1").select("doc_id", "start"))
+    starts = later.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     marked = docs.join(starts, "doc_id", "left").join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "left")
 
     def cut(batches):
@@ -159,7 +237,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFr
                 ids.append(d), total.append(len(w)), gone.append(len(w) - len(left)), kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return marked.select("doc_id", "text", "starts", "copy").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    out = marked.select("doc_id", "text", "starts", "copy").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    return out if rows is None else rows.join(out.withColumnRenamed("doc_id", "row"), "row").drop("row")
 
 
 def op6_substring_dedup(spark, sf_dir):

@@ -211,6 +211,35 @@ def test_substrings(spark, docs, empty, corpus):
     assert substrings.dedup(empty).count() == 0
 
 
+def test_substrings_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 3)  # common windows are dealt over several groups
+    t, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(30))
+    rows = [(0, t), (1, "x " + t), (1, "a b"), (1, "a b"), (None, u), (2, u + " " + t), (2, u + " " + t), (None, None)] + [(10 + k, f"h{k} {t} {k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [r[:2] for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()]
+    brute = brute_substrings([(k, x) for k, (_, x) in enumerate(order)])
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.dedup(df).collect())
+    assert got == sorted((d if d is not None else -1, *brute[k]) for k, (d, _) in enumerate(order))
+    many = spark.createDataFrame([(k, f"h{k} {t} {k}") for k in range(60)] + [(100, t + " " + t)], "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substrings.dedup(many).collect()} == brute_substrings([(r["doc_id"], r["text"]) for r in many.collect()])
+
+
+def test_sketch_overestimates_and_grows():
+    rng = np.random.default_rng(9)
+    h = rng.integers(0, 2**63, 300_000).astype(np.uint64)
+    for ranges in (1, 4, 1000):  # as many ranges as keep RANGE_LOAD anchors in each
+        for r in range(substrings.ROWS):
+            cells = substrings.cells(h, r, ranges)
+            part = (cells >> np.uint64(32)).astype(int)
+            assert part.min() >= r * ranges and part.max() < (r + 1) * ranges and (cells & np.uint64(2**32 - 1) < substrings.RANGE_CELLS).all()
+    h = rng.integers(0, 2**63, substrings.RANGE_LOAD).astype(np.uint64)  # one full range: hardly any single anchor looks repeated
+    twice = np.ones(len(h), bool)
+    for r in range(substrings.ROWS):
+        _, at, n = np.unique(substrings.cells(h, r, 1), return_inverse=True, return_counts=True)
+        twice &= n[at] >= 2
+    assert twice.mean() < 0.01
+
+
 # 7: token counts
 
 
