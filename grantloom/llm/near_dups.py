@@ -9,11 +9,13 @@ the same one with the chance of their weighted Jaccard likeness. Only darts up t
 the bound is doubled. So a document costs its length plus k ln k, not length times k.
 
 *Links.* Signatures are cut into bands; equal bands make buckets. All members of a bucket are
-compared with its pivot, exactly, on their sets. That connects most of a group of copies at one
-comparison a member. Members that are then in another component than the pivot are compared, by
-signature and in blocks, with the whole bucket; pairs of different components whose signatures
-agree in 0.8 less five standard deviations or more are tested exactly on their sets. So no pair of a
-bucket is left out unless it is connected already or its signatures rule it out.
+compared with its pivot, exactly, on their multisets. That connects most of a group of copies at
+one comparison a member. Where more than BLOCK members of a bucket are then in another component
+than the pivot (strangers), the bucket gets a new pivot among them, up to REPIVOTS times. What
+strangers are left are compared, by signature and in blocks, with the whole bucket; pairs of
+different components whose signatures agree in 0.8 less five standard deviations or more are tested
+exactly, in the first bucket that they share. So no pair of a bucket is left out unless it is
+connected already or its signatures rule it out.
 
 *Classes.* Connected components by minimum labels over the links with pointer jumping; every step
 is a join and a grouped minimum, written to the shared folder.
@@ -23,23 +25,24 @@ With 32 bands of 6 rows a pair of likeness 0.8 shares a bucket with a chance of
 
 Edge cases: documents of equal word sequences are one class from the start (only the first goes
 on), those without words (null, empty) too; fewer words than a shingle make one shingle of all
-words; repeated rows and ties are copies; an empty table gives an empty result; extra columns
-are neither read nor returned.
+words; rows that share a doc_id, or have none, are documents of their own, one row each in the
+result, whose class_id is the smallest doc_id of the class (null if none has one); ties are
+copies; an empty table gives an empty result; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import documents, read, written
+from grantloom.llm.common import free_name, numbered, read, release, written
 from grantloom.llm.hashing import B1, C1, C2, copies_of, digests, mix, runs, word_hashes, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 #: About so many members of a bucket are compared with as many others at a time.
-BLOCK = 64
+BLOCK, REPIVOTS = 64, 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,9 +124,10 @@ def weighted(text: str, weighting: str) -> tuple[np.ndarray, np.ndarray]:
     return s, (n if weighting == "count" else np.ones(len(s))).astype(np.float64)
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
-    """(doc_id, bands array<long>, sig binary) of documents with at least one word; ``sig`` has 16
-    bits of every coordinate's dart."""
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> DataFrame:
+    """(doc_id, bands array<long>, keys binary, sig binary) of documents with at least one word;
+    ``keys`` holds the bands' hashes too, ``sig`` 16 bits of every coordinate's dart. Elements weigh
+    as much as they occur (``count``) or one (``set``)."""
 
     def run(batches):
         for b in batches:
@@ -133,12 +137,13 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weighting:
                 if len(s):
                     k = darts(s, w, bands * rows)
                     ids.append(d), out.append(bands_of(k, bands)), sig.append((k >> np.uint64(40)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "bands", "sig"])
+            keys = pa.array([x.tobytes() for x in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64())), keys, pa.array(sig, pa.binary())], ["doc_id", "bands", "keys", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, bands array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, bands array<long>, keys binary, sig binary")
 
 
-def sets_of(docs: DataFrame, weighting: str = "set") -> DataFrame:
+def sets_of(docs: DataFrame, weighting: str = "count") -> DataFrame:
     """(doc_id, items array<long>, packed binary): the shingles, or with ``count`` one item per
     occurrence, in order; ``packed`` holds the same numbers."""
 
@@ -167,43 +172,75 @@ def components(links: DataFrame) -> DataFrame:
     """(doc_id, label) of all ends of the links (a, b): label is the smallest id of the component."""
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("doc_id"), "label"), "labels")
+    old = labels
     while True:
         # the least label among oneself and the neighbours, then that label's own label
         near = edges.join(labels.withColumnRenamed("doc_id", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
         least = labels.join(near.withColumnRenamed("b", "doc_id"), "doc_id").select("doc_id", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("doc_id").alias("least"), F.col("label").alias("up"))
         step = written(least.join(jump, "least").select("doc_id", "label", F.least("least", "up").alias("next")), "labels")
-        labels = step.select("doc_id", F.col("next").alias("label"))
+        release(old)
+        old, labels = step, step.select("doc_id", F.col("next").alias("label"))
         if step.filter("next < label").isEmpty():
+            release(edges)
             return labels
 
 
-def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> tuple[DataFrame, DataFrame]:
+def order_of(doc_id: str) -> Column:
+    """One order for all buckets: the same pivot serves many."""
+    return F.struct(F.xxhash64(doc_id).alias("x"), F.col(doc_id).alias("d"))
+
+
+def mixed_buckets(members: DataFrame, labels: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with labels, and (h, main, pivot, n, strangers) of the buckets whose members are in
+    several components: pivot is the first stranger, main the component of the bucket's own pivot.
+    Buckets of two have been tested. A table, so that a large bucket's members can be split when
+    they meet its row."""
+    at = members.join(labels, "doc_id", "left").select("doc_id", "band", "h", F.coalesce("label", "doc_id").alias("label"))
+    main = buckets.filter("n > 2").join(labels.withColumnRenamed("doc_id", "pivot"), "pivot", "left").select("h", "n", F.coalesce("label", "pivot").alias("main"))
+    both = at.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").join(main, "h")
+    mixed = written(both.select("h", "main", "n"), "mixed")
+    odd = at.join(mixed, "h").filter("label <> main").groupBy("h").agg(F.count("*").alias("strangers"), F.min(order_of("doc_id"))["d"].alias("pivot"))
+    return at, written(mixed.join(odd, "h"), "mixed")
+
+
+def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
     """Links (a, b, j) between different texts, enough to connect all that are similar, and the
     components' labels (doc_id, label)."""
     signed = written(signatures(first, bands, rows, weighting), "bands")
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "h"))
-    order = F.struct(F.xxhash64("doc_id"), "doc_id")  # one order for all buckets: the same pivot serves many
-    buckets = banded.groupBy("h").agg(F.min(order)["doc_id"].alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(buckets, "h"), "members")
+    buckets = written(banded.groupBy("h").agg(F.min(order_of("doc_id"))["d"].alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = written(banded.join(buckets.select("h", "pivot"), "h"), "members")
     sets = written(sets_of(first.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), weighting), "sets")
     pairs = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
     labels = components(links)
-
-    at = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    main = labels.select(F.col("doc_id").alias("pivot"), F.col("label").alias("main"))
-    at = at.join(main, "pivot", "left").withColumn("stranger", F.col("label") != F.coalesce("main", "pivot"))
-    mixed = at.filter("stranger and n > 2").select("h").distinct()  # a bucket of two has been tested
-    at = at.join(mixed, "h", "left_semi").join(signed.select("doc_id", "sig"), "doc_id").join(sets.select("doc_id", "packed"), "doc_id")
+    for _ in range(REPIVOTS):
+        at, mixed = mixed_buckets(members, labels, buckets)
+        big = mixed.filter(F.col("strangers") > BLOCK)
+        if big.isEmpty():
+            break
+        new = big.select("h", "pivot").join(labels.withColumnRenamed("doc_id", "pivot").withColumnRenamed("label", "own"), "pivot", "left").select("h", "pivot", F.coalesce("own", "pivot").alias("own"))
+        pairs = at.join(new, "h").filter("label <> own").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
+        more = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
+        if more.isEmpty():
+            break
+        links, labels = links.union(more), joined_labels(labels, more)
+    else:
+        at, mixed = mixed_buckets(members, labels, buckets)
+
+    at = at.join(mixed.select("h", "main", "n"), "h").withColumn("stranger", F.col("label") != F.col("main"))
+    at = at.join(signed.select("doc_id", "keys", "sig"), "doc_id").join(sets.select("doc_id", "packed"), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
-    blocks = at.groupBy("h", "stranger", part.alias("part")).agg(F.first("band").alias("band"), F.collect_list("doc_id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("sig").alias("sigs"), F.collect_list("packed").alias("sets"))
+    blocks = at.groupBy("h", "stranger", part.alias("part")).agg(F.first("band").alias("band"), *[F.collect_list(c).alias(f"{c}s") for c in ("doc_id", "label", "keys", "sig", "packed")])
     blocks = written(blocks, "blocks")
-    other = blocks.select("h", F.col("stranger").alias("stranger2"), F.col("part").alias("part2"), F.col("ids").alias("ids2"), F.col("labels").alias("labels2"), F.col("sigs").alias("sigs2"), F.col("sets").alias("sets2"))
+    other = blocks.select("h", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
     against = blocks.filter("stranger").join(other, "h").filter("not stranger2 or part2 >= part")
     fresh = written(resembling(against, threshold, bands, rows), "links")
+    release(blocks, members, buckets)
     if not fresh.isEmpty():
         links, labels = links.union(fresh), joined_labels(labels, fresh)
+    release(sets, signed)
     return links, labels
 
 
@@ -218,14 +255,15 @@ def resembling(blocks: DataFrame, threshold: float, bands: int, rows: int) -> Da
         for batch in batches:
             for r in batch.to_pylist():
                 x, y = (np.frombuffer(b"".join(r[c]), "<u2").reshape(-1, k) for c in ("sigs", "sigs2"))
-                ids, ids2 = np.array(r["ids"]), np.array(r["ids2"])
+                u, v = (np.frombuffer(b"".join(r[c]), np.int64).reshape(-1, bands) for c in ("keyss", "keyss2"))
+                ids, ids2 = np.array(r["doc_ids"]), np.array(r["doc_ids2"])
                 apart = np.array(r["labels"])[:, None] != np.array(r["labels2"])[None, :]
                 same = np.empty((len(x), len(y), k), bool)
                 np.equal(x[:, None, :], y[None, :, :], out=same)
                 apart &= same.mean(axis=2) >= least
                 i, j = np.nonzero(apart)
-                here = same[i, j].reshape(-1, bands, rows).all(axis=2).argmax(axis=1) == r["band"]
-                sets, sets2 = ([np.frombuffer(v, np.int64) for v in r[c]] for c in ("sets", "sets2"))
+                here = (u[i] == v[j]).argmax(axis=1) == r["band"]
+                sets, sets2 = ([np.frombuffer(v, np.int64) for v in r[c]] for c in ("packeds", "packeds2"))
                 found = []
                 for p, q in zip(i[here].tolist(), j[here].tolist(), strict=True):
                     both = len(np.intersect1d(sets[p], sets2[q], assume_unique=True))
@@ -235,7 +273,8 @@ def resembling(blocks: DataFrame, threshold: float, bands: int, rows: int) -> Da
                 a, b, v = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(v, pa.float64())], ["a", "b", "j"])
 
-    return blocks.select("band", "ids", "labels", "sigs", "sets", "ids2", "labels2", "sigs2", "sets2").mapInArrow(run, "a long, b long, j double")
+    columns = [f"{c}s{k}" for k in ("", "2") for c in ("doc_id", "label", "keys", "sig", "packed")]
+    return blocks.select("band", *columns).mapInArrow(run, "a long, b long, j double")
 
 
 def joined_labels(labels: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -250,12 +289,29 @@ def joined_labels(labels: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id): one row per input row; class_id is the smallest doc_id of the class."""
-    docs = documents(docs)
+    docs, rows = numbered(docs)
     copies = copies_of(digests(docs))
     first = docs.join(copies, "doc_id", "left_anti")
     _, labels = similar_links(first, **options)
     ids = docs.select("doc_id").join(copies, "doc_id", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
-    return ids.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("label", "first").alias("class_id"))
+    found = ids.join(labels.withColumnRenamed("doc_id", "first"), "first", "left").select("doc_id", F.coalesce("label", "first").alias("class_id"))
+    if rows is None:
+        return found
+    found = written(rows.join(found.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class")), "row"), "classes")
+    least = found.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    return found.join(least, "class").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs``, with all its columns, for each class: the one with the smallest doc_id,
+    of equal ids the one whose text has the smallest hash."""
+    row = free_name(docs, "row")
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        keyed = docs.withColumn(row, F.col("doc_id").cast("long"))
+    else:
+        keyed = written(docs.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id()), "rows")
+    stay = classes(keyed.select(F.col(row).alias("doc_id"), "text"), **options).filter("doc_id = class_id").select(F.col("doc_id").alias(row))
+    return keyed.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_minhash(spark, sf_dir):
