@@ -23,8 +23,10 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -134,12 +136,16 @@ def features(t: str, s: int, e: int, kind: str, v: str) -> list[int]:
 
 
 def candidates(t: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Proposed spans that touch no base span and no earlier proposal."""
+    """Proposed spans that touch no base span and no proposal of an earlier kind. Spans are kept
+    in order with the furthest end so far, so a match is tested by one binary search."""
     out: list[tuple[int, int, str]] = []
     for kind, pattern in CANDIDATES.items():
         if MAY_BE[kind].search(t):
+            spans = sorted((s, e) for s, e, _ in taken + out)
+            starts, ends = [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
             for m in pattern.finditer(t):
-                if all(m.end() <= s or e <= m.start() for s, e, _ in taken) and all(m.end() <= s or e <= m.start() for s, e, _ in out):
+                k = bisect_left(starts, m.end())  # so many spans start before the match ends
+                if not k or ends[k - 1] <= m.start():
                     out.append((m.start(), m.end(), kind))
     return out
 
