@@ -2,24 +2,26 @@ r"""Mixing sources to target weights (operator 2, DataFrame functions only): sof
 
 1. *Domains.* A naive Bayes classifier is fitted on labelled documents: ``labels`` gives each a
    domain (``toxic``, ``good``, ``poor``), and words and punctuation runs that occur markedly more
-   often in one domain become its features. It gives every document a probability per domain. The
-   fit uses at most ``sample`` labelled documents (those with the smallest hash) and ``vocabulary``
-   features, both documented bounds; only the feature table passes through the driver.
+   often in one domain (``z`` standard deviations) become its features, however many there are.
+   It gives every document a probability per domain. The fit uses at most ``sample`` labelled
+   documents (those with the smallest hash), a documented bound; only the feature table, which
+   that sample bounds, passes through the driver.
 2. *Rates.* Documents that are surely of a domain without a share (by their label, or where they
    have none by their posterior) get rate 0 and take no part in the fit; all others get rate 1 at
    least, so that mixing repeats documents rather than removing clean ones. Rates r minimise the
-   squared distance of the expected domain totals ``sum_i r_i * tokens_i * p_i`` from the targets
-   and, among such rates, stay next to 1 in the metric that weighs documents by their tokens. The
-   minimum is projected: a document's rate is ``max(floor, 1 - m * p_i)`` with one multiplier m
-   per domain, found by Newton steps on the dual
-   until its gradient vanishes. A step needs only a few sums, so each is one grouped sum over a
-   narrow table, and nothing of a document's size is kept.
+   squared distance of the expected domain totals ``sum_i r_i * tokens_i * p_i`` from the targets,
+   in the metric of the inverse second moments of p, by accelerated projected gradient steps
+   (restarted when they turn back) from rate 1. A step needs the totals' residual only, one
+   grouped sum over a narrow table. A document's rate follows from its p and the list of steps by
+   a fold; the narrow table is rewritten with the iterates every few steps, so no expression gets
+   long. Steps end when the root mean square change of a token's rate is below ``tolerance``.
 3. *Copies.* A rate becomes a whole number of copies, its fraction decided by the doc_id's hash.
 
 Edge cases: null and empty texts have no tokens and their domain probabilities are the prior's;
 labels without a document or with nulls are left out; without labels every domain is equally
-likely; repeated rows have rows of their own and equal rates; an empty table gives an empty
-result; :func:`mix` keeps all columns of its input, whatever their names.
+likely; repeated rows have rows of their own and equal rates; documents with a null doc_id are
+mixed like those without a label; an empty table gives an empty result; :func:`mix` keeps all
+columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import free_name, read, written
+from grantloom.llm.common import free_name, read, release, written
 
 DOMAINS = ["good", "poor", "toxic"]
 DOMAIN_SQL = "case when toxic = 1 then 'toxic' when quality = 1 then 'good' else 'poor' end"
@@ -56,7 +58,7 @@ def labelled(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("domain").alias("domain"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, vocabulary: int = 600) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, z: float = 5.0) -> dict:
     """The classifier: per domain the prior's logarithm, and what each present feature adds (its
     log-likelihood ratio against all documents)."""
     known = labelled(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -68,10 +70,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 6_000, vocabulary: int
     counts = seen.select("domain", F.explode("terms").alias("term")).groupBy("term").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS])
     every = sum((F.col(d) for d in DOMAINS[1:]), F.col(DOMAINS[0]))
     share = every / F.lit(max(total, 1))
-    for d in DOMAINS:  # how many standard deviations a domain's count is off
-        counts = counts.withColumn(f"z_{d}", F.abs(F.col(d) - n[d] * share) / F.sqrt(n[d] * share * (1 - share) + 0.5))
-    z = F.greatest(*[f"z_{d}" for d in DOMAINS])
-    best = counts.filter((every >= 5) & (z >= 5)).orderBy(z.desc(), "term").limit(vocabulary).collect()
+    off = [F.abs(F.col(d) - n[d] * share) / F.sqrt(n[d] * share * (1 - share) + 0.5) for d in DOMAINS]  # how many standard deviations a domain's count is off
+    best = counts.filter(F.greatest(*off) >= z).orderBy("term").collect()
     words = {}
     for r in best:
         all_of_them = math.log((sum(r[d] for d in DOMAINS) + 0.5) / (total + 1))
@@ -102,45 +102,59 @@ def residuals(narrow: DataFrame, rate: str, targets: list[float]) -> list[float]
     return [(x or 0.0) - t for x, t in zip(narrow.agg(*sums).first(), targets, strict=True)]
 
 
-def dual(narrow: DataFrame, m: np.ndarray, goal: np.ndarray, total: float, near: float, floor: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Value, gradient and Hessian of the dual at multipliers ``m``, by one grouped sum."""
-    k = range(len(m))
-    df = narrow.select("tokens", "p", F.expr(free_rate(m)).alias("x"))
-    moments = [F.sum(F.expr(f"if(x > {floor}D, tokens * p[{a}] * p[{b}], 0D)")) for a in k for b in k]
-    value = F.sum(F.expr(f"tokens * if(x > {floor}D, x * x / 2, {floor}D * x - {floor**2 / 2}D)"))
-    sums = df.agg(value, *[F.sum(F.expr(f"tokens * greatest({floor}D, x) * p[{a}]")) for a in k], *moments).first()
-    sums = np.array([float(x or 0) for x in sums]) / total
-    n = len(m)
-    return near * m @ m / 2 + goal @ m + sums[0], near * m + goal - sums[1 : n + 1], near * np.eye(n) + sums[n + 1 :].reshape(n, n)
+def metric_of(moments: np.ndarray) -> np.ndarray:
+    """The inverse of the token-weighted second moments of p."""
+    return np.linalg.inv(moments + 1e-6 * np.trace(moments) * np.eye(len(moments)))
 
 
-def free_rate(m: np.ndarray) -> str:
-    return f"1D - ({' + '.join(f'({x:.15g}D) * p[{a}]' for a, x in enumerate(m))})"
+def folded(steps: list[tuple[np.ndarray, float]], n: int, floor: float, rate: str = "1D", look: str = "1D") -> str:
+    """SQL of a document's iterate after ``steps`` (multipliers, momentum) from (rate, look), over
+    its ``p``: its rate, where the next step starts (look), and the last step's change (move) and
+    whether it turned back (turn)."""
+    each = ", ".join(f"named_struct('v', array({', '.join(f'{x:.17g}D' for x in v)}), 'b', {b:.17g}D)" for v, b in steps)
+    to = f"greatest({floor}D, a.look - ({' + '.join(f'p[{k}] * s.v[{k}]' for k in range(n))}))"
+    step = f"transform(array({to}), r -> named_struct('rate', r, 'look', r + s.b * (r - a.rate), 'move', (r - a.look) * (r - a.look), 'turn', (a.look - r) * (r - a.rate)))[0]"
+    start = f"named_struct('rate', {rate}, 'look', {look}, 'move', 0D, 'turn', 0D)"
+    return f"aggregate(array({each}), {start}, (a, s) -> {step})" if steps else start
 
 
-def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 200, tolerance: float = 1e-4, floor: float = 0.0) -> str:
+def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 100, tolerance: float = 1e-5, floor: float = 0.0, rewrite: int = 8) -> str:
     """SQL expression of the rate over ``p`` (array of probabilities) for documents (tokens, p)
-    and target totals per domain, ``floor`` at least. The distance from the targets, as a share of all tokens, is the
-    least one up to ``tolerance`` times the rates' root mean square distance from 1."""
-    total = float(narrow.agg(F.sum("tokens")).first()[0] or 0)
+    and target totals per domain, ``floor`` at least. Within reach the targets are met after a few
+    steps; beyond it the steps come down on the least distance slowly, and a warning tells the
+    residual if they are used up first."""
+    n, k = len(targets), range(len(targets))
+    first = narrow.agg(F.sum("tokens"), *[F.sum(F.expr(f"tokens * p[{a}] * p[{b}]")) for a in k for b in k]).first()
+    total = float(first[0] or 0)
     if total <= 0:
         return "1.0D"
-    m, goal, near = np.zeros(len(targets)), np.array(targets) / total, tolerance**2
-    value, slope, bend = dual(narrow, m, goal, total, near, floor)
-    done, used = tolerance * 1e-4, 1
-    while used < rounds and np.abs(slope).max() > done:
-        way, part = -np.linalg.solve(bend, slope), 1.0
-        while True:
-            to = m + part * way
-            found = dual(narrow, to, goal, total, near, floor)
-            used += 1
-            if found[0] <= value + 1e-4 * part * (slope @ way) or np.abs(found[1]).max() <= done or used >= rounds:
-                break
-            part /= 2
-        m, (value, slope, bend) = to, found
-    if np.abs(slope).max() > tolerance:
-        warnings.warn(f"mixing: gradient {slope.tolist()} after {used} sums", stacklevel=2)
-    return f"greatest({floor}D, {free_rate(m)})"
+    goal, moments = np.array(targets) / total, np.array(first[1:], float).reshape(n, n) / total
+    metric = metric_of(moments)  # so the step length is 1
+    state = narrow.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("look"))
+    steps, done, t, e = [], 0, 1.0, moments.sum(axis=1) - goal  # p sums to one
+    while len(steps) < rounds:
+        t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
+        steps.append((metric @ e, (old - 1) / t))
+        now = state.select("tokens", "p", F.expr(folded(steps[done:], n, floor, "rate", "look")).alias("x"))
+        sums = [F.sum(F.expr(f"tokens * {c}")) for c in ["x.move", "x.turn", *[f"x.{y} * p[{a}]" for y in ("rate", "look") for a in k]]]
+        sums = np.array(now.agg(*sums).first(), float) / total
+        if sums[1] > 0:  # the momentum points back: go on from the rates themselves
+            t, steps[-1], e = 1.0, (steps[-1][0], 0.0), sums[2 : 2 + n] - goal
+        else:
+            e = sums[2 + n :] - goal
+        if sums[0] ** 0.5 <= tolerance:
+            break
+        if len(steps) - done == rewrite:
+            x = F.expr(folded(steps[done:], n, floor, "rate", "look"))
+            fresh = written(state.select("tokens", "p", x.alias("x")).select("tokens", "p", "x.rate", "x.look"), "rates")
+            if done:
+                release(state)
+            state, done = fresh, len(steps)
+    else:
+        warnings.warn(f"mixing: residual {e.tolist()} after {rounds} steps", stacklevel=2)
+    if done:
+        release(state)
+    return f"({folded(steps, n, floor)}).rate"
 
 
 def totals(narrow: DataFrame) -> list[float]:
@@ -172,9 +186,17 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     budget = HEADROOM * max((x / targets[d] for x, d in zip(now, DOMAINS, strict=True) if targets[d] > 0), default=0.0)
     goals = [max(targets[d] * budget, HEADROOM * x) for d, x in zip(DOMAINS, totals(narrow), strict=True)]
     rate = fit_rates(narrow, goals, floor=1.0)
+    release(narrow)
     return df.withColumn(r, F.expr(f"if(`{out}`, 0D, transform(array(`{p}`), p -> {rate})[0])")), t, p, r
 
 
+def report(df: DataFrame, tokens: str, p: str, rate: str) -> DataFrame:
+    """(domain, before, after): expected tokens by domain before and after mixing."""
+    each = F.posexplode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"`{p}`")[k].alias("p")) for k, d in enumerate(DOMAINS)]))
+    parts = df.select(F.col(tokens).alias("tokens"), F.col(rate).alias("rate"), each.alias("k", "d"))
+    return parts.groupBy(F.col("d.domain").alias("domain")).agg(F.sum(F.col("tokens") * F.col("d.p")).alias("before"), F.sum(F.col("tokens") * F.col("d.p") * F.col("rate")).alias("after"))
+
+
 def copies(doc_id: str, rate: str) -> Column:
     u = F.pmod(F.xxhash64(doc_id, F.lit(SEED)), F.lit(1_000_000)) / 1_000_000
     return (F.floor(rate) + F.when(u < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
