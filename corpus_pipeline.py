@@ -21,8 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near duplicates."""
-    stay = near_dups.classes(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return near_dups.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +31,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their domain's target weight asks; toxic ones get a rate near zero."""
+    """Documents as often as their domain's target weight asks; surely toxic ones get rate 0, all
+    others 1 at least."""
     return mixing.mix(docs, read(spark, sf_dir, "labels"))
 
 
