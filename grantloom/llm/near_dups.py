@@ -10,12 +10,12 @@ the bound is doubled. So a document costs its length plus k ln k, not length tim
 
 *Links.* Signatures are cut into bands; equal bands make buckets. All members of a bucket are
 compared with its pivot, exactly, on their multisets. That connects most of a group of copies at
-one comparison a member. Where more than BLOCK members of a bucket are then in another component
-than the pivot (strangers), the bucket gets a new pivot among them, up to REPIVOTS times. What
-strangers are left are compared, by signature and in blocks, with the whole bucket; pairs of
-different components whose signatures agree in 0.8 less five standard deviations or more are tested
-exactly, in the first bucket that they share. So no pair of a bucket is left out unless it is
-connected already or its signatures rule it out.
+one comparison a member. Members that are then in another component than the pivot (strangers) are
+compared, by signature and in blocks, with the whole bucket; pairs of different components whose
+signatures agree in 0.8 less five standard deviations or more are tested exactly, in the first
+bucket that they share. So no pair of a bucket is left out unless it is connected already or its
+signatures rule it out. (New pivots for the strangers, round by round, connected 1 % of them in
+four rounds on a large group of half-alike texts, at twice the time.)
 
 *Classes.* Connected components by minimum labels over the links with pointer jumping; every step
 is a join and a grouped minimum, written to the shared folder.
@@ -42,7 +42,7 @@ from grantloom.llm.hashing import B1, C1, C2, copies_of, digests, mix, runs, wor
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 #: About so many members of a bucket are compared with as many others at a time.
-BLOCK, REPIVOTS = 64, 4
+BLOCK = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -192,16 +192,13 @@ def order_of(doc_id: str) -> Column:
 
 
 def mixed_buckets(members: DataFrame, labels: DataFrame, buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members with labels, and (h, main, pivot, n, strangers) of the buckets whose members are in
-    several components: pivot is the first stranger, main the component of the bucket's own pivot.
-    Buckets of two have been tested. A table, so that a large bucket's members can be split when
-    they meet its row."""
+    """Members with labels, and (h, main, n) of the buckets whose members are in several
+    components, ``main`` being that of the pivot. Buckets of two have been tested. A table, so that
+    a large bucket's members can be split when they meet its row."""
     at = members.join(labels, "doc_id", "left").select("doc_id", "band", "h", F.coalesce("label", "doc_id").alias("label"))
     main = buckets.filter("n > 2").join(labels.withColumnRenamed("doc_id", "pivot"), "pivot", "left").select("h", "n", F.coalesce("label", "pivot").alias("main"))
     both = at.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").join(main, "h")
-    mixed = written(both.select("h", "main", "n"), "mixed")
-    odd = at.join(mixed, "h").filter("label <> main").groupBy("h").agg(F.count("*").alias("strangers"), F.min(order_of("doc_id"))["d"].alias("pivot"))
-    return at, written(mixed.join(odd, "h"), "mixed")
+    return at, written(both.select("h", "main", "n"), "mixed")
 
 
 def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
@@ -215,21 +212,8 @@ def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = B
     pairs = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
     labels = components(links)
-    for _ in range(REPIVOTS):
-        at, mixed = mixed_buckets(members, labels, buckets)
-        big = mixed.filter(F.col("strangers") > BLOCK)
-        if big.isEmpty():
-            break
-        new = big.select("h", "pivot").join(labels.withColumnRenamed("doc_id", "pivot").withColumnRenamed("label", "own"), "pivot", "left").select("h", "pivot", F.coalesce("own", "pivot").alias("own"))
-        pairs = at.join(new, "h").filter("label <> own").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
-        more = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
-        if more.isEmpty():
-            break
-        links, labels = links.union(more), joined_labels(labels, more)
-    else:
-        at, mixed = mixed_buckets(members, labels, buckets)
-
-    at = at.join(mixed.select("h", "main", "n"), "h").withColumn("stranger", F.col("label") != F.col("main"))
+    at, mixed = mixed_buckets(members, labels, buckets)
+    at = at.join(mixed, "h").withColumn("stranger", F.col("label") != F.col("main"))
     at = at.join(signed.select("doc_id", "keys", "sig"), "doc_id").join(sets.select("doc_id", "packed"), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
     blocks = at.groupBy("h", "stranger", part.alias("part")).agg(F.first("band").alias("band"), *[F.collect_list(c).alias(f"{c}s") for c in ("doc_id", "label", "keys", "sig", "packed")])
@@ -237,7 +221,7 @@ def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = B
     other = blocks.select("h", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
     against = blocks.filter("stranger").join(other, "h").filter("not stranger2 or part2 >= part")
     fresh = written(resembling(against, threshold, bands, rows), "links")
-    release(blocks, members, buckets)
+    release(blocks, members, buckets, mixed)
     if not fresh.isEmpty():
         links, labels = links.union(fresh), joined_labels(labels, fresh)
     release(sets, signed)

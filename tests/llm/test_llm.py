@@ -483,7 +483,7 @@ def test_one_of_each_class(spark):
     assert {r["row"] for r in near_dups.one_of_each(spark.createDataFrame(rows[:2] + rows[-1:], "doc_id long, text string, row string")).collect()} == {"p", "q", "v"}
 
 
-def test_pivots_and_blocks_agree(spark, monkeypatch):
+def test_blocks_of_chains(spark, monkeypatch):
     rnd = random.Random(12)
     rows = []
     for g in range(3):  # chains: neighbours resemble each other, the ends do not
@@ -494,9 +494,8 @@ def test_pivots_and_blocks_agree(spark, monkeypatch):
     rows += [(900 + k, "top words " + " ".join(f"z{i % 7}" for i in range(40 + k)) + f" end{k}") for k in range(20)]  # counts matter
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for block, pivots in ((2, 3), (4, 0), (64, 4)):
+    for block in (3, 64):
         monkeypatch.setattr(near_dups, "BLOCK", block)
-        monkeypatch.setattr(near_dups, "REPIVOTS", pivots)
         assert {r["doc_id"]: r["class_id"] for r in near_dups.classes(df).collect()} == want
 
 
