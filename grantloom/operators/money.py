@@ -44,9 +44,24 @@ def evaluate(df: DataFrame) -> DataFrame:
 
 
 def choose(df: DataFrame, by: list[str]) -> DataFrame:
-    """One decision per ``by`` over scenarios with an applicability: more than one pass or any
-    unknown needs information, exactly one pass is complete, none is not applicable."""
-    a = F.col("applicability")
-    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("scenario_id").alias("ids"), F.count_if(a == "PASS").alias("passed"), F.count_if(a == "UNKNOWN").alias("unknown"), F.min(F.when(a == "PASS", F.col("scenario_id"))).alias("only"))
-    status = F.when(F.col("ids") < F.col("n"), "ERROR").when((F.col("passed") > 1) | (F.col("unknown") > 0), "NEEDS_INFORMATION").when(F.col("passed") == 1, "COMPLETE").otherwise("SCENARIO_NOT_APPLICABLE")
-    return out.withColumn("status", status).withColumn("scenario_id", F.when(F.col("status") == "COMPLETE", F.col("only"))).select(*by, "status", "scenario_id", "passed", "unknown")
+    """One decision per ``by`` over its scenarios. A scenario's stored applicability is combined
+    with its condition group's result where it has a group (FAIL before UNKNOWN before PASS; a
+    missing result is UNKNOWN). Duplicate ids are an error, more than one pass or any unknown needs
+    information, exactly one pass is complete, none is not applicable."""
+    group = F.when(F.col("has_group"), F.coalesce("group_result", F.lit("UNKNOWN"))).otherwise("PASS")
+    either = lambda r: (F.col("applicability") == r) | (group == r)
+    a = F.when(either("FAIL"), "FAIL").when(either("UNKNOWN"), "UNKNOWN").otherwise("PASS")
+    out = df.withColumn("a", a).groupBy(*by).agg(
+        F.count("*").alias("n"), F.countDistinct("scenario_id").alias("ids"), F.count_if(F.col("a") == "PASS").alias("passed"), F.count_if(F.col("a") == "UNKNOWN").alias("unknown"),
+        F.bool_or(F.col("has_group") & F.col("group_result").isNull()).alias("missing_group"), F.min(F.when(F.col("a") == "PASS", F.col("scenario_id"))).alias("only"),
+    )
+    ladder = [
+        (F.col("ids") < F.col("n"), "ERROR", F.lit("DUPLICATE_SCENARIO_ID")),
+        (F.col("passed") > 1, "NEEDS_INFORMATION", F.lit("MULTIPLE_APPLICABLE_SCENARIOS")),
+        (F.col("unknown") > 0, "NEEDS_INFORMATION", F.when(F.col("missing_group"), "SCENARIO_CONDITION_GROUP_RESULT_MISSING").otherwise("SCENARIO_APPLICABILITY_UNKNOWN")),
+        (F.col("passed") == 1, "COMPLETE", F.lit("")),
+    ]
+    status, reason = F.lit("SCENARIO_NOT_APPLICABLE"), F.lit("NO_APPLICABLE_SCENARIO")
+    for when, s, r in reversed(ladder):
+        status, reason = F.when(when, s).otherwise(status), F.when(when, r).otherwise(reason)
+    return out.withColumn("status", status).withColumn("reason", reason).withColumn("scenario_id", F.when(F.col("status") == "COMPLETE", F.col("only"))).select(*by, "status", "reason", "scenario_id", "passed", "unknown")

@@ -18,9 +18,9 @@ def condition(presence: Column, typed_ok: Column, holds: Column, operator: Colum
     return (
         F.when(presence == "MISSING", F.when(unknown_policy == "NOT_APPLICABLE", "NOT_APPLICABLE").otherwise("UNKNOWN"))
         .when(presence == "ABSENT", F.when(operator == "EXISTS", "FAIL").when(operator == "NOT_EXISTS", "PASS").otherwise("UNKNOWN"))
+        .when(~typed_ok, "ERROR")
         .when(operator == "EXISTS", "PASS")
         .when(operator == "NOT_EXISTS", "FAIL")
-        .when(~typed_ok, "ERROR")
         .when(holds.isNull(), "UNKNOWN")
         .when(holds, "PASS")
         .otherwise("FAIL")
@@ -38,6 +38,123 @@ def compare(x: Column, operator: Column, low: Column, high: Column, items: Colum
     )
 
 
+TEXT, WHOLE = ["STRING", "ENUM", "GEO_ID"], ["INTEGER", "MONEY_MINOR", "PERCENT_BPS"]
+STRINGS = r'^\[\s*("([^"\\]|\\.)*"(\s*,\s*"([^"\\]|\\.)*")*)?\s*\]$'
+
+
+def text_of(raw: Column) -> Column:
+    """The text of a JSON string; null for anything else."""
+    return F.when(raw.rlike('^".*"$'), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
+
+
+def items_of(raw: Column) -> Column:
+    """The JSON texts of an array's items; null for anything else."""
+    return F.when(raw.startswith("["), F.transform(F.from_json(raw, "array<variant>"), lambda i: F.to_json(i)))
+
+
+def typed(raw: Column, kind: Column) -> Column:
+    """A JSON text as (s, n, f), of which its type uses one, so that all types compare alike; null
+    if the text is not of the type: nothing is converted (``"7"`` is no integer, 1 no boolean)."""
+    s = text_of(raw)
+    day = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.unix_date(F.try_to_date(s, "yyyy-MM-dd")))
+    instant = F.unix_micros(F.try_to_timestamp(s))
+    words = F.when(raw.rlike(STRINGS), F.array_join(F.array_sort(F.array_distinct(F.from_json(raw, "array<string>"))), "\x01"))
+    n = F.when(kind.isin(WHOLE), F.when(raw.rlike("^-?[0-9]+$"), raw.try_cast("decimal(38,0)"))).when(kind == "BOOLEAN", F.when(raw == "true", 1).when(raw == "false", 0).cast("decimal(38,0)"))
+    n = n.when(kind == "DATE", day.cast("decimal(38,0)")).when(kind == "DATETIME", F.when(s.rlike("^[0-9]{4}-"), instant.cast("decimal(38,0)")))
+    f = F.when(kind == "NUMBER", F.when(raw.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), raw.try_cast("double")))
+    own = F.when(kind.isin(TEXT), s).when(kind == "STRING_SET", words)
+    return F.when(own.isNotNull() | n.isNotNull() | f.isNotNull(), F.struct(own.alias("s"), n.alias("n"), f.alias("f")))
+
+
+def prepared(rules: DataFrame) -> DataFrame:
+    """Rules with what their expected values are, so that it is worked out once for all subjects:
+    the typed value ``e``, its text ``word``, an array's typed ``items`` and their texts ``loose``;
+    ``whole`` if all items are of the type."""
+    kind, expected = F.col("data_type"), F.col("expected")
+    df = rules.withColumn("raw", items_of(expected)).withColumn("e", typed(expected, kind)).withColumn("word", text_of(expected))
+    df = df.withColumn("items", F.transform("raw", lambda i: typed(i, kind))).withColumn("loose", F.transform("raw", lambda i: F.coalesce(text_of(i), i)))
+    return df.withColumn("whole", F.col("raw").isNotNull() & ~F.exists("items", lambda i: i.isNull())).drop("raw")
+
+
+def applied(within: Column) -> Column:
+    """A present value under one of the 17 operators: PASS, FAIL, UNKNOWN or ERROR; over the columns
+    of :func:`prepared`, ``value`` and the value typed as ``x``. ``within``: whether the value's
+    place lies in the expected one, null if either is unknown."""
+    x, e, items, word, whole, kind, operator = (F.col(c) for c in ("x", "e", "items", "word", "whole", "data_type", "operator"))
+    low, high, own = F.get(items, F.lit(0)), F.get(items, F.lit(1)), F.from_json("value", "array<string>")
+    dates, words = kind.isin("DATE", "DATETIME"), kind == "STRING_SET"
+    result = lambda holds: F.when(holds, "PASS").otherwise("FAIL")
+    given = lambda ok, holds: F.when(F.coalesce(ok, F.lit(False)), result(holds)).otherwise("ERROR")
+    there = e.isNotNull()
+    ops = [
+        (["EXISTS"], F.lit("PASS")), (["NOT_EXISTS"], F.lit("FAIL")),
+        (["EQ"], given(there, x == e)), (["NEQ"], given(there, x != e)), (["LT"], given(there, x < e)), (["LTE"], given(there, x <= e)), (["GT"], given(there, x > e)), (["GTE"], given(there, x >= e)),
+        (["DATE_BEFORE"], given(dates & there, x < e)), (["DATE_AFTER"], given(dates & there, x > e)),
+        (["BETWEEN"], given(whole & (F.size(items) == 2) & (low <= high), (low <= x) & (x <= high))),
+        (["IN"], given(whole, F.array_contains(items, x))), (["NOT_IN"], given(whole, ~F.array_contains(items, x))),
+        (["INTERSECTS"], given(words & F.col("loose").isNotNull(), F.arrays_overlap(own, F.col("loose")))),
+        (["CONTAINS"], F.when(kind.isin(TEXT), given(word.isNotNull(), F.contains(x["s"], word))).when(words, result(F.array_contains(own, F.coalesce(word, F.col("expected"))))).otherwise("ERROR")),
+        (["GEO_WITHIN", "GEO_NOT_WITHIN"], F.when((kind != "GEO_ID") | e.isNull(), "ERROR").when(within.isNull(), "UNKNOWN").otherwise(result(within == (operator == "GEO_WITHIN")))),
+    ]
+    out = F.lit("ERROR")
+    for names, r in reversed(ops):
+        out = F.when(operator.isin(names), r).otherwise(out)
+    return F.when(x.isNull(), "ERROR").otherwise(out)
+
+
+def evaluate(subjects: DataFrame, rules: DataFrame, values: DataFrame, places: DataFrame) -> DataFrame:
+    """(subject_id, condition_id, group_id, result, blocking, verified): every condition of a
+    subject's rule set. ``subjects``: (subject_id, rule_set); ``rules``: (rule_set, condition_id,
+    group_id, attribute_key, data_type, operator, expected, unknown_policy, blocking, verified);
+    ``values``: (subject_id, attribute_key, value as JSON text, absent), rows may be missing;
+    ``places``: (place_id, parent_id). Equi-joins only."""
+    up = ancestors(places).groupBy("place_id").agg(F.collect_set("ancestor_id").alias("above"))  # as long as the hierarchy is deep
+    known = places.select(F.col("place_id").alias("target"), F.lit(True).alias("target_known")).distinct()
+    rules = prepared(rules).withColumn("target", F.when(F.col("data_type") == "GEO_ID", text_of(F.col("expected")))).join(known, "target", "left")
+    own = values.withColumn("place_id", text_of(F.col("value"))).join(up, "place_id", "left").drop("place_id")
+    all_ = subjects.join(rules, "rule_set").join(own, ["subject_id", "attribute_key"], "left").withColumn("x", typed(F.col("value"), F.col("data_type")))
+    absent, missing = F.coalesce("absent", F.lit(False)), F.col("value").isNull() | (F.col("value") == "null")
+    within = F.when(F.col("target_known"), F.array_contains("above", F.col("target")))
+    op = F.col("operator")
+    result = (
+        F.when(absent, F.when(op == "EXISTS", "FAIL").when(op == "NOT_EXISTS", "PASS").otherwise("UNKNOWN"))
+        .when(missing, F.when(F.col("unknown_policy") == "NOT_APPLICABLE", "NOT_APPLICABLE").otherwise("UNKNOWN"))
+        .otherwise(applied(within))
+    )
+    return all_.select("subject_id", "condition_id", "group_id", result.alias("result"), "blocking", "verified")
+
+
+def tree_errors(groups: DataFrame, leaves: DataFrame, depth: int = 16) -> DataFrame:
+    """(rule_set, error): for each rule set null or the first thing wrong with its tree, in the
+    order EMPTY_GROUP_ID, DUPLICATE_GROUP_ID, EMPTY_GROUP, NOT_NEEDS_ONE_CHILD, NO_SINGLE_ROOT,
+    NOT_CONNECTED (a dangling parent, a cycle, or deeper than ``depth``). ``groups``: (rule_set,
+    group_id, parent_id, kind); ``leaves``: (rule_set, group_id, n), the conditions per group. The
+    path to the root is followed by doubling steps, each one equi-join."""
+    key = ["rule_set", "group_id"]
+    kids = groups.filter("parent_id is not null").groupBy("rule_set", F.col("parent_id").alias("group_id")).agg(F.count("*").alias("kids"))
+    each = groups.groupBy(*key).agg(F.count("*").alias("copies"), F.max("kind").alias("kind"), F.max("parent_id").alias("up"), F.count_if(F.col("parent_id").isNull()).alias("roots"))
+    each = each.join(kids, key, "left").join(leaves.groupBy(*key).agg(F.sum("n").alias("n")), key, "left").withColumn("children", F.coalesce("kids", F.lit(0)) + F.coalesce("n", F.lit(0)))
+    jump = each.select(*key, F.when(F.col("roots") > 0, F.col("group_id")).otherwise(F.col("up")).alias("at"))  # a root stays where it is
+    for _ in range((depth - 1).bit_length()):
+        step = jump.select("rule_set", F.col("group_id").alias("at"), F.col("at").alias("next"))
+        jump = jump.join(step, ["rule_set", "at"], "left").select(*key, F.col("next").alias("at"))
+    top = each.filter("roots > 0").select("rule_set", F.col("group_id").alias("at"), F.lit(True).alias("rooted"))
+    each = each.join(jump, key).join(top, ["rule_set", "at"], "left")
+    has = lambda c: F.bool_or(c)
+    return each.groupBy("rule_set").agg(
+        F.when(has(F.coalesce("group_id", F.lit("")) == ""), "EMPTY_GROUP_ID").when(has(F.col("copies") > 1), "DUPLICATE_GROUP_ID").when(has(F.col("children") == 0), "EMPTY_GROUP")
+        .when(has((F.col("kind") == "NOT") & (F.col("children") != 1)), "NOT_NEEDS_ONE_CHILD").when(F.sum("roots") != 1, "NO_SINGLE_ROOT").when(has(F.col("rooted").isNull()), "NOT_CONNECTED").alias("error")
+    )
+
+
+def area(places: DataFrame, lists: DataFrame) -> DataFrame:
+    """(list_id, place_id): the places of each list (list_id, place_id, mode INCLUDE or EXCLUDE,
+    descendants): those included, with all below where descendants is set, less those excluded."""
+    below = ancestors(places).select("place_id", F.col("ancestor_id").alias("named"))
+    hit = lists.select("list_id", F.col("place_id").alias("named"), "mode", "descendants").join(below, "named").filter("descendants or place_id = named")
+    return hit.groupBy("list_id", "place_id").agg(F.bool_or(F.col("mode") == "EXCLUDE").alias("out")).filter("not out").select("list_id", "place_id")
+
+
 def fold(kind: Column, result: Column) -> Column:
     """Aggregate of the children's results under AND, OR or NOT; use inside ``agg``."""
     has = lambda r: F.bool_or(result == r)

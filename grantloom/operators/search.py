@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,26 +19,58 @@ def tokens(c: Column) -> Column:
 
 
 def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
-    """(doc_id, token, tf, length): weighted term frequencies over the fields, and the document's
-    weighted length."""
-    each = None
-    for name, weight in fields.items():
-        part = docs.select("doc_id", F.explode(tokens(F.col(name))).alias("token"), F.lit(weight).alias("w"))
-        each = part if each is None else each.unionByName(part)
-    tf = each.groupBy("doc_id", "token").agg(F.sum("w").alias("tf"))
-    return tf.join(tf.groupBy("doc_id").agg(F.sum("tf").alias("length")), "doc_id")
-
-
-def bm25(intents: DataFrame, post: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
+    """(doc_id, term, tf, length): frequencies weighted by field, and the document's length in
+    tokens over all fields."""
+    own = lambda name, weight: F.transform(tokens(F.col(name)), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+    each = F.concat(*[own(name, weight) for name, weight in fields.items()])
+    rows = docs.select("doc_id", each.alias("all")).select("doc_id", F.size("all").alias("length"), F.explode("all").alias("x"))
+    return rows.groupBy("doc_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.first("length").alias("length"))
+
+
+def token_hits(wanted: DataFrame, post: DataFrame) -> DataFrame:
+    """(token, doc_id, tf, length): where the wanted tokens occur; from three characters on a token
+    also stands for all terms that begin with it. Tokens meet the vocabulary by their first three
+    characters, then postings by the terms they stand for."""
+    wanted, terms = wanted.select("token").distinct(), post.select("term").distinct()
+    short = wanted.filter("length(token) < 3").select("token", F.col("token").alias("term"))
+    head = lambda c: F.substring(c, 1, 3).alias("head")
+    long = wanted.filter("length(token) >= 3").select("token", head("token")).join(terms.filter("length(term) >= 3").select("term", head("term")), "head").filter("startswith(term, token)").select("token", "term")
+    return post.join(short.unionByName(long), "term").groupBy("token", "doc_id").agg(F.sum("tf").alias("tf"), F.first("length").alias("length"))
+
+
+def bm25(intents: DataFrame, hits: DataFrame, n_docs: int, mean_length: float) -> DataFrame:
     """(intent_id, doc_id, score) of documents that contain every token of the intent. Intents are
-    (intent_id, token). A join on the token; no pair is formed without a shared token."""
-    df = post.join(intents.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    need = intents.distinct().join(df.select("token", idf.alias("idf")), "token", "left")
-    need = need.withColumn("need", F.count("*").over(Window.partitionBy("intent_id"))).filter("idf is not null")
+    (intent_id, token). Candidates come from each intent's rarest token alone; its other tokens
+    are looked up for those, so a common token never multiplies intents by documents."""
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    need = intents.distinct().join(df.select("token", "df", F.when(idf <= 0, 1e-6).otherwise(idf).alias("idf")), "token", "left")
+    per = Window.partitionBy("intent_id")
+    need = need.withColumn("need", F.count("*").over(per)).withColumn("known", F.count("idf").over(per)).filter("need = known")
+    rare = need.withColumn("r", F.row_number().over(per.orderBy("df", "token"))).filter("r = 1").select("intent_id", "token")
+    candidates = rare.join(hits.select("token", "doc_id"), "token").select("intent_id", "doc_id")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean_length)))
-    hits = need.join(post, "token").select("intent_id", "doc_id", "need", part.alias("part"))
-    return hits.groupBy("intent_id", "doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("intent_id", "doc_id", "score")
+    found = candidates.join(need.select("intent_id", "token", "idf", "need"), "intent_id").join(hits, ["token", "doc_id"])
+    return found.groupBy("intent_id", "doc_id").agg(F.sum(part).alias("score"), F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("intent_id", "doc_id", "score")
+
+
+def coverage(intents: DataFrame, hits: DataFrame, at_least: float) -> DataFrame:
+    """(intent_id, doc_id, coverage): documents with that share or more of an intent's tokens
+    (intent_id, pos, token). Such a document has one of the rarest tokens, those beyond what may be
+    missing; candidates come from these alone."""
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    per = Window.partitionBy("intent_id")
+    own = intents.join(df, "token", "left").withColumn("n", F.count("*").over(per)).withColumn("r", F.row_number().over(per.orderBy(F.coalesce("df", F.lit(0)), "pos")))
+    rare = own.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1)
+    candidates = rare.select("intent_id", "token").join(hits.select("token", "doc_id"), "token").select("intent_id", "doc_id").distinct()
+    found = candidates.join(own.select("intent_id", "token", "n"), "intent_id").join(hits.select("token", "doc_id"), ["token", "doc_id"])
+    return found.groupBy("intent_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage")).filter(F.col("coverage") >= at_least)
+
+
+def all_match(phrases: DataFrame, hits: DataFrame) -> DataFrame:
+    """(phrase, doc_id) of documents that contain every token of a phrase (phrase, token)."""
+    need = phrases.distinct().withColumn("need", F.count("*").over(Window.partitionBy("phrase")))
+    return need.join(hits, "token").groupBy("phrase", "doc_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("phrase", "doc_id")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "intent_id", score: str = "score", ident: str = "doc_id") -> DataFrame:
@@ -83,22 +117,67 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     return hit.groupBy("id", "term").agg(F.max("weight").alias("weight"))
 
 
-def expand(hits: DataFrame, reach: DataFrame) -> DataFrame:
+def expand(hits: DataFrame, reach: DataFrame, floor: float = 0.35) -> DataFrame:
     """Direct terms and all reachable ones, the best score per term."""
     more = hits.join(reach.select(F.col("src").alias("term"), "dst", F.col("weight").alias("w")), "term").select("id", F.col("dst").alias("term"), (F.col("weight") * F.col("w")).alias("weight"))
-    return hits.unionByName(more.filter("weight >= 0.35")).groupBy("id", "term").agg(F.max("weight").alias("weight"))
-
-
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score, rank): a stated, bounded query set against all vectors. The
-    vectors are never collected; queries are broadcast and each partition keeps candidates."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("qn"))).alias("qs"))
-    rows = vectors.withColumn("n", norm(F.col("embedding")))
-    pairs = rows.join(F.broadcast(q)).select("vec_id", "embedding", "n", F.explode("qs").alias("q"))
-    score = F.when((F.col("n") == 0) | (F.col("q.qn") == 0), 0.0).otherwise(dot(F.col("embedding"), F.col("q.q")) / (F.col("n") * F.col("q.qn")))
-    return top_k(pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(score, 6).alias("score")), k, "query_id", "score", "vec_id")
+    return hits.unionByName(more.filter(F.col("weight") >= floor)).groupBy("id", "term").agg(F.max("weight").alias("weight"))
+
+
+def score_terms(resolved: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, label, score): of the weight of a query's terms (id, term, weight) the share whose
+    terms a candidate (query_id, label, term) has."""
+    total = resolved.groupBy(F.col("id").alias("query_id")).agg(F.sum("weight").alias("total"))
+    own = candidates.distinct().join(resolved.select(F.col("id").alias("query_id"), "term", "weight"), ["query_id", "term"], "left")
+    return own.groupBy("query_id", "label").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("shared")).join(total, "query_id").select("query_id", "label", (F.col("shared") / F.col("total")).alias("score"))
+
+
+def phrases_of(resolved: DataFrame, synonyms: DataFrame, least: float = 0.75, first: int = 24) -> DataFrame:
+    """(id, place, phrase): what a query's terms (id, term, weight) are called, by falling weight:
+    each one's name, then its synonyms (term, name, weight) of ``least`` or more; the ``first``
+    distinct ones."""
+    names = resolved.select("id", "term", "weight", F.lit(0).alias("kind"), F.col("term").alias("phrase"))
+    more = resolved.join(synonyms.filter(F.col("weight") >= least).select("term", "name"), "term").select("id", "term", "weight", F.lit(1).alias("kind"), F.col("name").alias("phrase"))
+    best = names.unionByName(more).groupBy("id", "phrase").agg(F.min(F.struct(-F.col("weight"), "term", "kind")).alias("at"))
+    return best.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("at", "phrase"))).filter(F.col("place") <= first).select("id", "place", "phrase")
+
+
+BLOCK = 1024
+
+
+def packed(rows: DataFrame, ident: str, block: int = BLOCK) -> DataFrame:
+    """(chunk, ids, vectors): vectors (``ident``, embedding) in packs of at most ``block``."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, block):
+                part = b.slice(k, block)
+                v = np.array([np.asarray(x, np.float32) for x in part.column("embedding").to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([part.column(ident).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["n", "ids", "vectors"])
+
+    return rows.select(F.col(ident).cast("long").alias(ident), "embedding").mapInArrow(run, "n int, ids binary, vectors binary")
+
+
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank): a stated query set against all vectors, in blocks; a zero
+    vector scores 0, ties go by id. Both sides are packed; the packs of vectors are dealt over
+    ``parts``, each of which meets every pack of queries, one pair of packs at a time, and keeps the k
+    best of the pair; these meet per query. Nothing is broadcast or collected."""
+    parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = packed(vectors, "vec_id").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    q = packed(queries, "query_id").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+
+    def best(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                x, y = (np.frombuffer(r[c], np.float32).reshape(r[n], -1).astype(np.float64) for c, n in (("vectors", "n"), ("qvectors", "qn")))
+                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
+                norms = np.sqrt((y * y).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+                s = np.round(np.divide(y @ x.T, norms, out=np.zeros(norms.shape), where=norms > 0), 6)
+                top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, axis=1).ravel())], ["query_id", "vec_id", "score"])
+
+    found = v.join(q, "part").select("n", "ids", "vectors", "qn", "qids", "qvectors").mapInArrow(best, "query_id long, vec_id long, score double")
+    return top_k(found, k, "query_id", "score", "vec_id")
 
 
 def facets(rows: DataFrame, filters: dict[str, Column], top: int = 20) -> DataFrame:

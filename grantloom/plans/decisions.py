@@ -9,7 +9,9 @@ from grantloom.functions.normalize import stable_id
 from grantloom.operators import changes as C
 from grantloom.operators import money as M
 from grantloom.operators import rules as R
-from grantloom.views import duck, view
+from grantloom.operators import search as S
+from grantloom.plans.fields import fold
+from grantloom.views import VIEWS, duck, view
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -57,7 +59,69 @@ COND = """select subject_id, rule_set, 'c1' as condition_id, 'g1' as group_id, c
 FOLDED = f"""with cond as ({COND}), w as (select subject_id, max(result) filter (condition_id = 'c1') as c1, max(result) filter (condition_id = 'c2') as c2, max(result) filter (condition_id = 'c3') as c3, max(result) filter (condition_id = 'c4') as c4 from cond group by subject_id),
     lower1 as (select *, case when 'PASS' in (c1, c2) then 'PASS' when 'ERROR' in (c1, c2) then 'ERROR' when 'UNKNOWN' in (c1, c2) then 'UNKNOWN' else 'FAIL' end as g1, case c3 when 'PASS' then 'FAIL' when 'FAIL' then 'PASS' else c3 end as g2 from w),
     tree as (select *, case when 'FAIL' in (g1, g2, c4) then 'FAIL' when 'ERROR' in (g1, g2, c4) then 'ERROR' when 'UNKNOWN' in (g1, g2, c4) then 'UNKNOWN' else 'PASS' end as g0 from lower1)"""
-add("G1_conditions", lambda s, d: conditions(s, d).select("subject_id", "condition_id", "result"), f"select subject_id, condition_id, result from ({COND})")
+#: (attribute, type, operator, expected): every operator, over every type it takes and some it does not.
+CASES = [
+    ("name", "STRING", "EQ", '"Customer#000000001"'), ("name", "STRING", "CONTAINS", '"00000004"'), ("name", "STRING", "CONTAINS", "4"), ("name", "STRING", "LT", '"Customer#000000050"'), ("name", "STRING", "EXISTS", None),
+    ("segment", "ENUM", "IN", '["BUILDING","MACHINERY"]'), ("segment", "ENUM", "NOT_IN", '["BUILDING","MACHINERY"]'), ("segment", "ENUM", "IN", '"BUILDING"'), ("segment", "ENUM", "NEQ", '"AUTOMOBILE"'), ("segment", "ENUM", "IN", '["BUILDING",7]'),
+    ("staff", "INTEGER", "GTE", "5"), ("staff", "INTEGER", "LT", "0"), ("staff", "INTEGER", "EQ", '"5"'), ("staff", "INTEGER", "NOT_EXISTS", None), ("staff", "INTEGER", "CONTAINS", "5"), ("staff", "INTEGER", "DATE_BEFORE", "5"),
+    ("balance", "MONEY_MINOR", "BETWEEN", "[100000, 500000]"), ("balance", "MONEY_MINOR", "BETWEEN", "[500000, 100000]"), ("balance", "MONEY_MINOR", "BETWEEN", "[1, 2, 3]"), ("balance", "MONEY_MINOR", "LTE", "0"), ("balance", "MONEY_MINOR", "GT", "1.5"),
+    ("share", "PERCENT_BPS", "GT", "5000"), ("share", "PERCENT_BPS", "IN", "[100, 200, 300]"), ("share", "PERCENT_BPS", "NEQ", "100"),
+    ("ratio", "NUMBER", "GT", "10"), ("ratio", "NUMBER", "EQ", "4.25"), ("ratio", "NUMBER", "BETWEEN", "[3.5, 20]"), ("ratio", "NUMBER", "EQ", "true"),
+    ("public", "BOOLEAN", "EQ", "true"), ("public", "BOOLEAN", "NEQ", "true"), ("public", "BOOLEAN", "EQ", "1"),
+    ("activities", "STRING_SET", "INTERSECTS", '["a1","a2"]'), ("activities", "STRING_SET", "CONTAINS", '"a0"'), ("activities", "STRING_SET", "EQ", '["b","a1"]'), ("activities", "STRING_SET", "INTERSECTS", '"a1"'), ("segment", "ENUM", "INTERSECTS", '["BUILDING"]'),
+    ("founded", "DATE", "DATE_BEFORE", '"2018-01-01"'), ("founded", "DATE", "DATE_AFTER", '"2018-01-01"'), ("founded", "DATE", "BETWEEN", '["2012-01-01","2019-12-31"]'), ("founded", "DATE", "EQ", '"2018-13-01"'),
+    ("checked", "DATETIME", "DATE_AFTER", '"2024-03-15T12:00:00Z"'), ("checked", "DATETIME", "DATE_BEFORE", '"2024-03-15T14:00:00+02:00"'), ("checked", "DATETIME", "LTE", '"2024-03-20T10:30:00Z"'),
+    ("seat", "GEO_ID", "GEO_WITHIN", '"r1"'), ("seat", "GEO_ID", "GEO_NOT_WITHIN", '"r1"'), ("seat", "GEO_ID", "GEO_WITHIN", '"n3"'), ("seat", "GEO_ID", "GEO_WITHIN", '"r77"'), ("segment", "ENUM", "GEO_WITHIN", '"r1"'), ("seat", "GEO_ID", "GEO_WITHIN", "7"), ("nowhere", "STRING", "EXISTS", None),
+]
+
+
+def rule_conditions() -> str:
+    rows = []
+    for k, (key, kind, op, expected) in enumerate(CASES):
+        policy = "NOT_APPLICABLE" if k % 3 == 1 else "UNKNOWN"
+        value = "cast(null as string)" if expected is None else f"'{expected}'"
+        rows.append(f"('c{k:02d}', {k % 2}, '{key}', '{kind}', '{op}', {value}, '{policy}')")
+    return f"select condition_id, rule_set, attribute_key, data_type, operator, expected, unknown_policy, 'g0' as group_id, true as blocking, true as verified from (values {', '.join(rows)}) as t(condition_id, rule_set, attribute_key, data_type, operator, expected, unknown_policy)"
+
+
+VIEWS["rule_conditions"] = rule_conditions()
+
+
+def typed_sql(raw: str) -> str:
+    """A JSON text as a value of its type, null if it is of another."""
+    text = f"case when json_type({raw}) = 'VARCHAR' then {raw}::json->>'$' end"
+    strings = f"json_type({raw}) = 'ARRAY' and len(list_filter(json_extract({raw}, '$[*]'), lambda x: json_type(x) <> 'VARCHAR')) = 0"
+    return f"""case when data_type in ('STRING', 'ENUM', 'GEO_ID') then case when json_type({raw}) = 'VARCHAR' then {{'s': {text}, 'n': null::decimal(38,0), 'f': null::double}} end
+        when data_type = 'STRING_SET' then case when {strings} then {{'s': array_to_string(list_sort(list_distinct(json_extract_string({raw}, '$[*]'))), chr(1)), 'n': null::decimal(38,0), 'f': null::double}} end
+        when data_type in ('INTEGER', 'MONEY_MINOR', 'PERCENT_BPS') then case when json_type({raw}) in ('BIGINT', 'UBIGINT') then {{'s': null::varchar, 'n': cast({raw} as decimal(38,0)), 'f': null::double}} end
+        when data_type = 'BOOLEAN' then case when json_type({raw}) = 'BOOLEAN' then {{'s': null::varchar, 'n': case when {raw} = 'true' then 1 else 0 end::decimal(38,0), 'f': null::double}} end
+        when data_type = 'NUMBER' then case when json_type({raw}) in ('BIGINT', 'UBIGINT', 'DOUBLE') then {{'s': null::varchar, 'n': null::decimal(38,0), 'f': cast({raw} as double)}} end
+        when data_type = 'DATE' then case when try_cast({text} as date) is not null then {{'s': null::varchar, 'n': cast(try_cast({text} as date) - date '1970-01-01' as decimal(38,0)), 'f': null::double}} end
+        when data_type = 'DATETIME' then case when try_cast({text} as timestamptz) is not null then {{'s': null::varchar, 'n': cast(epoch_us(try_cast({text} as timestamptz)) as decimal(38,0)), 'f': null::double}} end end"""
+
+
+RULES_SQL = f"""with own as (select c.c_custkey as subject_id, r.*, a.value, coalesce(a.absent, false) as absent from {{customer}} c join {{rule_conditions}} r on r.rule_set = c.c_custkey % 2 left join {{attribute_values}} a on a.subject_id = c.c_custkey and a.attribute_key = r.attribute_key),
+    t as (select *, {typed_sql('value')} as x, {typed_sql('expected')} as e, json_type(expected) as shape, case when json_type(expected) = 'ARRAY' then cast(json_extract(expected, '$[*]') as varchar[]) end as raw from own),
+    u as (select *, list_transform(raw, lambda i: {typed_sql('i')}) as items from t),
+    w as (select *, raw is not null and len(list_filter(items, lambda i: i is null)) = 0 as whole, case when json_type(expected) = 'VARCHAR' then expected::json->>'$' end as word,
+        x.s in (select place_id from {{places}}) and e.s in (select place_id from {{places}}) as known, x.s = e.s or exists (select 1 from {{places}} p where p.place_id = x.s and p.parent_id = e.s) as inside from u),
+    d as (select *, case when absent then case operator when 'EXISTS' then 'FAIL' when 'NOT_EXISTS' then 'PASS' else 'UNKNOWN' end
+        when value is null then case when unknown_policy = 'NOT_APPLICABLE' then 'NOT_APPLICABLE' else 'UNKNOWN' end
+        when x is null then 'ERROR' when operator = 'EXISTS' then 'PASS' when operator = 'NOT_EXISTS' then 'FAIL'
+        when operator in ('GEO_WITHIN', 'GEO_NOT_WITHIN') then case when data_type <> 'GEO_ID' or e is null then 'ERROR' when not known then 'UNKNOWN' when inside = (operator = 'GEO_WITHIN') then 'PASS' else 'FAIL' end
+        when operator in ('DATE_BEFORE', 'DATE_AFTER') and data_type not in ('DATE', 'DATETIME') then 'ERROR'
+        when operator = 'BETWEEN' then case when not whole or len(items) <> 2 then 'ERROR' when items[1] > items[2] then 'ERROR' when x >= items[1] and x <= items[2] then 'PASS' else 'FAIL' end
+        when operator in ('IN', 'NOT_IN') then case when not whole then 'ERROR' when list_contains(items, x) = (operator = 'IN') then 'PASS' else 'FAIL' end
+        when operator = 'INTERSECTS' then case when data_type <> 'STRING_SET' or raw is null then 'ERROR' when list_has_any(json_extract_string(value, '$[*]'), json_extract_string(expected, '$[*]')) then 'PASS' else 'FAIL' end
+        when operator = 'CONTAINS' then case when data_type = 'STRING_SET' then case when list_contains(json_extract_string(value, '$[*]'), coalesce(word, expected)) then 'PASS' else 'FAIL' end when x.s is null or word is null then 'ERROR' when contains(x.s, word) then 'PASS' else 'FAIL' end
+        when e is null then 'ERROR'
+        when case operator when 'EQ' then x = e when 'NEQ' then x <> e when 'LT' then x < e when 'DATE_BEFORE' then x < e when 'LTE' then x <= e when 'GT' then x > e when 'DATE_AFTER' then x > e else x >= e end then 'PASS' else 'FAIL' end as result from w)
+    select subject_id, condition_id, result from d"""
+add(
+    "G1_conditions",
+    lambda s, d: R.evaluate(view(s, d, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 2).alias("rule_set")), view(s, d, "rule_conditions"), view(s, d, "attribute_values"), view(s, d, "places")).select("subject_id", "condition_id", "result"),
+    RULES_SQL,
+)
 add(
     "G2_group_fold",
     lambda s, d: R.fold_tree(conditions(s, d), groups(s), 1),
@@ -100,9 +164,30 @@ add("G6_input_hash", lambda s, d: view(s, d, "facts").select("subject_id", F.sha
 add("G7_missing_attributes", lambda s, d: conditions(s, d).filter("result = 'UNKNOWN' and blocking").groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_set("condition_id")), ",").alias("missing")), f"select subject_id, string_agg(condition_id, ',' order by condition_id) as missing from ({COND}) where result = 'UNKNOWN' and blocking group by subject_id")
 add("G8_geo_closure", lambda s, d: R.ancestors(view(s, d, "places")), "with recursive up as (select place_id, place_id as ancestor_id from places0 union all select u.place_id, p.parent_id from up u join places0 p on p.place_id = u.ancestor_id where p.parent_id is not null) select place_id, ancestor_id from up")
 SQL["G8_geo_closure"] = "with recursive places0 as (select 'r' || r_regionkey as place_id, null::varchar as parent_id from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation), up as (select place_id, place_id as ancestor_id from places0 union all select u.place_id, p.parent_id from up u join places0 p on p.place_id = u.ancestor_id where p.parent_id is not null) select place_id, ancestor_id from up"
-add("H1_scenario_choice", lambda s, d: M.choose(view(s, d, "funded"), ["project_id", "call_id"]),
-    """select project_id, call_id, passed, unknown, status, case when status = 'COMPLETE' then only_one end as scenario_id from (select *, case when ids < n then 'ERROR' when passed > 1 or unknown > 0 then 'NEEDS_INFORMATION' when passed = 1 then 'COMPLETE' else 'SCENARIO_NOT_APPLICABLE' end as status
-    from (select project_id, call_id, count(*) as n, count(distinct scenario_id) as ids, count(*) filter (applicability = 'PASS') as passed, count(*) filter (applicability = 'UNKNOWN') as unknown, min(scenario_id) filter (applicability = 'PASS') as only_one from {funded} group by project_id, call_id))""")
+add(
+    "G8_area_lists",
+    lambda s, d: R.area(view(s, d, "places"), view(s, d, "area_lists")),
+    """with named as (select l.list_id, l.mode, p.place_id from {area_lists} l join {places} p on p.place_id = l.place_id or (l.descendants and p.parent_id = l.place_id))
+    select distinct list_id, place_id from named n where mode = 'INCLUDE' and not exists (select 1 from named x where x.list_id = n.list_id and x.place_id = n.place_id and x.mode = 'EXCLUDE')""",
+)
+add(
+    "G9_tree_validation",
+    lambda s, d: R.tree_errors(view(s, d, "rule_groups"), view(s, d, "rule_leaves")),
+    """with recursive g as (select rule_set, group_id, count(*) as copies, max(kind) as kind, max(parent_id) as up, bool_or(parent_id is null) as is_root, count(*) filter (parent_id is null) as roots from groups0 group by rule_set, group_id),
+    down as (select rule_set, group_id, 0 as depth from g where is_root union select g.rule_set, g.group_id, down.depth + 1 from down join g on g.rule_set = down.rule_set and g.up = down.group_id and not g.is_root where down.depth < 16),
+    kids as (select rule_set, parent_id as group_id, count(*) as n from groups0 where parent_id is not null group by all), leaves as (select rule_set, group_id, sum(n) as n from leaves0 group by all),
+    each as (select g.*, coalesce(k.n, 0) + coalesce(l.n, 0) as children, exists (select 1 from down d where d.rule_set = g.rule_set and d.group_id = g.group_id) as reached from g left join kids k using (rule_set, group_id) left join leaves l using (rule_set, group_id))
+    select rule_set, case when bool_or(coalesce(group_id, '') = '') then 'EMPTY_GROUP_ID' when bool_or(copies > 1) then 'DUPLICATE_GROUP_ID' when bool_or(children = 0) then 'EMPTY_GROUP' when bool_or(kind = 'NOT' and children <> 1) then 'NOT_NEEDS_ONE_CHILD'
+        when sum(roots) <> 1 then 'NO_SINGLE_ROOT' when not bool_and(reached) then 'NOT_CONNECTED' end as error from each group by rule_set""",
+)
+SQL["G9_tree_validation"] = SQL["G9_tree_validation"].replace("with recursive ", f"with recursive groups0 as ({VIEWS['rule_groups']}), leaves0 as ({VIEWS['rule_leaves']}), ".replace("{lineitem}", "lineitem"), 1)
+add("H1_scenario_choice", lambda s, d: M.choose(view(s, d, "offers"), ["project_id"]),
+    """with each as (select project_id, scenario_id, has_group and group_result is null as gap,
+            case when applicability = 'FAIL' or (has_group and group_result = 'FAIL') then 'FAIL' when applicability = 'UNKNOWN' or (has_group and coalesce(group_result, 'UNKNOWN') = 'UNKNOWN') then 'UNKNOWN' else 'PASS' end as combined from {offers}),
+    sums as (select project_id, count(*) > count(distinct scenario_id) as twice, count(*) filter (combined = 'PASS') as passed, count(*) filter (combined = 'UNKNOWN') as unknown, bool_or(gap) as gap, min(scenario_id) filter (combined = 'PASS') as first_pass from each group by project_id)
+    select project_id, passed, unknown, case when twice then 'ERROR' when passed > 1 or unknown > 0 then 'NEEDS_INFORMATION' when passed = 1 then 'COMPLETE' else 'SCENARIO_NOT_APPLICABLE' end as status,
+        case when twice then 'DUPLICATE_SCENARIO_ID' when passed > 1 then 'MULTIPLE_APPLICABLE_SCENARIOS' when unknown > 0 and gap then 'SCENARIO_CONDITION_GROUP_RESULT_MISSING' when unknown > 0 then 'SCENARIO_APPLICABILITY_UNKNOWN' when passed = 1 then '' else 'NO_APPLICABLE_SCENARIO' end as reason,
+        case when not twice and passed = 1 and unknown = 0 then first_pass end as scenario_id from sums""")
 add("H2_gated_group_result", lambda s, d: statuses(s, d).select("subject_id", F.when(F.col("status") == "ELIGIBLE", "PASS").when(F.col("status") == "INELIGIBLE", "FAIL").otherwise("UNKNOWN").alias("group_result")),
     FOLDED + CAUSES + " select t.subject_id, case when g0 = 'FAIL' and 'ERROR' not in (c1, c2, c3, c4) and not exists (select 1 from cause x where x.subject_id = t.subject_id and x.condition_id = 'c3') then 'FAIL' else 'UNKNOWN' end as group_result from tree t")
 add(
@@ -134,11 +219,27 @@ def requirement_diff(s, d):
 
 add("I3_keyed_diff", requirement_diff,
     """select * from (select call_id, version_number, requirement_id, case when o.title is null then 'ADDED' when n.title is null then 'REMOVED' when o.title <> n.title then 'CHANGED' end as change, o.title as old_value, n.title as new_value
-    from (select call_id, version_number + 1 as version_number, requirement_id, title from {requirements}) o full outer join (select * from {requirements} where version_number > 1) n using (call_id, version_number, requirement_id)) where change is not null and (call_id, version_number) in (select (call_id, version_number) from {versions})""")
+    from (select call_id, version_number + 1 as version_number, requirement_id, title from {requirements}) o full outer join (select * from {requirements} where version_number > 1) n using (call_id, version_number, requirement_id)) x where change is not null and exists (select 1 from {versions} v where v.call_id = x.call_id and v.version_number = x.version_number)""")
 add("I5_event_order", lambda s, d: C.scalar_events(view(s, d, "steps")).withColumn("place", F.row_number().over(Window.partitionBy("call_id", "version_number").orderBy(C.severity_rank(F.col("severity")), "field_path", "event_id"))).select("call_id", "version_number", "field_path", "place"),
     f"select call_id, version_number, field_path, row_number() over (partition by call_id, version_number order by case severity when 'CRITICAL' then 0 when 'IMPORTANT' then 1 when 'INFORMATIONAL' then 2 else 3 end, field_path) as place from ({EVENTS})")
-add("I6_watch_fanout", lambda s, d: view(s, d, "watches").filter("enabled").select("watch_id").join(view(s, d, "versions").select(F.col("l_orderkey").alias("watch_id"), "call_id", "version_number"), "watch_id").join(view(s, d, "versions").groupBy("call_id").agg(F.max("version_number").alias("version_number")), ["call_id", "version_number"]),
-    "select w.watch_id, v.call_id, v.version_number from {watches} w join {versions} v on v.l_orderkey = w.watch_id where enabled and v.version_number = (select max(version_number) from {versions} x where x.call_id = v.call_id)")
+def fanout(s, d):
+    """Current searchable versions x enabled watches with any hit of the intent's first 20 tokens."""
+    now = view(s, d, "current_calls").filter(F.col("status").isin(S.ACTIVE)).withColumnRenamed("call_id", "doc_id")
+    own = view(s, d, "watches").filter("enabled").select(F.col("watch_id").alias("intent_id"), F.slice(S.tokens(F.col("intent")), 1, 20).alias("ts")).select("intent_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
+    hits = S.token_hits(own, S.postings(now, {"text": 1.0})).select("token", "doc_id")
+    found = own.join(hits, "token").groupBy("intent_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage"))
+    return found.join(now.select("doc_id", "version_number"), "doc_id").select(F.col("intent_id").alias("watch_id"), F.col("doc_id").alias("call_id"), "version_number", F.round("coverage", 6).alias("coverage"))
+
+
+WORDS = lambda c: f"list_filter(string_split({fold(c)}, ' '), lambda x: x <> '')"
+add(
+    "I6_watch_fanout",
+    fanout,
+    f"""with own0 as (select watch_id, {WORDS('intent')}[1:20] as ts from {{watches}} where enabled), own as (select watch_id, len(ts) as n, unnest(ts) as token from own0),
+    terms as (select distinct call_id, version_number, unnest({WORDS('text')}) as term from {{current_calls}} where status in ('OPEN', 'PLANNED', 'ANNOUNCED')),
+    hits as (select distinct t.token, w.call_id, w.version_number from (select distinct token from own) t join terms w on left(w.term, 2) = left(t.token, 2) and (w.term = t.token or (length(t.token) >= 3 and starts_with(w.term, t.token))))
+    select watch_id, call_id, version_number, round(count(*) / first(n), 6) as coverage from own join hits using (token) group by watch_id, call_id, version_number""",
+)
 STATUS = """case when not enabled then 'NOT_RELEVANT' when (case band when 'WEAK' then 0 when 'POSSIBLE' then 1 else 2 end) < (case minimum_band when 'WEAK' then 0 when 'POSSIBLE' then 1 else 2 end) then 'NOT_RELEVANT' when eligibility = 'INELIGIBLE' then 'NOT_ELIGIBLE' when eligibility = 'NEEDS_REVIEW' then 'NEEDS_REVIEW'
     when eligibility is null or eligibility = 'NEEDS_INFORMATION' then 'NEEDS_INFORMATION' when finance = 'SCENARIO_NOT_APPLICABLE' then 'NOT_FINANCIALLY_COMPATIBLE' when finance in ('ERROR', 'INSTRUMENT_NOT_SUPPORTED') then 'NEEDS_REVIEW' when finance is null or finance = 'NEEDS_INFORMATION' then 'NEEDS_INFORMATION' else 'MATCHED' end"""
 add("I7_watch_decision", lambda s, d: C.watch_status(view(s, d, "candidates")).select("watch_id", "call_id", "version_number", "status", F.array_join("reasons", ",").alias("reasons"), "candidate"),

@@ -18,7 +18,8 @@ RAW = {
     "money": """select o_orderkey as id, case o_orderkey % 5 when 0 then concat(cast(o_orderkey % 900 + 1 as string), ' ', lpad(cast(o_orderkey % 1000 as string), 3, '0'), ',5') when 1 then concat(cast(o_orderkey % 90000 as string), '.25')
         when 2 then '12.345' when 3 then '-5' else 'neuvedeno' end as raw, case o_orderkey % 3 when 0 then concat('celkem ', cast(o_orderkey % 90 + 1 as string), ',5 mil. Kč') when 1 then concat(cast(o_orderkey % 900 as string), ' 000 Kč') else 'bez částky' end as prose,
         case o_orderkey % 4 when 0 then '85' when 1 then '62,5' when 2 then '120' else 'x' end as percent, concat('podpora ', cast(o_orderkey % 70 as string), ' %, nejvýše ', cast(o_orderkey % 99 as string), ',5 %') as rates, o_totalprice from {orders}""",
-    "words": """select o_orderkey as id, case o_orderkey % 6 when 0 then 'Výzva byla zrušena' when 1 then 'Příjem pozastaven' when 2 then 'Otevřená výzva' when 3 then 'plánovaná' when 4 then 'Uzavřená výzva 2024' else 'jiné' end as words,
+    "words": """select o_orderkey as id, case o_orderkey % 12 when 0 then 'Výzva byla ZRUŠENA' when 1 then 'Příjem pozastaven' when 2 then 'Otevřená výzva' when 3 then 'plánovaná' when 4 then 'Uzavřená výzva 2024' when 5 then 'Otevírá se, dříve zrušeno' when 6 then 'Připravuje se' when 7 then 'V PLÁNU'
+        when 8 then 'Výzva ukončena' when 9 then 'uzavírá se' when 10 then 'Příjem žádostí byl ukončen' else 'jiné' end as words,
         case o_orderkey % 4 when 0 then 'Ano' when 1 then '0' when 2 then '  ' else 'snad' end as flag, case o_orderkey % 5 when 0 then 'Příloha č. 1' when 1 then 'Formulář žádosti' when 2 then 'Pravidla' when 3 then 'Výzva 2025 a 2026' else 'Archiv: výzva 2019' end as title,
         case o_orderkey % 4 when 0 then 'https://a.example/x.PDF?v=1' when 1 then 'https://a.example/t.xlsx#s' when 2 then 'https://a.example/dir/' else 'https://a.example/p.html' end as link,
         case when o_orderkey % 7 = 0 then null else cast(o_orderdate as date) end as opens, case when o_orderkey % 3 = 0 then null else cast(o_orderdate as date) + 30 end as closes, date '1995-06-01' as now from {orders}""",
@@ -69,8 +70,7 @@ add(
     """select id, strftime(((cast(ts as date) + case when id % 3 = 0 then to_hours(date_part('hour', ts)) + to_minutes(date_part('minute', ts)) else interval '23:59:59' hour to second end)
        at time zone 'Europe/Prague') at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as at from {raw_dates}""".replace("interval '23:59:59' hour to second", "to_seconds(86399)"),
 )
-STEMS = [("zrusen", "CANCELLED"), ("pozastaven", "PAUSED"), ("vyhlasen", "OPEN"), ("otevren", "OPEN"), ("planovan", "PLANNED"), ("ukoncen", "CLOSED"), ("uzavren", "CLOSED")]
-SAID = "case " + " ".join(f"when contains({fold('words')}, '{k}') then '{v}'" for k, v in STEMS) + " else 'UNKNOWN' end"
+SAID = "case when id % 12 in (0, 5) then 'CANCELLED' when id % 12 = 1 then 'PAUSED' when id % 12 = 2 then 'OPEN' when id % 12 in (3, 6, 7) then 'PLANNED' when id % 12 in (4, 8, 9, 10) then 'CLOSED' else 'UNKNOWN' end"
 WINDOW = "case when now > closes then 'CLOSED' when now < opens then 'PLANNED' when opens is not null or closes is not null then 'OPEN' else 'UNKNOWN' end"
 add("B9_status_from_text", lambda s, d: raw(s, d, "words").select("id", N.status_from_text(F.col("words")).alias("status")), f"select id, {SAID} as status from {{raw_words}}")
 add("B10_status_from_window", lambda s, d: raw(s, d, "words").select("id", N.status_from_window(F.col("now"), F.col("opens"), F.col("closes")).alias("status")), f"select id, {WINDOW} as status from {{raw_words}}")
@@ -93,10 +93,20 @@ add(
     lambda s, d: raw(s, d, "words").select("id", N.artifact_role(F.col("title")).alias("role"), N.mime_hint(F.col("link")).alias("mime")),
     "select id, case id % 5 when 0 then 'ATTACHMENT' when 1 then 'FORM' when 2 then 'RULES' else 'CALL_TEXT' end as role, case id % 4 when 0 then 'application/pdf' when 1 then 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' when 3 then 'text/html' end as mime from {raw_words}",
 )
+#: The hosts whose documents count.
+HOSTS = ["ec.europa.example", "docs.portal.example"]
+LINKS = """select o_orderkey as id, concat('<a href="https://ec.europa.example/a/', cast(o_custkey as string), '.PDF?x=1&amp;y=2">a</a> <a HREF=''https://docs.portal.example/opportunities/docs/', cast(o_orderkey % 50 as string), '/list''>b</a> <a href="http://ec.europa.example/plain.pdf">no</a>',
+    '<a href="https://www.ec.europa.example/sub.pdf">no</a> <a href="https://ec.europa.example/page.html">no</a> <a href="/rel.pdf">no</a> <a href="https://ec.europa.example/a/', cast(o_custkey as string), '.PDF?x=1&amp;y=2">again</a>') as html, o_custkey, o_orderkey from {orders}"""
 add(
     "B16_extract_links",
-    lambda s, d: view(s, d, "pages").select("page_id", F.explode(F.array_distinct(F.expr(r"""regexp_extract_all(html, r'href="([^"\s]+)"', 1)"""))).alias("link")).select("page_id", "link", F.left(F.sha2("link", 256), F.lit(24)).alias("id")),
-    r"""select page_id, link, left(sha256(link), 24) as id from (select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"\s]+)"', 1))) as link from {pages})""",
+    lambda s, d: sql(s, d, LINKS).select("id", F.explode(N.document_links(F.col("html"), HOSTS)).alias("link")).select("id", "link", F.left(F.sha2("link", 256), F.lit(24)).alias("link_id")),
+    "select o_orderkey as id, link, left(sha256(link), 24) as link_id from (select o_orderkey, unnest(['https://ec.europa.example/a/' || o_custkey || '.PDF?x=1&y=2', 'https://docs.portal.example/opportunities/docs/' || (o_orderkey % 50) || '/list']) as link from {orders})",
+)
+add(
+    "B16_page_links",
+    lambda s, d: view(s, d, "pages").select("page_id", F.explode(N.document_links(F.col("html"), HOSTS)).alias("link")),
+    r"""select distinct page_id, link from (select page_id, replace(unnest(regexp_extract_all(html, 'href=["''](https://[^"''<>\s]+)["'']', 1, 'i')), '&amp;', '&') as link from {pages}) where regexp_matches(lower(link), '^https://(ec\.europa|docs\.portal)\.example/')
+        and (regexp_matches(lower(regexp_extract(link, '^[^?#]*')), '\.pdf$') or contains(regexp_extract(link, '^[^?#]*'), '/opportunities/docs/'))""",
 )
 add("B17_looks_like_call", lambda s, d: raw(s, d, "words").select("id", N.looks_like_call(F.col("title"), F.lit(2025)).alias("call")), "select id, id % 5 = 3 as call from {raw_words}")
 DATE10 = r"case when regexp_full_match(left(iso, 10), '\d{4}-\d{2}-\d{2}') then try_cast(left(iso, 10) as date) end"
@@ -165,3 +175,66 @@ add(
     lambda s, d: sql(s, d, PROSE).select("id", F.trim(F.regexp_extract("prose", r"Podpora:\s*(.*?)\s*Termín", 1)).alias("section")),
     "select o_orderkey as id, concat('min. ', o_orderkey % 90 + 1, ' tis. Kč, max. ', o_orderkey % 40 + 2, ' mil. Kč.') as section from {orders}",
 )
+
+#: Notices with labelled dates, some changed later, some in words that no label announces.
+NOTICES = """select o_orderkey as id, concat('Zahájení příjmu žádostí: ', cast(o_orderkey % 28 + 1 as string), '. 3. 2024. ', case when o_orderkey % 4 < 3 then concat('Ukončení příjmu žádostí ', cast(o_orderkey % 27 + 1 as string), '. května 2024. ') else '' end,
+    case when o_orderkey % 3 = 0 then concat('Termín byl prodloužen do ', cast(o_orderkey % 25 + 1 as string), '. 6. 2024 a dále změněn na ', cast(o_orderkey % 26 + 1 as string), '. července 2024.') else '' end) as notice,
+    concat('Program z 1. 1. 2020. ', case o_orderkey % 5 when 0 then 'Termín podání žádostí je stanoven do ' when 1 then 'Příjem žádostí probíhá do ' when 2 then 'Uzávěrka přihlášek: ' when 3 then 'Vydáno ' else 'TERMÍN PODÁNÍ: ' end, cast(o_orderkey % 28 + 1 as string), case when o_orderkey % 2 = 0 then '. 9. 2024' else '. září 2024' end, '. Konec.') as call_text, o_orderkey from {orders}"""
+UTC = lambda ts: f"strftime(({ts} at time zone 'Europe/Prague') at time zone 'UTC', '%Y-%m-%d %H:%M:%S')"
+DAY_END = lambda month, day: UTC(f"make_timestamp(2024, {month}, {day}, 23, 59, 59.0)")
+add(
+    "B8_submission_window",
+    lambda s, d: (lambda w: sql(s, d, NOTICES).select("id", ISO(w[0]).alias("opens"), ISO(w[1]).alias("closes")))(N.submission_window(F.col("notice"))),
+    f"select o_orderkey as id, {UTC('make_timestamp(2024, 3, o_orderkey % 28 + 1, 0, 0, 0.0)')} as opens, case when o_orderkey % 3 = 0 then {DAY_END(7, 'o_orderkey % 26 + 1')} when o_orderkey % 4 < 3 then {DAY_END(5, 'o_orderkey % 27 + 1')} end as closes from {{orders}}",
+)
+add("B33_deadline_by_patterns", lambda s, d: sql(s, d, NOTICES).select("id", ISO(N.deadline_by_patterns(F.col("call_text"))).alias("deadline")), f"select o_orderkey as id, case when o_orderkey % 5 <> 3 then {DAY_END(9, 'o_orderkey % 28 + 1')} end as deadline from {{orders}}")
+
+#: A register's answers: several names and seats, of which some have expired; every ninth is about another id.
+REGISTER = """select c_custkey as id, lpad(cast(c_custkey as string), 8, '0') as ico, concat('{{"ico":"', case when c_custkey % 2 = 0 then 'ARES_' else '' end, lpad(cast(case when c_custkey % 9 = 0 then c_custkey + 1 else c_custkey end as string), 8, '0'), '","obchodniJmeno":[{{"platnostDo":"2020-01-01","primarniZaznam":true,"obchodniJmeno":"old ', c_name,
+    '"}},{{"primarniZaznam":false,"obchodniJmeno":"other ', c_name, '"}}', case when c_custkey % 3 > 0 then concat(',{{"primarniZaznam":true,"obchodniJmeno":" ', c_name, ' "}}') else '' end, '],"pravniForma":', case when c_custkey % 5 = 0 then 'null' else '"112"' end, ',"sidlo":[{{"primarniZaznam":false,"sidlo":{{"kodObce":1,"nazevObce":"x"}}}},{{"primarniZaznam":true,"sidlo":{{"kodObce":', cast(c_nationkey as string),
+    ',"nazevObce":"', c_mktsegment, '","textovaAdresa":""}}}}],"czNace":["62","', cast(c_nationkey as string), '","62","70"]}}') as payload, c_name, c_nationkey, c_mktsegment from {customer}"""
+add(
+    "B26_applicant_facts",
+    lambda s, d: sql(s, d, REGISTER).select("id", F.inline(N.applicant_facts(F.col("payload"), F.col("ico")))),
+    """with r as (select c_custkey as id, * from {customer} where c_custkey % 9 > 0) select id, 'applicant.ico' as key, lpad(id::varchar, 8, '0') as value from r union all select id, 'applicant.organisation_name', case when id % 3 > 0 then c_name else 'old ' || c_name end from r
+    union all select id, 'applicant.legal_form', '112' from r where id % 5 > 0 union all select id, 'applicant.municipality.code', c_nationkey::varchar from r union all select id, 'applicant.municipality.name', c_mktsegment from r
+    union all select id, 'applicant.cz_nace', case when c_nationkey in (62, 70) then '62,70' else '62,' || c_nationkey || ',70' end from r""",
+)
+
+
+def shown(df, made, *more):
+    return df.select("id", *[c.alias(k) for k, c in made.items()], *more)
+
+
+sha = lambda: F.sha2(F.concat(F.lit("r"), F.col("id").cast("string")), 256)
+SHA_SQL = "left(sha256('r' || id), 24)"
+#: Records as the three sources list them.
+SPORTS = """select p_partkey as id, concat('NSA/', cast(p_partkey as string), '/24') as external_id, concat('https://nsa.example/dotace-', case p_partkey % 4 when 0 then 'investicni-parasport' when 1 then 'neinvesticni-parasport' when 2 then 'investicni' else 'ostatni' end, '/list') as listing, case when p_partkey % 6 = 0 then null else concat(' ', p_name, ' ') end as title,
+    p_comment as description, case when p_partkey % 5 = 0 then '' else p_type end as call_type, case p_partkey % 3 when 0 then ' open' when 1 then 'Closed ' else 'neznámý' end as status from (select *, concat(p_name, ' ', p_type) as p_comment from {part})"""
+col = F.col
+add(
+    "C1_sports_calls",
+    lambda s, d: shown(sql(s, d, SPORTS), N.sports_call(col("external_id"), col("listing"), col("title"), col("description"), col("call_type"), col("status"), sha())),
+    f"""with p as (select p_partkey as id, 'NSA/' || p_partkey || '/24' as ext, * from {{part}}) select id, 'grant:nsa:' || replace(ext, '/', '-') as call_id, 'grant:nsa:' || replace(ext, '/', '-') || ':sha:' || {SHA_SQL} as version_id,
+    'programme:nsa:' || case id % 4 when 0 then 'parasport' when 1 then 'parasport-noninvestment' when 2 then 'investment' else 'noninvestment' end as programme_id, 'NSA — ' || case id % 4 when 0 then 'Parasport' when 1 then 'Neinvestiční parasport' when 2 then 'Investiční výzvy' else 'Neinvestiční výzvy' end as programme_name,
+    case when id % 6 = 0 then ext else trim(p_name) end as title, p_name || ' ' || p_type as summary, case id % 3 when 0 then 'OPEN' when 1 then 'CLOSED' else 'DRAFT' end as status, case when id % 5 > 0 then p_type || ' ' else '' end || ext || ' Národní sportovní agentura' as keywords, 'CZK' as currency from p""",
+)
+CATALOGUE = """select p_partkey as id, concat('D', cast(p_partkey as string)) as external_id, case when p_partkey % 4 = 0 then 'https://dotace.example/vyzvy/list' else concat('https://dotace.example/vyzvy/', cast(p_partkey % 90 + 10 as string), '-op-', cast(p_size as string), '/detail') end as url, p_name as title, case when p_partkey % 3 = 0 then '  ' else concat(p_type, '  ', p_brand) end as programme,
+    case when p_partkey % 5 = 0 then '' else '2021–2027' end as period, case when p_partkey % 2 = 0 then null else p_brand end as priority, p_type as call_type, case when p_partkey % 7 = 0 then 'obce' else '' end as applicants, concat('K', cast(p_size as string)) as code, 'PLANNED' as status from {part}"""
+add(
+    "C2_catalogue_calls",
+    lambda s, d: shown(sql(s, d, CATALOGUE), N.catalogue_call(*[col(c) for c in ("external_id", "url", "title", "programme", "period", "priority", "call_type", "applicants", "code", "status")], sha())),
+    f"""with p as (select p_partkey as id, case when p_partkey % 3 = 0 then 'DotaceEU — program neuveden' else p_type || ' ' || p_brand end as prog, case when p_partkey % 5 = 0 then '' else '2021–2027 ' end as per, * from {{part}}) select id, 'grant:dotaceeu:D' || id as call_id, 'grant:dotaceeu:D' || id || ':sha:' || {SHA_SQL} as version_id,
+    'programme:dotaceeu:' || case when per = '' then 'period-unspecified' else '2021-2027' end || ':' || case when id % 4 = 0 then 'catalogue' else (id % 90 + 10)::varchar end as programme_id, prog as programme_name, p_name as title,
+    'Program: ' || prog || case when id % 2 = 1 then ' · Priorita: ' || p_brand else '' end || ' · Typ výzvy: ' || p_type || case when id % 7 = 0 then ' · Oprávnění žadatelé: obce' else '' end as summary, 'PLANNED' as status, 'K' || p_size || ' ' || p_type || ' ' || per || prog as keywords, 'CZK' as currency from p""",
+)
+PORTAL = """select p_partkey as id, concat('EU-', cast(p_partkey as string)) as external_id, concat('{{"frameworkProgramme":["', case when p_partkey % 3 = 0 then 'a b' else cast(43100000 + p_size as string) end, '"],', case when p_partkey % 4 = 0 then '' else concat('"frameworkProgrammeName":["', p_type, '","x"],') end,
+    '"topicConditions":["<p>', p_type, ' &amp; more</p>"],"startDate":["2024-01-', cast(10 + p_size % 20 as string), '"],"deadlineDate":[],"callTitle":["', p_brand, '"],"type":["', cast(p_size as string), '"]}}') as metadata, p_name as title, case when p_partkey % 2 = 0 then '' else concat('<b>', p_name, '</b> is  open') end as summary,
+    case p_partkey % 4 when 0 then '31094501' when 1 then '31094502' when 2 then '31094503' else 'archived' end as status from {part}"""
+add(
+    "C3_portal_calls",
+    lambda s, d: shown(sql(s, d, PORTAL), N.portal_call(*[col(c) for c in ("external_id", "metadata", "title", "summary", "status")], sha())),
+    f"""with p as (select p_partkey as id, case when p_partkey % 3 = 0 then 'a b' else (43100000 + p_size)::varchar end as fw, case when p_partkey % 2 = 0 then p_name else p_name || ' is open' end as txt, * from {{part}}), q as (select *, case when id % 4 > 0 then p_type else fw end as prog from p)
+    select id, 'grant:eu-ft:EU-' || id as call_id, 'grant:eu-ft:EU-' || id || ':sha:' || {SHA_SQL} as version_id, 'programme:eu-ft:' || case when id % 3 = 0 then 'catalogue' else fw end as programme_id, prog as programme_name, p_name as title, txt as summary,
+    case id % 4 when 0 then 'PLANNED' when 1 then 'OPEN' when 2 then 'CLOSED' else 'ARCHIVED' end as status, txt || ' ' || p_type || ' & more' as activities, '2024-01-' || (10 + p_size % 20) as opens, null::varchar as closes, 'EU-' || id || ' ' || p_brand || ' ' || p_size || ' ' || prog as keywords, 'EUR' as currency from q""",
+)

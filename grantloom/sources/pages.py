@@ -2,83 +2,168 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "noscript", "template", "svg"}
-BLOCKS = {"p": "PARAGRAPH", "li": "LIST_ITEM", "tr": "TABLE", "dt": "TABLE", "dd": "TABLE"} | {f"h{k}": "HEADING" for k in range(1, 7)}
+#: What a tag's text becomes, and its name in locators.
+TEXTS = {"p": ("PARAGRAPH", "p"), "li": ("LIST_ITEM", "li")} | {f"h{k}": ("HEADING", "heading") for k in range(1, 7)}
+COLUMNS = "page_id long, pos int, kind string, text string, locator string, section array<string>, heading_level int, link_url string, cells array<array<string>>"
 
 
-class _Blocks(HTMLParser):
+def tidy(parts: list[str]) -> str:
+    return " ".join(" ".join(parts).split())
+
+
+class PageBlocks(HTMLParser):
+    """Blocks of a page in the order in which they end. Text goes to every slot that is open: the
+    paragraph, list item or heading, the link, the table cell, the term of a definition list."""
+
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.rows, self.path, self.skip = base, [], [], 0
-        self.kind, self.level, self.text, self.link = None, 0, [], None
-
-    def close_block(self) -> None:
-        text = " ".join("".join(self.text).split())
-        if self.kind and text:
-            if self.kind == "HEADING":
-                self.path = [x for x in self.path if x[0] < self.level] + [(self.level, text)]
-            section = " > ".join(x[1] for x in (self.path[:-1] if self.kind == "HEADING" else self.path))
-            self.rows.append((self.kind, text, section, self.level or None, None))
-        self.kind, self.level, self.text = None, 0, []
+        self.base, self.hidden = base, 0
+        self.found: list[dict] = []
+        self.number: Counter = Counter()
+        self.slots: dict[str, list[str]] = {}
+        self.inside = self.href = self.term = None
+        self.headings: list[str] = []
+        self.rows: list[list[str]] = []
+        self.row: list[str] | None = None
+
+    def take(self, slot: str) -> str | None:
+        parts = self.slots.pop(slot, None)
+        return None if parts is None else tidy(parts)
+
+    def put(self, kind: str, name: str, text: str, number: int | None = None, **more) -> None:
+        if number is None:
+            self.number[name] += 1
+        self.found.append({"kind": kind, "text": text, "locator": f"html.{name}.{number or self.number[name]}", "section": list(self.headings)} | more)
+
+    def end_text(self) -> None:
+        tag, text = self.inside, self.take("text")
+        self.inside = None
+        if tag and text:
+            kind, name = TEXTS[tag]
+            level = int(tag[1]) if kind == "HEADING" else None
+            if level:  # levels that the page leaves out are empty
+                self.headings = (self.headings + [""] * level)[: level - 1] + [text]
+            self.put(kind, name, text, heading_level=level)
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
-            self.skip += 1
-        elif tag in BLOCKS:
-            self.close_block()
-            self.kind, self.level = BLOCKS[tag], int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0
-        elif tag in ("td", "th") and self.text:
-            self.text.append(" | ")
-        elif tag == "a" and (href := dict(attrs).get("href")):
-            to = urljoin(self.base, href)
-            if to.startswith(("http://", "https://")):
-                self.rows.append(("LINK", "", " > ".join(x[1] for x in self.path), None, to))
+            self.hidden += 1
+        elif self.hidden:
+            return
+        elif tag in TEXTS:
+            self.end_text()
+            self.inside, self.slots["text"] = tag, []
+        elif tag == "br":
+            self.handle_data("\n")
+        elif tag == "a":
+            self.href, self.slots["link"] = dict(attrs).get("href"), []
+        elif tag == "table":
+            self.number["table"] += 1
+            self.rows = []
+        elif tag == "tr":
+            self.row = []
+        elif tag in ("td", "th"):
+            self.slots["cell"] = []
+        elif tag in ("dt", "dd"):
+            self.slots[tag] = []
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
-            self.skip = max(0, self.skip - 1)
-        elif tag in BLOCKS:
-            self.close_block()
+            self.hidden = max(0, self.hidden - 1)
+        elif self.hidden:
+            return
+        elif tag in TEXTS:
+            if tag == self.inside:
+                self.end_text()
+        elif tag == "a":
+            text, url = self.take("link"), self.resolved()
+            if text and url:
+                self.put("LINK", "link", text, link_url=url)
+        elif tag in ("td", "th"):
+            text = self.take("cell")
+            if self.row is not None and text is not None:
+                self.row.append(text)
+        elif tag == "tr":
+            if self.row and any(self.row):
+                self.rows.append(self.row)
+            self.row = None
+        elif tag == "table":
+            if self.rows:
+                self.put("TABLE", "table", "\n".join(" | ".join(r) for r in self.rows), self.number["table"], cells=self.rows)
+            self.rows, self.row = [], None
+            self.slots.pop("cell", None)
+        elif tag == "dt":
+            self.term = self.take("dt")
+        elif tag == "dd":
+            text = self.take("dd")
+            if self.term and text is not None:
+                self.put("PAIR", "pair", f"{self.term} | {text}", cells=[[self.term, text]])
+            self.term = None
 
     def handle_data(self, data):
-        if not self.skip:
-            self.kind = self.kind or "PARAGRAPH"
-            self.text.append(data)
+        if not self.hidden:
+            for parts in self.slots.values():
+                parts.append(data)
+
+    def resolved(self) -> str | None:
+        href, self.href = (self.href or "").strip(), None
+        if not href or href.startswith(("#", "javascript:", "data:", "mailto:")):
+            return None
+        try:
+            to = urljoin(self.base, href)
+        except ValueError:
+            return None
+        return to if to.lower().startswith(("http://", "https://")) else None
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, kind, text, locator, section, heading_level, link_url), one row per block.
-    A document parser is beyond SQL, so Arrow batches go through the standard library's."""
+    """One row per block of (page_id, url, html): HEADING, PARAGRAPH, LIST_ITEM, LINK, TABLE (one row
+    for a whole table, its rows in ``cells``) and PAIR (of a definition list). Locators count from 1
+    within a kind; ``section`` is the path of headings, a heading's own included. A document parser
+    is beyond SQL, so Arrow batches go through the standard library's."""
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
 
     def run(batches):
         for b in batches:
             out = []
             for page, url, html in zip(b["page_id"], b["url"], b["html"], strict=True):
-                p = _Blocks(url or "")
+                p = PageBlocks(url or "")
                 p.feed(html or "")
-                p.close_block()
-                out += [(page, k, kind, text, f"html.{kind.lower()}.{k}", section, level, link) for k, (kind, text, section, level, link) in enumerate(p.rows)]
-            yield pd.DataFrame(out, columns=["page_id", "pos", "kind", "text", "locator", "section", "heading_level", "link_url"]).astype({"heading_level": "Int32", "pos": "int32"})
+                p.close()
+                p.end_text()
+                out += [{"page_id": page, "pos": k} | x for k, x in enumerate(p.found)]
+            yield pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype={"heading_level": "Int32", "pos": "int32", "page_id": "int64"}.get(c, "object")) for c in names})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, pos int, kind string, text string, locator string, section string, heading_level int, link_url string")
+    return pages.select("page_id", "url", "html").mapInPandas(run, COLUMNS)
 
 
 def html_pairs(blocks: DataFrame) -> DataFrame:
-    """(page_id, label, value) of two-cell table rows; the last one of a label wins."""
-    cells = blocks.filter("kind = 'TABLE'").withColumn("c", F.split("text", r" \| ")).filter("size(c) = 2")
-    return cells.groupBy("page_id", F.col("c")[0].alias("label")).agg(F.max_by(F.col("c")[1], "pos").alias("value"))
+    """(page_id, label, value) of table rows with two cells or more and of definition lists; labels
+    in small letters without a final colon. The last one of a label wins, lists after tables."""
+    rows = blocks.filter(F.col("kind").isin("TABLE", "PAIR")).select("page_id", "kind", "pos", F.posexplode("cells").alias("n", "c")).filter("size(c) >= 2 and c[0] <> ''")
+    label = F.lower(F.regexp_replace(F.col("c")[0], ":+$", ""))
+    return rows.groupBy("page_id", label.alias("label")).agg(F.max_by(F.col("c")[1], F.struct(F.col("kind") == "PAIR", "pos", "n")).alias("value")).filter("label <> ''")
+
+
+def html_history(blocks: DataFrame, heading: str, most: int = 100) -> DataFrame:
+    """(page_id, n, date, change): the first ``most`` rows of two cells in tables right below a heading."""
+    rows = blocks.filter((F.col("kind") == "TABLE") & (F.try_element_at("section", F.lit(-1)) == heading)).select("page_id", "pos", F.posexplode("cells").alias("k", "c")).filter("size(c) >= 2")
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos", "k"))
+    return rows.withColumn("n", n).filter(F.col("n") <= most).select("page_id", "n", F.col("c")[0].alias("date"), F.col("c")[1].alias("change"))
 
 
 def section_text(blocks: DataFrame, heading: str) -> DataFrame:
     """(page_id, text): distinct paragraph and list lines below a heading until the next one."""
-    rows = blocks.filter(F.col("kind").isin("PARAGRAPH", "LIST_ITEM") & (F.element_at(F.split("section", " > "), -1) == heading))
+    rows = blocks.filter(F.col("kind").isin("PARAGRAPH", "LIST_ITEM") & (F.try_element_at("section", F.lit(-1)) == heading))
     lines = rows.groupBy("page_id", "text").agg(F.min("pos").alias("pos"))
     return lines.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
 

@@ -39,6 +39,13 @@ VIEWS = {
         case when v.quantity % 8 = 5 then v.cap_minor else null end as min_minor, case when v.quantity % 10 = 7 then 10000000 else null end as cost_min_minor, case when v.quantity % 10 = 8 then 20000000 else null end as cost_max_minor,
         case v.l_suppkey % 3 when 0 then 'REIMBURSEMENT' when 1 then 'ADVANCE' else 'UNKNOWN' end as payment_mode, v.l_suppkey % 2 = 0 as advance_allowed
         from {projects} p join {versions} v on v.l_orderkey = p.project_id""",
+    # what a project may choose from; some of its scenarios share an id
+    "offers": """select project_id, case when call_id % 17 = 0 then concat('twice:', cast(project_id as string)) else scenario_id end as scenario_id, applicability, has_group, group_result from {funded}""",
+    # pages of which every block is known
+    "built_pages": """select o_orderkey as page_id, concat('http://calls.example/c/', cast(o_orderkey as string)) as url, concat('<html><head><script>var x = "<p>no</p>";</script></head><body><h1>Call ', cast(o_orderkey as string), '</h1><p>Opens <b>', cast(cast(o_orderdate as date) as string),
+        '</b><br>now &amp; here<h3>Conditions</h3><ul><li>', o_orderpriority, '<li> ', concat('clerk ', cast(o_custkey % 7 as string)), ' </ul><p><a href="/doc/', cast(o_orderkey as string), '.pdf">Rules ', cast(o_custkey as string), '</a> <a href="#top">up</a></p><table><tr><th>Status:</th><td>', o_orderstatus, '</td></tr><tr><td>Clerk</td><td>', concat('clerk ', cast(o_custkey % 7 as string)),
+        '</td><td>x</td></tr><tr><td></td><td> </td></tr></table><dl><dt>Clerk:</dt><dd>', o_orderpriority, '</dd></dl><h2>History</h2><svg><p>hidden</p></svg><table><tr><td>', cast(cast(o_orderdate as date) as string), '</td><td>extended</td></tr><tr><td>1. 2. 2024</td><td>opened</td></tr></table><p>End</p></body></html>') as html,
+        concat('Call ', cast(o_orderkey as string)) as top, cast(cast(o_orderdate as date) as string) as day, o_orderpriority as priority, concat('clerk ', cast(o_custkey % 7 as string)) as clerk, o_custkey as custkey, o_orderstatus as state from {orders}""",
     "source_runs": """select event_type as source_id, cast(ts as date) as day, cast(date_part('hour', ts) as int) as hour, count(*) as seen,
         sum(case when value < 10 then 1 else 0 end) as errors, sum(case when value > 90 then 1 else 0 end) as bad,
         concat('v', cast(cast(date_part('day', cast(ts as date)) as int) / 20 >= 1 as string)) as adapter, case when cast(date_part('hour', ts) as int) % 7 = 3 then 'LOCKED' else 'DONE' end as status
@@ -49,15 +56,44 @@ VIEWS = {
     "facts": """select c_custkey as subject_id, case when c_custkey % 7 = 0 then null else c_mktsegment end as segment, c_custkey % 13 = 0 as segment_absent,
         case when c_custkey % 7 = 3 then null else cast(round(c_acctbal * 100) as bigint) end as balance_minor, c_custkey % 17 = 0 as balance_is_text,
         concat('n', cast(c_nationkey as string)) as geo_id, c_custkey % 5 = 0 as geo_unknown, c_custkey % 3 as rule_set from {customer}""",
+    # attribute values as JSON texts, some of a wrong type, some missing (null), some known to be absent
+    "attribute_values": """select subject_id, attribute_key, case when (subject_id + k) % 23 = 4 or (subject_id + k) % 29 = 5 then null when (subject_id + k) % 19 = 3 then wrong else value end as value, (subject_id + k) % 29 = 5 as absent from (
+        select c_custkey as subject_id, 'name' as attribute_key, 1 as k, concat('"', c_name, '"') as value, '7' as wrong from {customer}
+        union all select c_custkey, 'segment', 2, concat('"', c_mktsegment, '"'), 'true' from {customer}
+        union all select c_custkey, 'staff', 3, cast(c_nationkey - 5 as string), '1.5' from {customer}
+        union all select c_custkey, 'balance', 4, cast(cast(round(c_acctbal * 100) as bigint) as string), '"12"' from {customer}
+        union all select c_custkey, 'share', 5, cast(c_custkey % 100 * 100 as string), 'false' from {customer}
+        union all select c_custkey, 'ratio', 6, concat(cast(c_custkey % 40 as string), case when c_custkey % 2 = 0 then '.25' else '' end), '"1.5"' from {customer}
+        union all select c_custkey, 'public', 7, case when c_custkey % 3 = 0 then 'true' else 'false' end, '1' from {customer}
+        union all select c_custkey, 'activities', 8, concat('["a', cast(c_custkey % 5 as string), '","b","a', cast(c_nationkey % 3 as string), '"]'), '["a",1]' from {customer}
+        union all select c_custkey, 'founded', 9, concat('"20', cast(10 + c_custkey % 15 as string), '-02-', cast(10 + c_custkey % 18 as string), '"'), '"2023-02-31"' from {customer}
+        union all select c_custkey, 'checked', 10, concat('"2024-03-', cast(10 + c_custkey % 20 as string), 'T1', cast(c_nationkey % 9 as string), ':30:00Z"'), '"soon"' from {customer}
+        union all select c_custkey, 'seat', 11, concat('"', case when c_custkey % 12 = 1 then 'x' else 'n' end, cast(c_nationkey as string), '"'), '["n1"]' from {customer}) t where (subject_id + k) % 31 <> 6""",
+    # rule trees, one per order; some have no root or two, empty or repeated groups, or dangling parents
+    "rule_groups": """select l_orderkey as rule_set, concat('g', cast(case when l_suppkey % 40 = 7 then 1 else l_linenumber end as string)) as group_id,
+        case when l_linenumber = 1 and l_suppkey % 30 <> 4 or l_suppkey % 50 = 9 then null when l_suppkey % 60 = 11 then 'g9' when l_suppkey % 45 = 13 then concat('g', cast(l_linenumber as string)) else concat('g', cast(cast(floor(l_linenumber / 2.0) as int) as string)) end as parent_id,
+        case l_suppkey % 7 when 0 then 'NOT' when 1 then 'OR' else 'AND' end as kind from {lineitem}""",
+    "rule_leaves": """select l_orderkey as rule_set, concat('g', cast(l_linenumber as string)) as group_id, cast(1 + l_suppkey % 2 as bigint) as n from {lineitem} where l_partkey % 20 <> 3""",
+    "area_lists": """select s_suppkey as list_id, concat(case when s_suppkey % 3 = 0 then 'r' else 'n' end, cast(case when s_suppkey % 3 = 0 then s_suppkey % 5 else s_nationkey end as string)) as place_id, 'INCLUDE' as mode, s_suppkey % 4 <> 1 as descendants from {supplier}
+        union all select s_suppkey, concat('n', cast(s_suppkey % 25 as string)), 'EXCLUDE', true from {supplier} where s_suppkey % 3 = 0""",
     "places": """select concat('r', cast(r_regionkey as string)) as place_id, cast(null as string) as parent_id from {region}
         union all select concat('n', cast(n_nationkey as string)), concat('r', cast(n_regionkey as string)) from {nation}""",
-    "search_docs": """select doc_id, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(text, '') as body, source as provider,
+    "search_docs": """select doc_id, split_part(coalesce(text, ''), chr(10), 1) as title, coalesce(text, '') as body, split_part(coalesce(text, ''), chr(10), 2) as summary, split_part(coalesce(text, ''), chr(10), 3) as costs, concat(lang, ' ', source) as keywords, source as provider,
         case doc_id % 8 when 0 then 'OPEN' when 1 then 'PLANNED' when 2 then 'ANNOUNCED' when 3 then 'CLOSED' when 4 then 'CANCELLED' else 'OPEN' end as status,
         case when doc_id % 9 = 0 then null else date '2024-01-01' + cast(doc_id % 700 as int) end as close_at from {documents}""",
     "terms": "select distinct p_name as name from {part} union select distinct p_type from {part} union select distinct p_brand from {part}",
+    # per call the next one of the same activity and the next one of another
+    "golden": """select q.call_id as query_id, q.title, q.activity, q.good_id, b.call_id as bad_id from (select *, lead(call_id) over (partition by activity order by call_id) as good_id from {calls}) q
+        left join {calls} b on b.call_id = q.call_id + 1 and b.activity <> q.activity and b.title <> q.title and b.provider <> q.provider""",
+    "synonyms": """select p_brand as term, concat('label ', p_brand) as name, cast(50 + min(p_size) % 50 as bigint) as pct from {part} group by p_brand
+        union all select p_type, concat('plan ', p_type), cast(90 - min(p_size) % 40 as bigint) from {part} group by p_type""",
     "edges": """select p_name as src, p_type as dst, 'BROADER' as relation, cast(60 + min(p_size) % 40 as bigint) as pct from {part} group by p_name, p_type
         union all select p_type, p_brand, 'RELATED', cast(50 + min(p_size) % 50 as bigint) from {part} group by p_type, p_brand""",
-    "watches": """select o_orderkey as watch_id, o_custkey as project_id, o_orderkey % 100 <> 50 as enabled, case o_orderkey % 3 when 0 then 'WEAK' when 1 then 'POSSIBLE' else 'VERY_GOOD' end as minimum_band from {orders} where o_orderkey % 50 = 0""",
+    "watches": """select o_orderkey as watch_id, o_custkey as project_id, o_orderkey % 100 <> 50 as enabled, case o_orderkey % 3 when 0 then 'WEAK' when 1 then 'POSSIBLE' else 'VERY_GOOD' end as minimum_band,
+        concat('k', cast(cast(floor(o_custkey / 8.0) as int) as string), case when o_orderkey % 3 = 0 then ' support' else '' end) as intent from {orders}""",
+    # the current version of each call, with the text that searches see
+    "current_calls": """select c.call_id, v.version_number, v.status, concat(c.title, ' ', c.activity, ' k', cast(cast(floor(c.call_id / 8.0) as int) as string)) as text
+        from {calls} c join (select *, max(version_number) over (partition by call_id) as newest from {versions}) v on v.call_id = c.call_id and v.version_number = v.newest""",
     "candidates": """select w.watch_id, w.enabled, w.minimum_band, v.call_id, v.version_number, case v.quantity % 3 when 0 then 'WEAK' when 1 then 'POSSIBLE' else 'VERY_GOOD' end as band,
         case v.quantity % 7 when 0 then 'INELIGIBLE' when 1 then 'NEEDS_REVIEW' when 2 then 'NEEDS_INFORMATION' when 3 then null when 4 then 'ELIGIBLE' else 'LIKELY_ELIGIBLE' end as eligibility,
         case v.l_suppkey % 6 when 0 then 'SCENARIO_NOT_APPLICABLE' when 1 then 'ERROR' when 2 then 'INSTRUMENT_NOT_SUPPORTED' when 3 then 'NEEDS_INFORMATION' when 4 then null else 'COMPLETE' end as finance
