@@ -42,11 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as a table of the shared folder and read it again.
     Unlike cached blocks the files survive the loss of executors. Tables lie in one folder per
-    application; :func:`release` removes those that no result needs any more."""
+    application; :func:`release` removes those that no result needs any more. Where a bound on the
+    rows is known, the last stage gets no more tasks than these rows (of ids) ask for."""
     spark = df.sparkSession
+    if rows is not None and (tasks := rows // 200_000 + 1) < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(tasks)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

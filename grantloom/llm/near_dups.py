@@ -171,14 +171,15 @@ def likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, label) of all ends of the links (a, b): label is the smallest id of the component."""
     edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("doc_id"), "label"), "labels")
+    n = edges.count()  # no fewer than ids
+    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("doc_id"), "label"), "labels", n)
     old = labels
     while True:
         # the least label among oneself and the neighbours, then that label's own label
         near = edges.join(labels.withColumnRenamed("doc_id", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
         least = labels.join(near.withColumnRenamed("b", "doc_id"), "doc_id").select("doc_id", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("doc_id").alias("least"), F.col("label").alias("up"))
-        step = written(least.join(jump, "least").select("doc_id", "label", F.least("least", "up").alias("next")), "labels")
+        step = written(least.join(jump, "least").select("doc_id", "label", F.least("least", "up").alias("next")), "labels", n)
         release(old)
         old, labels = step, step.select("doc_id", F.col("next").alias("label"))
         if step.filter("next < label").isEmpty():
