@@ -21,8 +21,6 @@ def add(name, query, oracle=None):
 W = Window.partitionBy
 col = F.col
 add("A1_load_table", lambda s, d: view(s, d, "calls").select("call_id", "title", "activity", "provider"), "select call_id, title, activity, provider from {calls}")
-add("A4_flatten_json", lambda s, d: view(s, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("k", "value")).select("event_id", F.concat(F.lit("/"), F.replace(F.replace("k", F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))).alias("field_path"), "value"),
-    "select event_id, '/' || replace(replace(k, '~', '~0'), '/', '~1') as field_path, json_extract_string(props, '$.' || k) as value from (select event_id, props, unnest(json_keys(props)) as k from {events})")
 add("A8_snapshot", lambda s, d: view(s, d, "events").groupBy("event_type", F.sha2("props", 256).alias("sha")).agg(F.min("event_id").alias("first_id"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_at"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_at"), F.count("*").alias("n")),
     "select event_type, sha256(props) as sha, min(event_id) as first_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_at, count(*) as n from {events} group by event_type, sha256(props)")
 add("A9_load_ontology", lambda s, d: view(s, d, "edges"), "select src, dst, relation, pct from {edges}")

@@ -1,4 +1,4 @@
-"""Web pages and delimited files as rows of blocks."""
+"""Web pages as rows of blocks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKIPPED = {"script", "style", "noscript", "template", "svg"}
@@ -166,41 +166,3 @@ def section_text(blocks: DataFrame, heading: str) -> DataFrame:
     rows = blocks.filter(F.col("kind").isin("PARAGRAPH", "LIST_ITEM") & (F.try_element_at("section", F.lit(-1)) == heading))
     lines = rows.groupBy("page_id", "text").agg(F.min("pos").alias("pos"))
     return lines.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
-
-
-def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """A delimited file, gzip or not, with trimmed lower-case names and trimmed values."""
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    return df.toDF(*[c.strip().lstrip("﻿").lower() for c in df.columns])
-
-
-def csv_blocks(rows: DataFrame, delimiter: str = ";") -> DataFrame:
-    """(file_id, locator, text) of (file_id, content): a row per line, cells joined by `` | ``,
-    trailing empty cells dropped."""
-    lines = rows.select("file_id", F.posexplode(F.split("content", r"\r?\n")).alias("n", "line")).filter("trim(line) <> ''")
-    cells = F.transform(F.split(F.regexp_replace("line", f"[{delimiter}\\s]+$", ""), delimiter), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return lines.select("file_id", F.concat(F.lit("csv.row."), (F.col("n") + 1).cast("string")).alias("locator"), F.array_join(cells, " | ").alias("text"))
-
-
-def flatten_xml(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text) of (doc_id, xml); documents with a DTD or entities give no rows."""
-
-    def run(batches):
-        import xml.etree.ElementTree as ET
-
-        for b in batches:
-            out = []
-            for d, x in zip(b["doc_id"], b["xml"], strict=True):
-                if x and "<!DOCTYPE" not in x and "<!ENTITY" not in x:
-                    try:
-                        stack = [(root := ET.fromstring(x), f"/{root.tag}")]
-                    except ET.ParseError:
-                        continue
-                    while stack:
-                        node, path = stack.pop()
-                        if (node.text or "").strip():
-                            out.append((d, path, " ".join(node.text.split())))
-                        stack += [(kid, f"{path}/{kid.tag}[{i}]") for i, kid in enumerate(node)][::-1]
-            yield pd.DataFrame(out, columns=["doc_id", "path", "text"])
-
-    return docs.select("doc_id", "xml").mapInPandas(run, "doc_id long, path string, text string")
