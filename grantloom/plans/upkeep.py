@@ -37,15 +37,6 @@ add("C4_union_validate", lambda s, d: view(s, d, "calls").select(col("call_id").
     "select *, reason is null as valid from (select *, case when currency <> 'CZK' then 'UNSUPPORTED_CURRENCY' end as reason from (select call_id as id, currency, 'part' as origin from {calls} union all select project_id, currency, 'order' from {projects}))")
 
 
-def awards(s, d):
-    v = view(s, d, "versions").filter("status <> 'CANCELLED'").groupBy("call_id").agg(F.sum("cap_minor").alias("amount_minor"), F.max(F.year("close_at")).cast("long").alias("year"), F.max("close_at").cast("string").alias("decided_at"))
-    return view(s, d, "calls").join(v, "call_id").select("call_id", "title", "amount_minor", "year", "decided_at")
-
-
-add("C5_historical_awards", awards, "select c.call_id, c.title, sum(v.cap_minor)::bigint as amount_minor, max(year(v.close_at)) as year, cast(max(v.close_at) as varchar) as decided_at from {calls} c join {versions} v using (call_id) where v.status <> 'CANCELLED' group by c.call_id, c.title")
-add("C6_award_rejects", lambda s, d: view(s, d, "versions").groupBy("call_id").agg(F.every(col("status") == "CANCELLED").alias("gone")).filter("gone").select("call_id", F.lit("RETURNABLE_AID_ONLY").alias("reason")), "select call_id, 'RETURNABLE_AID_ONLY' as reason from {versions} group by call_id having bool_and(status = 'CANCELLED')")
-
-
 def observed(s, d):
     o = view(s, d, "observations").withColumn("hash", F.sha2("payload", 256))
     keys = ["source_id", "external_id"]
@@ -59,18 +50,6 @@ def observed(s, d):
 add("D1_observe_records", observed,
     """with o as (select *, sha256(payload) as hash from {observations}), st as (select source_id, external_id, arg_max(hash, day) as hash, min(day) as f, max(day) as l from o where day < '2024-01-15' group by 1, 2), b as (select source_id, external_id, arg_max(hash, day) as hash, max(day) as day from o where day >= '2024-01-15' group by 1, 2)
     select source_id, external_id, case when b.hash is null then 'UNSEEN' when st.hash is null then 'NEW' when st.hash <> b.hash then 'CHANGED' else 'NOT_MODIFIED' end as action, cast(coalesce(f, b.day) as varchar) as first_seen, cast(coalesce(b.day, l) as varchar) as last_seen, coalesce(b.hash, st.hash) as hash from st full outer join b using (source_id, external_id)""")
-add("D3_artifact_state", lambda s, d: (lambda e: e.filter("event_id % 2 = 1").select("user_id", F.sha2("props", 256).alias("sha")).distinct().join(e.filter("event_id % 2 = 0").select("user_id", F.sha2("props", 256).alias("sha"), F.lit(True).alias("had")).distinct(), ["user_id", "sha"], "left").select("user_id", "sha", F.when(col("had"), "REUSED").otherwise("MODIFIED").alias("state")))(view(s, d, "events")),
-    "select user_id, sha, case when (user_id, sha) in (select (user_id, sha256(props)) from {events} where event_id % 2 = 0) then 'REUSED' else 'MODIFIED' end as state from (select distinct user_id, sha256(props) as sha from {events} where event_id % 2 = 1)")
-add("D4_staging_gate", lambda s, d: view(s, d, "funded").select("project_id", "scenario_id", F.when(col("applicability") == "FAIL", "REJECTED").when((col("applicability") == "PASS") & col("group_result").isNotNull(), "READY").otherwise("STAGED").alias("stage")), "select project_id, scenario_id, case when applicability = 'FAIL' then 'REJECTED' when applicability = 'PASS' and group_result is not null then 'READY' else 'STAGED' end as stage from {funded}")
-add("D5_quarantine", lambda s, d: view(s, d, "projects").withColumn("reason", F.when(col("eligible_minor").isNull(), "VALIDATION_FAILED").when(col("currency") != "CZK", "SCHEMA_MISMATCH")).filter("reason is not null").select("project_id", "reason"), "select project_id, case when eligible_minor is null then 'VALIDATION_FAILED' when currency <> 'CZK' then 'SCHEMA_MISMATCH' end as reason from {projects} where eligible_minor is null or currency <> 'CZK'")
-add("D6_publish_versions", lambda s, d: (lambda v: V.publish(v.filter("version_number <= 5").groupBy("call_id", "hash").agg(F.min("version_number").alias("version_number")), v.filter("version_number > 5").select("call_id", "hash", col("version_number").alias("ord"))))(view(s, d, "versions").withColumn("hash", F.sha2(F.concat_ws("|", "status", "title", "summary"), 256))),
-    """with v as (select *, sha256(concat_ws('|', status, title, summary)) as hash from {versions}), k as (select call_id, hash, min(version_number) as had from v where version_number <= 5 group by 1, 2), t as (select call_id, max(had) as top from k group by 1),
-    i as (select call_id, hash, min(version_number) as ord from v where version_number > 5 group by 1, 2)
-    select i.call_id, i.hash, coalesce(had, coalesce(top, 0) + sum(case when had is null then 1 else 0 end) over (partition by i.call_id order by ord, i.hash rows unbounded preceding))::bigint as version_number, case when had is null then 'CREATED' else 'REUSED' end as action from i left join k using (call_id, hash) left join t using (call_id)""")
-add("D7_publish_conflicts", lambda s, d: view(s, d, "calls").withColumn("owner", F.min("call_id").over(W("title"))).filter("owner <> call_id").select("call_id", "title", "owner", F.lit("SLUG_OWNED_BY_OTHER_CALL").alias("error")), "select * from (select call_id, title, min(call_id) over (partition by title) as owner, 'SLUG_OWNED_BY_OTHER_CALL' as error from {calls}) where owner <> call_id")
-add("D8_evidence_rows", lambda s, d: view(s, d, "funded").select("project_id", "scenario_id", F.explode(F.array_compact(F.array(*[F.when(col(c).isNotNull(), F.lit(c)) for c in ("eligible_minor", "vat_minor", "rate_bps", "cap_minor")]))).alias("field_path")),
-    "select project_id, scenario_id, unnest(list_filter([case when eligible_minor is not null then 'eligible_minor' end, case when vat_minor is not null then 'vat_minor' end, case when rate_bps is not null then 'rate_bps' end, case when cap_minor is not null then 'cap_minor' end], lambda x: x is not null)) as field_path from {funded}")
-add("D9_outbox_rows", lambda s, d: view(s, d, "versions").select("call_id", "version_number", F.explode(F.array(F.lit("SEARCH_REINDEX"), F.lit("CHANGE_DETECTION"))).alias("kind")).withColumn("dedupe_key", F.concat_ws(":", "kind", "call_id", "version_number")), "select call_id, version_number, kind, concat_ws(':', kind, call_id, version_number) as dedupe_key from {versions}, (values ('SEARCH_REINDEX'), ('CHANGE_DETECTION')) t(kind)")
 add("D10_search_projection", lambda s, d: view(s, d, "calls").join(V.latest(view(s, d, "versions"), ["call_id"], [col("version_number").desc()]).select("call_id", "version_number", "status", "summary"), "call_id").select("call_id", "version_number", "status", F.concat_ws(" ", "title", "summary", "activity", "provider").alias("keywords")),
     "select call_id, version_number, status, concat_ws(' ', c.title, v.summary, activity, provider) as keywords from {calls} c join {versions} v using (call_id) where version_number = (select max(version_number) from {versions} x where x.call_id = c.call_id)")
 add("D11_latest_version", lambda s, d: V.latest(view(s, d, "versions"), ["call_id"], [col("version_number").desc()]).select("call_id", "version_number", "status"), "select call_id, max(version_number) as version_number, arg_max(status, version_number) as status from {versions} group by call_id")
@@ -89,16 +68,10 @@ def baselines(s, d):
 
 BASE = """select *, case when n >= 3 then m end as median, case when n >= 3 then round(e, 6) end as error_rate from (select *, count(*) over w as n, median(seen) over w as m, avg(case when seen > 0 then errors / seen::double else 0 end) over w as e from {source_runs} where status <> 'LOCKED' window w as (partition by source_id, adapter order by day, hour rows between 10 preceding and 1 preceding))"""
 add("E1_rolling_baseline", lambda s, d: baselines(s, d).select("source_id", col("day").cast("string").alias("day"), "hour", "n", "median", "error_rate"), f"select source_id, cast(day as varchar) as day, hour, n, median::double as median, error_rate from ({BASE})")
-GATE = [("COUNT_DROP", "n >= 3 and seen * 100 < median * 35"), ("ERROR_RATE", "errors * 5 > seen"), ("VALIDATION_RATE", "(seen - bad) * 100 < seen * 85")]
-add("E2_quality_gate", lambda s, d: baselines(s, d).withColumn("v", F.array_compact(F.array(*[F.when(F.expr(c), F.lit(k)) for k, c in GATE]))).select("source_id", col("day").cast("string").alias("day"), "hour", F.when(F.size("v") > 0, "DEGRADED").otherwise("OK").alias("status"), F.array_join("v", ",").alias("violations")),
-    f"select source_id, cast(day as varchar) as day, hour, case when v <> '' then 'DEGRADED' else 'OK' end as status, v as violations from (select *, concat_ws(',', {', '.join(f'case when {c} then {chr(39)}{k}{chr(39)} end' for k, c in GATE)}) as v from ({BASE}))")
 add("E3_presence", lambda s, d: (lambda o: V.presence(o.filter("day < '2024-01-15'").select("source_id", "external_id").distinct().withColumn("missing_run_count", (F.pmod(col("external_id").cast("long"), F.lit(4))).cast("int")).withColumn("presence_state", F.when(col("missing_run_count") >= 3, "CONFIRMED_MISSING").when(col("missing_run_count") > 0, "MISSING_CANDIDATE").otherwise("SEEN")), o.filter("day >= '2024-01-15'"), ["source_id", "external_id"], col("source_id") != "view"))(view(s, d, "observations")),
     """with st as (select distinct source_id, external_id, cast(external_id as bigint) % 4 as n from {observations} where day < '2024-01-15'), x as (select *, (source_id, external_id) in (select (source_id, external_id) from {observations} where day >= '2024-01-15') as seen, case when n >= 3 then 'CONFIRMED_MISSING' when n > 0 then 'MISSING_CANDIDATE' else 'SEEN' end as p from st)
     select source_id, external_id, case when seen then 'SEEN' when source_id = 'view' or p = 'CONFIRMED_MISSING' then p when n + 1 >= 3 then 'CONFIRMED_MISSING' else 'MISSING_CANDIDATE' end as presence_state, case when seen then 0 when source_id <> 'view' then n + 1 else n end::int as missing_run_count from x""")
-add("E4_source_health", lambda s, d: view(s, d, "source_runs").groupBy("source_id").agg(F.max("day").alias("l"), F.max(F.when(col("errors") == 0, col("day"))).alias("ok")).withColumn("r", F.array_compact(F.array(F.when(col("ok").isNull(), "NEVER_SUCCEEDED"), F.when(F.date_diff("l", "ok") > 2, "STALE_SUCCESS")))).select("source_id", F.array_join("r", ",").alias("reasons"), F.when(F.array_contains("r", "NEVER_SUCCEEDED"), "UNAVAILABLE").when(F.size("r") > 0, "DEGRADED").otherwise("HEALTHY").alias("health")),
-    "select source_id, concat_ws(',', case when ok is null then 'NEVER_SUCCEEDED' end, case when l - ok > 2 then 'STALE_SUCCESS' end) as reasons, case when ok is null then 'UNAVAILABLE' when l - ok > 2 then 'DEGRADED' else 'HEALTHY' end as health from (select source_id, max(day) as l, max(day) filter (errors = 0) as ok from {source_runs} group by 1)")
 add("E5_probe_summary", lambda s, d: view(s, d, "source_runs").groupBy("source_id").agg(F.count_if("status = 'LOCKED'" if False else col("status") == "LOCKED").alias("blocked"), F.count_if(col("errors") > 0).alias("failed"), F.count("*").alias("probes")), "select source_id, count(*) filter (status = 'LOCKED') as blocked, count(*) filter (errors > 0) as failed, count(*) as probes from {source_runs} group by 1")
-add("E6_ontology_validation", lambda s, d: view(s, d, "edges").join(view(s, d, "terms").withColumnRenamed("name", "src"), "src", "left_anti").select("src", F.lit("DANGLING").alias("issue")).unionByName(view(s, d, "edges").filter("pct > 95").select("src", F.lit("WEIGHT_HIGH").alias("issue"))), "select src, 'DANGLING' as issue from {edges} where src not in (select name from {terms}) union all select src, 'WEIGHT_HIGH' from {edges} where pct > 95")
 add("E7_evidence_trust", lambda s, d: view(s, d, "versions").select("call_id", "version_number", "l_orderkey").join(view(s, d, "projects").filter("currency = 'CZK' and eligible_minor is not null").select(col("project_id").alias("l_orderkey"), F.lit(True).alias("ok")), "l_orderkey", "left").select("call_id", "version_number", F.coalesce("ok", F.lit(False)).alias("trusted")), "select call_id, version_number, exists (select 1 from {projects} p where p.project_id = v.l_orderkey and currency = 'CZK' and eligible_minor is not null) as trusted from {versions} v")
 add("E10_queue_metrics", lambda s, d: view(s, d, "outbox").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(col("value") < 5).alias("dead"), F.count_if(col("value") > 50).alias("ready")), "select event_type, count(*) as n, count(*) filter (value < 5) as dead, count(*) filter (value > 50) as ready from {outbox} group by 1")
 add("E11_usage_state", lambda s, d: view(s, d, "events").groupBy("user_id").agg(F.count("*").alias("used")).select("user_id", "used", F.when(col("used") >= 20, "EXHAUSTED").when(col("used") * 10 >= 20 * 9, "CRITICAL").when(col("used") * 4 >= 20 * 3, "WARNING").when(col("used") * 2 >= 20, "NOTICE").otherwise("HEALTHY").alias("state")), "select user_id, count(*) as used, case when count(*) >= 20 then 'EXHAUSTED' when count(*) >= 18 then 'CRITICAL' when count(*) >= 15 then 'WARNING' when count(*) >= 10 then 'NOTICE' else 'HEALTHY' end as state from {events} group by 1")
