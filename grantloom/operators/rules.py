@@ -124,29 +124,83 @@ def evaluate(subjects: DataFrame, rules: DataFrame, values: DataFrame, places: D
     return all_.select("subject_id", "condition_id", "group_id", result.alias("result"), "blocking", "verified")
 
 
-def tree_errors(groups: DataFrame, leaves: DataFrame, depth: int = 16) -> DataFrame:
-    """(rule_set, error): for each rule set null or the first thing wrong with its tree, in the
-    order EMPTY_GROUP_ID, DUPLICATE_GROUP_ID, EMPTY_GROUP, NOT_NEEDS_ONE_CHILD, NO_SINGLE_ROOT,
-    NOT_CONNECTED (a dangling parent, a cycle, or deeper than ``depth``). ``groups``: (rule_set,
-    group_id, parent_id, kind); ``leaves``: (rule_set, group_id, n), the conditions per group. The
-    path to the root is followed by doubling steps, each one equi-join."""
+def upward(groups: DataFrame, depth: int = 16) -> DataFrame:
+    """(rule_set, group_id, above): every group with itself and the groups above it, up to ``depth``
+    levels; paths are doubled, each step one equi-join."""
+    key = ["rule_set", "group_id"]
+    reach = groups.select(*key, F.col("group_id").alias("above")).union(groups.filter("parent_id is not null").select(*key, "parent_id")).distinct()
+    for _ in range((depth - 1).bit_length()):
+        further = reach.select("rule_set", F.col("group_id").alias("above"), F.col("above").alias("top"))
+        reach = reach.join(further, ["rule_set", "above"]).select(*key, F.col("top").alias("above")).distinct()
+    return reach
+
+
+def tree_flags(groups: DataFrame, leaves: DataFrame, depth: int = 16) -> DataFrame:
+    """(rule_set, groups, blank, twice, empty, bad_not, roots, loose): what is wrong with each rule
+    set's tree. ``groups``: (rule_set, group_id, parent_id, kind); ``leaves``: (rule_set, group_id, n),
+    the conditions per group. ``loose``: a group from which no path of at most ``depth`` leads to a
+    root (a dangling parent, a cycle, or a tree too deep)."""
     key = ["rule_set", "group_id"]
     kids = groups.filter("parent_id is not null").groupBy("rule_set", F.col("parent_id").alias("group_id")).agg(F.count("*").alias("kids"))
-    each = groups.groupBy(*key).agg(F.count("*").alias("copies"), F.max("kind").alias("kind"), F.max("parent_id").alias("up"), F.count_if(F.col("parent_id").isNull()).alias("roots"))
+    each = groups.groupBy(*key).agg(F.count("*").alias("copies"), F.max("kind").alias("kind"), F.max("parent_id").alias("parent_id"), F.count_if(F.col("parent_id").isNull()).alias("roots"))
     each = each.join(kids, key, "left").join(leaves.groupBy(*key).agg(F.sum("n").alias("n")), key, "left").withColumn("children", F.coalesce("kids", F.lit(0)) + F.coalesce("n", F.lit(0)))
-    jump = each.select(*key, F.when(F.col("roots") > 0, F.col("group_id")).otherwise(F.col("up")).alias("at"))  # a root stays where it is
+    # a root stays where it is, so a path of doubled steps ends there
+    jump = each.select(*key, F.when(F.col("roots") > 0, F.col("group_id")).otherwise(F.col("parent_id")).alias("at"))
     for _ in range((depth - 1).bit_length()):
         step = jump.select("rule_set", F.col("group_id").alias("at"), F.col("at").alias("next"))
         jump = jump.join(step, ["rule_set", "at"], "left").select(*key, F.col("next").alias("at"))
     top = each.filter("roots > 0").select("rule_set", F.col("group_id").alias("at"), F.lit(True).alias("rooted"))
-    each = each.join(jump, key).join(top, ["rule_set", "at"], "left")
-    has = lambda c: F.bool_or(c)
-    return each.groupBy("rule_set").agg(
-        F.when(has(F.coalesce("group_id", F.lit("")) == ""), "EMPTY_GROUP_ID").when(has(F.col("copies") > 1), "DUPLICATE_GROUP_ID").when(has(F.col("children") == 0), "EMPTY_GROUP")
-        .when(has((F.col("kind") == "NOT") & (F.col("children") != 1)), "NOT_NEEDS_ONE_CHILD").when(F.sum("roots") != 1, "NO_SINGLE_ROOT").when(has(F.col("rooted").isNull()), "NOT_CONNECTED").alias("error")
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return each.join(jump, key).join(top, ["rule_set", "at"], "left").groupBy("rule_set").agg(
+        F.sum("copies").alias("groups"), has(F.col("group_id") == "").alias("blank"), has(F.col("copies") > 1).alias("twice"), has(F.col("children") == 0).alias("empty"),
+        has((F.col("kind") == "NOT") & (F.col("children") != 1)).alias("bad_not"), F.sum("roots").alias("roots"), has(F.col("rooted").isNull()).alias("loose"),
     )
 
 
+def tree_errors(groups: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(rule_set, error): for each rule set null or the first thing wrong with its tree."""
+    error = F.when(F.col("blank"), "EMPTY_GROUP_ID").when(F.col("twice"), "DUPLICATE_GROUP_ID").when(F.col("empty"), "EMPTY_GROUP").when(F.col("bad_not"), "NOT_NEEDS_ONE_CHILD").when(F.col("roots") != 1, "NO_SINGLE_ROOT").when(F.col("loose"), "NOT_CONNECTED")
+    return tree_flags(groups, leaves).select("rule_set", error.alias("error"))
+
+
+def graph_check(versions: DataFrame, sets: DataFrame, groups: DataFrame, conditions: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(call_id, code): whether a call's finance scenarios rest on one verified rule graph; the
+    first thing that is amiss. Versions: (call_id, verified); sets: (call_id, rule_set, complete,
+    verified); groups as in :func:`tree_flags`; conditions: (rule_set, group_id, trusted); scenarios:
+    (call_id, group_id, trusted)."""
+    flags = tree_flags(groups, conditions.groupBy("rule_set", "group_id").agg(F.count("*").alias("n")))
+    ids = groups.select("rule_set", "group_id", F.lit(True).alias("there")).distinct()
+    own = conditions.join(ids, ["rule_set", "group_id"], "left").groupBy("rule_set").agg(F.count("*").alias("conditions"), F.bool_or(F.col("there").isNull() | ~F.col("trusted")).alias("doubt"))
+    only = sets.groupBy("call_id").agg(F.count("*").alias("sets"), F.min("rule_set").alias("rule_set"), F.every(F.col("complete") & F.col("verified")).alias("sure"))
+    ruled = upward(groups).join(conditions.select("rule_set", "group_id").distinct(), ["rule_set", "group_id"]).select("rule_set", F.col("above").alias("group_id"), F.lit(True).alias("ruled")).distinct()
+    offers = scenarios.join(only.select("call_id", "rule_set"), "call_id", "left").join(ids, ["rule_set", "group_id"], "left").join(ruled, ["rule_set", "group_id"], "left")
+    offers = offers.groupBy("call_id").agg(F.count("*").alias("scenarios"), F.bool_or(F.col("there").isNull()).alias("unplaced"), F.bool_or(F.col("ruled").isNull()).alias("unruled"), F.bool_or(~F.col("trusted")).alias("untrusted"))
+    df = versions.join(only, "call_id", "left").join(flags, "rule_set", "left").join(own, "rule_set", "left").join(offers, "call_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    code = (
+        F.when(~F.col("verified"), "GRANT_VERSION_UNVERIFIED").when(n("sets") != 1, "RULE_SET_NOT_UNIQUE").when(~F.col("sure"), "RULE_SET_UNVERIFIED")
+        .when((n("groups") > 64) | (n("conditions") > 128) | (n("scenarios") > 64), "SNAPSHOT_LIMIT_EXCEEDED")
+        .when((n("groups") == 0) | F.col("twice") | (F.col("roots") != 1) | (n("conditions") == 0) | (n("scenarios") == 0) | F.col("unplaced"), "INCOMPLETE_RULE_GRAPH")
+        .when(F.col("loose"), "INVALID_RULE_GRAPH").when(F.col("unruled"), "INCOMPLETE_RULE_GRAPH").when(F.col("empty") | F.col("bad_not"), "UNSUPPORTED_RULE_GRAPH")
+        .when(F.col("doubt") | F.col("untrusted"), "UNVERIFIED_OFFICIAL_EVIDENCE").otherwise("VERSION_BOUND_EVIDENCE_REFERENCES_ONLY")
+    )
+    return df.select("call_id", code.alias("code"))
+
+
+def preflight(profiles: DataFrame, values: DataFrame, most: int = 128) -> DataFrame:
+    """(profile_id, code): whether a profile's values may be used for finance; else the first
+    value's (by ``value_id``) first fault. Values: (profile_id, value_id, supported, trusted, observed_at,
+    first_seen_at, retrieved_at, created_at, verified_at); profiles: (profile_id, created_at, cutoff)."""
+    own = values.join(profiles.select("profile_id", F.col("created_at").alias("born"), "cutoff"), "profile_id")
+    t = lambda *names: [F.col(c) for c in names]
+    born, seen, got, made, sure, saw, end = t("born", "first_seen_at", "retrieved_at", "created_at", "verified_at", "observed_at", "cutoff")
+    order = (born <= made) & (born <= sure) & (seen <= got) & (got <= made) & (got <= sure) & (saw <= made) & (saw <= sure) & (made <= sure) & (sure <= end)
+    fault = F.when(~F.col("supported"), "UNSUPPORTED_ATTRIBUTE_VALUE").when(~F.col("trusted"), "UNVERIFIED_OFFICIAL_ATTRIBUTE_EVIDENCE").when(~F.coalesce(order, F.lit(False)), "INCONSISTENT_ATTRIBUTE_TIMESTAMPS")
+    first = own.withColumn("fault", fault).groupBy("profile_id").agg(F.count("*").alias("n"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("value_id"))).alias("fault"))
+    code = F.when(F.col("n").isNull(), "NO_ATTRIBUTE_VALUES").when(F.col("n") > most, "ATTRIBUTE_LIMIT_EXCEEDED").otherwise(F.coalesce("fault", F.lit("OWNED_OFFICIAL_ATTRIBUTE_REFERENCES_ONLY")))
+    return profiles.select("profile_id").join(first, "profile_id", "left").select("profile_id", code.alias("code"))
+
+
 def area(places: DataFrame, lists: DataFrame) -> DataFrame:
     """(list_id, place_id): the places of each list (list_id, place_id, mode INCLUDE or EXCLUDE,
     descendants): those included, with all below where descendants is set, less those excluded."""
@@ -198,6 +252,33 @@ def causes(conditions: DataFrame, folded: DataFrame, groups: DataFrame, depth: i
     return out
 
 
+def folded(kind: str, results: list[Column]) -> Column:
+    """The children's results under AND, OR or NOT, within a row."""
+    act = F.filter(F.array(*results), lambda r: r != "NOT_APPLICABLE")
+    has = lambda r: F.array_contains(act, r)
+    if kind == "NOT":
+        return F.when(has("PASS"), "FAIL").when(has("FAIL"), "PASS").otherwise(F.coalesce(F.get(act, F.lit(0)), F.lit("NOT_APPLICABLE")))
+    order, rest = (["FAIL", "ERROR", "UNKNOWN"], "PASS") if kind == "AND" else (["PASS", "ERROR", "UNKNOWN"], "FAIL")
+    ladder = reduce(lambda acc, r: F.when(has(r), r).otherwise(acc), reversed(order), F.lit(rest))
+    return F.when(F.size(act) == 0, "NOT_APPLICABLE").otherwise(ladder)
+
+
+def fold_row(df: DataFrame, groups: list[tuple[str, str | None, str, int]], conditions: dict[str, tuple[str, bool]]) -> DataFrame:
+    """``df`` (a column of results per condition, under its id) with a result column per group and
+    ``cause_<id>`` per condition: whether it is blocking and explains the root. For a rule set that
+    is known when the plan is made: groups (id, parent, kind, level), conditions id: (group,
+    blocking). Everything stays in the row, so nothing is shuffled; sets kept as data go through
+    :func:`fold_tree` and :func:`causes`."""
+    for g, _, kind, _ in sorted(groups, key=lambda x: -x[3]):
+        own = [F.col(c) if blocking else F.lit("NOT_APPLICABLE") for c, (at, blocking) in conditions.items() if at == g]
+        df = df.withColumn(g, folded(kind, own + [F.col(k) for k, up, _, _ in groups if up == g]))
+    flip = lambda w: F.when(w == "PASS", "FAIL").when(w == "FAIL", "PASS").otherwise(w)
+    for g, up, kind, _ in sorted(groups, key=lambda x: x[3]):
+        want = F.col(g) if up is None else F.when(F.col(g) == F.col(f"want_{up}"), F.col(g))
+        df = df.withColumn(f"want_{g}", flip(want) if kind == "NOT" else want)  # what its children should be
+    return df.withColumns({f"cause_{c}": F.coalesce(F.lit(blocking) & (F.col(c) == F.col(f"want_{g}")), F.lit(False)) for c, (g, blocking) in conditions.items()}).drop(*[f"want_{g[0]}" for g in groups])
+
+
 def public_status(root: Column, any_error: Column, unverified_cause: Column, complete: Column, all_verified: Column) -> Column:
     return (
         F.when((root == "ERROR") | any_error, "NEEDS_REVIEW")

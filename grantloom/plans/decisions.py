@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -27,28 +29,35 @@ def add(name, query, oracle=None):
 GROUPS = [("g0", None, "AND", 0), ("g1", "g0", "OR", 1), ("g2", "g0", "NOT", 1)]
 
 
-def groups(s):
-    return s.createDataFrame(GROUPS, "group_id string, parent_id string, kind string, level int")
+#: The conditions: the group of each, and whether it blocks; those whose source is verified.
+TREE = {"c1": ("g1", True), "c2": ("g1", True), "c3": ("g2", True), "c4": ("g0", True), "c5": ("g0", False)}
+VERIFIED = {"c1", "c2", "c4", "c5"}
 
 
-def conditions(s, d):
-    """Five conditions per applicant over its facts."""
+def condition_row(s, d):
+    """A row per applicant with the results of five conditions over its facts."""
     f = view(s, d, "facts")
     home = R.ancestors(view(s, d, "places")).filter("ancestor_id = 'r1'").select(F.col("place_id").alias("geo_id"), F.lit(True).alias("within"))
     f = f.join(F.broadcast(home), "geo_id", "left")  # places are a fixed list of regions and nations
     seg = F.when(F.col("segment_absent"), "ABSENT").when(F.col("segment").isNull(), "MISSING").otherwise("PRESENT")
     bal = F.when(F.col("balance_minor").isNull(), "MISSING").otherwise("PRESENT")
-    one = lambda cid, gid, presence, ok, holds, op, policy, blocking, verified: F.struct(F.lit(cid).alias("condition_id"), F.lit(gid).alias("group_id"), R.condition(presence, ok, holds, F.lit(op), F.lit(policy)).alias("result"), F.lit(blocking).alias("blocking"), F.lit(verified).alias("verified"))
+    one = lambda presence, ok, holds, op, policy: R.condition(presence, ok, holds, F.lit(op), F.lit(policy))
     cmp_ = lambda x, op, low=None, high=None, items=(): R.compare(x, F.lit(op), F.lit(low), F.lit(high), F.array(*[F.lit(i) for i in items]))
     t = F.lit(True)
-    all_ = F.array(
-        one("c1", "g1", seg, t, cmp_(F.col("segment"), "IN", items=("BUILDING", "MACHINERY")), "IN", "UNKNOWN", True, True),
-        one("c2", "g1", bal, ~F.col("balance_is_text"), cmp_(F.col("balance_minor"), "BETWEEN", 100000, 500000), "BETWEEN", "UNKNOWN", True, True),
-        one("c3", "g2", F.lit("PRESENT"), t, F.when(F.col("geo_unknown"), F.lit(None).cast("boolean")).otherwise(F.coalesce("within", F.lit(False))), "GEO_WITHIN", "UNKNOWN", True, False),
-        one("c4", "g0", seg, t, t, "EXISTS", "NOT_APPLICABLE", True, True),
-        one("c5", "g0", bal, t, cmp_(F.col("balance_minor"), "GT", 900000), "GT", "NOT_APPLICABLE", False, True),
-    )
-    return f.select("subject_id", "rule_set", F.explode(all_).alias("c")).select("subject_id", "rule_set", "c.*")
+    return f.select(
+        "subject_id", "rule_set",
+        one(seg, t, cmp_(F.col("segment"), "IN", items=("BUILDING", "MACHINERY")), "IN", "UNKNOWN").alias("c1"),
+        one(bal, ~F.col("balance_is_text"), cmp_(F.col("balance_minor"), "BETWEEN", 100000, 500000), "BETWEEN", "UNKNOWN").alias("c2"),
+        one(F.lit("PRESENT"), t, F.when(F.col("geo_unknown"), F.lit(None).cast("boolean")).otherwise(F.coalesce("within", F.lit(False))), "GEO_WITHIN", "UNKNOWN").alias("c3"),
+        one(seg, t, t, "EXISTS", "NOT_APPLICABLE").alias("c4"),
+        one(bal, t, cmp_(F.col("balance_minor"), "GT", 900000), "GT", "NOT_APPLICABLE").alias("c5"),
+    )
+
+
+def conditions(s, d):
+    """The same with a row per condition."""
+    each = [F.struct(F.lit(c).alias("condition_id"), F.lit(g).alias("group_id"), F.col(c).alias("result"), F.lit(b).alias("blocking"), F.lit(c in VERIFIED).alias("verified")) for c, (g, b) in TREE.items()]
+    return condition_row(s, d).select("subject_id", "rule_set", F.explode(F.array(*each)).alias("c")).select("subject_id", "rule_set", "c.*")
 
 
 COND = """select subject_id, rule_set, 'c1' as condition_id, 'g1' as group_id, case when segment_absent then 'UNKNOWN' when segment is null then 'UNKNOWN' when segment in ('BUILDING', 'MACHINERY') then 'PASS' else 'FAIL' end as result, true as blocking, true as verified from {facts}
@@ -122,33 +131,28 @@ add(
     lambda s, d: R.evaluate(view(s, d, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 2).alias("rule_set")), view(s, d, "rule_conditions"), view(s, d, "attribute_values"), view(s, d, "places")).select("subject_id", "condition_id", "result"),
     RULES_SQL,
 )
+def folded(s, d):
+    """A row per applicant: results per condition and group, and which conditions are causes."""
+    return R.fold_row(condition_row(s, d), GROUPS, TREE)
+
+
 add(
     "G2_group_fold",
-    lambda s, d: R.fold_tree(conditions(s, d), groups(s), 1),
+    lambda s, d: folded(s, d).select("subject_id", F.explode(F.array(*[F.struct(F.lit(g[0]).alias("group_id"), F.col(g[0]).alias("result")) for g in GROUPS])).alias("g")).select("subject_id", "g.*"),
     FOLDED + " select subject_id, 'g0' as group_id, g0 as result from tree union all select subject_id, 'g1', g1 from tree union all select subject_id, 'g2', g2 from tree",
 )
-
-
-def with_causes(s, d):
-    c = conditions(s, d)
-    folded = R.fold_tree(c, groups(s), 1)
-    return c, folded, R.causes(c, folded, groups(s), 1)
-
-
 CAUSES = """, cause as (select subject_id, 'c4' as condition_id from tree where c4 = g0 union all select subject_id, 'c1' from tree where g1 = g0 and c1 = g0 union all select subject_id, 'c2' from tree where g1 = g0 and c2 = g0
     union all select subject_id, 'c3' from tree where g2 = g0 and c3 = case g0 when 'PASS' then 'FAIL' when 'FAIL' then 'PASS' else g0 end)"""
-add("G3_causes", lambda s, d: with_causes(s, d)[2], FOLDED + CAUSES + " select subject_id, condition_id from cause")
+add("G3_causes", lambda s, d: folded(s, d).select("subject_id", F.explode(F.array_compact(F.array(*[F.when(F.col(f"cause_{c}"), F.lit(c)) for c in TREE]))).alias("condition_id")), FOLDED + CAUSES + " select subject_id, condition_id from cause")
 
 
 def statuses(s, d):
-    c, folded, cause = with_causes(s, d)
-    c = c.join(cause.withColumn("cause", F.lit(True)), ["subject_id", "condition_id"], "left")
-    b = c.filter("blocking").groupBy("subject_id").agg(
-        F.bool_or(F.col("result") == "ERROR").alias("err"), F.bool_or(F.coalesce("cause", F.lit(False)) & ~F.col("verified")).alias("unverified"),
-        F.every(F.col("verified") | (F.col("result") == "NOT_APPLICABLE")).alias("verified"), F.max("rule_set").alias("rule_set"),
-    )
-    root = folded.filter("group_id = 'g0'").select("subject_id", F.col("result").alias("root"))
-    return root.join(b, "subject_id").select("subject_id", "root", R.public_status(F.col("root"), F.col("err"), F.col("unverified"), F.col("rule_set") != 0, F.col("verified")).alias("status"))
+    blocking = [c for c, (_, b) in TREE.items() if b]
+    some = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
+    error = some([F.col(c) == "ERROR" for c in blocking])
+    unverified = some([F.col(f"cause_{c}") for c in blocking if c not in VERIFIED])
+    verified = ~some([F.col(c) != "NOT_APPLICABLE" for c in blocking if c not in VERIFIED])
+    return folded(s, d).select("subject_id", F.col("g0").alias("root"), R.public_status(F.col("g0"), error, unverified, F.col("rule_set") != 0, verified).alias("status"))
 
 
 add(

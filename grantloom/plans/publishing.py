@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from grantloom.operators import publication as P
+from grantloom.operators import rules as R
 from grantloom.plans.upkeep import BASE, baselines
 from grantloom.views import duck, sql, view
 
@@ -119,3 +120,39 @@ add(
     union all select distinct 'DANGLING_EDGE', src || '>' || dst from e where src not in (select code from t) or dst not in (select code from t) union all select distinct 'WEIGHT_OUT_OF_RANGE', src || '>' || dst from e where pct <= 0 or pct > 100
     union all select distinct 'BROADER_CYCLE', src from walk where src = dst""",
 )
+
+# --- finance rule graphs: orders are calls, their lines are groups, conditions and scenarios
+
+CALLS = "select o_orderkey as call_id, o_orderkey % 13 <> 5 as verified from {orders}"
+SETS = "select o_orderkey as call_id, o_orderkey as rule_set, o_orderkey % 11 <> 4 as complete, true as verified from {orders} where o_orderkey % 17 <> 6 union all select o_orderkey, o_orderkey + 1, true, true from {orders} where o_orderkey % 19 = 7"
+GROUPS = """select l_orderkey as rule_set, concat('g', cast(l_linenumber as string)) as group_id, case when l_linenumber = 1 then null when l_suppkey % 37 = 3 then concat('g', cast(l_linenumber as string)) else concat('g', cast(cast(floor(l_linenumber / 2.0) as int) as string)) end as parent_id,
+    case when l_suppkey % 41 = 8 then 'NOT' when l_suppkey % 2 = 0 then 'OR' else 'AND' end as kind from {lineitem}"""
+CONDITIONS = "select l_orderkey as rule_set, concat('g', cast(l_linenumber as string)) as group_id, l_suppkey % 53 <> 9 as trusted from {lineitem} where l_partkey % 43 <> 2"
+OFFERS = "select l_orderkey as call_id, concat('g', cast(case when l_partkey % 47 = 1 then 99 else l_linenumber end as string)) as group_id, l_partkey % 59 <> 3 as trusted from {lineitem}"
+add(
+    "E8_rule_graph_check",
+    lambda s, d: R.graph_check(*[sql(s, d, t) for t in (CALLS, SETS, GROUPS, CONDITIONS, OFFERS)]),
+    f"""with recursive groups0 as ({GROUPS}), v as ({CALLS}), st as ({SETS}), c as ({CONDITIONS}), o as ({OFFERS}),
+    down as (select rule_set, group_id from groups0 where parent_id is null union select g.rule_set, g.group_id from down join groups0 g on g.rule_set = down.rule_set and g.parent_id = down.group_id),
+    up as (select rule_set, group_id as below, group_id from groups0 union select up.rule_set, up.below, g.parent_id from up join groups0 g on g.rule_set = up.rule_set and g.group_id = up.group_id where g.parent_id is not null),
+    ruled as (select distinct up.rule_set, up.group_id from up join c on c.rule_set = up.rule_set and c.group_id = up.below),
+    kids as (select g.rule_set, g.group_id, any_value(g.kind) as kind, (select count(*) from groups0 k where k.rule_set = g.rule_set and k.parent_id = g.group_id) + (select count(*) from c where c.rule_set = g.rule_set and c.group_id = g.group_id) as n from groups0 g group by all),
+    one as (select call_id, count(*) as sets, min(rule_set) as rule_set, bool_and(complete and verified) as sure from st group by call_id),
+    gs as (select rule_set, count(*) as n, count(distinct group_id) as ids, count(*) filter (parent_id is null) as roots, bool_or((rule_set, group_id) not in (select (rule_set, group_id) from down)) as loose from groups0 group by rule_set),
+    ks as (select rule_set, bool_or(n = 0 or (kind = 'NOT' and n <> 1)) as odd from kids group by rule_set),
+    cs as (select rule_set, count(*) as n, bool_or(not trusted or (rule_set, group_id) not in (select (rule_set, group_id) from groups0)) as doubt from c group by rule_set),
+    os as (select o.call_id, count(*) as n, bool_or(not exists (select 1 from groups0 g where g.rule_set = one.rule_set and g.group_id = o.group_id)) as unplaced, bool_or(not exists (select 1 from ruled r where r.rule_set = one.rule_set and r.group_id = o.group_id)) as unruled, bool_or(not trusted) as untrusted from o left join one using (call_id) group by o.call_id)
+    select v.call_id, case when not v.verified then 'GRANT_VERSION_UNVERIFIED' when coalesce(sets, 0) <> 1 then 'RULE_SET_NOT_UNIQUE' when not sure then 'RULE_SET_UNVERIFIED' when gs.n > 64 or cs.n > 128 or os.n > 64 then 'SNAPSHOT_LIMIT_EXCEEDED'
+        when gs.n is null or ids < gs.n or roots <> 1 or cs.n is null or os.n is null or unplaced then 'INCOMPLETE_RULE_GRAPH' when loose then 'INVALID_RULE_GRAPH' when unruled then 'INCOMPLETE_RULE_GRAPH' when odd then 'UNSUPPORTED_RULE_GRAPH' when doubt or untrusted then 'UNVERIFIED_OFFICIAL_EVIDENCE'
+        else 'VERSION_BOUND_EVIDENCE_REFERENCES_ONLY' end as code from v left join one using (call_id) left join gs using (rule_set) left join ks using (rule_set) left join cs using (rule_set) left join os on os.call_id = v.call_id""",
+)
+VALUES = """select l_orderkey as profile_id, l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey as value_id, l_suppkey % 31 <> 2 as supported, l_partkey % 29 <> 4 as trusted, case when l_suppkey % 37 = 5 then null else 10 + l_quantity end as observed_at, 20 as first_seen_at, case when l_partkey % 41 = 6 then 10 else 30 end as retrieved_at, 70 as created_at, 80 + l_linenumber as verified_at from {lineitem} where l_orderkey % 7 > 0"""
+PROFILES = "select o_orderkey as profile_id, case when o_orderkey % 23 = 1 then 75 else 5 end as created_at, case when o_orderkey % 19 = 2 then 82 else 100 end as cutoff from {orders}"
+add(
+    "E9_preflight",
+    lambda s, d: R.preflight(sql(s, d, PROFILES), sql(s, d, VALUES)),
+    f"""with p as ({PROFILES}), v as ({VALUES}), x as (select v.profile_id, value_id, case when not supported then 'UNSUPPORTED_ATTRIBUTE_VALUE' when not trusted then 'UNVERIFIED_OFFICIAL_ATTRIBUTE_EVIDENCE'
+        when observed_at is null or p.created_at > v.created_at or p.created_at > verified_at or first_seen_at > retrieved_at or retrieved_at > v.created_at or retrieved_at > verified_at or observed_at > v.created_at or observed_at > verified_at or v.created_at > verified_at or verified_at > cutoff then 'INCONSISTENT_ATTRIBUTE_TIMESTAMPS' end as fault from v join p using (profile_id)),
+    f as (select profile_id, count(*) as n, arg_min(fault, value_id) filter (fault is not null) as fault from x group by profile_id)
+    select p.profile_id, case when n is null then 'NO_ATTRIBUTE_VALUES' when n > 128 then 'ATTRIBUTE_LIMIT_EXCEEDED' else coalesce(fault, 'OWNED_OFFICIAL_ATTRIBUTE_REFERENCES_ONLY') end as code from p left join f using (profile_id)""",
+)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grantloom.operators import versioning as V
+from grantloom.plans import decisions
 from grantloom.views import duck, view
 
 QUERIES: dict = {}
@@ -120,10 +121,6 @@ add("D13_patch_merge", lambda s, d: (lambda f, p: f.join(p, "subject_id", "left"
     """select subject_id, case when p % 4 in (1, 3) then 'S' || p else segment end as segment, case when p % 4 in (2, 3) then null else balance_minor end as balance_minor from {facts} left join (select applicant_id as subject_id, max(project_id) as p from {projects} group by 1) using (subject_id)""")
 add("D16_reprocess", lambda s, d: view(s, d, "projects").filter("eligible_minor is null").select("project_id", F.when(col("vat_minor").isNotNull(), "RESOLVED").otherwise("OPEN").alias("state"), F.lit(2).alias("parser_version")),
     "select project_id, case when vat_minor is not null then 'RESOLVED' else 'OPEN' end as state, 2 as parser_version from {projects} where eligible_minor is null")
-add("E8_rule_graph_check", lambda s, d: view(s, d, "funded").groupBy("call_id").agg(F.count("*").alias("n"), F.count_if("has_group").alias("grouped"), F.count_if(col("has_group") & col("group_result").isNull()).alias("gaps")).select("call_id", F.when(col("n") > 64, "SCENARIO_LIMIT").when(col("grouped") == 0, "NO_CONDITION_GROUP").when(col("gaps") > 0, "CONDITION_MISSING").otherwise("OK").alias("code")),
-    "select call_id, case when count(*) > 64 then 'SCENARIO_LIMIT' when count(*) filter (has_group) = 0 then 'NO_CONDITION_GROUP' when count(*) filter (has_group and group_result is null) > 0 then 'CONDITION_MISSING' else 'OK' end as code from {funded} group by 1")
-add("E9_preflight", lambda s, d: view(s, d, "facts").select("subject_id", F.when(col("balance_is_text") & col("balance_minor").isNotNull(), 1).when(col("segment").isNull(), 2).when(col("geo_unknown"), 3).otherwise(9).alias("rank"), "rule_set").groupBy("rule_set").agg(F.min("rank").alias("first_reason"), F.count_if(col("rank") == 9).alias("ready")),
-    "select rule_set, min(r) as first_reason, count(*) filter (r = 9) as ready from (select rule_set, case when balance_is_text and balance_minor is not null then 1 when segment is null then 2 when geo_unknown then 3 else 9 end as r from {facts}) group by 1")
 add("F20_export_check", lambda s, d: view(s, d, "calls").join(view(s, d, "versions").groupBy("call_id").agg(F.count_if(col("status") == "OPEN").alias("evidence")), "call_id", "left").select("call_id", F.array_join(F.array_compact(F.array(F.when(F.trim("provider") == "", "NO_PROVIDER"), F.when(F.coalesce("evidence", F.lit(0)) == 0, "NO_EVIDENCE"))), ",").alias("problems")),
     "select call_id, concat_ws(',', case when trim(provider) = '' then 'NO_PROVIDER' end, case when coalesce(e, 0) = 0 then 'NO_EVIDENCE' end) as problems from {calls} left join (select call_id, count(*) filter (status = 'OPEN') as e from {versions} group by 1) using (call_id)")
 FUNDING = ("rate_bps", "cap_minor")
@@ -133,15 +130,18 @@ add("I4_scenario_diff", lambda s, d: view(s, d, "steps").filter("old_number is n
 
 def eligibility_tasks(s, d):
     """One task per unknown blocking condition, else one for the status."""
-    from grantloom.plans.decisions import conditions, statuses
-
-    st = statuses(s, d).select("subject_id", "status")
-    gaps = conditions(s, d).filter("result = 'UNKNOWN' and blocking").join(st.filter("status = 'NEEDS_INFORMATION'"), "subject_id").select("subject_id", col("condition_id").alias("reference_id"), F.lit("PROVIDE_INPUT").alias("task"))
+    st = decisions.statuses(s, d).select("subject_id", "status")
+    gaps = decisions.conditions(s, d).filter("result = 'UNKNOWN' and blocking").join(st.filter("status = 'NEEDS_INFORMATION'"), "subject_id").select("subject_id", col("condition_id").alias("reference_id"), F.lit("PROVIDE_INPUT").alias("task"))
     whole = st.filter("status <> 'ELIGIBLE'").join(gaps.select("subject_id").distinct(), "subject_id", "left_anti")
     return gaps.unionByName(whole.select("subject_id", col("status").alias("reference_id"), F.lit("REVIEW_STATUS").alias("task")))
 
 
-QUERIES["J2_eligibility_tasks"] = eligibility_tasks
+add(
+    "J2_eligibility_tasks",
+    eligibility_tasks,
+    f"""with st as ({decisions.SQL['G4_public_status']}), cond as ({duck('select * from (' + decisions.COND + ') c')}), gaps as (select subject_id, condition_id as reference_id, 'PROVIDE_INPUT' as task from cond join st using (subject_id) where result = 'UNKNOWN' and blocking and status = 'NEEDS_INFORMATION')
+    select * from gaps union all select subject_id, status, 'REVIEW_STATUS' from st where status <> 'ELIGIBLE' and subject_id not in (select subject_id from gaps)""",
+)
 
 
 def finance_tasks(s, d):
@@ -153,6 +153,10 @@ def finance_tasks(s, d):
     return gaps.unionByName(e.filter("reasons not like 'MISSING_%' and status <> 'COMPLETE'").select("project_id", "scenario_id", col("status").alias("task")))
 
 
-add("J3_finance_tasks", finance_tasks)
+add(
+    "J3_finance_tasks",
+    finance_tasks,
+    f"""with fin as ({decisions.SQL['H3_finance']}) select project_id, scenario_id, unnest(string_split(reasons, ',')) as task from fin where reasons like 'MISSING_%' union all select project_id, scenario_id, status from fin where reasons not like 'MISSING_%' and status <> 'COMPLETE'""",
+)
 add("J7_checklist_items", lambda s, d: view(s, d, "requirements").select("call_id", "version_number", F.concat(F.lit("chk_"), F.left(F.sha2(F.concat_ws(":", "call_id", "version_number", "requirement_id"), 256), F.lit(24))).alias("item_id"), "title", col("necessity").alias("need")),
     "select call_id, version_number, 'chk_' || left(sha256(concat_ws(':', call_id, version_number, requirement_id)), 24) as item_id, title, necessity as need from {requirements}")
