@@ -146,7 +146,7 @@ add(
         when gs.n is null or ids < gs.n or roots <> 1 or cs.n is null or os.n is null or unplaced then 'INCOMPLETE_RULE_GRAPH' when loose then 'INVALID_RULE_GRAPH' when unruled then 'INCOMPLETE_RULE_GRAPH' when odd then 'UNSUPPORTED_RULE_GRAPH' when doubt or untrusted then 'UNVERIFIED_OFFICIAL_EVIDENCE'
         else 'VERSION_BOUND_EVIDENCE_REFERENCES_ONLY' end as code from v left join one using (call_id) left join gs using (rule_set) left join ks using (rule_set) left join cs using (rule_set) left join os on os.call_id = v.call_id""",
 )
-VALUES = """select l_orderkey as profile_id, l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey as value_id, l_suppkey % 31 <> 2 as supported, l_partkey % 29 <> 4 as trusted, case when l_suppkey % 37 = 5 then null else 10 + l_quantity end as observed_at, 20 as first_seen_at, case when l_partkey % 41 = 6 then 10 else 30 end as retrieved_at, 70 as created_at, 80 + l_linenumber as verified_at from {lineitem} where l_orderkey % 7 > 0"""
+VALUES = """select l_orderkey as profile_id, cast(l_linenumber as bigint) * 1000000000 + l_partkey * 1000 + l_suppkey as value_id, l_suppkey % 31 <> 2 as supported, l_partkey % 29 <> 4 as trusted, case when l_suppkey % 37 = 5 then null else 10 + l_quantity end as observed_at, 20 as first_seen_at, case when l_partkey % 41 = 6 then 10 else 30 end as retrieved_at, 70 as created_at, 80 + l_linenumber as verified_at from {lineitem} where l_orderkey % 7 > 0"""
 PROFILES = "select o_orderkey as profile_id, case when o_orderkey % 23 = 1 then 75 else 5 end as created_at, case when o_orderkey % 19 = 2 then 82 else 100 end as cutoff from {orders}"
 add(
     "E9_preflight",
