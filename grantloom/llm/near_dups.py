@@ -32,6 +32,9 @@ copies; an empty table gives an empty result; extra columns are neither read nor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -221,7 +224,8 @@ def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = B
     blocks = written(blocks, "blocks")
     other = blocks.select("h", *[F.col(c).alias(f"{c}2") for c in blocks.columns[1:]])
     against = blocks.filter("stranger").join(other, "h").filter("not stranger2 or part2 >= part")
-    fresh = written(resembling(against, threshold, bands, rows), "links")
+    with small_batches(first):
+        fresh = written(resembling(against, threshold, bands, rows), "links")
     release(blocks, members, buckets, mixed)
     if not fresh.isEmpty():
         links, labels = links.union(fresh), joined_labels(labels, fresh)
@@ -229,6 +233,18 @@ def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = B
     return links, labels
 
 
+@contextmanager
+def small_batches(df: DataFrame, size: str = "8m") -> Iterator[None]:
+    """Rows that hold many sets go to Python by fewer at a time."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = conf.get(name)
+    conf.set(name, size)
+    try:
+        yield
+    finally:
+        conf.set(name, old)
+
+
 def resembling(blocks: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     """(a, b, j): links between two blocks of a bucket, with different labels. Only pairs whose
     signatures agree in a share of coordinates at most five standard deviations below the
@@ -238,7 +254,8 @@ def resembling(blocks: DataFrame, threshold: float, bands: int, rows: int) -> Da
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for row in range(batch.num_rows):  # one at a time: a row holds two blocks' sets
+                r = batch.slice(row, 1).to_pylist()[0]
                 x, y = (np.frombuffer(b"".join(r[c]), "<u2").reshape(-1, k) for c in ("sigs", "sigs2"))
                 u, v = (np.frombuffer(b"".join(r[c]), np.int64).reshape(-1, bands) for c in ("keyss", "keyss2"))
                 ids, ids2 = np.array(r["doc_ids"]), np.array(r["doc_ids2"])

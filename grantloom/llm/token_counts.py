@@ -30,6 +30,9 @@ neither read nor returned.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate, chain
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +61,11 @@ def chunk_leaves(chunk: str, bpe: Bpe) -> list[int]:
 
 
 def leaves_of(text: str, bpe: Bpe) -> list[int]:
-    return [x for c in bpe.chunks(text) for x in (MET.get(c) or chunk_leaves(c, bpe))]
+    chunks = bpe.chunks(text)
+    got = list(map(MET.get, chunks))
+    if None in got:
+        got = [chunk_leaves(c, bpe) if x is None else x for c, x in zip(chunks, got, strict=True)]
+    return list(chain.from_iterable(got))
 
 
 class CountTree:
@@ -110,10 +117,9 @@ class CountTree:
             k, left = 2 * k, self.sums[2 * k] // ONE
             if pos >= start + left:
                 k, start = k + 1, start + left
-        block, i, at = self.blocks[k - self.size], 0, start
-        while i < len(block) - 1 and pos >= at + block[i] // ONE:
-            i, at = i + 1, at + block[i] // ONE
-        return k - self.size, i, at, start
+        ends = list(accumulate(self.blocks[k - self.size]))
+        i = min(bisect_right(ends, (pos - start) * ONE + ONE - 1), len(ends) - 1)
+        return k - self.size, i, start + (ends[i - 1] // ONE if i else 0), start
 
     def edit(self, start: int, n_del: int, insert: str) -> None:
         n = self.sums[1] // ONE
