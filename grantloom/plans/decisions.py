@@ -254,8 +254,15 @@ add("I9_match_notifications", lambda s, d: C.watch_status(view(s, d, "candidates
     f"select watch_id, call_id, version_number, case status when 'MATCHED' then 'NEW_MATCH' else 'MATCH_NEEDS_INFORMATION' end as kind from (select *, {STATUS} as status from {{candidates}}) where status in ('MATCHED', 'NEEDS_INFORMATION')")
 add("I10_change_notifications", lambda s, d: C.scalar_events(view(s, d, "steps")).filter("severity <> 'EDITORIAL'").select("event_id", "severity", F.concat_ws(" → ", F.coalesce("old_value", F.lit("?")), F.coalesce("new_value", F.lit("?"))).alias("body"), F.col("severity").isin("CRITICAL", "IMPORTANT").alias("push")),
     f"select left(sha256(concat(call_id, chr(31), version_number, chr(31), field_path, chr(31), change_type)), 24) as event_id, severity, coalesce(old_value, '?') || ' → ' || coalesce(new_value, '?') as body, severity in ('CRITICAL', 'IMPORTANT') as push from ({EVENTS}) where severity <> 'EDITORIAL'")
-add("I11_deadline_reminders", lambda s, d: view(s, d, "versions").withColumn("days", F.date_diff("close_at", F.lit("1997-01-01").cast("date"))).filter(F.col("days").isin(60, 30, 14, 7, 3, 1)).select("call_id", "version_number", F.col("days").cast("long").alias("days"), F.when(F.col("days") <= 3, "CRITICAL").otherwise("IMPORTANT").alias("severity")),
-    "select call_id, version_number, (close_at - date '1997-01-01')::bigint as days, case when close_at - date '1997-01-01' <= 3 then 'CRITICAL' else 'IMPORTANT' end as severity from {versions} where close_at - date '1997-01-01' in (60, 30, 14, 7, 3, 1)")
+def reminders(s, d):
+    """Calls due in so many days, unless the reminder has been sent already."""
+    due = view(s, d, "versions").withColumn("days", F.date_diff("close_at", F.lit("1997-01-01").cast("date"))).filter(F.col("days").isin(60, 30, 14, 7, 3, 1))
+    sent = view(s, d, "versions").filter("quantity % 3 = 0").select("call_id", "version_number", F.lit(30).alias("days")).distinct()
+    return due.join(sent, ["call_id", "version_number", "days"], "left_anti").select("call_id", "version_number", F.col("days").cast("long").alias("days"), F.when(F.col("days") <= 3, "CRITICAL").otherwise("IMPORTANT").alias("severity"))
+
+
+add("I11_deadline_reminders", reminders,
+    "select call_id, version_number, (close_at - date '1997-01-01')::bigint as days, case when close_at - date '1997-01-01' <= 3 then 'CRITICAL' else 'IMPORTANT' end as severity from {versions} where close_at - date '1997-01-01' in (60, 30, 14, 7, 3, 1) and not (quantity % 3 = 0 and close_at - date '1997-01-01' = 30)")
 add("I12_channels", lambda s, d: view(s, d, "outbox").select("dedupe_key", F.explode(F.when(F.col("user_id") % 4 == 0, F.array(F.lit("IN_APP"), F.lit("WEB_PUSH"))).otherwise(F.array(F.lit("IN_APP")))).alias("channel")).dropDuplicates(["dedupe_key", "channel"]),
     "select distinct dedupe_key, unnest(case when user_id % 4 = 0 then ['IN_APP', 'WEB_PUSH'] else ['IN_APP'] end) as channel from {outbox}")
 add("I13_feed", lambda s, d: view(s, d, "outbox").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))).filter("r <= 50").select("user_id", "event_id", "r"),

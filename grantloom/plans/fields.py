@@ -127,19 +127,8 @@ add(
         case when m is not null then q end as floor, case when m is not null then q + case when rest > 0 then 1 else 0 end end as ceiling, case when m is not null then q end as down, case when m is not null then q + case when rest > 0 then 1 else 0 end end as up
         from (select id, m, k, (c * m) // k as q, (c * m) % k as rest from (select id, cast(round(o_totalprice * 100) as bigint) as c, case id % 5 when 0 then 1 when 1 then 1000 when 2 then null else 100 end as m, 1000 as k from {raw_money}))""",
 )
-add(
-    "B24_range",
-    lambda s, d: view(s, d, "funded").select("project_id", "scenario_id", N.clamp(F.col("eligible_minor"), F.col("cost_min_minor"), F.col("cost_max_minor")).alias("clamped"), N.in_range(F.col("total_minor"), F.col("cost_min_minor"), F.col("cost_max_minor")).alias("inside")),
-    "select project_id, scenario_id, case when eligible_minor is not null then least(greatest(eligible_minor, cost_min_minor), cost_max_minor) end as clamped, (cost_min_minor is null or total_minor >= cost_min_minor) and (cost_max_minor is null or total_minor <= cost_max_minor) as inside from {funded}",
-)
 add("B25_rate_apply", lambda s, d: view(s, d, "funded").select("project_id", "scenario_id", N.rate_apply(F.col("eligible_minor"), F.col("rate_bps")).alias("amount")), "select project_id, scenario_id, (eligible_minor * rate_bps) // 10000 as amount from {funded}")
 add("B27_instrument_type", lambda s, d: raw(s, d, "words").select("id", N.instrument_type(F.when(F.col("id") % 3 == 0, "Záruka za úvěr").when(F.col("id") % 3 == 1, "úvěr s dotací").otherwise("úvěr")).alias("kind")), "select id, case id % 3 when 0 then 'GUARANTEE' when 1 then 'MIXED' else 'LOAN' end as kind from {raw_words}")
-add(
-    "B28_money_with_currency",
-    lambda s, d: raw(s, d, "money").select("id", N.money_in_text(F.col("prose")).alias("minor"), F.when(F.contains("prose", F.lit("Kč")), "CZK").alias("currency")),
-    "select id, case id % 3 when 0 then ((id % 90 + 1) * 10 + 5) * 10000000 when 1 then (id % 900) * 100000 end as minor, case when id % 3 < 2 then 'CZK' end as currency from {raw_money}",
-)
-add("B29_percent_in_text", lambda s, d: raw(s, d, "money").select("id", N.max_percent_in_text(F.col("rates")).alias("bps")), "select id, greatest((id % 70) * 100, (id % 99) * 100 + 50)::int as bps from {raw_money}")
 add(
     "B34_pick_deadline",
     lambda s, d: view(s, d, "versions").groupBy("call_id").agg(F.array_sort(F.collect_set("close_at")).alias("dates")).select(
@@ -155,11 +144,6 @@ add(
 
 PROSE = """select o_orderkey as id, concat('Podpora: min. ', cast(o_orderkey % 90 + 1 as string), ' tis. Kč, max. ', cast(o_orderkey % 40 + 2 as string), ' mil. Kč. Termín ', cast(o_orderkey % 28 + 1 as string), '. 3. 2024 - ', cast(o_orderkey % 28 + 1 as string), '. 5. 2024. Poslední změna.') as prose from {orders}"""
 amounts = lambda c, unit: F.transform(F.regexp_extract_all(c, F.lit(rf"(\d+) {unit}\. Kč"), F.lit(1)), lambda x: x.cast("bigint"))
-add(
-    "B30_cost_limits",
-    lambda s, d: sql(s, d, PROSE).withColumn("all", F.concat(F.transform(amounts("prose", "tis"), lambda x: x * 1000), F.transform(amounts("prose", "mil"), lambda x: x * 1_000_000))).select("id", F.array_min("all").alias("low"), F.when(F.size("all") > 1, F.array_max("all")).alias("high")),
-    "select o_orderkey as id, (o_orderkey % 90 + 1) * 1000 as low, (o_orderkey % 40 + 2) * 1000000 as high from {orders}",
-)
 add(
     "B32_date_range",
     lambda s, d: sql(s, d, PROSE).select("id", F.split(F.regexp_extract("prose", r"(\d{1,2}\. \d{1,2}\. \d{4} - \d{1,2}\. \d{1,2}\. \d{4})", 1), " - ").alias("r")).select("id", ISO(N.cz_date(F.concat(F.col("r")[0], F.lit(" 00:00")))).alias("opens"), ISO(N.cz_date(F.col("r")[1])).alias("closes")),
@@ -238,3 +222,27 @@ add(
     select id, 'grant:eu-ft:EU-' || id as call_id, 'grant:eu-ft:EU-' || id || ':sha:' || {SHA_SQL} as version_id, 'programme:eu-ft:' || case when id % 3 = 0 then 'catalogue' else fw end as programme_id, prog as programme_name, p_name as title, txt as summary,
     case id % 4 when 0 then 'PLANNED' when 1 then 'OPEN' when 2 then 'CLOSED' else 'ARCHIVED' end as status, txt || ' ' || p_type || ' & more' as activities, '2024-01-' || (10 + p_size % 20) as opens, null::varchar as closes, 'EU-' || id || ' ' || p_brand || ' ' || p_size || ' ' || prog as keywords, 'EUR' as currency from q""",
 )
+
+MONEY = ("cost_min_minor", "cost_max_minor", "scenario_currency")
+add(
+    "B24_range",
+    lambda s, d: view(s, d, "funded").select(
+        "project_id", "scenario_id", N.clamp(col("eligible_minor"), col("currency"), *[col(c) for c in MONEY]).alias("clamped"), N.in_range(col("total_minor"), col("currency"), *[col(c) for c in MONEY]).alias("inside"),
+        N.intersect(col("cost_min_minor"), col("cost_max_minor"), col("scenario_currency"), col("min_minor"), col("cap_minor"), col("currency")).alias("x"),
+    ).select("project_id", "scenario_id", "clamped", "inside", col("x").isNotNull().alias("meets"), "x.low", "x.high"),
+    """with f as (select *, (cost_min_minor is null and cost_max_minor is null) or (min_minor is null and cap_minor is null) as blank, greatest(cost_min_minor, min_minor) as a, least(cost_max_minor, cap_minor) as b from {funded}),
+    g as (select *, blank or (currency = scenario_currency and (a is null or b is null or a <= b)) as meets from f)
+    select project_id, scenario_id, case when eligible_minor is not null and currency = scenario_currency then least(greatest(eligible_minor, cost_min_minor), cost_max_minor) end as clamped,
+        case when currency = scenario_currency and not (cost_min_minor is null and cost_max_minor is null) then (cost_min_minor is null or total_minor >= cost_min_minor) and (cost_max_minor is null or total_minor <= cost_max_minor) end as inside,
+        meets, case when meets and not blank then a end as low, case when meets and not blank then b end as high from g""",
+)
+AMOUNTS = """select o_orderkey as id, concat('Alokace ', case o_orderkey % 6 when 0 then concat(cast(o_orderkey % 90 + 1 as string), ',5 mil. Kč') when 1 then concat(cast(o_orderkey % 900 as string), ' 000 CZK') when 2 then concat('1,', lpad(cast(o_orderkey % 1000 as string), 3, '0'), '.25 EUR') when 3 then concat(cast(o_orderkey % 70 as string), ' €') when 4 then concat(cast(o_orderkey % 9 as string), ' MLD Kč, z toho 1 mil. Kč') else 'neuvedena' end, '. Sazba ',
+    case when o_orderkey % 4 = 0 then 'neuvedena' else concat(cast(o_orderkey % 50 as string), ',5 %, max. ', cast(o_orderkey % 40 + 40 as string), ' %') end, '. Náklady: ', case o_orderkey % 3 when 0 then concat('min. ', cast(o_orderkey % 90 + 1 as string), ' tis. Kč, max. ', cast(o_orderkey % 40 + 2 as string), ',5 mil. Kč') when 1 then concat('do ', cast(o_orderkey % 5 + 1 as string), ' mil Kč') else 'bez limitu' end) as body from {orders}"""
+split = lambda k: F.split("body", r"\. (?=Sazba|Náklady)")[k]
+add("B28_money_with_currency", lambda s, d: sql(s, d, AMOUNTS).select("id", *[c.alias(k) for c, k in zip(N.money_with_currency(split(0)), ("minor", "currency"), strict=True)]),
+    """select o_orderkey as id, case o_orderkey % 6 when 0 then (o_orderkey % 90 + 1) * 100000000 + 50000000 when 1 then (o_orderkey % 900) * 100000 when 2 then 100025 + (o_orderkey % 1000) * 100 when 3 then (o_orderkey % 70) * 100 when 4 then (o_orderkey % 9) * 100000000000 end::bigint as minor,
+    case when o_orderkey % 6 in (0, 1, 4) then 'CZK' when o_orderkey % 6 in (2, 3) then 'EUR' end as currency from {orders}""")
+add("B29_percent_in_text", lambda s, d: sql(s, d, AMOUNTS).select("id", *[c.alias(k) for k, c in N.percent_in_text(split(1)).items()]),
+    """select o_orderkey as id, case when o_orderkey % 4 > 0 then (o_orderkey % 50) * 100 + 50 end::int as first, case when o_orderkey % 4 > 0 then greatest((o_orderkey % 50) * 100 + 50, (o_orderkey % 40 + 40) * 100) end::int as top, case when o_orderkey % 4 > 0 then (o_orderkey % 40 + 40) * 100 end::int as "limit" from {orders}""")
+add("B30_cost_limits", lambda s, d: sql(s, d, AMOUNTS).select("id", *[c.alias(k) for c, k in zip(N.cost_limits(split(2)), ("low", "high"), strict=True)]),
+    "select o_orderkey as id, case o_orderkey % 3 when 0 then (o_orderkey % 90 + 1) * 1000 when 1 then (o_orderkey % 5 + 1) * 1000000 end::bigint as low, case when o_orderkey % 3 = 0 then (o_orderkey % 40 + 2) * 1000000 + 500000 end::bigint as high from {orders}")

@@ -233,7 +233,9 @@ def similar_awards(s, d):
     n = mine.groupBy("query_id").agg(F.count("*").alias("n"))
     shared = mine.join(h, "term").filter("query_id <> id").groupBy("query_id", "id").agg(F.count("*").alias("shared")).join(n, "query_id")
     shared = shared.withColumn("ppm", F.floor(F.col("shared") * 1_000_000 / F.col("n")).cast("long"))
-    w = Window.partitionBy("query_id").orderBy(F.col("ppm").desc(), F.col("id"))
+    when = view(s, d, "versions").groupBy(F.col("call_id").alias("id")).agg(F.max(F.year("close_at")).alias("year"))
+    shared = shared.join(view(s, d, "calls").select(F.col("call_id").alias("id"), "title"), "id").join(when, "id", "left")
+    w = Window.partitionBy("query_id").orderBy(F.col("ppm").desc(), F.col("year").desc_nulls_last(), "title", "id")
     return shared.withColumn("rank", F.row_number().over(w)).filter("rank <= 5").select("query_id", "id", "shared", "ppm", "rank")
 
 
@@ -242,7 +244,7 @@ add(
     similar_awards,
     f"""with h as ({HITS}), m as (select id as query_id, term, count(*) over (partition by id) as n from h where id % 20 = 0),
         j as (select query_id, h.id, count(*) as shared, (count(*) * 1000000) // first(n) as ppm from m join h using (term) where query_id <> h.id group by query_id, h.id)
-        select * from (select *, row_number() over (partition by query_id order by ppm desc, id) as rank from j) where rank <= 5""",
+        select query_id, id, shared, ppm, rank from (select j.*, row_number() over (partition by query_id order by ppm desc, y.year desc nulls last, c.title, j.id) as rank from j join {{calls}} c on c.call_id = j.id left join (select call_id, max(year(close_at)) as year from {{versions}} group by call_id) y on y.call_id = j.id) where rank <= 5""",
 )
 def comparison(s, d):
     """Calls three by three in the order of their ids, attributes as rows."""

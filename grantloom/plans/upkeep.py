@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grantloom.operators import versioning as V
 from grantloom.plans import decisions
-from grantloom.views import duck, view
+from grantloom.views import duck, sql, view
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -79,20 +79,32 @@ add("E11_usage_state", lambda s, d: view(s, d, "events").groupBy("user_id").agg(
 add("E12_constraints", lambda s, d: view(s, d, "funded").withColumn("v", F.array_compact(F.array(F.when(~col("rate_bps").between(0, 2500), "RATE_RANGE"), F.when(col("min_minor") > 500000, "MIN_TOO_HIGH"), F.when(~col("currency").isin("CZK"), "CURRENCY")))).filter("size(v) > 0").select("project_id", "scenario_id", F.array_join("v", ",").alias("violations")),
     "select * from (select project_id, scenario_id, concat_ws(',', case when rate_bps not between 0 and 2500 then 'RATE_RANGE' end, case when min_minor > 500000 then 'MIN_TOO_HIGH' end, case when currency <> 'CZK' then 'CURRENCY' end) as violations from {funded}) where violations <> ''")
 add("E14_all_missing", lambda s, d: view(s, d, "observations").groupBy("external_id").agg(F.every(col("day") < F.lit("2024-01-10").cast("date")).alias("all_missing")), "select external_id, bool_and(day < '2024-01-10') as all_missing from {observations} group by 1")
-add("E15_filter_audit", lambda s, d: view(s, d, "search_docs").filter("not (status in ('OPEN', 'PLANNED') and close_at is not null)").select("doc_id", "status"), "select doc_id, status from {search_docs} where not (status in ('OPEN', 'PLANNED') and close_at is not null)")
-add("E16_field_validation", lambda s, d: view(s, d, "customer").select("c_custkey", F.array_join(F.array_compact(F.array(F.when(~F.lpad(col("c_custkey").cast("string"), 8, "0").rlike(r"^\d{8}$"), "ID"), F.when(~col("c_mktsegment").isin("BUILDING", "MACHINERY", "HOUSEHOLD"), "SEGMENT"), F.when(col("c_acctbal") < 0, "BALANCE"))), ",").alias("problems")), "select c_custkey, concat_ws(',', case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') then 'SEGMENT' end, case when c_acctbal < 0 then 'BALANCE' end) as problems from {customer}")
+REQUESTS = """select o_orderkey as request_id, o_custkey % 97 as doc_id, case o_orderkey % 3 when 0 then 'OPEN' when 1 then 'PLANNED' end as status, case when o_orderkey % 4 = 0 then concat('src', cast(o_orderkey % 5 as string)) end as provider, case o_orderkey % 5 when 0 then 'KNOWN' when 1 then 'UNKNOWN' end as deadline,
+    case when o_orderkey % 6 < 3 then date '2024-02-01' end as closes_from, case when o_orderkey % 7 < 3 then date '2025-02-01' end as closes_by from {orders}"""
+FAULTS = {"STATUS": "r.status <> d.status", "PROVIDER": "r.provider <> d.provider", "DEADLINE": "(r.deadline = 'KNOWN' and d.close_at is null) or (r.deadline = 'UNKNOWN' and d.close_at is not null)", "DATE_WINDOW": "(r.closes_from is not null and (d.close_at is null or d.close_at < r.closes_from)) or (r.closes_by is not null and (d.close_at is null or d.close_at > r.closes_by))"}
+FAULTY = lambda quote: ", ".join(f"case when {c} then '{k}' end" for k, c in FAULTS.items())
+add("E15_filter_audit", lambda s, d: sql(s, d, REQUESTS).alias("r").join(view(s, d, "search_docs").select("doc_id", "status", "provider", "close_at").alias("d"), "doc_id").select("request_id", "doc_id", F.expr(f"concat_ws(',', {FAULTY('')})").alias("faults")).filter("faults <> ''"),
+    f"select * from (select request_id, doc_id, concat_ws(',', {FAULTY('')}) as faults from ({REQUESTS}) r join {{search_docs}} d using (doc_id)) where faults <> ''")
+FIELDS = """select c_custkey as subject_id, case c_custkey % 5 when 0 then cast(c_custkey as string) when 1 then '12a45678' else lpad(cast(c_custkey as string), 8, '0') end as ico, case c_custkey % 4 when 0 then '2024-02-30' when 1 then '2024-2-3' when 2 then null else '2024-02-29' end as founded, c_mktsegment as segment,
+    case c_custkey % 3 when 0 then 'a,b,a' when 1 then 'a,,b' else 'a,b' end as codes from {customer}"""
+add("E16_field_validation", lambda s, d: sql(s, d, FIELDS).withColumn("cs", F.split("codes", ",")).select("subject_id", F.array_join(F.array_compact(F.array(
+        F.when(~col("ico").rlike(r"^[0-9]{8}$"), "ID"), F.when(col("founded").isNotNull() & (~col("founded").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") | F.try_to_date("founded", "yyyy-MM-dd").isNull()), "DATE"), F.when(~col("segment").isin("BUILDING", "MACHINERY", "HOUSEHOLD"), "SEGMENT"),
+        F.when(F.exists("cs", lambda x: F.trim(x) == ""), "BLANK_CODE"), F.when(F.size(F.array_distinct("cs")) < F.size("cs"), "REPEATED_CODE"), F.when(F.size("cs") > 50, "TOO_MANY_CODES"))), ",").alias("problems")),
+    "select c_custkey as subject_id, concat_ws(',', case when (c_custkey % 5 = 0 and c_custkey < 10000000) or c_custkey % 5 = 1 then 'ID' end, case when c_custkey % 4 < 2 then 'DATE' end, case when c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') then 'SEGMENT' end, case when c_custkey % 3 = 1 then 'BLANK_CODE' end, case when c_custkey % 3 = 0 then 'REPEATED_CODE' end) as problems from {customer}")
 
 
 def tasks(s, d):
     r = view(s, d, "requirements")
-    status = F.when(col("necessity") == "REQUIRED", "TODO").when(col("necessity") == "RECOMMENDED", "TODO").when(col("condition_applies").isNull(), "NEEDS_CONFIRMATION").when(col("condition_applies"), "TODO").otherwise("NOT_APPLICABLE")
-    blocking = (col("necessity") == "REQUIRED") | ((col("necessity") == "CONDITIONAL") & F.coalesce("condition_applies", F.lit(True)))
-    return r.select("call_id", "version_number", "requirement_id", status.alias("status"), blocking.alias("blocking"), F.when(col("necessity") == "REQUIRED", 10).when(col("necessity") == "CONDITIONAL", 20).otherwise(50).alias("priority"))
+    free = (col("necessity") == "CONDITIONAL") & (~F.coalesce("condition_applies", F.lit(True)))
+    blocking = ((col("necessity") == "REQUIRED") | (col("necessity") == "CONDITIONAL")) & ~free
+    reason = F.when(col("necessity") == "REQUIRED", "REQUIRED_BY_CALL").when(col("necessity") != "CONDITIONAL", "RECOMMENDED").when(col("condition_applies").isNull(), "CONDITION_UNKNOWN").when(col("condition_applies"), "CONDITION_TRUE").otherwise("CONDITION_FALSE")
+    return r.select("call_id", "version_number", "requirement_id", F.when(free, "NOT_APPLICABLE").otherwise("TODO").alias("status"), blocking.alias("blocking"), F.when(blocking, 30).otherwise(100).alias("priority"), reason.alias("reason"))
 
 
-TASKS = "select call_id, version_number, requirement_id, case when necessity <> 'CONDITIONAL' then 'TODO' when condition_applies is null then 'NEEDS_CONFIRMATION' when condition_applies then 'TODO' else 'NOT_APPLICABLE' end as status, necessity = 'REQUIRED' or (necessity = 'CONDITIONAL' and coalesce(condition_applies, true)) as blocking, case necessity when 'REQUIRED' then 10 when 'CONDITIONAL' then 20 else 50 end as priority from {requirements}"
+TASKS = """select call_id, version_number, requirement_id, case when necessity = 'CONDITIONAL' and not condition_applies then 'NOT_APPLICABLE' else 'TODO' end as status, necessity = 'REQUIRED' or (necessity = 'CONDITIONAL' and condition_applies is distinct from false) as blocking,
+    case when necessity = 'REQUIRED' or (necessity = 'CONDITIONAL' and condition_applies is distinct from false) then 30 else 100 end as priority, case when necessity = 'REQUIRED' then 'REQUIRED_BY_CALL' when necessity = 'RECOMMENDED' then 'RECOMMENDED' when condition_applies is null then 'CONDITION_UNKNOWN' when condition_applies then 'CONDITION_TRUE' else 'CONDITION_FALSE' end as reason from {requirements}"""
 add("J1_requirement_tasks", tasks, TASKS)
-add("J4_task_order", lambda s, d: tasks(s, d).withColumn("place", F.row_number().over(W("call_id", "version_number").orderBy(col("blocking").desc(), "priority", "requirement_id"))).select("call_id", "version_number", "requirement_id", "place"), f"select call_id, version_number, requirement_id, row_number() over (partition by call_id, version_number order by blocking desc, priority, requirement_id) as place from ({TASKS})")
+add("J4_task_order", lambda s, d: (lambda t: t.unionByName(t.filter("blocking")).withColumn("twin", F.row_number().over(W("call_id", "version_number", "requirement_id").orderBy("status"))).filter("twin = 1"))(tasks(s, d)).withColumn("place", F.row_number().over(W("call_id", "version_number").orderBy(col("blocking").desc(), "priority", "requirement_id"))).select("call_id", "version_number", "requirement_id", "place"), f"select call_id, version_number, requirement_id, row_number() over (partition by call_id, version_number order by blocking desc, priority, requirement_id) as place from ({TASKS})")
 add("J5_readiness", lambda s, d: tasks(s, d).withColumn("done", F.pmod(col("call_id") + F.length("requirement_id"), F.lit(2)) == 0).filter("status <> 'NOT_APPLICABLE'").groupBy("call_id", "version_number").agg(F.count("*").alias("active"), F.count_if("done").alias("finished"), F.count_if(col("blocking") & ~col("done")).alias("open_blocking"), F.min_by("requirement_id", F.when(~col("done"), F.struct(~col("blocking"), "priority", "requirement_id"))).alias("next")).withColumn("percent", F.bround(col("finished") * 100 / col("active").cast("decimal(20,0)"), 0).cast("int")).withColumn("state", F.when(col("open_blocking") > 0, "BLOCKED").when(col("finished") < col("active"), "NEEDS_ACTION").otherwise("READY")),
     f"""select call_id, version_number, active, finished, open_blocking, "next", case when (finished * 100) % active * 2 = active then case when (finished * 100) // active % 2 = 0 then (finished * 100) // active else (finished * 100) // active + 1 end when (finished * 100) % active * 2 > active then (finished * 100) // active + 1 else (finished * 100) // active end::int as percent, case when open_blocking > 0 then 'BLOCKED' when finished < active then 'NEEDS_ACTION' else 'READY' end as state
     from (select call_id, version_number, count(*) as active, count(*) filter (done) as finished, count(*) filter (blocking and not done) as open_blocking, arg_min(requirement_id, (case when blocking then '0' else '1' end) || lpad(priority::varchar, 3, '0') || requirement_id) filter (not done) as "next" from (select *, (call_id + length(requirement_id)) % 2 = 0 as done from ({TASKS})) where status <> 'NOT_APPLICABLE' group by 1, 2)""")
@@ -123,9 +135,31 @@ add("D16_reprocess", lambda s, d: view(s, d, "projects").filter("eligible_minor
     "select project_id, case when vat_minor is not null then 'RESOLVED' else 'OPEN' end as state, 2 as parser_version from {projects} where eligible_minor is null")
 add("F20_export_check", lambda s, d: view(s, d, "calls").join(view(s, d, "versions").groupBy("call_id").agg(F.count_if(col("status") == "OPEN").alias("evidence")), "call_id", "left").select("call_id", F.array_join(F.array_compact(F.array(F.when(F.trim("provider") == "", "NO_PROVIDER"), F.when(F.coalesce("evidence", F.lit(0)) == 0, "NO_EVIDENCE"))), ",").alias("problems")),
     "select call_id, concat_ws(',', case when trim(provider) = '' then 'NO_PROVIDER' end, case when coalesce(e, 0) = 0 then 'NO_EVIDENCE' end) as problems from {calls} left join (select call_id, count(*) filter (status = 'OPEN') as e from {versions} group by 1) using (call_id)")
-FUNDING = ("rate_bps", "cap_minor")
-add("I4_scenario_diff", lambda s, d: view(s, d, "steps").filter("old_number is not null").select("call_id", "version_number", F.expr("stack(2, 'rate_bps', old_rate_bps, rate_bps, 'cap_minor', old_cap_minor, cap_minor) as (field, old_value, new_value)")).filter(~col("old_value").eqNullSafe(col("new_value"))),
-    " union all ".join(f"select call_id, version_number, '{c}' as field, old_{c} as old_value, {c} as new_value from {{steps}} where old_number is not null and old_{c} is distinct from {c}" for c in FUNDING))
+FUNDING = ("rate_min", "rate_max", "grant_min", "grant_max", "payment_mode", "advance", "cost_min", "cost_max")
+SCENARIOS = """select call_id, version_number, concat('s', cast(l_suppkey % 2 as string)) as scenario_id, cast(rate_bps as string) as rate_min, cast(rate_bps + 1000 as string) as rate_max, cast(case when quantity % 8 = 5 then cap_minor end as string) as grant_min, cast(cap_minor as string) as grant_max,
+    case l_suppkey % 3 when 0 then 'REIMBURSEMENT' when 1 then 'ADVANCE' else 'UNKNOWN' end as payment_mode, cast(l_suppkey % 4 = 0 as string) as advance, cast(case when quantity % 10 = 7 then 10000000 end as string) as cost_min, cast(case when quantity % 10 = 8 then 20000000 end as string) as cost_max from {versions}"""
+
+
+def scenario_diff(s, d):
+    """Scenarios of consecutive versions: whole ones that came or went, and fields that changed."""
+    new = sql(s, d, SCENARIOS)
+    old = new.select("call_id", (col("version_number") + 1).alias("version_number"), "scenario_id", F.struct(*FUNDING).alias("o"))
+    known = new.filter("version_number > 1").select("call_id", "version_number").distinct()
+    both = new.select("call_id", "version_number", "scenario_id", F.struct(*FUNDING).alias("n")).join(old, ["call_id", "version_number", "scenario_id"], "full_outer").join(known, ["call_id", "version_number"], "left_semi")
+    kind = lambda c: F.lit("BUDGET_CHANGED" if c.startswith("cost") else "FUNDING_CHANGED")
+    one = lambda path, k, o, n: F.struct(F.lit(path).alias("field"), k.alias("kind"), o.alias("old_value"), n.alias("new_value"))
+    fields = F.filter(F.array(*[one(c, kind(c), col(f"o.{c}"), col(f"n.{c}")) for c in FUNDING]), lambda x: ~x["old_value"].eqNullSafe(x["new_value"]))
+    whole = F.array(one("", F.lit("FUNDING_CHANGED"), F.when(col("o").isNotNull(), "scenario"), F.when(col("n").isNotNull(), "scenario")))
+    return both.select("call_id", "version_number", "scenario_id", F.inline(F.when(col("o").isNull() | col("n").isNull(), whole).otherwise(fields)))
+
+
+PAIRS = f"with n as ({SCENARIOS}), p as (select n.call_id, n.version_number, n.scenario_id as new_id, o.scenario_id as old_id, {', '.join(f'n.{c} as n_{c}, o.{c} as o_{c}' for c in FUNDING)} from n join n o on o.call_id = n.call_id and o.version_number + 1 = n.version_number)"
+add(
+    "I4_scenario_diff",
+    scenario_diff,
+    PAIRS + " select call_id, version_number, new_id as scenario_id, '' as field, 'FUNDING_CHANGED' as kind, null::varchar as old_value, 'scenario' as new_value from p where new_id <> old_id union all select call_id, version_number, old_id, '', 'FUNDING_CHANGED', 'scenario', null from p where new_id <> old_id union all "
+    + " union all ".join(f"select call_id, version_number, new_id, '{c}', '{'BUDGET' if c.startswith('cost') else 'FUNDING'}_CHANGED', o_{c}, n_{c} from p where new_id = old_id and o_{c} is distinct from n_{c}" for c in FUNDING),
+)
 
 
 def eligibility_tasks(s, d):

@@ -95,3 +95,44 @@ def test_plans_have_no_products_or_row_udfs(spark):
     for name in ("F3_ontology_match", "H3_finance", "I6_watch_fanout", "G4_public_status"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan
+
+
+CONDITIONS = [
+    # type, value, operator, expected, policy, result
+    ("STRING", '"a"', "EQ", '"a"', "UNKNOWN", "PASS"), ("STRING", '"a"', "NEQ", '"a"', "UNKNOWN", "FAIL"), ("STRING", "7", "EQ", '"7"', "UNKNOWN", "ERROR"), ("STRING", '"abc"', "CONTAINS", '"b"', "UNKNOWN", "PASS"), ("STRING", '"abc"', "CONTAINS", "1", "UNKNOWN", "ERROR"),
+    ("ENUM", '"x"', "IN", '["x","y"]', "UNKNOWN", "PASS"), ("ENUM", '"z"', "NOT_IN", '["x","y"]', "UNKNOWN", "PASS"), ("ENUM", '"x"', "IN", '"x"', "UNKNOWN", "ERROR"), ("ENUM", '"x"', "IN", '["x",1]', "UNKNOWN", "ERROR"), ("ENUM", '"x"', "IN", "[]", "UNKNOWN", "FAIL"),
+    ("INTEGER", "5", "BETWEEN", "[5, 9]", "UNKNOWN", "PASS"), ("INTEGER", "5", "BETWEEN", "[9, 5]", "UNKNOWN", "ERROR"), ("INTEGER", "5", "BETWEEN", "[1]", "UNKNOWN", "ERROR"), ("INTEGER", "true", "EQ", "1", "UNKNOWN", "ERROR"), ("INTEGER", "5.0", "EQ", "5", "UNKNOWN", "ERROR"),
+    ("INTEGER", "123456789012345678901", "GT", "123456789012345678900", "UNKNOWN", "PASS"), ("MONEY_MINOR", "10", "LT", "9", "UNKNOWN", "FAIL"), ("PERCENT_BPS", "10", "GTE", "10", "UNKNOWN", "PASS"), ("INTEGER", "5", "CONTAINS", "5", "UNKNOWN", "ERROR"), ("INTEGER", '"5"', "EXISTS", None, "UNKNOWN", "ERROR"),
+    ("NUMBER", "1", "EQ", "1.0", "UNKNOWN", "PASS"), ("NUMBER", "1e3", "LTE", "1000", "UNKNOWN", "PASS"), ("NUMBER", "false", "EQ", "0", "UNKNOWN", "ERROR"), ("BOOLEAN", "true", "EQ", "true", "UNKNOWN", "PASS"), ("BOOLEAN", "1", "EQ", "true", "UNKNOWN", "ERROR"),
+    ("STRING_SET", '["a","b"]', "INTERSECTS", '["b","c"]', "UNKNOWN", "PASS"), ("STRING_SET", '["a"]', "INTERSECTS", '["c"]', "UNKNOWN", "FAIL"), ("STRING_SET", '["b","a","b"]', "EQ", '["a","b"]', "UNKNOWN", "PASS"), ("STRING_SET", '["a",1]', "CONTAINS", '"a"', "UNKNOWN", "ERROR"), ("STRING_SET", '["a"]', "CONTAINS", '"a"', "UNKNOWN", "PASS"), ("ENUM", '"a"', "INTERSECTS", '["a"]', "UNKNOWN", "ERROR"),
+    ("DATE", '"2024-02-29"', "DATE_BEFORE", '"2024-03-01"', "UNKNOWN", "PASS"), ("DATE", '"2023-02-29"', "DATE_BEFORE", '"2024-03-01"', "UNKNOWN", "ERROR"), ("DATETIME", '"2024-01-01T10:00:00Z"', "DATE_AFTER", '"2024-01-01T10:30:00+01:00"', "UNKNOWN", "PASS"), ("INTEGER", "5", "DATE_AFTER", "4", "UNKNOWN", "ERROR"),
+    ("GEO_ID", '"n1"', "GEO_WITHIN", '"r1"', "UNKNOWN", "PASS"), ("GEO_ID", '"n1"', "GEO_NOT_WITHIN", '"r2"', "UNKNOWN", "PASS"), ("GEO_ID", '"n9"', "GEO_WITHIN", '"r1"', "UNKNOWN", "UNKNOWN"), ("GEO_ID", '"n1"', "GEO_WITHIN", '"r9"', "UNKNOWN", "UNKNOWN"), ("STRING", '"n1"', "GEO_WITHIN", '"r1"', "UNKNOWN", "ERROR"),
+    ("INTEGER", None, "EQ", "1", "UNKNOWN", "UNKNOWN"), ("INTEGER", None, "EQ", "1", "NOT_APPLICABLE", "NOT_APPLICABLE"), ("INTEGER", "null", "EXISTS", None, "UNKNOWN", "UNKNOWN"), ("INTEGER", "absent", "EXISTS", None, "UNKNOWN", "FAIL"), ("INTEGER", "absent", "NOT_EXISTS", None, "UNKNOWN", "PASS"), ("INTEGER", "absent", "EQ", "1", "UNKNOWN", "UNKNOWN"),
+    ("INTEGER", "1", "NOT_EXISTS", None, "UNKNOWN", "FAIL"), ("STRING", '"a"', "LIKE", '"a"', "UNKNOWN", "ERROR"),
+]
+
+
+def test_conditions_of_all_types(spark):
+    rules = [(1, f"c{k}", "g", f"a{k}", kind, op, expected, policy, True, True) for k, (kind, _, op, expected, policy, _) in enumerate(CONDITIONS)]
+    values = [(7, f"a{k}", None if v == "absent" else v, v == "absent") for k, (_, v, _, _, _, _) in enumerate(CONDITIONS) if v is not None]
+    got = rules.evaluate(
+        spark.createDataFrame([(7, 1)], "subject_id long, rule_set int"),
+        spark.createDataFrame(rules, "rule_set int, condition_id string, group_id string, attribute_key string, data_type string, operator string, expected string, unknown_policy string, blocking boolean, verified boolean"),
+        spark.createDataFrame(values, "subject_id long, attribute_key string, value string, absent boolean"),
+        spark.createDataFrame([("r1", None), ("r2", None), ("n1", "r1")], "place_id string, parent_id string"),
+    )
+    assert {r["condition_id"]: r["result"] for r in got.collect()} == {f"c{k}": x[-1] for k, x in enumerate(CONDITIONS)}
+
+
+def test_page_blocks():
+    from grantloom.sources.pages import PageBlocks
+
+    p = PageBlocks("https://a.example/x/")
+    p.feed('<h2>B</h2><p>one <a href="y">two</a><p>three<script>no<p>no</script><h1>A</h1><table><tr><td>1</td><td> 2 </td></tr></table><a href="mailto:q">no</a><noscript><a href="z">no</a></noscript><p>last')
+    p.close()
+    p.end_text()
+    assert [(x["kind"], x["locator"], x["text"], x["section"]) for x in p.found] == [
+        ("HEADING", "html.heading.1", "B", ["", "B"]), ("LINK", "html.link.1", "two", ["", "B"]), ("PARAGRAPH", "html.p.1", "one two", ["", "B"]), ("PARAGRAPH", "html.p.2", "three", ["", "B"]),
+        ("HEADING", "html.heading.2", "A", ["A"]), ("TABLE", "html.table.1", "1 | 2", ["A"]), ("PARAGRAPH", "html.p.3", "last", ["A"]),
+    ]
+    assert p.found[1]["link_url"] == "https://a.example/x/y"
