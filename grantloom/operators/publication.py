@@ -156,3 +156,28 @@ def awards(grants: DataFrame, decisions: DataFrame, recipients: DataFrame) -> tu
     df = df.withColumn("reason", first_of([(F.col("grant_id").isNull(), "MISSING_ID"), (blank("title"), "MISSING_TITLE"), (blank("recipient"), "MISSING_RECIPIENT"), (F.coalesce("decisions", F.lit(0)) == 0, "NO_DECISION"), (F.col("n") == 0, "RETURNABLE_AID_ONLY")]))
     good = df.filter("reason is null").select("grant_id", "title", "recipient", "amount_minor", "year", "decided_at")
     return good, df.filter("reason is not null").select("grant_id", "reason")
+
+
+STATUSES = "DRAFT ANNOUNCED PLANNED OPEN PAUSED CLOSED CANCELLED ARCHIVED".split()
+
+
+def validated(calls: DataFrame) -> DataFrame:
+    """``calls`` (of all sources) with ``reasons`` and ``valid``: status, verification, content hash,
+    retrieval mode and currency, each of its known form (fixed values)."""
+    known = lambda c, *words: F.coalesce(F.col(c).isin(*words), F.lit(False))
+    rules = [
+        (~known("status", *STATUSES), "STATUS"), (~known("verification", "VERIFIED", "PARTIALLY_VERIFIED", "UNVERIFIED"), "VERIFICATION"), (~F.coalesce(F.col("sha").rlike("^[0-9a-f]{64}$"), F.lit(False)), "CONTENT_HASH"),
+        (~known("mode", "HTML", "API", "FILE"), "RETRIEVAL_MODE"), (~known("currency", "CZK", "EUR"), "CURRENCY"),
+    ]
+    return calls.withColumn("reasons", all_of(rules)).withColumn("valid", F.size("reasons") == 0)
+
+
+def projection(versions: DataFrame, calls: DataFrame, programmes: DataFrame, providers: DataFrame, payloads: DataFrame) -> DataFrame:
+    """(call_id, version_number, status, title, summary, keywords) of current versions: joined with
+    programme and provider, and with the newest published payload (by ``ord``), JSON with a summary
+    and keywords. Versions: (call_id, version_number, status); older ones are dropped."""
+    now = versions.groupBy("call_id").agg(F.max_by(F.struct("version_number", "status"), "version_number").alias("v")).select("call_id", "v.version_number", "v.status")
+    new = payloads.groupBy("call_id").agg(F.max_by("payload", "ord").alias("payload"))
+    df = now.join(calls, "call_id").join(programmes, "programme_id").join(providers, "provider_id").join(new, "call_id")
+    own = lambda key: F.get_json_object("payload", f"$.{key}")
+    return df.select("call_id", "version_number", "status", "title", F.coalesce(own("summary"), F.lit("")).alias("summary"), F.concat_ws(" ", own("keywords"), "code", "programme", "provider").alias("keywords"))

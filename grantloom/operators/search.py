@@ -180,16 +180,19 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int | No
     return top_k(found, k, "query_id", "score", "vec_id")
 
 
-def facets(rows: DataFrame, filters: dict[str, Column], top: int = 20) -> DataFrame:
-    """(facet, value, n): counts per facet, each ignoring its own filter; the ``top`` values of
-    each, ties by value."""
-    out = None
-    for name in filters:
-        own = rows
-        for other, keep in filters.items():
+def facets(rows: DataFrame, filters: dict[str, Column], top: int = 20, most: int = 500) -> DataFrame:
+    """(facet, value, n, truncated): counts per facet, each ignoring its own filter; the ``top``
+    values of each, ties by value, and whether there are more. Where more than ``most`` rows pass
+    all filters, n is null."""
+    out, all_ = None, rows
+    for name, keep in filters.items():
+        own, all_ = rows, all_.filter(keep)
+        for other, also in filters.items():
             if other != name:
-                own = own.filter(keep)
+                own = own.filter(also)
         part = own.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "value", "n")
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("facet").orderBy(F.col("n").desc(), F.col("value").asc_nulls_first())
-    return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top).drop("place")
+    many = all_.limit(most + 1).count() > most
+    facet = Window.partitionBy("facet")
+    out = out.withColumn("place", F.row_number().over(facet.orderBy(F.col("n").desc(), F.col("value").asc_nulls_first()))).withColumn("truncated", F.count("*").over(facet) > top)
+    return out.filter(F.col("place") <= top).select("facet", "value", F.when(F.lit(not many), F.col("n")).alias("n"), "truncated")

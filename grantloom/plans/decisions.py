@@ -267,5 +267,14 @@ add("I12_channels", lambda s, d: view(s, d, "outbox").select("dedupe_key", F.exp
     "select distinct dedupe_key, unnest(case when user_id % 4 = 0 then ['IN_APP', 'WEB_PUSH'] else ['IN_APP'] end) as channel from {outbox}")
 add("I13_feed", lambda s, d: view(s, d, "outbox").withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc()))).filter("r <= 50").select("user_id", "event_id", "r"),
     "select user_id, event_id, r from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from {outbox}) where r <= 50")
+def project_feed(s, d):
+    """A project's newest 50 matches of versions that are still current."""
+    m = C.watch_status(view(s, d, "candidates")).filter("candidate").join(view(s, d, "current_calls").select("call_id", "version_number"), ["call_id", "version_number"])
+    m = m.join(view(s, d, "watches").select("watch_id", "project_id"), "watch_id")
+    return m.withColumn("r", F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("version_number").desc(), "call_id", "watch_id"))).filter("r <= 50").select("project_id", "watch_id", "call_id", "version_number", "r")
+
+
+add("I13_project_feed", project_feed,
+    f"""select project_id, watch_id, call_id, version_number, r from (select *, row_number() over (partition by project_id order by version_number desc, call_id, watch_id) as r from (select m.watch_id, m.call_id, m.version_number, project_id from (select *, {STATUS} as verdict from {{candidates}}) m join {{current_calls}} n using (call_id, version_number) join {{watches}} w on w.watch_id = m.watch_id where verdict in ('MATCHED', 'NEEDS_INFORMATION'))) where r <= 50""")
 add("I14_effective_order", lambda s, d: view(s, d, "versions").withColumn("current", F.col("status") == "OPEN").withColumn("place", F.row_number().over(Window.partitionBy("call_id").orderBy(F.col("current").desc(), F.col("version_number").desc()))).select("call_id", "version_number", "place"),
     "select call_id, version_number, row_number() over (partition by call_id order by status = 'OPEN' desc, version_number desc) as place from {versions}")

@@ -156,3 +156,17 @@ add(
     f as (select profile_id, count(*) as n, arg_min(fault, value_id) filter (fault is not null) as fault from x group by profile_id)
     select p.profile_id, case when n is null then 'NO_ATTRIBUTE_VALUES' when n > 128 then 'ATTRIBUTE_LIMIT_EXCEEDED' else coalesce(fault, 'OWNED_OFFICIAL_ATTRIBUTE_REFERENCES_ONLY') end as code from p left join f using (profile_id)""",
 )
+
+# --- all sources together, and what searches see
+
+SOURCE_ROWS = """select p_partkey as id, 'parts' as origin, case when p_partkey % 11 = 3 then 'NEW' else 'OPEN' end as status, case when p_partkey % 13 = 4 then null else 'VERIFIED' end as verification, case when p_partkey % 7 = 2 then 'abc' else sha2(cast(p_partkey as string), 256) end as sha, case p_partkey % 5 when 0 then 'FAX' when 1 then 'API' else 'HTML' end as mode, case when p_size % 9 = 1 then 'USD' else 'CZK' end as currency from {part}
+    union all select s_suppkey, 'suppliers', 'DRAFT', 'UNVERIFIED', sha2(s_name, 256), 'FILE', case when s_suppkey % 3 = 0 then 'EUR' else 'GBP' end from {supplier}"""
+add("C4_union_validate", lambda s, d: P.validated(sql(s, d, SOURCE_ROWS)).select("id", "origin", F.array_join("reasons", ",").alias("reasons"), "valid"),
+    plain(f"""select id, origin, reasons, reasons = '' as valid from (select id, origin, concat_ws(',', case when status = 'NEW' then 'STATUS' end, case when verification is null then 'VERIFICATION' end, case when length(sha) <> 64 then 'CONTENT_HASH' end, case when mode = 'FAX' then 'RETRIEVAL_MODE' end, case when currency in ('USD', 'GBP') then 'CURRENCY' end) as reasons from ({SOURCE_ROWS}))"""))
+LISTED = "select p_partkey as call_id, p_name as title, p_type as programme_id from {part}"
+PROGRAMME_ROWS = "select p_type as programme_id, concat('code-', lower(p_type)) as code, concat('Programme ', p_type) as programme, min(p_brand) as provider_id from {part} group by p_type"
+PROVIDER_ROWS = "select p_brand as provider_id, concat('Provider ', p_brand) as provider from {part} group by p_brand"
+PAYLOADS = """select call_id, version_number as ord, concat('{{"keywords":"k', cast(quantity as string), '"', case when quantity % 2 = 0 then concat(',"summary":"', summary, '"') else '' end, '}}') as payload from {versions} where quantity % 3 > 0"""
+add("D10_search_projection", lambda s, d: P.projection(view(s, d, "versions"), *[sql(s, d, t) for t in (LISTED, PROGRAMME_ROWS, PROVIDER_ROWS, PAYLOADS)]),
+    f"""with v as (select call_id, version_number, status from {{versions}} x where version_number = (select max(version_number) from {{versions}} y where y.call_id = x.call_id)), p as (select call_id, arg_max(quantity, version_number) as q, arg_max(summary, version_number) as words from {{versions}} where quantity % 3 > 0 group by call_id)
+    select v.call_id, v.version_number, v.status, l.title, case when q % 2 = 0 then words else '' end as summary, concat_ws(' ', 'k' || q, code, programme, provider) as keywords from v join ({LISTED}) l using (call_id) join ({PROGRAMME_ROWS}) g using (programme_id) join ({PROVIDER_ROWS}) o using (provider_id) join p using (call_id)""")

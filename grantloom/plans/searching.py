@@ -188,11 +188,13 @@ add(
     lambda s, d: view(s, d, "search_docs").filter("status = 'OPEN'").withColumn("late", F.col("close_at").isNull()).filter(F.expr("struct(late, coalesce(close_at, date '9999-12-31'), doc_id) > struct(false, date '2024-03-01', 40L)")).orderBy("late", "close_at", "doc_id").limit(21).select("doc_id", F.col("close_at").cast("string").alias("close_at")),
     "select doc_id, cast(close_at as varchar) as close_at from {search_docs} where status = 'OPEN' and (close_at is null or close_at > date '2024-03-01' or (close_at = date '2024-03-01' and doc_id > 40)) order by close_at is null, close_at, doc_id limit 21",
 )
-FACET = lambda name, keep: f"select '{name}' as facet, cast({name} as varchar) as value, count(*) as n from {{search_docs}} where {keep} group by {name}"
+KEPT = {"status": "status = 'OPEN'", "provider": "provider in ('src0', 'src1', 'src2', 'src3')", "deadline": "deadline = 'KNOWN'"}
+FACET = lambda name: f"select '{name}' as facet, cast({name} as varchar) as value, count(*) as n from d where {' and '.join(c for k, c in KEPT.items() if k != name)} group by {name}"
 add(
     "F11_facets",
-    lambda s, d: S.facets(view(s, d, "search_docs"), {"status": F.col("status") == "OPEN", "provider": F.col("provider").isin("src0", "src1", "src2", "src3")}),
-    f"select facet, value, n from (select *, row_number() over (partition by facet order by n desc, value nulls first) as p from ({FACET('status', chr(39).join(['provider in (', 'src0', ', ', 'src1', ', ', 'src2', ', ', 'src3', ')']))} union all {FACET('provider', 'status = ' + chr(39) + 'OPEN' + chr(39))})) where p <= 20",
+    lambda s, d: S.facets(view(s, d, "search_docs").withColumn("deadline", F.when(F.col("close_at").isNull(), "UNKNOWN").otherwise("KNOWN")), {k: F.expr(c) for k, c in KEPT.items()}),
+    f"""with d as (select *, case when close_at is null then 'UNKNOWN' else 'KNOWN' end as deadline from {{search_docs}}), f as ({' union all '.join(FACET(k) for k in KEPT)})
+    select facet, value, case when (select count(*) from d where {' and '.join(KEPT.values())}) <= 500 then n end as n, truncated from (select *, row_number() over (partition by facet order by n desc, value nulls first) as p, count(*) over (partition by facet) > 20 as truncated from f) where p <= 20""",
 )
 add(
     "F12_search_profile",

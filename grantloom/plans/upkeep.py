@@ -34,8 +34,6 @@ add("A12_discover_dedup", lambda s, d: V.latest(view(s, d, "outbox"), ["user_id"
 add("A13_drop_stale_open", lambda s, d: view(s, d, "versions").filter("not (status = 'OPEN' and close_at < date '1996-01-01')").select("call_id", "version_number", "status"), "select call_id, version_number, status from {versions} where not (status = 'OPEN' and close_at < date '1996-01-01')")
 add("A14_merge_listings", lambda s, d: (lambda a, b: a.join(b, "call_id", "full_outer").select("call_id", F.coalesce("b", "a").alias("title")))(view(s, d, "calls").filter("call_id % 3 < 2").select("call_id", col("title").alias("a")), view(s, d, "calls").filter("call_id % 3 > 0").select("call_id", F.upper("title").alias("b"))),
     "select call_id, case when call_id % 3 > 0 then upper(title) else title end as title from {calls}")
-add("C4_union_validate", lambda s, d: view(s, d, "calls").select(col("call_id").alias("id"), col("currency"), F.lit("part").alias("origin")).unionByName(view(s, d, "projects").select(col("project_id").alias("id"), "currency", F.lit("order").alias("origin"))).withColumn("reason", F.when(col("currency") != "CZK", "UNSUPPORTED_CURRENCY")).withColumn("valid", col("reason").isNull()),
-    "select *, reason is null as valid from (select *, case when currency <> 'CZK' then 'UNSUPPORTED_CURRENCY' end as reason from (select call_id as id, currency, 'part' as origin from {calls} union all select project_id, currency, 'order' from {projects}))")
 
 
 def observed(s, d):
@@ -51,8 +49,6 @@ def observed(s, d):
 add("D1_observe_records", observed,
     """with o as (select *, sha256(payload) as hash from {observations}), st as (select source_id, external_id, arg_max(hash, day) as hash, min(day) as f, max(day) as l from o where day < '2024-01-15' group by 1, 2), b as (select source_id, external_id, arg_max(hash, day) as hash, max(day) as day from o where day >= '2024-01-15' group by 1, 2)
     select source_id, external_id, case when b.hash is null then 'UNSEEN' when st.hash is null then 'NEW' when st.hash <> b.hash then 'CHANGED' else 'NOT_MODIFIED' end as action, cast(coalesce(f, b.day) as varchar) as first_seen, cast(coalesce(b.day, l) as varchar) as last_seen, coalesce(b.hash, st.hash) as hash from st full outer join b using (source_id, external_id)""")
-add("D10_search_projection", lambda s, d: view(s, d, "calls").join(V.latest(view(s, d, "versions"), ["call_id"], [col("version_number").desc()]).select("call_id", "version_number", "status", "summary"), "call_id").select("call_id", "version_number", "status", F.concat_ws(" ", "title", "summary", "activity", "provider").alias("keywords")),
-    "select call_id, version_number, status, concat_ws(' ', c.title, v.summary, activity, provider) as keywords from {calls} c join {versions} v using (call_id) where version_number = (select max(version_number) from {versions} x where x.call_id = c.call_id)")
 add("D11_latest_version", lambda s, d: V.latest(view(s, d, "versions"), ["call_id"], [col("version_number").desc()]).select("call_id", "version_number", "status"), "select call_id, max(version_number) as version_number, arg_max(status, version_number) as status from {versions} group by call_id")
 add("D12_evidence_by_entity", lambda s, d: view(s, d, "versions").withColumn("place", F.row_number().over(W("call_id").orderBy(col("open_at").desc(), "version_number"))).select("call_id", "version_number", "place"), "select call_id, version_number, row_number() over (partition by call_id order by open_at desc, version_number) as place from {versions}")
 add("D14_invalidate", lambda s, d: view(s, d, "facts").select("subject_id", F.when(col("geo_unknown"), F.when(col("rule_set") == 0, "USER_DECLARED").otherwise("NEEDS_REVIEW")).otherwise("VERIFIED").alias("verification")), "select subject_id, case when geo_unknown then case when rule_set = 0 then 'USER_DECLARED' else 'NEEDS_REVIEW' end else 'VERIFIED' end as verification from {facts}")
