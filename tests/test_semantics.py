@@ -57,9 +57,15 @@ def test_group_check_comes_first(spark):
 
 
 def test_two_passing_scenarios_give_no_choice(spark):
-    df = spark.createDataFrame([(1, "a", "PASS"), (1, "b", "PASS"), (2, "c", "PASS"), (2, "d", "FAIL")], "p int, scenario_id string, applicability string")
-    got = {r["p"]: (r["status"], r["scenario_id"]) for r in money.choose(df, ["p"]).collect()}
-    assert got == {1: ("NEEDS_INFORMATION", None), 2: ("COMPLETE", "c")}
+    rows = [(1, "a", "PASS", False, None), (1, "b", "PASS", False, None), (2, "c", "PASS", False, None), (2, "d", "FAIL", False, None), (3, "e", "PASS", True, "FAIL"), (3, "f", "PASS", True, "PASS"), (4, "g", "PASS", True, None),
+            (5, "h", "PASS", True, "UNKNOWN"), (6, "i", "PASS", True, "FAIL"), (7, "j", "PASS", False, None), (7, "j", "FAIL", False, None), (8, "k", "FAIL", True, None)]
+    df = spark.createDataFrame(rows, "p int, scenario_id string, applicability string, has_group boolean, group_result string")
+    got = {r["p"]: (r["status"], r["reason"], r["scenario_id"]) for r in money.choose(df, ["p"]).collect()}
+    info, none = "NEEDS_INFORMATION", ("SCENARIO_NOT_APPLICABLE", "NO_APPLICABLE_SCENARIO", None)
+    assert got == {
+        1: (info, "MULTIPLE_APPLICABLE_SCENARIOS", None), 2: ("COMPLETE", "", "c"), 3: ("COMPLETE", "", "f"), 4: (info, "SCENARIO_CONDITION_GROUP_RESULT_MISSING", None), 5: (info, "SCENARIO_APPLICABILITY_UNKNOWN", None),
+        6: none, 7: ("ERROR", "DUPLICATE_SCENARIO_ID", None), 8: none,
+    }
 
 
 def test_null_semantic_part_reweights(spark):
@@ -113,11 +119,11 @@ CONDITIONS = [
 
 
 def test_conditions_of_all_types(spark):
-    rules = [(1, f"c{k}", "g", f"a{k}", kind, op, expected, policy, True, True) for k, (kind, _, op, expected, policy, _) in enumerate(CONDITIONS)]
+    conditions = [(1, f"c{k}", "g", f"a{k}", kind, op, expected, policy, True, True) for k, (kind, _, op, expected, policy, _) in enumerate(CONDITIONS)]
     values = [(7, f"a{k}", None if v == "absent" else v, v == "absent") for k, (_, v, _, _, _, _) in enumerate(CONDITIONS) if v is not None]
     got = rules.evaluate(
         spark.createDataFrame([(7, 1)], "subject_id long, rule_set int"),
-        spark.createDataFrame(rules, "rule_set int, condition_id string, group_id string, attribute_key string, data_type string, operator string, expected string, unknown_policy string, blocking boolean, verified boolean"),
+        spark.createDataFrame(conditions, "rule_set int, condition_id string, group_id string, attribute_key string, data_type string, operator string, expected string, unknown_policy string, blocking boolean, verified boolean"),
         spark.createDataFrame(values, "subject_id long, attribute_key string, value string, absent boolean"),
         spark.createDataFrame([("r1", None), ("r2", None), ("n1", "r1")], "place_id string, parent_id string"),
     )
