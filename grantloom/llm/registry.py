@@ -2,6 +2,7 @@
 
 from grantloom.llm.bpe import op5_bpe
 from grantloom.llm.chat import OP4_SQL, op4_chat
+from grantloom.llm.divergence import OP11_SQL, op11_source_divergence
 from grantloom.llm.imatch import op1_imatch
 from grantloom.llm.mixing import op2_mixing
 from grantloom.llm.near_dups import op8_minhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
 }
-SQL = {"op4_chat": OP4_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op4_chat": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_source_divergence": OP11_SQL}
