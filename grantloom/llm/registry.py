@@ -2,6 +2,7 @@
 
 from grantloom.llm.bpe import op5_bpe
 from grantloom.llm.chat import OP4_SQL, op4_chat
+from grantloom.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from grantloom.llm.divergence import OP11_SQL, op11_source_divergence
 from grantloom.llm.imatch import op1_imatch
 from grantloom.llm.mixing import op2_mixing
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op12_conversation_repair": op12_conversation_repair,
 }
-SQL = {"op4_chat": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_source_divergence": OP11_SQL}
+SQL = {"op4_chat": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_conversation_repair": OP12_SQL}
