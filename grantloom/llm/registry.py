@@ -4,6 +4,7 @@ from grantloom.llm.bpe import op5_bpe
 from grantloom.llm.chat import OP4_SQL, op4_chat
 from grantloom.llm.conversation_repair import OP12_SQL, op12_conversation_repair
 from grantloom.llm.divergence import OP11_SQL, op11_source_divergence
+from grantloom.llm.embedding_dups import op13_embedding_near_dups
 from grantloom.llm.imatch import op1_imatch
 from grantloom.llm.mixing import op2_mixing
 from grantloom.llm.near_dups import op8_minhash
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_near_dups": op13_embedding_near_dups,
 }
 SQL = {"op4_chat": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_conversation_repair": OP12_SQL}
