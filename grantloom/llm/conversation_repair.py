@@ -16,8 +16,8 @@ finds the cheapest edits (Keep, Rerole, Delete, Insert) after which the roles' i
    beginning of another, so their order is carried along as a rank.
 3. *Joints.* A task can't know whether its first and last conversation go on elsewhere. For these it
    returns the cheapest edits from every state to every state instead, and their rows. The parts
-   of a conversation are then composed in order, and one last pass over those rows alone, at most two
-   conversations a task, reads the settled edits and hashes.
+   of a conversation are then composed in order, and one last pass over those rows alone reads the
+   settled edits and hashes. Very long conversations go the same way wherever they lie.
 
 A SHA-256 is sequential, so that last pass reads a conversation in one task, row by row, whatever its
 length; its edits are one string, as the result's ``audit`` is.
@@ -33,6 +33,7 @@ left behind.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import deque
 from itertools import chain, groupby
 
@@ -117,6 +118,12 @@ class Survivors:
         self.move(after)
 
     def move(self, after: list) -> None:
+        # what may follow START or SYSTEM may follow ASSISTANT too, at worst without an ``s`` row, and
+        # USER after an insert; survivors that cost more than that can't win and go
+        bound = min((x[0] + more for x, more in ((after[ASSISTANT], 0), (after[USER], INSERT)) if x), default=math.inf)
+        for state, more in ((START, DELETE), (SYSTEM, 0)):
+            if after[state] and after[state][0] > bound + more:
+                after[state] = None
         rank = {x[1]: k for k, x in enumerate(sorted((x for x in after if x), key=lambda x: x[1]))}
         old, self.live = [x[2] for x in self.live if x], [None] * 4
         for state, x in enumerate(after):
@@ -271,10 +278,10 @@ def read_row(row: tuple, counted: Counted, paths: list[Survivors]) -> None:
             p.deleted(gone)
 
 
-def one_pass(batches):
+def one_pass(batches, whole: int, chars: int):
     """Results of the conversations that begin and end inside a task's range. The first and the
-    last one, and those of more than WHOLE rows or CHARS letters, come as parts instead (``part``,
-    with seq -1) together with their rows."""
+    last one, and those of more than ``whole`` rows or ``chars`` letters, come as parts instead
+    (``part``, with seq -1) together with their rows."""
     task = TaskContext.get().partitionId()
     out = {c: [] for c in PASS.names}
 
@@ -297,7 +304,7 @@ def one_pass(batches):
         for r in rows:
             held.append(r)
             size += len(r[3])
-            if len(held) > WHOLE or size > CHARS:
+            if len(held) > whole or size > chars:
                 break
         more = next(rows, None)
         if more is None:
@@ -380,7 +387,8 @@ def repair(conversations: DataFrame) -> DataFrame:
     rows = marked(damaged(conversations))
     order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "key", F.desc("first")]
     rows = rows.select("conv_id", "turn", "role", "key", "first", "text", "n").repartitionByRange(*order[:4]).sortWithinPartitions(*order)
-    passed = written(rows.mapInArrow(one_pass, PASS_SQL), "repaired")
+    whole, chars = WHOLE, CHARS
+    passed = written(rows.mapInArrow(lambda batches: one_pass(batches, whole, chars), PASS_SQL), "repaired")
     names = [c for c, _ in RESULT]
     parts = passed.filter("seq = -1").select("conv_id", "task", "part")  # at most two a task
     open_ones = written(parts.groupBy("conv_id").applyInArrow(composed, RESULT_SQL), "composed")
@@ -411,7 +419,9 @@ crc as (select distinct conv_id, turn, xor(4294967295, list_reduce(list_prepend(
     lambda c, b: xor(xor(c, b) // 2, if(xor(c, b) % 2 = 1, 3988292384, 0)))) % 20 as kind from o),
 damaged as (select o.conv_id, o.turn, if(kind = 4, 'user', role) as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(if(kind = 3, [0, 1], [0])) as twin
   from o join crc on o.conv_id is not distinct from crc.conv_id and o.turn is not distinct from crc.turn where kind <> 0),
-r as materialized (select *, row_number() over w as k, left(role, 1) as initial, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) as last_sign,
+r as materialized (select *, row_number() over w as k, left(role, 1) as initial, regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) as last_sign,
     row_number() over (partition by conv_id, role, text order by turn nulls first, twin) as nth, lag(left(role, 1)) over w as before
   from damaged window w as (partition by conv_id order by turn nulls first, role, sha256(text), twin)),
 f as materialized (select *, last_sign = '' as blank, last_sign <> '' and nth > 1 as duplicate, last_sign <> '' and nth = 1 and last_sign not in ('.', '!', '?') as truncated from r),

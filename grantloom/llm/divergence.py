@@ -52,7 +52,7 @@ def terms_of(text: str) -> list[bytes]:
 def scan(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, summed within a task as far as
     its tables go; a row with an empty term for every group."""
-    columns = "lang string, source string, term string, n long, docs long"
+    columns, entries = "lang string, source string, term string, n long, docs long", ENTRIES
 
     def rows(tables):
         for (lang, source), (n, docs) in tables.items():
@@ -69,7 +69,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 words, before = terms_of(text), len(n)
                 n.update(words), docs.update(set(words))
                 size += len(n) - before
-                if size >= ENTRIES:
+                if size >= entries:
                     yield from rows(tables)
                     tables, size = {}, 0
         yield from rows(tables)
@@ -104,7 +104,7 @@ def groups_of(kept: DataFrame) -> DataFrame:
     return written(out.withColumn("g", F.row_number().over(of.orderBy("source")) - 1).drop("heads"), "groups")
 
 
-def multiplied(key, table):
+def multiplied(key, table, tile: int, columns: int):
     """One block of terms, one pair of tiles: (lang, g, h, value) of the pairs of groups g < h. A
     row is an indicator (term, group, share); rows without a term tell the groups' share at 0."""
     lang, _, _, ti, tj = (k.as_py() for k in key)
@@ -123,19 +123,19 @@ def multiplied(key, table):
     hot[:, column[zero]] = 1
     hot[t, none[g[~zero]]] = 0
     hot[t, column[~zero]] = 1
-    sides = [np.flatnonzero(group // TILE == tile) for tile in (ti, tj)]
-    value = np.zeros((TILE, TILE), np.int64)
-    for i in range(0, len(sides[0]), COLUMNS):
-        for j in range(0, len(sides[1]), COLUMNS):
-            x, y = sides[0][i : i + COLUMNS], sides[1][j : j + COLUMNS]
+    sides = [np.flatnonzero(group // tile == x) for x in (ti, tj)]
+    value = np.zeros((tile, tile), np.int64)
+    for i in range(0, len(sides[0]), columns):
+        for j in range(0, len(sides[1]), columns):
+            x, y = sides[0][i : i + columns], sides[1][j : j + columns]
             joint = hot[:, x].T @ hot[:, y]
             a, b = np.nonzero(joint)
             u, v = price[x[a]], price[y[b]]
-            np.add.at(value, (group[x[a]] % TILE, group[y[b]] % TILE), joint[a, b].astype(np.int64) * ((u - v) ** 2 // (u + v)))
+            np.add.at(value, (group[x[a]] % tile, group[y[b]] % tile), joint[a, b].astype(np.int64) * ((u - v) ** 2 // (u + v)))
     one, two = (np.unique(group[s]) for s in sides)
     a, b = (x.ravel() for x in np.meshgrid(one, two, indexing="ij"))
     a, b = a[a < b], b[a < b]
-    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "g": a.astype(np.int32), "h": b.astype(np.int32), "value": value[a % TILE, b % TILE]})
+    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "g": a.astype(np.int32), "h": b.astype(np.int32), "value": value[a % tile, b % tile]})
 
 
 def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
@@ -153,7 +153,8 @@ def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     zeros = blocks.join(tops, "lang").select("lang", "k", "part", "g", F.lit(None).cast("string").alias("term"), F.expr(f"if(v = 0, 1L, {share('0', 'n', 'greatest(v, 1)')})").alias("p"), tiles)
     own = f"cast(g div {TILE} as int)"
     dealt = ones.union(zeros).select("lang", "k", "part", F.expr(f"least({own}, other)").alias("ti"), F.expr(f"greatest({own}, other)").alias("tj"), "g", "term", "p")
-    parts = dealt.groupBy("lang", "k", "part", "ti", "tj").applyInArrow(multiplied, "lang string, g int, h int, value long")
+    tile, columns = TILE, COLUMNS
+    parts = dealt.groupBy("lang", "k", "part", "ti", "tj").applyInArrow(lambda key, table: multiplied(key, table, tile, columns), "lang string, g int, h int, value long")
     return parts.groupBy("lang", "g", "h").agg(F.sum("value").alias("value"))
 
 
