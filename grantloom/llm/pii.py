@@ -95,7 +95,7 @@ def emails(t: str) -> list[tuple[int, int]]:
 def base_spans(t: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order of start, then kind."""
     out = [(s, e, "email") for s, e in emails(t)]
-    out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "ip") for m in IP.finditer(t) if all(len(n := p.lstrip("0")) < 4 and int(n or "0") <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(t):
         digits = re.sub("[ -]", "", m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):
