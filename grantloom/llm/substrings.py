@@ -18,9 +18,11 @@ sequence also starts earlier (smaller doc_id, or same document and earlier start
    range by range; each range tells each chunk which of its cells were counted twice or more, and
    how often. The least count of an anchor's cells overestimates and never underestimates.
 4. *Exact pass.* Windows with an estimate below two cannot repeat. The others are ordered by a
-   96-bit hash and place; all but the first of a hash are later ones. Where the estimate exceeds
-   ``HOT``, a hash's windows are dealt over as many groups as that asks for, and only the groups'
-   first ones meet, so no common passage lands in one task.
+   128-bit BLAKE2 digest of their words and by place; all but the first of a digest are later ones.
+   Where the estimate exceeds ``HOT``, a digest's windows are dealt over as many groups as that asks
+   for, and only the groups' first ones meet, so no common passage lands in one task. (The hashes of
+   steps 1 and 3 may collide, on built texts too: equal windows have equal ones, which is all that
+   a prefilter needs.)
 
 Edge cases: null and empty texts have no words; texts with fewer words than a window keep all;
 rows of one doc_id are documents of their own, in the order of their texts' hashes (of equal rows
@@ -30,6 +32,7 @@ empty result; extra columns are neither read nor returned.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantloom.llm.common import numbered, read, release, written
-from grantloom.llm.hashing import B1, B2, C1, C2, copies_of, digest, mix, runs, word_hashes, words_of
+from grantloom.llm.hashing import B1, C1, C2, copies_of, digest, mix, runs, word_hashes, words_of
 
 LENGTH, ANCHOR = 20, 8
 ROWS, RANGE_LOAD, RANGE_CELLS = 2, 1 << 19, 1 << 23
@@ -65,10 +68,12 @@ class Anchors:
         """One hash for each place of an anchor, whatever number of windows it serves."""
         return self.hashes[np.flatnonzero(np.diff(self.at, prepend=-1))]
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each window."""
-        b = word_hashes(self.data, self.starts, self.ends, B2)
-        return mix(runs(self.words, length, C1)).view(np.int64), (mix(runs(b, length, C2)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def windows(self, length: int, at: np.ndarray) -> np.ndarray:
+        """A 128-bit digest of the words of each window that starts at one of ``at``, as two numbers."""
+        line, size = b" ".join(self.data.tobytes().split()), self.ends - self.starts
+        ends = np.cumsum(size + 1) - 1
+        cuts = zip((ends - size)[at].tolist(), ends[at + length - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([hashlib.blake2b(line[i:j], digest_size=16).digest() for i, j in cuts]), np.int64).reshape(-1, 2)
 
 
 def scan(docs: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -185,14 +190,14 @@ def places(docs: DataFrame, repeats: DataFrame, length: int, anchor: int) -> Dat
                 w, h, e = Anchors(t or "", length, anchor), np.frombuffer(h, np.uint64), np.frombuffer(e, np.uint32)
                 at = np.minimum(np.searchsorted(h, w.hashes), len(h) - 1)
                 keep = np.flatnonzero(h[at] == w.hashes)
-                h1, h2 = w.windows(length)
                 groups = np.maximum(-(-e[at[keep]].astype(np.int64) // HOT), 1)
                 deal = np.where(groups > 1, int(mix(np.array([d], np.int64).view(np.uint64))[0] >> np.uint64(1)) % groups, -1).astype(np.int32)
                 for k in range(0, len(keep), 1 << 16):
                     i = keep[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h1[i]), pa.array(h2[i]), pa.array(deal[k : k + (1 << 16)]), pa.array(np.full(len(i), d, np.int64)), pa.array(i.astype(np.int32))], ["h1", "h2", "deal", "doc_id", "start"])
+                    h = w.windows(length, i)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(deal[k : k + (1 << 16)]), pa.array(np.full(len(i), d, np.int64)), pa.array(i.astype(np.int32))], ["h1", "h2", "deal", "doc_id", "start"])
 
-    return docs.join(repeats, "doc_id").select("doc_id", "text", "hashes", "estimates").mapInArrow(run, "h1 long, h2 int, deal int, doc_id long, start int")
+    return docs.join(repeats, "doc_id").select("doc_id", "text", "hashes", "estimates").mapInArrow(run, "h1 long, h2 long, deal int, doc_id long, start int")
 
 
 def repeats_of(anchors: DataFrame, copies: DataFrame) -> DataFrame:
