@@ -7,11 +7,14 @@ r"""Mixing sources to target weights (operator 2, DataFrame functions only): sof
    documents (those with the smallest hash), a documented bound; only the feature table, which
    that sample bounds, passes through the driver.
 2. *Rates.* Documents that are surely of a domain without a share (by their label, or where they
-   have none by their posterior) get rate 0 and take no part in the fit; all others get rate 1 at
-   least, so that mixing repeats documents rather than removing clean ones. Rates r minimise the
-   squared distance of the expected domain totals ``sum_i r_i * tokens_i * p_i`` from the targets,
-   in the metric of the inverse second moments of p, by accelerated projected gradient steps
-   (restarted when they turn back) from rate 1. A step needs the totals' residual only, one
+   have none by their posterior) get rate 0 and take no part in the fit. The others' rates r, 0 or
+   more, minimise the squared distance of the expected domain totals ``sum_i r_i * tokens_i * p_i``
+   from the targets' shares of ``budget`` times the tokens at hand, in the metric of the inverse
+   second moments of p, by accelerated projected gradient steps (restarted when they turn back)
+   from rate 1. Where soft documents can't meet a target (none is free of a domain whose target is
+   0, say), :func:`report` tells what is left by domain. With ``keep`` rates are 1 or more, so that
+   mixing repeats documents rather than removing clean ones; the totals then start from what stays,
+   and the shares end nearer to that than to the targets. A step needs the totals' residual only, one
    grouped sum over a narrow table. A document's rate follows from its p and the list of steps by
    a fold; the narrow table is rewritten with the iterates every few steps, so no expression gets
    long. Steps end when the root mean square change of a token's rate is below ``tolerance``.
@@ -38,8 +41,8 @@ from grantloom.llm.common import free_name, read, release, written
 
 DOMAINS = ["good", "poor", "toxic"]
 DOMAIN_SQL = "case when toxic = 1 then 'toxic' when quality = 1 then 'good' else 'poor' end"
-#: Shares of the expected tokens. ``mix`` scales them so that every domain with a share grows by
-#: HEADROOM at least. Soft documents that stay also bring tokens to domains without a share; there
+#: Shares of the expected tokens. With ``keep`` they are scaled so that every domain with a share grows
+#: by HEADROOM at least. Soft documents that stay also bring tokens to domains without a share; there
 #: HEADROOM times these is the target that rates from 1 up can reach.
 TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 HEADROOM, SLOTS, SEED = 1.25, 1 << 11, 17
@@ -118,20 +121,22 @@ def folded(steps: list[tuple[np.ndarray, float]], n: int, floor: float, rate: st
     return f"aggregate(array({each}), {start}, (a, s) -> {step})" if steps else start
 
 
-def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 100, tolerance: float = 1e-5, floor: float = 0.0, rewrite: int = 8) -> str:
+def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 100, tolerance: float = 1e-5, floor: float = 0.0, rewrite: int = 8, every: DataFrame | None = None) -> str:
     """SQL expression of the rate over ``p`` (array of probabilities) for documents (tokens, p)
-    and target totals per domain, ``floor`` at least. Within reach the targets are met after a few
+    and target totals per domain, ``floor`` at least. Distances are measured by the moments of
+    ``every`` document, those of ``narrow`` if not given. Within reach the targets are met after a few
     steps; beyond it the steps come down on the least distance slowly, and a warning tells the
     residual if they are used up first."""
     n, k = len(targets), range(len(targets))
-    first = narrow.agg(F.sum("tokens"), *[F.sum(F.expr(f"tokens * p[{a}] * p[{b}]")) for a in k for b in k]).first()
+    first = (narrow if every is None else every).agg(F.sum("tokens"), *[F.sum(F.expr(f"tokens * p[{a}] * p[{b}]")) for a in k for b in k]).first()
     total = float(first[0] or 0)
     if total <= 0:
         return "1.0D"
     goal, moments = np.array(targets) / total, np.array(first[1:], float).reshape(n, n) / total
     metric = metric_of(moments)  # so the step length is 1
     state = narrow.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("look"))
-    steps, done, t, e = [], 0, 1.0, moments.sum(axis=1) - goal  # p sums to one
+    begun = moments.sum(axis=1) if every is None else np.array(narrow.agg(*[F.sum(F.expr(f"tokens * p[{a}]")) for a in k]).first(), float) / total  # p sums to one
+    steps, done, t, e = [], 0, 1.0, np.nan_to_num(begun) - goal
     while len(steps) < rounds:
         t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         steps.append((metric @ e, (old - 1) / t))
@@ -172,7 +177,7 @@ def barred(df: DataFrame, labels: DataFrame, p: str, domains: list[str]) -> tupl
     return df.withColumn(out, F.coalesce(known, sure)).drop(known), out
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> tuple[DataFrame, str, str, str]:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, keep: bool = False) -> tuple[DataFrame, str, str, str]:
     """``docs`` with columns for tokens, probabilities and rate, and these columns' names."""
     t, p, r = free_name(docs, "tokens"), free_name(docs, "p"), free_name(docs, "rate")
     model = fit(docs, labels)
@@ -180,21 +185,28 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     df = df.withColumn(t, F.expr(r"cast(greatest(size(split(trim(BOTH ' \n\t' FROM coalesce(text, '')), r'\s+')), 0) as double)"))
     df = df.withColumn(t, F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.col(t)))
     df = written(df, "mixing")
-    now = totals(df.select(F.col(t).alias("tokens"), F.col(p).alias("p")))
+    every = df.select(F.col(t).alias("tokens"), F.col(p).alias("p"))
+    now = totals(every)
     df, out = barred(df, labels, p, [d for d in DOMAINS if targets[d] == 0])
     narrow = written(df.filter(f"not `{out}`").select(F.col(t).alias("tokens"), F.col(p).alias("p")), "staying")
-    budget = HEADROOM * max((x / targets[d] for x, d in zip(now, DOMAINS, strict=True) if targets[d] > 0), default=0.0)
-    goals = [max(targets[d] * budget, HEADROOM * x) for d, x in zip(DOMAINS, totals(narrow), strict=True)]
-    rate = fit_rates(narrow, goals, floor=1.0)
+    if keep:
+        every = None
+        scale = HEADROOM * max((x / targets[d] for x, d in zip(now, DOMAINS, strict=True) if targets[d] > 0), default=0.0)
+        goals = [max(targets[d] * scale, HEADROOM * x) for d, x in zip(DOMAINS, totals(narrow), strict=True)]
+    else:
+        goals = [targets[d] / sum(targets.values()) * budget * sum(now) for d in DOMAINS]
+    rate = fit_rates(narrow, goals, floor=1.0 if keep else 0.0, every=every)
     release(narrow)
     return df.withColumn(r, F.expr(f"if(`{out}`, 0D, transform(array(`{p}`), p -> {rate})[0])")), t, p, r
 
 
-def report(df: DataFrame, tokens: str, p: str, rate: str) -> DataFrame:
-    """(domain, before, after): expected tokens by domain before and after mixing."""
-    each = F.posexplode(F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"`{p}`")[k].alias("p")) for k, d in enumerate(DOMAINS)]))
+def report(df: DataFrame, tokens: str, p: str, rate: str, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """(domain, before, after, share, target): expected tokens by domain before and after mixing,
+    and the share of all that the domain reaches against the one it should have."""
+    each = F.posexplode(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(float(targets[d])).alias("target"), F.col(f"`{p}`")[k].alias("p")) for k, d in enumerate(DOMAINS)]))
     parts = df.select(F.col(tokens).alias("tokens"), F.col(rate).alias("rate"), each.alias("k", "d"))
-    return parts.groupBy(F.col("d.domain").alias("domain")).agg(F.sum(F.col("tokens") * F.col("d.p")).alias("before"), F.sum(F.col("tokens") * F.col("d.p") * F.col("rate")).alias("after"))
+    sums = parts.groupBy(F.col("d.domain").alias("domain"), F.col("d.target").alias("target")).agg(F.sum(F.col("tokens") * F.col("d.p")).alias("before"), F.sum(F.col("tokens") * F.col("d.p") * F.col("rate")).alias("after"))
+    return sums.select("domain", "before", "after", F.expr("try_divide(after, sum(after) over ())").alias("share"), "target")  # a row per domain
 
 
 def copies(doc_id: str, rate: str) -> Column:
@@ -202,9 +214,10 @@ def copies(doc_id: str, rate: str) -> Column:
     return (F.floor(rate) + F.when(u < F.col(rate) - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say."""
-    df, _, _, r = mixed(docs, labels, targets)
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, keep: bool = False) -> DataFrame:
+    """The rows of ``docs``, each as often as its copies say; with ``keep`` no document goes but those
+    surely of a domain without a share."""
+    df, _, _, r = mixed(docs, labels, targets, budget, keep)
     n = free_name(df, "copy")
     df = df.withColumn(n, F.explode(F.array_repeat(F.lit(1), copies("doc_id", r))))
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])
