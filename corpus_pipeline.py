@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their domain's target weight asks; surely toxic ones get rate 0, all
     others 1 at least."""
-    return mixing.mix(docs, read(spark, sf_dir, "labels"))
+    return mixing.mix(docs, read(spark, sf_dir, "labels"), keep=True)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
