@@ -5,8 +5,6 @@ SQL null never stands for UNKNOWN: every result is one of the five words.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,9 +100,10 @@ def applied(within: Column) -> Column:
     return F.when(x.isNull(), "ERROR").otherwise(out)
 
 
-def evaluate(subjects: DataFrame, rules: DataFrame, values: DataFrame, places: DataFrame) -> DataFrame:
+def evaluate(subjects: DataFrame, rules: DataFrame, values: DataFrame, places: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
     """(subject_id, condition_id, group_id, result, blocking, verified): every condition of a
-    subject's rule set. ``subjects``: (subject_id, rule_set); ``rules``: (rule_set, condition_id,
+    subject's rule set, with the rules' columns ``keep`` and, where named there, ``missing``
+    (whether there is no value and none is known to be absent). ``subjects``: (subject_id, rule_set); ``rules``: (rule_set, condition_id,
     group_id, attribute_key, data_type, operator, expected, unknown_policy, blocking, verified);
     ``values``: (subject_id, attribute_key, value as JSON text, absent), rows may be missing;
     ``places``: (place_id, parent_id). Equi-joins only."""
@@ -121,7 +120,8 @@ def evaluate(subjects: DataFrame, rules: DataFrame, values: DataFrame, places: D
         .when(missing, F.when(F.col("unknown_policy") == "NOT_APPLICABLE", "NOT_APPLICABLE").otherwise("UNKNOWN"))
         .otherwise(applied(within))
     )
-    return all_.select("subject_id", "condition_id", "group_id", result.alias("result"), "blocking", "verified")
+    all_ = all_.withColumn("missing", missing & ~absent)
+    return all_.select("subject_id", "condition_id", "group_id", result.alias("result"), "blocking", "verified", *keep)
 
 
 def upward(groups: DataFrame, depth: int = 16) -> DataFrame:
@@ -209,84 +209,13 @@ def area(places: DataFrame, lists: DataFrame) -> DataFrame:
     return hit.groupBy("list_id", "place_id").agg(F.bool_or(F.col("mode") == "EXCLUDE").alias("out")).filter("not out").select("list_id", "place_id")
 
 
-def fold(kind: Column, result: Column) -> Column:
-    """Aggregate of the children's results under AND, OR or NOT; use inside ``agg``."""
-    has = lambda r: F.bool_or(result == r)
-    ladder = lambda order, rest: reduce(lambda acc, r: F.when(has(r), r).otherwise(acc), reversed(order), F.lit(rest))
-    none = ~F.bool_or(result != "NOT_APPLICABLE")
-    k = F.max(kind)
-    conj, disj = ladder(["FAIL", "ERROR", "UNKNOWN"], "PASS"), ladder(["PASS", "ERROR", "UNKNOWN"], "FAIL")
-    neg = F.when(has("PASS"), "FAIL").when(has("FAIL"), "PASS").otherwise(F.max(result))
-    return F.when(none, "NOT_APPLICABLE").when(k == "AND", conj).when(k == "OR", disj).otherwise(neg)
-
-
-def fold_tree(conditions: DataFrame, groups: DataFrame, depth: int) -> DataFrame:
-    """(subject_id, group_id, result) of every group. ``conditions``: (subject_id, group_id, result,
-    blocking); ``groups``: (group_id, parent_id, kind, level), level 0 is the root. A fixed number
-    of rounds from the deepest level up; conditions that do not block count as NOT_APPLICABLE."""
-    rows = conditions.select("subject_id", "group_id", F.when(F.col("blocking"), F.col("result")).otherwise("NOT_APPLICABLE").alias("result"))
-    done = None
-    groups = F.broadcast(groups)  # a rule set's groups are limited to 64
-    for level in range(depth, -1, -1):
-        at = groups.filter(F.col("level") == level)
-        own = rows.join(at, "group_id").groupBy("subject_id", "group_id", "parent_id").agg(fold(F.col("kind"), F.col("result")).alias("result"))
-        part = own.select("subject_id", "group_id", "result")
-        done = part if done is None else done.unionByName(part)
-        rows = rows.unionByName(own.filter("parent_id is not null").select("subject_id", F.col("parent_id").alias("group_id"), "result"))
-    return done
-
-
-def causes(conditions: DataFrame, folded: DataFrame, groups: DataFrame, depth: int) -> DataFrame:
-    """(subject_id, condition_id): blocking conditions whose result explains the root. From the
-    root down; under NOT the wanted child result is the opposite one."""
-    flip = F.when(F.col("kind") != "NOT", F.col("want")).when(F.col("want") == "PASS", "FAIL").when(F.col("want") == "FAIL", "PASS").otherwise(F.col("want"))
-    g = F.broadcast(groups)
-    at = folded.join(g.filter("parent_id is null"), "group_id").select("subject_id", "group_id", F.col("result").alias("want"), "kind")
-    out = None
-    for _ in range(depth + 1):
-        wanted = at.select("subject_id", "group_id", flip.alias("want"))
-        own = conditions.filter("blocking").join(wanted, ["subject_id", "group_id"]).filter("result = want").select("subject_id", "condition_id")
-        out = own if out is None else out.unionByName(own)
-        kids = wanted.withColumnRenamed("group_id", "parent_id").join(g, "parent_id")
-        at = kids.join(folded, ["subject_id", "group_id"]).filter("result = want").select("subject_id", "group_id", "want", "kind")
-    return out
-
-
-def folded(kind: str, results: list[Column]) -> Column:
-    """The children's results under AND, OR or NOT, within a row."""
-    act = F.filter(F.array(*results), lambda r: r != "NOT_APPLICABLE")
-    has = lambda r: F.array_contains(act, r)
-    if kind == "NOT":
-        return F.when(has("PASS"), "FAIL").when(has("FAIL"), "PASS").otherwise(F.coalesce(F.get(act, F.lit(0)), F.lit("NOT_APPLICABLE")))
-    order, rest = (["FAIL", "ERROR", "UNKNOWN"], "PASS") if kind == "AND" else (["PASS", "ERROR", "UNKNOWN"], "FAIL")
-    ladder = reduce(lambda acc, r: F.when(has(r), r).otherwise(acc), reversed(order), F.lit(rest))
-    return F.when(F.size(act) == 0, "NOT_APPLICABLE").otherwise(ladder)
-
-
-def fold_row(df: DataFrame, groups: list[tuple[str, str | None, str, int]], conditions: dict[str, tuple[str, bool]]) -> DataFrame:
-    """``df`` (a column of results per condition, under its id) with a result column per group and
-    ``cause_<id>`` per condition: whether it is blocking and explains the root. For a rule set that
-    is known when the plan is made: groups (id, parent, kind, level), conditions id: (group,
-    blocking). Everything stays in the row, so nothing is shuffled; sets kept as data go through
-    :func:`fold_tree` and :func:`causes`."""
-    for g, _, kind, _ in sorted(groups, key=lambda x: -x[3]):
-        own = [F.col(c) if blocking else F.lit("NOT_APPLICABLE") for c, (at, blocking) in conditions.items() if at == g]
-        df = df.withColumn(g, folded(kind, own + [F.col(k) for k, up, _, _ in groups if up == g]))
-    flip = lambda w: F.when(w == "PASS", "FAIL").when(w == "FAIL", "PASS").otherwise(w)
-    for g, up, kind, _ in sorted(groups, key=lambda x: x[3]):
-        want = F.col(g) if up is None else F.when(F.col(g) == F.col(f"want_{up}"), F.col(g))
-        df = df.withColumn(f"want_{g}", flip(want) if kind == "NOT" else want)  # what its children should be
-    return df.withColumns({f"cause_{c}": F.coalesce(F.lit(blocking) & (F.col(c) == F.col(f"want_{g}")), F.lit(False)) for c, (g, blocking) in conditions.items()}).drop(*[f"want_{g[0]}" for g in groups])
-
-
-def public_status(root: Column, any_error: Column, unverified_cause: Column, complete: Column, all_verified: Column) -> Column:
-    return (
-        F.when((root == "ERROR") | any_error, "NEEDS_REVIEW")
-        .when(root == "FAIL", F.when(unverified_cause, "NEEDS_REVIEW").otherwise("INELIGIBLE"))
-        .when(root == "UNKNOWN", "NEEDS_INFORMATION")
-        .when(root == "PASS", F.when(complete & all_verified, "ELIGIBLE").otherwise("LIKELY_ELIGIBLE"))
-        .otherwise("NEEDS_REVIEW")
-    )
+def input_hash(values: DataFrame) -> DataFrame:
+    """(subject_id, hash): SHA-256 of a subject's values as one compact JSON object in the order of
+    their keys; values known to be absent are null, missing ones are left out."""
+    known = values.filter("absent or value is not null")
+    pair = F.struct("attribute_key", F.concat(F.lit('"'), "attribute_key", F.lit('":'), F.when(F.col("absent"), "null").otherwise(F.col("value"))).alias("text"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["text"]), ",")
+    return known.groupBy("subject_id").agg(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256).alias("hash"))
 
 
 def ancestors(places: DataFrame, depth: int = 3) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grantloom.functions.normalize import stable_id
 from grantloom.operators import changes as C
 from grantloom.operators import money as M
+from grantloom.operators import rule_trees as T
 from grantloom.operators import rules as R
 from grantloom.operators import search as S
 from grantloom.plans.fields import fold
@@ -25,49 +24,6 @@ def add(name, query, oracle=None):
         SQL[name] = duck(oracle)
 
 
-#: A rule tree with all three connectives: root AND (g1 OR, g2 NOT).
-GROUPS = [("g0", None, "AND", 0), ("g1", "g0", "OR", 1), ("g2", "g0", "NOT", 1)]
-
-
-#: The conditions: the group of each, and whether it blocks; those whose source is verified.
-TREE = {"c1": ("g1", True), "c2": ("g1", True), "c3": ("g2", True), "c4": ("g0", True), "c5": ("g0", False)}
-VERIFIED = {"c1", "c2", "c4", "c5"}
-
-
-def condition_row(s, d):
-    """A row per applicant with the results of five conditions over its facts."""
-    f = view(s, d, "facts")
-    home = R.ancestors(view(s, d, "places")).filter("ancestor_id = 'r1'").select(F.col("place_id").alias("geo_id"), F.lit(True).alias("within"))
-    f = f.join(F.broadcast(home), "geo_id", "left")  # places are a fixed list of regions and nations
-    seg = F.when(F.col("segment_absent"), "ABSENT").when(F.col("segment").isNull(), "MISSING").otherwise("PRESENT")
-    bal = F.when(F.col("balance_minor").isNull(), "MISSING").otherwise("PRESENT")
-    one = lambda presence, ok, holds, op, policy: R.condition(presence, ok, holds, F.lit(op), F.lit(policy))
-    cmp_ = lambda x, op, low=None, high=None, items=(): R.compare(x, F.lit(op), F.lit(low), F.lit(high), F.array(*[F.lit(i) for i in items]))
-    t = F.lit(True)
-    return f.select(
-        "subject_id", "rule_set",
-        one(seg, t, cmp_(F.col("segment"), "IN", items=("BUILDING", "MACHINERY")), "IN", "UNKNOWN").alias("c1"),
-        one(bal, ~F.col("balance_is_text"), cmp_(F.col("balance_minor"), "BETWEEN", 100000, 500000), "BETWEEN", "UNKNOWN").alias("c2"),
-        one(F.lit("PRESENT"), t, F.when(F.col("geo_unknown"), F.lit(None).cast("boolean")).otherwise(F.coalesce("within", F.lit(False))), "GEO_WITHIN", "UNKNOWN").alias("c3"),
-        one(seg, t, t, "EXISTS", "NOT_APPLICABLE").alias("c4"),
-        one(bal, t, cmp_(F.col("balance_minor"), "GT", 900000), "GT", "NOT_APPLICABLE").alias("c5"),
-    )
-
-
-def conditions(s, d):
-    """The same with a row per condition."""
-    each = [F.struct(F.lit(c).alias("condition_id"), F.lit(g).alias("group_id"), F.col(c).alias("result"), F.lit(b).alias("blocking"), F.lit(c in VERIFIED).alias("verified")) for c, (g, b) in TREE.items()]
-    return condition_row(s, d).select("subject_id", "rule_set", F.explode(F.array(*each)).alias("c")).select("subject_id", "rule_set", "c.*")
-
-
-COND = """select subject_id, rule_set, 'c1' as condition_id, 'g1' as group_id, case when segment_absent then 'UNKNOWN' when segment is null then 'UNKNOWN' when segment in ('BUILDING', 'MACHINERY') then 'PASS' else 'FAIL' end as result, true as blocking, true as verified from {facts}
-    union all select subject_id, rule_set, 'c2', 'g1', case when balance_minor is null then 'UNKNOWN' when balance_is_text then 'ERROR' when balance_minor between 100000 and 500000 then 'PASS' else 'FAIL' end, true, true from {facts}
-    union all select subject_id, rule_set, 'c3', 'g2', case when geo_unknown then 'UNKNOWN' when geo_id in (select place_id from {places} where parent_id = 'r1') then 'PASS' else 'FAIL' end, true, false from {facts}
-    union all select subject_id, rule_set, 'c4', 'g0', case when segment_absent then 'FAIL' when segment is null then 'NOT_APPLICABLE' else 'PASS' end, true, true from {facts}
-    union all select subject_id, rule_set, 'c5', 'g0', case when balance_minor is null then 'NOT_APPLICABLE' when balance_minor > 900000 then 'PASS' else 'FAIL' end, false, true from {facts}"""
-FOLDED = f"""with cond as ({COND}), w as (select subject_id, max(result) filter (condition_id = 'c1') as c1, max(result) filter (condition_id = 'c2') as c2, max(result) filter (condition_id = 'c3') as c3, max(result) filter (condition_id = 'c4') as c4 from cond group by subject_id),
-    lower1 as (select *, case when 'PASS' in (c1, c2) then 'PASS' when 'ERROR' in (c1, c2) then 'ERROR' when 'UNKNOWN' in (c1, c2) then 'UNKNOWN' else 'FAIL' end as g1, case c3 when 'PASS' then 'FAIL' when 'FAIL' then 'PASS' else c3 end as g2 from w),
-    tree as (select *, case when 'FAIL' in (g1, g2, c4) then 'FAIL' when 'ERROR' in (g1, g2, c4) then 'ERROR' when 'UNKNOWN' in (g1, g2, c4) then 'UNKNOWN' else 'PASS' end as g0 from lower1)"""
 #: (attribute, type, operator, expected): every operator, over every type it takes and some it does not.
 CASES = [
     ("name", "STRING", "EQ", '"Customer#000000001"'), ("name", "STRING", "CONTAINS", '"00000004"'), ("name", "STRING", "CONTAINS", "4"), ("name", "STRING", "LT", '"Customer#000000050"'), ("name", "STRING", "EXISTS", None),
@@ -93,7 +49,13 @@ def rule_conditions() -> str:
     return f"select condition_id, rule_set, attribute_key, data_type, operator, expected, unknown_policy, 'g0' as group_id, true as blocking, true as verified from (values {', '.join(rows)}) as t(condition_id, rule_set, attribute_key, data_type, operator, expected, unknown_policy)"
 
 
+def rule_cases() -> str:
+    rows = [f"({k}, '{key}', '{kind}', '{op}', {'cast(null as string)' if e is None else repr(e)}, '{'NOT_APPLICABLE' if k % 3 == 1 else 'UNKNOWN'}')" for k, (key, kind, op, e) in enumerate(CASES)]
+    return f"select * from (values {', '.join(rows)}) as t(case_no, attribute_key, data_type, operator, expected, unknown_policy)"
+
+
 VIEWS["rule_conditions"] = rule_conditions()
+VIEWS["rule_cases"] = rule_cases()
 
 
 def typed_sql(raw: str) -> str:
@@ -109,7 +71,9 @@ def typed_sql(raw: str) -> str:
         when data_type = 'DATETIME' then case when try_cast({text} as timestamptz) is not null then {{'s': null::varchar, 'n': cast(epoch_us(try_cast({text} as timestamptz)) as decimal(38,0)), 'f': null::double}} end end"""
 
 
-RULES_SQL = f"""with own as (select c.c_custkey as subject_id, r.*, a.value, coalesce(a.absent, false) as absent from {{customer}} c join {{rule_conditions}} r on r.rule_set = c.c_custkey % 2 left join {{attribute_values}} a on a.subject_id = c.c_custkey and a.attribute_key = r.attribute_key),
+def rules_sql(own: str, select: str) -> str:
+    """Condition results over ``own``: rules with subject_id, value and absent."""
+    return f"""with own as ({own}),
     t as (select *, {typed_sql('value')} as x, {typed_sql('expected')} as e, json_type(expected) as shape, case when json_type(expected) = 'ARRAY' then cast(json_extract(expected, '$[*]') as varchar[]) end as raw from own),
     u as (select *, list_transform(raw, lambda i: {typed_sql('i')}) as items from t),
     w as (select *, raw is not null and len(list_filter(items, lambda i: i is null)) = 0 as whole, case when json_type(expected) = 'VARCHAR' then expected::json->>'$' end as word,
@@ -125,47 +89,90 @@ RULES_SQL = f"""with own as (select c.c_custkey as subject_id, r.*, a.value, coa
         when operator = 'CONTAINS' then case when data_type = 'STRING_SET' then case when list_contains(json_extract_string(value, '$[*]'), coalesce(word, expected)) then 'PASS' else 'FAIL' end when x.s is null or word is null then 'ERROR' when contains(x.s, word) then 'PASS' else 'FAIL' end
         when e is null then 'ERROR'
         when case operator when 'EQ' then x = e when 'NEQ' then x <> e when 'LT' then x < e when 'DATE_BEFORE' then x < e when 'LTE' then x <= e when 'GT' then x > e when 'DATE_AFTER' then x > e else x >= e end then 'PASS' else 'FAIL' end as result from w)
-    select subject_id, condition_id, result from d"""
+    {select}"""
+
+
 add(
     "G1_conditions",
     lambda s, d: R.evaluate(view(s, d, "customer").select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 2).alias("rule_set")), view(s, d, "rule_conditions"), view(s, d, "attribute_values"), view(s, d, "places")).select("subject_id", "condition_id", "result"),
-    RULES_SQL,
+    rules_sql("select c.c_custkey as subject_id, r.*, a.value, coalesce(a.absent, false) as absent from {customer} c join {rule_conditions} r on r.rule_set = c.c_custkey % 2 left join {attribute_values} a on a.subject_id = c.c_custkey and a.attribute_key = r.attribute_key", "select subject_id, condition_id, result from d"),
 )
-def folded(s, d):
-    """A row per applicant: results per condition and group, and which conditions are causes."""
-    return R.fold_row(condition_row(s, d), GROUPS, TREE)
 
 
+def folded(s, d, values="attribute_values"):
+    """A row per rule set and applicant: results of groups and conditions, causes, root."""
+    rules = view(s, d, "set_conditions")
+    subjects = view(s, d, "rule_sets").select("subject_id", "rule_set")
+    results = R.evaluate(subjects, rules, view(s, d, values), view(s, d, "places"), ["rule_set", "place", "attribute_key", "evidence", "missing"])
+    groups = view(s, d, "set_groups")
+    return T.fold_sets(results, T.trees(groups.select("rule_set", "group_id", "parent_id", "kind", "position"), groups.select("rule_set", "group_id", F.col("own").alias("n"))))
+
+
+LEVELS = 9  # more than the lines of an order ask for
+RESULTS = ("PASS", "FAIL", "UNKNOWN", "ERROR", "NOT_APPLICABLE")
+
+
+def tree_sql(select: str, values: str = "attribute_values") -> str:
+    """The same level by level: ``cond`` (conditions with results), ``lv`` (groups with levels), ``bad``
+    (sets that are no tree), ``done`` (results of groups), ``cause``, ``root``."""
+    own = f"select o.subject_id, r.*, a.value, coalesce(a.absent, false) as absent from {{set_conditions}} r join {{rule_sets}} o using (rule_set) left join {{{values}}} a on a.subject_id = o.subject_id and a.attribute_key = r.attribute_key"
+    head = rules_sql(own, "").rstrip()
+    ladder = lambda order, rest: "case " + " ".join(f"when bool_or(r = '{x}') then '{x}'" for x in order) + f" else '{rest}' end"
+    flip = lambda x: f"case {x} when 'PASS' then 'FAIL' when 'FAIL' then 'PASS' else {x} end"
+    parts = [
+        "cond as materialized (select *, value is null and not absent or value = 'null' and not absent as missing from d)",
+        "lv as materialized (with recursive w as (select rule_set, group_id, parent_id, kind, 0 as level, lpad(cast(position as varchar), 3, '0') as path from {set_groups} where parent_id is null"
+        " union all select g.rule_set, g.group_id, g.parent_id, g.kind, w.level + 1, w.path || lpad(cast(g.position as varchar), 3, '0') from {set_groups} g join w on w.rule_set = g.rule_set and w.group_id = g.parent_id) select * from w)",
+        "bad as materialized (select distinct rule_set from {set_groups} g where not exists (select 1 from lv where lv.rule_set = g.rule_set and lv.group_id = g.group_id)"
+        " or own + (select count(*) from {set_groups} k where k.rule_set = g.rule_set and k.parent_id = g.group_id) < 1 or kind = 'NOT' and own + (select count(*) from {set_groups} k where k.rule_set = g.rule_set and k.parent_id = g.group_id) <> 1)",
+        f"f{LEVELS} as (select rule_set, group_id, parent_id, kind, path, '' as result from lv where false)",
+    ]
+    for n in range(LEVELS - 1, -1, -1):
+        parts.append(f"c{n} as (select rule_set, group_id, case when blocking then result else 'NOT_APPLICABLE' end as r from cond union all select rule_set, parent_id, result from f{n + 1})")
+        parts.append(f"f{n} as materialized (select g.rule_set, g.group_id, g.parent_id, g.kind, g.path, case when count(*) filter (r <> 'NOT_APPLICABLE') = 0 then 'NOT_APPLICABLE' when g.kind = 'NOT' then {flip('max(r)')} when g.kind = 'AND' then {ladder(['FAIL', 'ERROR', 'UNKNOWN'], 'PASS')} else {ladder(['PASS', 'ERROR', 'UNKNOWN'], 'FAIL')} end as result"
+                     f" from lv g left join c{n} c on c.rule_set = g.rule_set and c.group_id = g.group_id where level = {n} and not exists (select 1 from bad b where b.rule_set = g.rule_set) group by g.rule_set, g.group_id, g.parent_id, g.kind, g.path)")
+    want = "case kind when 'NOT' then " + flip("f.result") + " else f.result end as want"
+    parts.append(f"w0 as (select f.rule_set, f.group_id, {want} from f0 f)")
+    for n in range(1, LEVELS):
+        parts.append(f"w{n} as (select f.rule_set, f.group_id, {want} from f{n} f join w{n - 1} w on w.rule_set = f.rule_set and w.group_id = f.parent_id and w.want = f.result)")
+    parts.append("done as materialized (" + " union all ".join(f"select * from f{n}" for n in range(LEVELS)) + ")")
+    parts.append("active as (" + " union all ".join(f"select * from w{n}" for n in range(LEVELS)) + ")")
+    parts.append("cause as materialized (select c.rule_set, c.subject_id, c.condition_id, c.verified, row_number() over (partition by c.rule_set order by lv.path, c.place) - 1 as nth from cond c join active a on a.rule_set = c.rule_set and a.group_id = c.group_id and a.want = c.result join lv on lv.rule_set = c.rule_set and lv.group_id = c.group_id where c.blocking)")
+    parts.append("root as materialized (select distinct c.rule_set, c.subject_id, s.completeness, s.verification, s.same_version, coalesce(f.result, 'ERROR') as root from cond c join {rule_sets} s using (rule_set) left join f0 f on f.rule_set = c.rule_set)")
+    return head + ",\n" + ",\n".join(parts) + "\n" + select
+
+
+STATUS_SQL = """select rule_set, subject_id, root, case when root = 'ERROR' or exists (select 1 from cond c where c.rule_set = r.rule_set and blocking and result = 'ERROR') then 'NEEDS_REVIEW'
+        when root = 'FAIL' then case when exists (select 1 from cause c where c.rule_set = r.rule_set and not verified) then 'NEEDS_REVIEW' else 'INELIGIBLE' end
+        when root = 'UNKNOWN' then 'NEEDS_INFORMATION' when root = 'NOT_APPLICABLE' then 'NEEDS_REVIEW'
+        when completeness = 'COMPLETE' and verification = 'VERIFIED' and not exists (select 1 from cond c where c.rule_set = r.rule_set and blocking and not verified and result <> 'NOT_APPLICABLE') then 'ELIGIBLE' else 'LIKELY_ELIGIBLE' end as status from root r"""
+add("G2_group_fold", lambda s, d: folded(s, d).select("rule_set", "subject_id", F.explode("groups").alias("one_group")).select("rule_set", "subject_id", "one_group.group_id", "one_group.result"),
+    tree_sql("select d.rule_set, r.subject_id, d.group_id, d.result from done d join root r using (rule_set)"))
+add("G3_causes", lambda s, d: folded(s, d).select("rule_set", "subject_id", F.posexplode("causes").alias("nth", "condition_id")), tree_sql("select rule_set, subject_id, cast(nth as integer) as nth, condition_id from cause"))
 add(
-    "G2_group_fold",
-    lambda s, d: folded(s, d).select("subject_id", F.explode(F.array(*[F.struct(F.lit(g[0]).alias("group_id"), F.col(g[0]).alias("result")) for g in GROUPS])).alias("g")).select("subject_id", "g.*"),
-    FOLDED + " select subject_id, 'g0' as group_id, g0 as result from tree union all select subject_id, 'g1', g1 from tree union all select subject_id, 'g2', g2 from tree",
+    "G4_public_status",
+    lambda s, d: T.public_status(folded(s, d), view(s, d, "rule_sets").select("rule_set", "completeness", "verification")),
+    tree_sql(STATUS_SQL),
 )
-CAUSES = """, cause as (select subject_id, 'c4' as condition_id from tree where c4 = g0 union all select subject_id, 'c1' from tree where g1 = g0 and c1 = g0 union all select subject_id, 'c2' from tree where g1 = g0 and c2 = g0
-    union all select subject_id, 'c3' from tree where g2 = g0 and c3 = case g0 when 'PASS' then 'FAIL' when 'FAIL' then 'PASS' else g0 end)"""
-add("G3_causes", lambda s, d: folded(s, d).select("subject_id", F.explode(F.array_compact(F.array(*[F.when(F.col(f"cause_{c}"), F.lit(c)) for c in TREE]))).alias("condition_id")), FOLDED + CAUSES + " select subject_id, condition_id from cause")
-
-
-def statuses(s, d):
-    blocking = [c for c, (_, b) in TREE.items() if b]
-    some = lambda cs: reduce(lambda a, b: a | b, cs, F.lit(False))
-    error = some([F.col(c) == "ERROR" for c in blocking])
-    unverified = some([F.col(f"cause_{c}") for c in blocking if c not in VERIFIED])
-    verified = ~some([F.col(c) != "NOT_APPLICABLE" for c in blocking if c not in VERIFIED])
-    return folded(s, d).select("subject_id", F.col("g0").alias("root"), R.public_status(F.col("g0"), error, unverified, F.col("rule_set") != 0, verified).alias("status"))
-
-
 add(
-    "G4_public_status",
-    statuses,
-    FOLDED + CAUSES + """ select t.subject_id, g0 as root, case when g0 = 'ERROR' or 'ERROR' in (c1, c2, c3, c4) then 'NEEDS_REVIEW' when g0 = 'FAIL' then case when exists (select 1 from cause x where x.subject_id = t.subject_id and x.condition_id = 'c3') then 'NEEDS_REVIEW' else 'INELIGIBLE' end
-    when g0 = 'UNKNOWN' then 'NEEDS_INFORMATION' else 'LIKELY_ELIGIBLE' end as status from tree t""",
+    "G5_result_counts",
+    lambda s, d: folded(s, d).select("rule_set", "subject_id", *[F.expr(f"cast(if(fault is null, size(filter(conditions, c -> c.result = '{r}')), {int(r == 'ERROR')}) as bigint)").alias(r.lower()) for r in RESULTS]),
+    tree_sql("select c.rule_set, c.subject_id, " + ", ".join(f"case when bool_or(b.rule_set is null) then count(*) filter (result = '{r}') else {int(r == 'ERROR')} end as {r.lower()}" for r in RESULTS) + " from cond c left join bad b using (rule_set) group by c.rule_set, c.subject_id"),
+)
+add(
+    "G6_input_hash",
+    lambda s, d: R.input_hash(view(s, d, "attribute_values")),
+    """select subject_id, sha256('{' || string_agg('"' || attribute_key || '":' || case when absent then 'null' else value end, ',' order by attribute_key) || '}') as hash from {attribute_values} where absent or value is not null group by subject_id""",
 )
-add("G5_result_counts", lambda s, d: conditions(s, d).groupBy("subject_id").agg(*[F.count_if(F.col("result") == r).alias(r.lower()) for r in ("PASS", "FAIL", "UNKNOWN", "ERROR", "NOT_APPLICABLE")]),
-    f"select subject_id, count(*) filter (result = 'PASS') as pass, count(*) filter (result = 'FAIL') as fail, count(*) filter (result = 'UNKNOWN') as unknown, count(*) filter (result = 'ERROR') as error, count(*) filter (result = 'NOT_APPLICABLE') as not_applicable from ({COND}) group by subject_id")
-add("G6_input_hash", lambda s, d: view(s, d, "facts").select("subject_id", F.sha2(F.to_json(F.struct("balance_minor", "geo_id", "segment")), 256).alias("hash")),
-    "select subject_id, sha256('{' || concat_ws(',', case when balance_minor is not null then '\"balance_minor\":' || balance_minor end, '\"geo_id\":\"' || geo_id || '\"', case when segment is not null then '\"segment\":\"' || segment || '\"' end) || '}') as hash from {facts}")
-add("G7_missing_attributes", lambda s, d: conditions(s, d).filter("result = 'UNKNOWN' and blocking").groupBy("subject_id").agg(F.array_join(F.array_sort(F.collect_set("condition_id")), ",").alias("missing")), f"select subject_id, string_agg(condition_id, ',' order by condition_id) as missing from ({COND}) where result = 'UNKNOWN' and blocking group by subject_id")
+add(
+    "G7_missing_attributes",
+    lambda s, d: folded(s, d).filter("fault is null").select(
+        "rule_set", "subject_id", F.expr("array_join(array_distinct(transform(filter(conditions, c -> c.result = 'UNKNOWN' and c.missing), c -> c.attribute_key)), ',')").alias("missing"),
+        F.expr("if(root = 'FAIL', array_join(causes, ','), '')").alias("blockers"),
+    ),
+    tree_sql("""select r.rule_set, r.subject_id, coalesce((select string_agg(attribute_key, ',' order by first_at) from (select attribute_key, min(lv.path || '/' || cast(c.place as varchar)) as first_at from cond c join lv on lv.rule_set = c.rule_set and lv.group_id = c.group_id where c.rule_set = r.rule_set and result = 'UNKNOWN' and missing group by attribute_key)), '') as missing,
+        case when root = 'FAIL' then coalesce((select string_agg(condition_id, ',' order by nth) from cause c where c.rule_set = r.rule_set), '') else '' end as blockers from root r where not exists (select 1 from bad b where b.rule_set = r.rule_set)"""),
+)
 add("G8_geo_closure", lambda s, d: R.ancestors(view(s, d, "places")), "with recursive up as (select place_id, place_id as ancestor_id from places0 union all select u.place_id, p.parent_id from up u join places0 p on p.place_id = u.ancestor_id where p.parent_id is not null) select place_id, ancestor_id from up")
 SQL["G8_geo_closure"] = "with recursive places0 as (select 'r' || r_regionkey as place_id, null::varchar as parent_id from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation), up as (select place_id, place_id as ancestor_id from places0 union all select u.place_id, p.parent_id from up u join places0 p on p.place_id = u.ancestor_id where p.parent_id is not null) select place_id, ancestor_id from up"
 add(
@@ -192,8 +199,14 @@ add("H1_scenario_choice", lambda s, d: M.choose(view(s, d, "offers"), ["project_
     select project_id, passed, unknown, case when twice then 'ERROR' when passed > 1 or unknown > 0 then 'NEEDS_INFORMATION' when passed = 1 then 'COMPLETE' else 'SCENARIO_NOT_APPLICABLE' end as status,
         case when twice then 'DUPLICATE_SCENARIO_ID' when passed > 1 then 'MULTIPLE_APPLICABLE_SCENARIOS' when unknown > 0 and gap then 'SCENARIO_CONDITION_GROUP_RESULT_MISSING' when unknown > 0 then 'SCENARIO_APPLICABILITY_UNKNOWN' when passed = 1 then '' else 'NO_APPLICABLE_SCENARIO' end as reason,
         case when not twice and passed = 1 and unknown = 0 then first_pass end as scenario_id from sums""")
-add("H2_gated_group_result", lambda s, d: statuses(s, d).select("subject_id", F.when(F.col("status") == "ELIGIBLE", "PASS").when(F.col("status") == "INELIGIBLE", "FAIL").otherwise("UNKNOWN").alias("group_result")),
-    FOLDED + CAUSES + " select t.subject_id, case when g0 = 'FAIL' and 'ERROR' not in (c1, c2, c3, c4) and not exists (select 1 from cause x where x.subject_id = t.subject_id and x.condition_id = 'c3') then 'FAIL' else 'UNKNOWN' end as group_result from tree t")
+add(
+    "H2_gated_group_result",
+    lambda s, d: T.gated_groups(folded(s, d, "trusted_values"), view(s, d, "rule_sets").drop("subject_id")),
+    tree_sql("""select r.rule_set, why.reason, g.group_id, case when why.reason is not null then null when r.completeness = 'COMPLETE' and r.verification = 'VERIFIED' and g.result in ('PASS', 'FAIL') and g.n > 0 and g.good = g.n then g.result else 'UNKNOWN' end as group_result
+        from (select *, case when not same_version then 'GRANT_CALL_VERSION_MISMATCH' when root = 'ERROR' or exists (select 1 from cond c where c.rule_set = r.rule_set and result = 'ERROR') then 'ELIGIBILITY_EVALUATION_ERROR' end as reason from root r) why
+        join root r on r.rule_set = why.rule_set left join (select d.rule_set, d.group_id, d.result, count(c.condition_id) as n, count(*) filter (c.verified and c.evidence and c.result in ('PASS', 'FAIL')) as good
+            from done d join lv on lv.rule_set = d.rule_set and starts_with(lv.path, d.path) left join cond c on c.rule_set = lv.rule_set and c.group_id = lv.group_id group by all) g on g.rule_set = r.rule_set and why.reason is null""", "trusted_values"),
+)
 add(
     "H3_finance",
     lambda s, d: M.evaluate(view(s, d, "funded")).select("project_id", "scenario_id", "status", "reasons", "max_grant", "own_eligible", "minimum_cash", "prefinancing"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from grantloom.operators import rule_trees as T
 from grantloom.operators import versioning as V
 from grantloom.plans import decisions
 from grantloom.views import duck, sql, view
@@ -159,19 +160,12 @@ add(
 
 
 def eligibility_tasks(s, d):
-    """One task per unknown blocking condition, else one for the status."""
-    st = decisions.statuses(s, d).select("subject_id", "status")
-    gaps = decisions.conditions(s, d).filter("result = 'UNKNOWN' and blocking").join(st.filter("status = 'NEEDS_INFORMATION'"), "subject_id").select("subject_id", col("condition_id").alias("reference_id"), F.lit("PROVIDE_INPUT").alias("task"))
-    whole = st.filter("status <> 'ELIGIBLE'").join(gaps.select("subject_id").distinct(), "subject_id", "left_anti")
-    return gaps.unionByName(whole.select("subject_id", col("status").alias("reference_id"), F.lit("REVIEW_STATUS").alias("task")))
+    return T.eligibility_tasks(decisions.folded(s, d), view(s, d, "rule_sets").select("rule_set", "completeness", "verification"))
 
 
-add(
-    "J2_eligibility_tasks",
-    eligibility_tasks,
-    f"""with st as ({decisions.SQL['G4_public_status']}), cond as ({duck('select * from (' + decisions.COND + ') c')}), gaps as (select subject_id, condition_id as reference_id, 'PROVIDE_INPUT' as task from cond join st using (subject_id) where result = 'UNKNOWN' and blocking and status = 'NEEDS_INFORMATION')
-    select * from gaps union all select subject_id, status, 'REVIEW_STATUS' from st where status <> 'ELIGIBLE' and subject_id not in (select subject_id from gaps)""",
-)
+TASKS = decisions.tree_sql(f"""select * from (with st as ({decisions.STATUS_SQL}), gaps as (select rule_set, subject_id, condition_id as reference_id, 'PROVIDE_INPUT' as task from cond join st using (rule_set, subject_id) where result = 'UNKNOWN' and blocking and status = 'NEEDS_INFORMATION')
+    select * from gaps union all select rule_set, subject_id, status, 'REVIEW_STATUS' from st where status <> 'ELIGIBLE' and not exists (select 1 from gaps g where g.rule_set = st.rule_set)) x""")
+add("J2_eligibility_tasks", eligibility_tasks, TASKS)
 
 
 def finance_tasks(s, d):
@@ -188,5 +182,17 @@ add(
     finance_tasks,
     f"""with fin as ({decisions.SQL['H3_finance']}) select project_id, scenario_id, unnest(string_split(reasons, ',')) as task from fin where reasons like 'MISSING_%' union all select project_id, scenario_id, status from fin where reasons not like 'MISSING_%' and status <> 'COMPLETE'""",
 )
-add("J7_checklist_items", lambda s, d: view(s, d, "requirements").select("call_id", "version_number", F.concat(F.lit("chk_"), F.left(F.sha2(F.concat_ws(":", "call_id", "version_number", "requirement_id"), 256), F.lit(24))).alias("item_id"), "title", col("necessity").alias("need")),
-    "select call_id, version_number, 'chk_' || left(sha256(concat_ws(':', call_id, version_number, requirement_id)), 24) as item_id, title, necessity as need from {requirements}")
+def checklist_items(s, d):
+    """One item per requirement of a call's version, and one per eligibility task of a rule set."""
+    named = lambda *parts: F.concat(F.lit("chk_"), F.left(F.sha2(F.concat_ws(":", *parts), 256), F.lit(24))).alias("item_id")
+    own = view(s, d, "requirements").select(F.lit("REQUIREMENT").alias("source"), F.concat_ws(":", "call_id", "version_number").alias("owner"), named(F.lit("requirement"), "call_id", "version_number", "requirement_id"), "title", col("necessity").alias("need"))
+    more = eligibility_tasks(s, d).select(F.lit("ELIGIBILITY").alias("source"), col("rule_set").cast("string").alias("owner"), named(F.lit("eligibility"), "rule_set", "task", "reference_id"), F.concat_ws(" ", "task", "reference_id").alias("title"), F.lit("REQUIRED").alias("need"))
+    return own.unionByName(more)
+
+
+add(
+    "J7_checklist_items",
+    checklist_items,
+    TASKS.replace("select * from (with st", """select 'REQUIREMENT' as source, concat_ws(':', call_id, version_number) as owner, 'chk_' || left(sha256(concat_ws(':', 'requirement', call_id, version_number, requirement_id)), 24) as item_id, title, necessity as need from {requirements}
+    union all select 'ELIGIBILITY', cast(rule_set as varchar), 'chk_' || left(sha256(concat_ws(':', 'eligibility', rule_set, task, reference_id)), 24), concat_ws(' ', task, reference_id), 'REQUIRED' from (with st""", 1),
+)

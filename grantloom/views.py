@@ -74,6 +74,18 @@ VIEWS = {
         case when l_linenumber = 1 and l_suppkey % 30 <> 4 or l_suppkey % 50 = 9 then null when l_suppkey % 60 = 11 then 'g9' when l_suppkey % 45 = 13 then concat('g', cast(l_linenumber as string)) else concat('g', cast(cast(floor(l_linenumber / 2.0) as int) as string)) end as parent_id,
         case l_suppkey % 7 when 0 then 'NOT' when 1 then 'OR' else 'AND' end as kind from {lineitem}""",
     "rule_leaves": """select l_orderkey as rule_set, concat('g', cast(l_linenumber as string)) as group_id, cast(1 + l_suppkey % 2 as bigint) as n from {lineitem} where l_partkey % 20 <> 3""",
+    # rule sets kept as data: one tree per order, some with a fault; its conditions are drawn from the fixed cases
+    "set_lines": """select l_orderkey as rule_set, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as k, cast(count(*) over (partition by l_orderkey) as int) as m, l_suppkey, l_partkey from {lineitem}""",
+    "set_groups": """select rule_set, concat('g', cast(k as string)) as group_id, case when k = 1 then cast(null as string) when rule_set % 53 = 9 and k = 2 then 'g99' else concat('g', cast(cast(floor(k / 2.0) as int) as string)) end as parent_id,
+        case when own + case when 2 * k + 1 <= m then 2 when 2 * k <= m then 1 else 0 end = 1 and l_suppkey % 2 = 0 or rule_set % 41 = 7 and k = 1 then 'NOT' when l_partkey % 3 = 1 then 'OR' else 'AND' end as kind, k as position, own, l_suppkey, l_partkey
+        from (select *, cast(case when 2 * k > m and rule_set % 29 <> 3 then 1 else 0 end + l_suppkey % 3 as int) as own from {set_lines}) t""",
+    "set_conditions": """select g.rule_set, g.group_id, concat(g.group_id, 'c', cast(n.i as string)) as condition_id, n.i as place, c.attribute_key, c.data_type, c.operator, c.expected, c.unknown_policy,
+        (g.l_partkey + n.i) % 6 <> 0 as blocking, (g.l_suppkey + n.i) % 5 <> 0 as verified, (g.l_partkey + 2 * n.i) % 7 <> 0 as evidence
+        from {set_groups} g join (select 0 as i union all select 1 union all select 2) n on n.i < g.own join {rule_cases} c on c.case_no = (g.l_suppkey * 7 + g.l_partkey + 5 * n.i) % 49""",
+    "rule_sets": """select o_orderkey as rule_set, o_custkey as subject_id, case when o_orderkey % 3 = 0 then 'PARTIAL' else 'COMPLETE' end as completeness,
+        case when o_orderkey % 5 = 1 then 'EXTRACTED' else 'VERIFIED' end as verification, o_orderkey % 37 <> 5 as same_version from {orders}""",
+    # values with an official source, verified and with evidence
+    "trusted_values": "select * from {attribute_values} where (subject_id + length(attribute_key)) % 11 <> 1",
     "area_lists": """select s_suppkey as list_id, concat(case when s_suppkey % 3 = 0 then 'r' else 'n' end, cast(case when s_suppkey % 3 = 0 then s_suppkey % 5 else s_nationkey end as string)) as place_id, 'INCLUDE' as mode, s_suppkey % 4 <> 1 as descendants from {supplier}
         union all select s_suppkey, concat('n', cast(s_suppkey % 25 as string)), 'EXCLUDE', true from {supplier} where s_suppkey % 3 = 0""",
     "places": """select concat('r', cast(r_regionkey as string)) as place_id, cast(null as string) as parent_id from {region}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from grantloom import registry
 from grantloom.functions import normalize as N
-from grantloom.operators import changes, money, rules, search, versioning
+from grantloom.operators import changes, money, rule_trees, rules, search, versioning
 
 FIVE = ["PASS", "FAIL", "UNKNOWN", "ERROR", "NOT_APPLICABLE"]
 
@@ -22,17 +22,23 @@ def or_(rs):
     return next((r for r in ("PASS", "ERROR", "UNKNOWN") if r in rs), "FAIL") if rs else "NOT_APPLICABLE"
 
 
+def folded(spark, kind, rows):
+    """Results of sets of one group each: (set, result) per condition."""
+    sets = {i for i, _ in rows}
+    groups = spark.createDataFrame([(i, "g", None, kind, 1) for i in sets], "rule_set int, group_id string, parent_id string, kind string, position int")
+    results = spark.createDataFrame([(i, 1, "g", k, f"c{k}", r, True) for k, (i, r) in enumerate(rows)], "rule_set int, subject_id int, group_id string, place int, condition_id string, result string, blocking boolean")
+    own = results.groupBy("rule_set", "group_id").agg(F.count("*").alias("n"))
+    return {r["rule_set"]: r["root"] for r in rule_trees.fold_sets(results, rule_trees.trees(groups, own)).collect()}
+
+
 @pytest.mark.parametrize("kind,truth", [("AND", and_), ("OR", or_)])
 def test_truth_tables(spark, kind, truth):
     pairs = list(itertools.product(FIVE, FIVE))
-    rows = [(i, r) for i, p in enumerate(pairs) for r in p]
-    got = spark.createDataFrame(rows, "i int, r string").groupBy("i").agg(rules.fold(F.lit(kind), F.col("r")).alias("r")).collect()
-    assert {r["i"]: r["r"] for r in got} == {i: truth(p) for i, p in enumerate(pairs)}
+    assert folded(spark, kind, [(i, r) for i, p in enumerate(pairs) for r in p]) == {i: truth(p) for i, p in enumerate(pairs)}
 
 
 def test_not_swaps_only_pass_and_fail(spark):
-    got = spark.createDataFrame([(r,) for r in FIVE], "r string").groupBy("r").agg(rules.fold(F.lit("NOT"), F.col("r")).alias("n")).collect()
-    assert {r["r"]: r["n"] for r in got} == {"PASS": "FAIL", "FAIL": "PASS", "UNKNOWN": "UNKNOWN", "ERROR": "ERROR", "NOT_APPLICABLE": "NOT_APPLICABLE"}
+    assert folded(spark, "NOT", list(enumerate(FIVE))) == dict(enumerate(["FAIL", "PASS", "UNKNOWN", "ERROR", "NOT_APPLICABLE"]))
 
 
 def finance(spark, **over):
