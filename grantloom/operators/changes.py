@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantloom.functions.normalize import stable_id
@@ -30,12 +30,24 @@ def scalar_events(steps: DataFrame) -> DataFrame:
     return out.withColumn("event_id", stable_id(F.col("call_id"), F.col("version_number"), F.col("field_path"), F.col("change_type")))
 
 
-def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """ADDED, REMOVED or CHANGED per key, by a full outer join and null-safe comparison."""
-    a = old.select(*keys, F.struct(value).alias("o"))
-    b = new.select(*keys, F.struct(value).alias("n"))
-    kind = F.when(F.col("o").isNull(), "ADDED").when(F.col("n").isNull(), "REMOVED").when(~F.col("o").eqNullSafe(F.col("n")), "CHANGED")
-    return a.join(b, keys, "full_outer").withColumn("change", kind).filter("change is not null").select(*keys, "change", F.col(f"o.{value}").alias("old_value"), F.col(f"n.{value}").alias("new_value"))
+def keyed_steps(rows: DataFrame, newest: DataFrame, key: str, value: str) -> DataFrame:
+    """(call_id, version_number, <key>, change, old_value, new_value): what each version adds, removes
+    or changes against the one before. ``rows``: (call_id, version_number, <key>, <value>), one per
+    thing a version has; ``newest``: (call_id, newest), versions being numbered from 1. A thing's
+    own versions tell all, so its rows are sorted once and nothing is joined with itself."""
+    w = Window.partitionBy("call_id", key).orderBy("version_number")
+    at = F.struct(F.col("version_number").alias("v"), F.col(value).alias("x"))
+    step = rows.join(newest, "call_id").select("call_id", key, "newest", at.alias("at"), F.lag(at).over(w).alias("old"), F.lead("version_number").over(w).alias("following"))
+    event = lambda kind, v, old, new: F.struct(F.lit(kind).alias("change"), v.alias("version_number"), old.cast("string").alias("old_value"), new.cast("string").alias("new_value"))
+    v, none = F.col("at.v"), F.lit(None)
+    before, after = F.coalesce(F.col("old.v") == v - 1, F.lit(False)), F.coalesce(F.col("following") == v + 1, F.lit(False))
+    events = [
+        F.when(~before & (v > 1), event("ADDED", v, none, F.col("at.x"))),
+        F.when(before & ~F.col("old.x").eqNullSafe(F.col("at.x")), event("CHANGED", v, F.col("old.x"), F.col("at.x"))),
+        F.when(~after & (v < F.col("newest")), event("REMOVED", v + 1, F.col("at.x"), none)),
+    ]
+    out = step.select("call_id", key, F.explode(F.array_compact(F.array(*events))).alias("event"))
+    return out.select("call_id", "event.version_number", key, "event.change", "event.old_value", "event.new_value")
 
 
 def severity_rank(c: Column) -> Column:

@@ -226,17 +226,20 @@ add("I2_set_diff", lambda s, d: view(s, d, "requirements").groupBy("call_id", "v
     "select call_id, version_number, array_to_string(list_filter(a, lambda x: not list_contains(old, x)), ',') as added, array_to_string(list_filter(old, lambda x: not list_contains(a, x)), ',') as removed from (select *, lag(a) over (partition by call_id order by version_number) as old from (select call_id, version_number, list_sort(list(distinct title)) as a from {requirements} group by all)) where old is not null and old <> a")
 
 
-def requirement_diff(s, d):
-    r = view(s, d, "requirements")
-    old = r.withColumn("version_number", F.col("version_number") + 1)
-    known = view(s, d, "versions").select("call_id", "version_number")
-    diff = C.keyed_diff(old, r.filter("version_number > 1"), ["call_id", "version_number", "requirement_id"], "title")
-    return diff.join(known, ["call_id", "version_number"], "left_semi")
-
-
-add("I3_keyed_diff", requirement_diff,
-    """select * from (select call_id, version_number, requirement_id, case when o.title is null then 'ADDED' when n.title is null then 'REMOVED' when o.title <> n.title then 'CHANGED' end as change, o.title as old_value, n.title as new_value
-    from (select call_id, version_number + 1 as version_number, requirement_id, title from {requirements}) o full outer join (select * from {requirements} where version_number > 1) n using (call_id, version_number, requirement_id)) x where change is not null and exists (select 1 from {versions} v where v.call_id = x.call_id and v.version_number = x.version_number)""")
+def keyed_diff(s, d):
+    """Steps of requirements and documents, under the field's path."""
+    newest = view(s, d, "versions").groupBy("call_id").agg(F.max("version_number").alias("newest"))
+    told = lambda name, key, value: view(s, d, name).select("call_id", "version_number", F.concat(F.lit("documents." if key == "document_id" else "requirements."), key).alias("field_path"), F.col(value).alias("x"))
+    return C.keyed_steps(told("requirements", "requirement_id", "title").unionByName(told("version_documents", "document_id", "digest")), newest, "field_path", "x")
+
+
+add("I3_keyed_diff", keyed_diff,
+    """with v as materialized (select call_id, version_number from {versions}), r as materialized (select call_id, version_number, 'requirements.' || requirement_id as field_path, title as x from {requirements}
+        union all select call_id, version_number, 'documents.' || document_id, digest from {version_documents}),
+    o as materialized (select r.call_id, r.version_number + 1 as version_number, field_path, x from r join v on v.call_id = r.call_id and v.version_number = r.version_number + 1)
+    select call_id, version_number, field_path, 'ADDED' as change, null as old_value, x as new_value from r where version_number > 1 and not exists (select 1 from o where o.call_id = r.call_id and o.version_number = r.version_number and o.field_path = r.field_path)
+    union all select call_id, version_number, field_path, 'REMOVED', x, null from o where not exists (select 1 from r where o.call_id = r.call_id and o.version_number = r.version_number and o.field_path = r.field_path)
+    union all select o.call_id, o.version_number, o.field_path, 'CHANGED', o.x, r.x from o join r using (call_id, version_number, field_path) where o.x is distinct from r.x""")
 add("I5_event_order", lambda s, d: C.scalar_events(view(s, d, "steps")).withColumn("place", F.row_number().over(Window.partitionBy("call_id", "version_number").orderBy(C.severity_rank(F.col("severity")), "field_path", "event_id"))).select("call_id", "version_number", "field_path", "place"),
     f"select call_id, version_number, field_path, row_number() over (partition by call_id, version_number order by case severity when 'CRITICAL' then 0 when 'IMPORTANT' then 1 when 'INFORMATIONAL' then 2 else 3 end, field_path) as place from ({EVENTS})")
 def fanout(s, d):
