@@ -2,148 +2,149 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
-from html.parser import HTMLParser
+from collections.abc import Iterator
+from html import unescape
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SKIPPED = {"script", "style", "noscript", "template", "svg"}
-#: What a tag's text becomes, and its name in locators.
-TEXTS = {"p": ("PARAGRAPH", "p"), "li": ("LIST_ITEM", "li")} | {f"h{k}": ("HEADING", "heading") for k in range(1, 7)}
+#: A comment or declaration, a tag with its attributes, or text. Possessive, so that odd markup costs no second look.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|([^<]++|<)""", re.S | re.I)
+HREF = re.compile(r"""(?:^|\s)href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+UNCLOSED = re.compile(r"<[a-z/!?]", re.I)
+#: What lies in these is not seen; the first two hold no markup.
+RAW, HIDDEN = ("script", "style"), ("script", "style", "noscript", "template", "svg")
+#: Tags by the kind of span that they begin; a span ends with the end tag of its kind.
+SPANS = {"p": "text", "li": "text", "a": "link", "tr": "row", "td": "cell", "th": "cell", "dt": "term", "dd": "told"} | {f"h{k}": "text" for k in range(1, 7)}
+UNSEEN_LINKS = ("#", "javascript:", "data:", "mailto:")
 COLUMNS = "page_id long, pos int, kind string, text string, locator string, section array<string>, heading_level int, link_url string, cells array<array<string>>"
-
-
-def tidy(parts: list[str]) -> str:
-    return " ".join(" ".join(parts).split())
-
-
-class PageBlocks(HTMLParser):
-    """Blocks of a page in the order in which they end. Text goes to every slot that is open: the
-    paragraph, list item or heading, the link, the table cell, the term of a definition list."""
-
-    def __init__(self, base: str):
-        super().__init__(convert_charrefs=True)
-        self.base, self.hidden = base, 0
-        self.found: list[dict] = []
-        self.number: Counter = Counter()
-        self.slots: dict[str, list[str]] = {}
-        self.inside = self.href = self.term = None
-        self.headings: list[str] = []
-        self.rows: list[list[str]] = []
-        self.row: list[str] | None = None
-
-    def take(self, slot: str) -> str | None:
-        parts = self.slots.pop(slot, None)
-        return None if parts is None else tidy(parts)
-
-    def put(self, kind: str, name: str, text: str, number: int | None = None, **more) -> None:
-        if number is None:
-            self.number[name] += 1
-        self.found.append({"kind": kind, "text": text, "locator": f"html.{name}.{number or self.number[name]}", "section": list(self.headings)} | more)
-
-    def end_text(self) -> None:
-        tag, text = self.inside, self.take("text")
-        self.inside = None
-        if tag and text:
-            kind, name = TEXTS[tag]
-            level = int(tag[1]) if kind == "HEADING" else None
-            if level:  # levels that the page leaves out are empty
-                self.headings = (self.headings + [""] * level)[: level - 1] + [text]
-            self.put(kind, name, text, heading_level=level)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED:
-            self.hidden += 1
-        elif self.hidden:
-            return
-        elif tag in TEXTS:
-            self.end_text()
-            self.inside, self.slots["text"] = tag, []
-        elif tag == "br":
-            self.handle_data("\n")
-        elif tag == "a":
-            self.href, self.slots["link"] = dict(attrs).get("href"), []
+LAYOUT = {"page_id": pa.int64(), "pos": pa.int32(), "kind": pa.string(), "text": pa.string(), "locator": pa.string(), "section": pa.list_(pa.string()), "heading_level": pa.int32(), "link_url": pa.string(), "cells": pa.list_(pa.list_(pa.string()))}
+
+
+def tokens(html: str) -> Iterator[tuple[str, str]]:
+    """What a page shows, in order: ("", text), (name, attributes) of a start tag, ("/name", "") of
+    an end tag."""
+    at, depth, last = 0, 0, html.rfind(">")
+    if rest := UNCLOSED.search(html, last + 1):  # a tag that the page never closes
+        html = html[: rest.start()]
+    while m := TOKEN.match(html, at):
+        at = m.end()
+        end, name, attributes, text = m.groups()
+        name = (name or "").lower()
+        if name in HIDDEN:
+            if end:
+                depth = max(0, depth - 1)
+            elif name in RAW:
+                close = re.compile(rf"</{name}[^>]*>", re.I).search(html, at)
+                at = close.end() if close else len(html)
+            elif not attributes.endswith("/"):
+                depth += 1
+        elif not depth and (name or text):
+            yield ("", unescape(text)) if text else (f"/{name}" if end else name, attributes)
+
+
+def spans(page: list[tuple[str, str]]) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, tag, first, last token) in the order of their ends. A paragraph, item or heading also
+    ends where the next one begins, and with the page; of other kinds the latest start counts. A
+    table's span begins after the table tag before it, and no row or cell goes on beyond its end."""
+    begun: dict[str, tuple[str, int]] = {}
+    for i, (name, _) in enumerate(page):
+        tag = name.lstrip("/")
+        kind, ends = SPANS.get(tag), name != tag
+        if kind in begun and (ends if kind != "text" else not ends or begun[kind][0] == tag):
+            yield kind, *begun.pop(kind), i
+        if kind and not ends:
+            begun[kind] = tag, i
         elif tag == "table":
-            self.number["table"] += 1
-            self.rows = []
-        elif tag == "tr":
-            self.row = []
-        elif tag in ("td", "th"):
-            self.slots["cell"] = []
-        elif tag in ("dt", "dd"):
-            self.slots[tag] = []
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED:
-            self.hidden = max(0, self.hidden - 1)
-        elif self.hidden:
-            return
-        elif tag in TEXTS:
-            if tag == self.inside:
-                self.end_text()
-        elif tag == "a":
-            text, url = self.take("link"), self.resolved()
-            if text and url:
-                self.put("LINK", "link", text, link_url=url)
-        elif tag in ("td", "th"):
-            text = self.take("cell")
-            if self.row is not None and text is not None:
-                self.row.append(text)
-        elif tag == "tr":
-            if self.row and any(self.row):
-                self.rows.append(self.row)
-            self.row = None
-        elif tag == "table":
-            if self.rows:
-                self.put("TABLE", "table", "\n".join(" | ".join(r) for r in self.rows), self.number["table"], cells=self.rows)
-            self.rows, self.row = [], None
-            self.slots.pop("cell", None)
-        elif tag == "dt":
-            self.term = self.take("dt")
-        elif tag == "dd":
-            text = self.take("dd")
-            if self.term and text is not None:
-                self.put("PAIR", "pair", f"{self.term} | {text}", cells=[[self.term, text]])
-            self.term = None
-
-    def handle_data(self, data):
-        if not self.hidden:
-            for parts in self.slots.values():
-                parts.append(data)
-
-    def resolved(self) -> str | None:
-        href, self.href = (self.href or "").strip(), None
-        if not href or href.startswith(("#", "javascript:", "data:", "mailto:")):
-            return None
-        try:
-            to = urljoin(self.base, href)
-        except ValueError:
-            return None
-        return to if to.lower().startswith(("http://", "https://")) else None
+            if ends:
+                yield "table", tag, begun.get("table", (tag, 0))[1], i
+                begun.pop("row", None), begun.pop("cell", None)
+            begun["table"] = tag, i
+    if "text" in begun:
+        yield "text", *begun["text"], len(page)
+
+
+def target(base: str, attributes: str) -> str | None:
+    """The absolute web address of a link's href."""
+    found = HREF.search(attributes)
+    href = unescape(found[1].strip("\"'")).strip() if found else ""
+    if not href or href.startswith(UNSEEN_LINKS):
+        return None
+    try:
+        to = urljoin(base, href)
+    except ValueError:
+        return None
+    return to if to.lower().startswith(("http://", "https://")) else None
+
+
+def page_blocks(base: str, html: str) -> list[tuple]:
+    """(kind, text, locator, section, heading level, link, cells) of a page's blocks in the order in
+    which they end."""
+    page = list(tokens(html))
+    places = [i for i, (name, _) in enumerate(page) if not name]
+    tables = [i for i, (name, _) in enumerate(page) if name == "table"]
+    number: Counter = Counter()
+    headings: list[str] = []
+    cells: list[tuple[int, str]] = []
+    rows: list[tuple[int, list[str]]] = []
+    out, term = [], None
+
+    def put(kind, name, text, level=None, link=None, table=None, n=None):
+        number[name] += 1
+        out.append((kind, text, f"html.{name}.{n or number[name]}", list(headings), level, link, table))
+
+    for kind, tag, i, j in spans(page):
+        if kind == "table":
+            if own := [r for k, r in rows if k > i]:
+                put("TABLE", "table", "\n".join(" | ".join(r) for r in own), table=own, n=bisect_left(tables, j))
+            rows, cells = [], []
+        elif kind == "row":
+            own = [t for k, t in cells if k > i]
+            cells = []
+            if any(own):
+                rows.append((i, own))
+        else:
+            text = " ".join(" ".join([page[k][1] for k in places[bisect_left(places, i) : bisect_left(places, j)]]).split())
+            if kind == "cell":
+                cells.append((i, text))
+            elif kind == "term":
+                term = text
+            elif kind == "told":
+                if term:
+                    put("PAIR", "pair", f"{term} | {text}", table=[[term, text]])
+                term = None
+            elif kind == "link":
+                if text and (link := target(base, page[i][1])):
+                    put("LINK", "link", text, link=link)
+            elif text and tag[0] == "h":
+                level = int(tag[1])
+                headings = [*(headings + [""] * level)[: level - 1], text]  # levels that the page leaves out are empty
+                put("HEADING", "heading", text, level=level)
+            elif text:
+                put("LIST_ITEM" if tag == "li" else "PARAGRAPH", tag, text)
+    return out
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """One row per block of (page_id, url, html): HEADING, PARAGRAPH, LIST_ITEM, LINK, TABLE (one row
     for a whole table, its rows in ``cells``) and PAIR (of a definition list). Locators count from 1
-    within a kind; ``section`` is the path of headings, a heading's own included. A document parser
-    is beyond SQL, so Arrow batches go through the standard library's."""
-    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    within a kind; ``section`` is the path of headings, a heading's own included. Markup is beyond
+    SQL, so Arrow batches are read a page at a time."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for page, url, html in zip(b["page_id"], b["url"], b["html"], strict=True):
-                p = PageBlocks(url or "")
-                p.feed(html or "")
-                p.close()
-                p.end_text()
-                out += [{"page_id": page, "pos": k} | x for k, x in enumerate(p.found)]
-            yield pd.DataFrame({c: pd.Series([x.get(c) for x in out], dtype={"heading_level": "Int32", "pos": "int32", "page_id": "int64"}.get(c, "object")) for c in names})
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, COLUMNS)
+            out: list[tuple] = []
+            for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
+                out += [(page, k, *x) for k, x in enumerate(page_blocks(url or "", html or ""))]
+            columns = zip(*out, strict=True) if out else [()] * len(LAYOUT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, LAYOUT.values(), strict=True)], list(LAYOUT))
+
+    return pages.select("page_id", "url", "html").mapInArrow(run, COLUMNS)
 
 
 def html_pairs(blocks: DataFrame) -> DataFrame:

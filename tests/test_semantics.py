@@ -137,14 +137,34 @@ def test_conditions_of_all_types(spark):
 
 
 def test_page_blocks():
-    from grantloom.sources.pages import PageBlocks
+    from grantloom.sources.pages import page_blocks
 
-    p = PageBlocks("https://a.example/x/")
-    p.feed('<h2>B</h2><p>one <a href="y">two</a><p>three<script>no<p>no</script><h1>A</h1><table><tr><td>1</td><td> 2 </td></tr></table><a href="mailto:q">no</a><noscript><a href="z">no</a></noscript><p>last')
-    p.close()
-    p.end_text()
-    assert [(x["kind"], x["locator"], x["text"], x["section"]) for x in p.found] == [
+    got = page_blocks("https://a.example/x/", '<h2>B</h2><p>one <a href="y">two</a><p>three<script>no<p>no</script><h1>A</h1><table><tr><td>1</td><td> 2 </td></tr></table><a href="mailto:q">no</a><noscript><a href="z">no</a></noscript><p>last')
+    assert [(kind, at, text, section) for kind, text, at, section, *_ in got] == [
         ("HEADING", "html.heading.1", "B", ["", "B"]), ("LINK", "html.link.1", "two", ["", "B"]), ("PARAGRAPH", "html.p.1", "one two", ["", "B"]), ("PARAGRAPH", "html.p.2", "three", ["", "B"]),
         ("HEADING", "html.heading.2", "A", ["A"]), ("TABLE", "html.table.1", "1 | 2", ["A"]), ("PARAGRAPH", "html.p.3", "last", ["A"]),
     ]
-    assert p.found[1]["link_url"] == "https://a.example/x/y"
+    assert got[1][5] == "https://a.example/x/y"
+
+
+@pytest.mark.parametrize("html,want", [
+    ("", []), ("plain text", []), ("<p>a < b &amp; c &lt;d&gt;", [("PARAGRAPH", "a < b & c <d>")]), ("<!-- <p>x --><p>y<!-- never closed <p>z", [("PARAGRAPH", "y")]),
+    ("<P CLASS='a>b'>up</P>", [("PARAGRAPH", "up")]), ("<p>a<br>b<br/>c", [("PARAGRAPH", "a b c")]), ("<svg/><p>seen<svg><p>not</svg> more", [("PARAGRAPH", "seen more")]), ("<style>p > a {}</style><li>one<li>two</ul>", [("LIST_ITEM", "one"), ("LIST_ITEM", "two")]),
+    ("<script>if (a < b) '<p>'</SCRIPT ><p>x", [("PARAGRAPH", "x")]), ("<table><tr><td>a<td>b</td></tr><tr><td></td></tr></table>", [("TABLE", "b")]), ("<dl><dt>k</dt><dd>v</dd><dd>w</dd></dl>", [("PAIR", "k | v")]),
+    ("<p>open <a href='http://q.example/?a=1&amp;b=2'>go</a", [("PARAGRAPH", "open go")]), ("<a href=\"'\" <p>x", []),
+])
+def test_odd_pages(html, want):
+    from grantloom.sources.pages import page_blocks
+
+    assert [(x[0], x[1]) for x in page_blocks("http://h.example/", html)] == want
+
+
+def test_long_pages_in_time():
+    import time
+
+    from grantloom.sources.pages import page_blocks
+
+    began = time.process_time()
+    for html in ("<" * 200_000, "<p" * 100_000, '<a "' * 50_000, "<p>x" * 50_000, "<!--" * 50_000, "<b '" * 50_001, "<table><tr><td>" * 30_000, "&amp" * 100_000):
+        page_blocks("", html)
+    assert time.process_time() - began < 20
