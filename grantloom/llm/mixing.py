@@ -15,8 +15,9 @@ r"""Mixing sources to target weights (operator 2, DataFrame functions only): sof
    0, say), :func:`report` tells what is left by domain. With ``keep`` rates are 1 or more, so that
    mixing repeats documents rather than removing clean ones; the totals then start from what stays,
    and the shares end nearer to that than to the targets. A step needs the totals' residual only, one
-   grouped sum over a narrow table. A document's rate follows from its p and the list of steps by
-   a fold; the narrow table is rewritten with the iterates every few steps, so no expression gets
+   sum over the tokens grouped by p (to ``DIGITS`` digits), a table that does not grow with the
+   corpus beyond half a million rows. A document's rate follows from its p and the list of steps by
+   a fold; that table is rewritten with the iterates every few steps, so no expression gets
    long. Steps end when the root mean square change of a token's rate is below ``tolerance``.
 3. *Copies.* A rate becomes a whole number of copies, its fraction decided by the doc_id's hash.
 
@@ -46,6 +47,8 @@ DOMAIN_SQL = "case when toxic = 1 then 'toxic' when quality = 1 then 'good' else
 #: HEADROOM times these is the target that rates from 1 up can reach.
 TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 HEADROOM, SLOTS, SEED = 1.25, 1 << 11, 17
+#: Rates follow from probabilities of so many digits: a step reads half a million groups at most.
+DIGITS = 3
 #: From this posterior on a document without a label is surely of its domain.
 SURE = 0.99
 
@@ -135,7 +138,7 @@ def fit_rates(narrow: DataFrame, targets: list[float], rounds: int = 100, tolera
     goal, moments = np.array(targets) / total, np.array(first[1:], float).reshape(n, n) / total
     metric = metric_of(moments)  # so the step length is 1
     state = narrow.select("tokens", "p", F.lit(1.0).alias("rate"), F.lit(1.0).alias("look"))
-    begun = moments.sum(axis=1) if every is None else np.array(narrow.agg(*[F.sum(F.expr(f"tokens * p[{a}]")) for a in k]).first(), float) / total  # p sums to one
+    begun = np.array(narrow.agg(*[F.sum(F.expr(f"tokens * p[{a}]")) for a in k]).first(), float) / total
     steps, done, t, e = [], 0, 1.0, np.nan_to_num(begun) - goal
     while len(steps) < rounds:
         t, old = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
@@ -185,19 +188,19 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     df = df.withColumn(t, F.expr(r"cast(greatest(size(split(trim(BOTH ' \n\t' FROM coalesce(text, '')), r'\s+')), 0) as double)"))
     df = df.withColumn(t, F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(0.0)).otherwise(F.col(t)))
     df = written(df, "mixing")
-    every = df.select(F.col(t).alias("tokens"), F.col(p).alias("p"))
+    alike = F.expr(f"transform(`{p}`, x -> round(x, {DIGITS}))").alias("p")
+    every = written(df.groupBy(alike).agg(F.sum(t).alias("tokens")), "posteriors", rows=200_000)
     now = totals(every)
     df, out = barred(df, labels, p, [d for d in DOMAINS if targets[d] == 0])
-    narrow = written(df.filter(f"not `{out}`").select(F.col(t).alias("tokens"), F.col(p).alias("p")), "staying")
+    narrow = written(df.filter(f"not `{out}`").groupBy(alike).agg(F.sum(t).alias("tokens")), "staying", rows=200_000)
     if keep:
-        every = None
         scale = HEADROOM * max((x / targets[d] for x, d in zip(now, DOMAINS, strict=True) if targets[d] > 0), default=0.0)
         goals = [max(targets[d] * scale, HEADROOM * x) for d, x in zip(DOMAINS, totals(narrow), strict=True)]
     else:
         goals = [targets[d] / sum(targets.values()) * budget * sum(now) for d in DOMAINS]
-    rate = fit_rates(narrow, goals, floor=1.0 if keep else 0.0, every=every)
-    release(narrow)
-    return df.withColumn(r, F.expr(f"if(`{out}`, 0D, transform(array(`{p}`), p -> {rate})[0])")), t, p, r
+    rate = fit_rates(narrow, goals, floor=1.0 if keep else 0.0, every=None if keep else every)
+    release(narrow, every)
+    return df.withColumn(r, F.expr(f"if(`{out}`, 0D, transform(array(transform(`{p}`, x -> round(x, {DIGITS}))), p -> {rate})[0])")), t, p, r
 
 
 def report(df: DataFrame, tokens: str, p: str, rate: str, targets: dict[str, float] = TARGETS) -> DataFrame:
