@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grantloom.functions.normalize import stable_id
 from grantloom.operators import changes as C
 from grantloom.operators import money as M
+from grantloom.operators import percolator as P
 from grantloom.operators import rule_trees as T
 from grantloom.operators import rules as R
 from grantloom.operators import search as S
@@ -242,32 +243,56 @@ add("I3_keyed_diff", keyed_diff,
     union all select o.call_id, o.version_number, o.field_path, 'CHANGED', o.x, r.x from o join r using (call_id, version_number, field_path) where o.x is distinct from r.x""")
 add("I5_event_order", lambda s, d: C.scalar_events(view(s, d, "steps")).withColumn("place", F.row_number().over(Window.partitionBy("call_id", "version_number").orderBy(C.severity_rank(F.col("severity")), "field_path", "event_id"))).select("call_id", "version_number", "field_path", "place"),
     f"select call_id, version_number, field_path, row_number() over (partition by call_id, version_number order by case severity when 'CRITICAL' then 0 when 'IMPORTANT' then 1 when 'INFORMATIONAL' then 2 else 3 end, field_path) as place from ({EVENTS})")
-def fanout(s, d):
-    """Current searchable versions x enabled watches with any hit of the intent's first 20 tokens."""
-    now = view(s, d, "current_calls").filter(F.col("status").isin(S.ACTIVE)).withColumnRenamed("call_id", "doc_id")
-    own = view(s, d, "watches").filter("enabled").select(F.col("watch_id").alias("intent_id"), F.slice(S.tokens(F.col("intent")), 1, 20).alias("ts")).select("intent_id", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    hits = S.token_hits(own, S.postings(now, {"text": 1.0})).select("token", "doc_id")
-    found = own.join(hits, "token").groupBy("intent_id", "doc_id").agg((F.count("*") / F.first("n")).alias("coverage"))
-    return found.join(now.select("doc_id", "version_number"), "doc_id").select(F.col("intent_id").alias("watch_id"), F.col("doc_id").alias("call_id"), "version_number", F.round("coverage", 6).alias("coverage"))
+#: What is known of a watch's applicant for a call's version, as SQL over watch_id, call_id and v.
+KNOWN = ["""case (watch_id + 3 * call_id + {v}) % 7 when 0 then 'INELIGIBLE' when 1 then 'NEEDS_REVIEW' when 2 then 'NEEDS_INFORMATION' when 3 then null when 4 then 'LIKELY_ELIGIBLE' else 'ELIGIBLE' end as eligibility""",
+    """case (2 * watch_id + call_id + {v}) % 8 when 0 then 'SCENARIO_NOT_APPLICABLE' when 1 then 'ERROR' when 2 then 'INSTRUMENT_NOT_SUPPORTED' when 3 then 'NEEDS_INFORMATION' when 4 then null else 'COMPLETE' end as finance"""]
+#: Which matches were there before: for some calls that of the version before, for some one of the same version.
+CURRENT, BEFORE, SAME = "version_number = newest", "call_id % 3 = 1 and version_number = newest - 1", "call_id % 3 = 0 and version_number = newest"
+
+
+def hits(s, d, which=CURRENT):
+    """Versions x enabled watches with any hit of the intent's first 20 tokens."""
+    watches = view(s, d, "watches")
+    return P.percolate(view(s, d, "version_texts").filter(which), watches, P.intent_index(watches))
+
+
+def matches(s, d, which=CURRENT, v="version_number"):
+    """Hits judged by band, eligibility and finance."""
+    return P.decided(hits(s, d, which).selectExpr("*", *[x.format(v=v) for x in KNOWN]), view(s, d, "watches_now"))
+
+
+def acted(s, d):
+    """Matches of current versions against those that were there before."""
+    old = matches(s, d, BEFORE).unionByName(matches(s, d, SAME, "version_number + watch_id % 2"))
+    return P.actions(matches(s, d), old.select("watch_id", "call_id", F.col("version_number").alias("place"), "dedupe_key"))
 
 
 WORDS = lambda c: f"list_filter(string_split({fold(c)}, ' '), lambda x: x <> '')"
-add(
-    "I6_watch_fanout",
-    fanout,
-    f"""with own0 as (select watch_id, {WORDS('intent')}[1:20] as ts from {{watches}} where enabled), own as (select watch_id, len(ts) as n, unnest(ts) as token from own0),
-    terms as (select distinct call_id, version_number, unnest({WORDS('text')}) as term from {{current_calls}} where status in ('OPEN', 'PLANNED', 'ANNOUNCED')),
-    hits as (select distinct t.token, w.call_id, w.version_number from (select distinct token from own) t join terms w on left(w.term, 2) = left(t.token, 2) and (w.term = t.token or (length(t.token) >= 3 and starts_with(w.term, t.token))))
-    select watch_id, call_id, version_number, round(count(*) / first(n), 6) as coverage from own join hits using (token) group by watch_id, call_id, version_number""",
-)
+def hits_sql(which: str) -> str:
+    """The same by comparing distinct tokens with distinct words."""
+    return f"""with own0 as (select watch_id, {WORDS('intent')}[1:20] as ts from {{watches}} where enabled), own as materialized (select watch_id, len(ts) as n, unnest(ts) as token from own0),
+    terms as materialized (select distinct call_id, version_number, unnest({WORDS('text')}) as term from {{version_texts}} where status in ('OPEN', 'PLANNED', 'ANNOUNCED') and {which}),
+    pairs as materialized (select t.token, w.term from (select distinct token from own) t join (select distinct term from terms) w on left(w.term, 2) = left(t.token, 2) and (w.term = t.token or (length(t.token) >= 3 and starts_with(w.term, t.token)))),
+    hits as (select distinct token, call_id, version_number from pairs join terms using (term))
+    select watch_id, call_id, version_number, round(count(*) / first(n), 6) as coverage from own join hits using (token) group by watch_id, call_id, version_number"""
+
+
+add("I6_watch_fanout", hits, hits_sql(CURRENT))
 STATUS = """case when not enabled then 'NOT_RELEVANT' when (case band when 'WEAK' then 0 when 'POSSIBLE' then 1 else 2 end) < (case minimum_band when 'WEAK' then 0 when 'POSSIBLE' then 1 else 2 end) then 'NOT_RELEVANT' when eligibility = 'INELIGIBLE' then 'NOT_ELIGIBLE' when eligibility = 'NEEDS_REVIEW' then 'NEEDS_REVIEW'
     when eligibility is null or eligibility = 'NEEDS_INFORMATION' then 'NEEDS_INFORMATION' when finance = 'SCENARIO_NOT_APPLICABLE' then 'NOT_FINANCIALLY_COMPATIBLE' when finance in ('ERROR', 'INSTRUMENT_NOT_SUPPORTED') then 'NEEDS_REVIEW' when finance is null or finance = 'NEEDS_INFORMATION' then 'NEEDS_INFORMATION' else 'MATCHED' end"""
-add("I7_watch_decision", lambda s, d: C.watch_status(view(s, d, "candidates")).select("watch_id", "call_id", "version_number", "status", F.array_join("reasons", ",").alias("reasons"), "candidate"),
-    f"select watch_id, call_id, version_number, status, concat_ws(',', 'RELEVANCE_' || band, 'WATCH_STATUS_' || status, coalesce('ELIGIBILITY_' || eligibility, 'ELIGIBILITY_NOT_EVALUATED'), coalesce('FINANCE_' || finance, 'FINANCE_NOT_EVALUATED')) as reasons, status in ('MATCHED', 'NEEDS_INFORMATION') as candidate from (select *, {STATUS} as status from {{candidates}})")
-add("I8_match_action", lambda s, d: C.watch_status(view(s, d, "candidates")).withColumn("before", F.lag("status").over(Window.partitionBy("watch_id", "call_id").orderBy("version_number"))).select("watch_id", "call_id", "version_number", F.when(F.col("before").isNull(), "CREATED").when(F.col("before") == F.col("status"), "UNCHANGED").otherwise("UPDATED").alias("action")),
-    f"select watch_id, call_id, version_number, case when b is null then 'CREATED' when b = status then 'UNCHANGED' else 'UPDATED' end as action from (select *, lag(status) over (partition by watch_id, call_id order by version_number) as b from (select *, {STATUS} as status from {{candidates}}))")
-add("I9_match_notifications", lambda s, d: C.watch_status(view(s, d, "candidates")).filter("candidate").select("watch_id", "call_id", "version_number", F.when(F.col("status") == "MATCHED", "NEW_MATCH").otherwise("MATCH_NEEDS_INFORMATION").alias("kind")),
-    f"select watch_id, call_id, version_number, case status when 'MATCHED' then 'NEW_MATCH' else 'MATCH_NEEDS_INFORMATION' end as kind from (select *, {STATUS} as status from {{candidates}}) where status in ('MATCHED', 'NEEDS_INFORMATION')")
+def matches_sql(which: str, v: str = "version_number") -> str:
+    band = "case when round(0.45 * coverage / 0.8, 6) >= 0.7 then 'VERY_GOOD' when round(0.45 * coverage / 0.8, 6) >= 0.35 then 'POSSIBLE' else 'WEAK' end as band"
+    told = f"select h.*, w.enabled, w.minimum_band, {band}, {', '.join(KNOWN).format(v=v)} from ({hits_sql(which)}) h join {{watches_now}} w using (watch_id)"
+    return f"select *, 'watch:' || watch_id || ':call:' || call_id || ':version:' || version_number || ':status:' || status as dedupe_key from (select *, {STATUS} as status from ({told}) t0) t1"
+
+
+ACTED = f"""select m.*, status in ('MATCHED', 'NEEDS_INFORMATION') as candidate, case when o.dedupe_key is null then 'CREATED' when o.dedupe_key = m.dedupe_key then 'UNCHANGED' else 'UPDATED' end as action
+    from ({matches_sql(CURRENT)}) m left join (select watch_id, call_id, dedupe_key from ({matches_sql(BEFORE)}) b0 union all select watch_id, call_id, dedupe_key from ({matches_sql(SAME, "version_number + watch_id % 2")}) s0) o using (watch_id, call_id)"""
+add("I7_watch_decision", lambda s, d: matches(s, d).select("watch_id", "call_id", "version_number", "band", "status", F.array_join("reasons", ",").alias("reasons"), "candidate"),
+    f"select watch_id, call_id, version_number, band, status, concat_ws(',', 'RELEVANCE_' || band, 'WATCH_STATUS_' || status, coalesce('ELIGIBILITY_' || eligibility, 'ELIGIBILITY_NOT_EVALUATED'), coalesce('FINANCE_' || finance, 'FINANCE_NOT_EVALUATED')) as reasons, status in ('MATCHED', 'NEEDS_INFORMATION') as candidate from ({matches_sql(CURRENT)}) m")
+add("I8_match_action", lambda s, d: acted(s, d).select("watch_id", "call_id", "version_number", "status", "action"), f"select watch_id, call_id, version_number, status, action from ({ACTED}) a0")
+add("I9_match_notifications", lambda s, d: P.notifications(acted(s, d)),
+    f"select watch_id, call_id, version_number, case status when 'MATCHED' then 'NEW_MATCHING_GRANT' else 'MATCH_NEEDS_INFORMATION' end as kind, case status when 'MATCHED' then 'IMPORTANT' else 'INFO' end as severity, 'watch-match:' || dedupe_key as dedupe_base from ({ACTED}) a0 where candidate and action <> 'UNCHANGED'")
 add("I10_change_notifications", lambda s, d: C.scalar_events(view(s, d, "steps")).filter("severity <> 'EDITORIAL'").select("event_id", "severity", F.concat_ws(" → ", F.coalesce("old_value", F.lit("?")), F.coalesce("new_value", F.lit("?"))).alias("body"), F.col("severity").isin("CRITICAL", "IMPORTANT").alias("push")),
     f"select left(sha256(concat(call_id, chr(31), version_number, chr(31), field_path, chr(31), change_type)), 24) as event_id, severity, coalesce(old_value, '?') || ' → ' || coalesce(new_value, '?') as body, severity in ('CRITICAL', 'IMPORTANT') as push from ({EVENTS}) where severity <> 'EDITORIAL'")
 def reminders(s, d):

@@ -106,6 +106,11 @@ VIEWS = {
     # the current version of each call, with the text that searches see
     "current_calls": """select c.call_id, v.version_number, v.status, concat(c.title, ' ', c.activity, ' k', cast(cast(floor(c.call_id / 8.0) as int) as string)) as text
         from {calls} c join (select *, max(version_number) over (partition by call_id) as newest from {versions}) v on v.call_id = c.call_id and v.version_number = v.newest""",
+    # every version with the text that searches see, and the number of its call's newest one
+    "version_texts": """select c.call_id, v.version_number, v.status, v.newest, concat(c.title, ' ', c.activity, ' k', cast(cast(floor(c.call_id / 8.0) as int) as string)) as text
+        from {calls} c join (select *, max(version_number) over (partition by call_id) as newest from {versions}) v on v.call_id = c.call_id""",
+    # watches as they are when their hits are judged: some have been switched off since
+    "watches_now": "select watch_id, enabled and watch_id % 40 <> 9 as enabled, minimum_band from {watches}",
     "candidates": """select w.watch_id, w.enabled, w.minimum_band, v.call_id, v.version_number, case v.quantity % 3 when 0 then 'WEAK' when 1 then 'POSSIBLE' else 'VERY_GOOD' end as band,
         case v.quantity % 7 when 0 then 'INELIGIBLE' when 1 then 'NEEDS_REVIEW' when 2 then 'NEEDS_INFORMATION' when 3 then null when 4 then 'ELIGIBLE' else 'LIKELY_ELIGIBLE' end as eligibility,
         case v.l_suppkey % 6 when 0 then 'SCENARIO_NOT_APPLICABLE' when 1 then 'ERROR' when 2 then 'INSTRUMENT_NOT_SUPPORTED' when 3 then 'NEEDS_INFORMATION' when 4 then null else 'COMPLETE' end as finance
