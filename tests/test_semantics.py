@@ -168,3 +168,39 @@ def test_long_pages_in_time():
     for html in ("<" * 200_000, "<p" * 100_000, '<a "' * 50_000, "<p>x" * 50_000, "<!--" * 50_000, "<b '" * 50_001, "<table><tr><td>" * 30_000, "&amp" * 100_000):
         page_blocks("", html)
     assert time.process_time() - began < 20
+
+
+AMOUNTS = [
+    ("do 5 mil. Kč", 500_000_000, "CZK"), ("1 500 000 Kč a 3 mil. Kč", 150_000_000, "CZK"), ("od 1. 3. 2024 do 2,5 mil. Kč", 250_000_000, "CZK"), ("EUR 5", None, None), ("12.50 EUR", 1250, "EUR"), ("1,000.50 €", 100_050, "EUR"), ("3 mld Kč", 300_000_000_000, "CZK"),
+    ("7 CZK.", 700, "CZK"), ("7 osob za 9 Kč", 900, "CZK"), ("1.000.000 Kč", None, None), ("", None, None), (None, None, None), ("50 % z 100 Kč", 10_000, "CZK"),
+]
+
+
+def test_amounts_with_currency(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(AMOUNTS)], "k int, t string")
+    minor, currency = N.money_with_currency(F.col("t"))
+    assert {r["k"]: (r["m"], r["c"]) for r in df.select("k", minor.alias("m"), currency.alias("c")).collect()} == {k: (m, c) for k, (_, m, c) in enumerate(AMOUNTS)}
+
+
+LIMITS = [("od 50 tis. Kč do 1,5 mil. Kč", 50_000, 1_500_000), ("nejvýše 2 mil. Kč", 2_000_000, None), ("1 500 tis. Kč", 500_000, None), ("2 mil. EUR", None, None), ("5 Kč", None, None), ("3 mld. Kč", None, None), (None, None, None)]
+
+
+def test_cost_limits(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(LIMITS)], "k int, t string")
+    low, high = N.cost_limits(F.col("t"))
+    assert {r["k"]: (r["a"], r["b"]) for r in df.select("k", low.alias("a"), high.alias("b")).collect()} == {k: (a, b) for k, (_, a, b) in enumerate(LIMITS)}
+
+
+WINDOWS = [
+    ("Zahájení příjmu žádostí: 1. 3. 2024, ukončení příjmu žádostí: 31. 5. 2024", "2024-02-29 23:00:00", "2024-05-31 21:59:59"),
+    ("Zahájení příjmu žádostí 15 března 2024", "2024-03-14 23:00:00", None),
+    ("ukončení  příjmu žádostí 1. 4. 2024. Příjem byl prodloužen do 2. 5. 2024 a zkrácen na 3. 4. 2024.", None, "2024-04-03 21:59:59"),
+    ("Změna. Od 1. 1. 2024 do 2. 1. 2024", None, None), ("ukončení příjmu žádostí 40. 1. 2024", None, None), ("bez data", None, None), (None, None, None),
+]
+
+
+def test_submission_windows(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(WINDOWS)], "k int, t string")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    opens, closes = N.submission_window(F.col("t"))
+    assert {r["k"]: (r["a"], r["b"]) for r in df.select("k", text(opens).alias("a"), text(closes).alias("b")).collect()} == {k: (a, b) for k, (_, a, b) in enumerate(WINDOWS)}
