@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantloom.functions.normalize import fold_text
+from grantloom.tables import kept
 
 ACTIVE = ["OPEN", "PLANNED", "ANNOUNCED"]
 K1, B = 1.2, 0.75
@@ -27,6 +30,48 @@ def postings(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
     return rows.groupBy("doc_id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.first("length").alias("length"))
 
 
+#: Parts of an index, and into how many pieces each is dealt, so that no common beginning fills one task.
+BUCKETS, SPLIT = 64, 8
+
+
+def bucket(term: Column) -> Column:
+    """The part of an index in which a term lies: all terms of one beginning lie together."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 3)), F.lit(BUCKETS)).cast("int")
+
+
+def index(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """(bucket, term, doc_id, tf, length): the postings as a stored table, split by the terms' first
+    letters. A document's terms are counted where its text is read, so what is shuffled is one row per
+    document and distinct term, once; searches read the buckets that their tokens fall into."""
+    each = F.array(*[tokens(F.col(name)) for name in fields])
+    weights = list(fields.values())
+
+    def run(batches):
+        for b in batches:
+            ids, terms, tf, length = [], [], [], []
+            for d, parts in zip(b.column("doc_id").to_pylist(), b.column("parts").to_pylist(), strict=True):
+                found: dict[str, float] = {}
+                for weight, words in zip(weights, parts, strict=True):
+                    for w, n in Counter(words or ()).items():
+                        found[w] = found.get(w, 0.0) + weight * n
+                ids += [d] * len(found)
+                terms += found
+                tf += found.values()
+                length += [sum(len(p or ()) for p in parts)] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(terms, pa.string()), pa.array(tf, pa.float64()), pa.array(length, pa.int32())], ["doc_id", "term", "tf", "length"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), each.alias("parts")).mapInArrow(run, "doc_id long, term string, tf double, length int")
+    return kept(rows.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPLIT))).sortWithinPartitions("bucket", "term"), "postings", "bucket")
+
+
+def index_hits(wanted: DataFrame, post: DataFrame) -> DataFrame:
+    """:func:`token_hits` over a stored index, as a table. Only the buckets of wanted tokens are read;
+    at most BUCKETS numbers pass through the driver."""
+    own = kept(wanted.select("token", bucket(F.col("token")).alias("bucket")).distinct(), "asked")
+    parts = [r[0] for r in own.select("bucket").distinct().collect()]
+    return kept(token_hits(own, post.filter(F.col("bucket").isin(parts))), "hits")
+
+
 def token_hits(wanted: DataFrame, post: DataFrame) -> DataFrame:
     """(token, doc_id, tf, length): where the wanted tokens occur; from three characters on a token
     also stands for all terms that begin with it. Tokens meet the vocabulary by their first three
@@ -68,9 +113,15 @@ def coverage(intents: DataFrame, hits: DataFrame, at_least: float) -> DataFrame:
 
 
 def all_match(phrases: DataFrame, hits: DataFrame) -> DataFrame:
-    """(phrase, doc_id) of documents that contain every token of a phrase (phrase, token)."""
-    need = phrases.distinct().withColumn("need", F.count("*").over(Window.partitionBy("phrase")))
-    return need.join(hits, "token").groupBy("phrase", "doc_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("phrase", "doc_id")
+    """(phrase, doc_id) of documents that contain every token of a phrase (phrase, token). Candidates
+    come from each phrase's rarest token alone; its other tokens are looked up for those."""
+    per = Window.partitionBy("phrase")
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    need = phrases.distinct().join(df, "token", "left").withColumns({"need": F.count("*").over(per), "known": F.count("df").over(per)}).filter("need = known")
+    rare = need.withColumn("r", F.row_number().over(per.orderBy("df", "token"))).filter("r = 1").select("phrase", "token")
+    candidates = rare.join(hits.select("token", "doc_id"), "token").select("phrase", "doc_id")
+    found = candidates.join(need.select("phrase", "token", "need"), "phrase").join(hits.select("token", "doc_id"), ["token", "doc_id"])
+    return found.groupBy("phrase", "doc_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).filter("n = need").select("phrase", "doc_id")
 
 
 def top_k(scored: DataFrame, k: int, by: str = "intent_id", score: str = "score", ident: str = "doc_id") -> DataFrame:

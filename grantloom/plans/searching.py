@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from grantloom.functions.normalize import fold_text
 from grantloom.operators import search as S
 from grantloom.plans.fields import fold
+from grantloom.tables import kept
 from grantloom.views import duck, view
 
 QUERIES: dict = {}
@@ -48,10 +49,10 @@ BM25 = f"""with asked as (select distinct item_id as intent_id, unnest({toks('te
 def scored(s, d):
     """BM25 over all calls' statistics, of those open, planned or announced."""
     docs = view(s, d, "search_docs")
-    length = sum((F.size(S.tokens(F.col(f))) for f in list(FIELDS)[1:]), F.size(S.tokens(F.col("title"))))
-    n, total = docs.agg(F.count("*"), F.sum(length)).first()
-    own = intents(s, d)
-    found = S.bm25(own, S.token_hits(own, S.postings(docs, FIELDS)), n, (total or 0) / max(n, 1))
+    own, post = kept(intents(s, d), "intents"), S.index(docs, FIELDS)
+    total = post.groupBy("doc_id").agg(F.first("length").alias("length")).agg(F.sum("length")).first()[0]
+    n = docs.count()
+    found = S.bm25(own, S.index_hits(own, post), n, (total or 0) / max(n, 1))
     return found.join(docs.filter(F.col("status").isin(S.ACTIVE)).select("doc_id"), "doc_id")
 
 
@@ -144,10 +145,11 @@ add("F6_query_expansion", expanded, EXPANDED + " select id, phrase, place from p
 def expanded_search(s, d):
     """Calls that contain all tokens of one of the first 16 phrases of a query; queries are the
     calls whose id is divisible by 20. Each distinct phrase is searched for once."""
-    asked = expanded(s, d).filter("id % 20 = 0 and place <= 16").select("id", "phrase")
+    asked = kept(expanded(s, d).filter("id % 20 = 0 and place <= 16").select("id", "phrase"), "asked")
     tokens = asked.select("phrase").distinct().select("phrase", F.explode(F.array_distinct(S.tokens(F.col("phrase")))).alias("token"))
     docs = view(s, d, "calls").select(F.col("call_id").alias("doc_id"), "title", "activity", "provider")
-    found = S.all_match(tokens, S.token_hits(tokens, S.postings(docs, {"title": 4.0, "activity": 3.0, "provider": 1.0})))
+    tokens = kept(tokens, "phrases")
+    found = S.all_match(tokens, S.index_hits(tokens, S.index(docs, {"title": 4.0, "activity": 3.0, "provider": 1.0})))
     return asked.join(found, "phrase").groupBy("id", "doc_id").agg(F.count("*").alias("n_phrases"))
 
 
@@ -218,7 +220,8 @@ add(
 add("F15_relevance", lambda s, d: view(s, d, "events").select("event_id", F.round(S.relevance(F.col("value") - 50), 6).alias("relevance")), "select event_id, round(greatest(0, value - 50) / (1 + greatest(0, value - 50)), 6) as relevance from {events}")
 def covered(s, d):
     own = view(s, d, "benchmark").select(F.col("item_id").alias("intent_id"), F.posexplode(F.slice(S.tokens(F.col("text")), 1, 20)).alias("pos", "token"))
-    return S.coverage(own, S.token_hits(own, S.postings(view(s, d, "search_docs"), FIELDS)), 0.75)
+    own = kept(own, "intents")
+    return S.coverage(own, S.index_hits(own, S.index(view(s, d, "search_docs"), FIELDS)), 0.75)
 
 
 add(
