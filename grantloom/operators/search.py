@@ -196,26 +196,33 @@ BLOCK = 1024
 
 
 def packed(rows: DataFrame, ident: str, block: int = BLOCK) -> DataFrame:
-    """(chunk, ids, vectors): vectors (``ident``, embedding) in packs of at most ``block``."""
+    """(dims, n, ids, vectors): vectors (``ident``, embedding) of one length in packs of at most
+    ``block``; null and empty ones and those with a null component are left out."""
 
     def run(batches):
         for b in batches:
-            for k in range(0, b.num_rows, block):
-                part = b.slice(k, block)
-                v = np.array([np.asarray(x, np.float32) for x in part.column("embedding").to_pylist()])
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), pa.array([part.column(ident).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["n", "ids", "vectors"])
+            vectors, ids = b.column("embedding").to_pylist(), b.column(ident).to_numpy().astype(np.int64)
+            size = np.array([len(v) for v in vectors])
+            for dims in np.unique(size).tolist():
+                at = np.flatnonzero(size == dims)
+                for k in range(0, len(at), block):
+                    some = at[k : k + block]
+                    v = np.array([vectors[i] for i in some.tolist()], np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([len(some)], pa.int32()), pa.array([ids[some].tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["dims", "n", "ids", "vectors"])
 
-    return rows.select(F.col(ident).cast("long").alias(ident), "embedding").mapInArrow(run, "n int, ids binary, vectors binary")
+    usable = rows.filter(f"{ident} is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)")
+    return usable.select(F.col(ident).cast("long").alias(ident), "embedding").mapInArrow(run, "dims int, n int, ids binary, vectors binary")
 
 
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): a stated query set against all vectors, in blocks; a zero
-    vector scores 0, ties go by id. Both sides are packed; the packs of vectors are dealt over
+    vector scores 0, ties go by id, and only vectors of one length meet (those with nothing to
+    compare are left out). Both sides are packed; the packs of vectors are dealt over
     ``parts``, each of which meets every pack of queries, one pair of packs at a time, and keeps the k
     best of the pair; these meet per query. Nothing is broadcast or collected."""
     parts = parts or int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = packed(vectors, "vec_id").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    q = packed(queries, "query_id").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
+    q = packed(queries, "query_id").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "dims", F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"))
 
     def best(batches):
         for b in batches:
@@ -227,7 +234,7 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, parts: int | No
                 top = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])), pa.array(ids[top].ravel()), pa.array(np.take_along_axis(s, top, axis=1).ravel())], ["query_id", "vec_id", "score"])
 
-    found = v.join(q, "part").select("n", "ids", "vectors", "qn", "qids", "qvectors").mapInArrow(best, "query_id long, vec_id long, score double")
+    found = v.join(q, ["part", "dims"]).select("n", "ids", "vectors", "qn", "qids", "qvectors").mapInArrow(best, "query_id long, vec_id long, score double")
     return top_k(found, k, "query_id", "score", "vec_id")
 
 

@@ -76,7 +76,7 @@ add("E11_usage_state", lambda s, d: view(s, d, "events").groupBy("user_id").agg(
 add("E12_constraints", lambda s, d: view(s, d, "funded").withColumn("v", F.array_compact(F.array(F.when(~col("rate_bps").between(0, 2500), "RATE_RANGE"), F.when(col("min_minor") > 500000, "MIN_TOO_HIGH"), F.when(~col("currency").isin("CZK"), "CURRENCY")))).filter("size(v) > 0").select("project_id", "scenario_id", F.array_join("v", ",").alias("violations")),
     "select * from (select project_id, scenario_id, concat_ws(',', case when rate_bps not between 0 and 2500 then 'RATE_RANGE' end, case when min_minor > 500000 then 'MIN_TOO_HIGH' end, case when currency <> 'CZK' then 'CURRENCY' end) as violations from {funded}) where violations <> ''")
 add("E14_all_missing", lambda s, d: view(s, d, "observations").groupBy("external_id").agg(F.every(col("day") < F.lit("2024-01-10").cast("date")).alias("all_missing")), "select external_id, bool_and(day < '2024-01-10') as all_missing from {observations} group by 1")
-REQUESTS = """select o_orderkey as request_id, o_custkey % 97 as doc_id, case o_orderkey % 3 when 0 then 'OPEN' when 1 then 'PLANNED' end as status, case when o_orderkey % 4 = 0 then concat('src', cast(o_orderkey % 5 as string)) end as provider, case o_orderkey % 5 when 0 then 'KNOWN' when 1 then 'UNKNOWN' end as deadline,
+REQUESTS = """select o_orderkey as request_id, (o_orderkey * 7 + o_custkey) % (select count(*) from {documents}) as doc_id, case o_orderkey % 3 when 0 then 'OPEN' when 1 then 'PLANNED' end as status, case when o_orderkey % 4 = 0 then concat('src', cast(o_orderkey % 5 as string)) end as provider, case o_orderkey % 5 when 0 then 'KNOWN' when 1 then 'UNKNOWN' end as deadline,
     case when o_orderkey % 6 < 3 then date '2024-02-01' end as closes_from, case when o_orderkey % 7 < 3 then date '2025-02-01' end as closes_by from {orders}"""
 FAULTS = {"STATUS": "r.status <> d.status", "PROVIDER": "r.provider <> d.provider", "DEADLINE": "(r.deadline = 'KNOWN' and d.close_at is null) or (r.deadline = 'UNKNOWN' and d.close_at is not null)", "DATE_WINDOW": "(r.closes_from is not null and (d.close_at is null or d.close_at < r.closes_from)) or (r.closes_by is not null and (d.close_at is null or d.close_at > r.closes_by))"}
 FAULTY = lambda quote: ", ".join(f"case when {c} then '{k}' end" for k, c in FAULTS.items())

@@ -204,3 +204,21 @@ def test_submission_windows(spark):
     text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     opens, closes = N.submission_window(F.col("t"))
     assert {r["k"]: (r["a"], r["b"]) for r in df.select("k", text(opens).alias("a"), text(closes).alias("b")).collect()} == {k: (a, b) for k, (_, a, b) in enumerate(WINDOWS)}
+
+
+def test_vectors_of_several_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, None), (5, []), (6, [None, 1.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = search.cosine_top_k(df, df.withColumnRenamed("vec_id", "query_id"), 2)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 4)) for r in got.collect()) == [
+        (1, 1, 1, 1.0), (1, 2, 2, 0.7071), (2, 1, 2, 1.0), (2, 2, 1, 0.7071), (3, 1, 3, 1.0), (7, 1, 1, 0.0), (7, 2, 2, 0.0),
+    ]
+
+
+def test_phrases_need_all_tokens(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha beta"), (3, "alphabet soup"), (4, None)], "doc_id long, text string")
+    phrases = spark.createDataFrame([("p", "alpha"), ("p", "beta"), ("q", "alp"), ("r", "alpha"), ("r", "missing"), ("s", "so")], "phrase string, token string")
+    post = search.index(docs, {"text": 1.0})
+    assert {(r["phrase"], r["doc_id"]) for r in search.all_match(phrases, search.index_hits(phrases, post)).collect()} == {("p", 1), ("p", 2), ("q", 1), ("q", 2), ("q", 3)}
+    plain = search.token_hits(phrases, search.postings(docs, {"text": 1.0}))
+    assert sorted(map(tuple, search.index_hits(phrases, post).collect())) == sorted(map(tuple, plain.collect()))
