@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from grantloom.operators import constraints as K
 from grantloom.operators import rule_trees as T
 from grantloom.operators import versioning as V
 from grantloom.plans import decisions
@@ -73,8 +74,45 @@ add("E5_probe_summary", lambda s, d: view(s, d, "source_runs").groupBy("source_i
 add("E7_evidence_trust", lambda s, d: view(s, d, "versions").select("call_id", "version_number", "l_orderkey").join(view(s, d, "projects").filter("currency = 'CZK' and eligible_minor is not null").select(col("project_id").alias("l_orderkey"), F.lit(True).alias("ok")), "l_orderkey", "left").select("call_id", "version_number", F.coalesce("ok", F.lit(False)).alias("trusted")), "select call_id, version_number, exists (select 1 from {projects} p where p.project_id = v.l_orderkey and currency = 'CZK' and eligible_minor is not null) as trusted from {versions} v")
 add("E10_queue_metrics", lambda s, d: view(s, d, "outbox").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(col("value") < 5).alias("dead"), F.count_if(col("value") > 50).alias("ready")), "select event_type, count(*) as n, count(*) filter (value < 5) as dead, count(*) filter (value > 50) as ready from {outbox} group by 1")
 add("E11_usage_state", lambda s, d: view(s, d, "events").groupBy("user_id").agg(F.count("*").alias("used")).select("user_id", "used", F.when(col("used") >= 20, "EXHAUSTED").when(col("used") * 10 >= 20 * 9, "CRITICAL").when(col("used") * 4 >= 20 * 3, "WARNING").when(col("used") * 2 >= 20, "NOTICE").otherwise("HEALTHY").alias("state")), "select user_id, count(*) as used, case when count(*) >= 20 then 'EXHAUSTED' when count(*) >= 18 then 'CRITICAL' when count(*) >= 15 then 'WARNING' when count(*) >= 10 then 'NOTICE' else 'HEALTHY' end as state from {events} group by 1")
-add("E12_constraints", lambda s, d: view(s, d, "funded").withColumn("v", F.array_compact(F.array(F.when(~col("rate_bps").between(0, 2500), "RATE_RANGE"), F.when(col("min_minor") > 500000, "MIN_TOO_HIGH"), F.when(~col("currency").isin("CZK"), "CURRENCY")))).filter("size(v) > 0").select("project_id", "scenario_id", F.array_join("v", ",").alias("violations")),
-    "select * from (select project_id, scenario_id, concat_ws(',', case when rate_bps not between 0 and 2500 then 'RATE_RANGE' end, case when min_minor > 500000 then 'MIN_TOO_HIGH' end, case when currency <> 'CZK' then 'CURRENCY' end) as violations from {funded}) where violations <> ''")
+DECLARED = {
+    "funded": K.Constraints(
+        ["project_id", "scenario_id"],
+        {"CURRENCY": K.one_of("currency", "CZK"), "INSTRUMENT": K.one_of("instrument", "GRANT"), "PAYMENT_MODE": K.one_of("payment_mode", "REIMBURSEMENT", "ADVANCE", "UNKNOWN"), "RATE_BPS": K.between("rate_bps", 0, 2500), "GRANT_ORDER": K.ordered("min_minor", "cap_minor", "total_minor"), "ELIGIBLE_REQUIRED": K.required("eligible_minor")},
+        references={"CALL": (["call_id"], "current_open", ["call_id"])},
+    ),
+    "requirements": K.Constraints(["call_id", "version_number", "requirement_id"], {"NECESSITY": K.one_of("necessity", "REQUIRED", "CONDITIONAL"), "APPLIES_REQUIRED": "necessity <> 'CONDITIONAL' or condition_applies is not null"}, {"ONE_TITLE": (["call_id", "version_number", "title"], "true")}),
+    "version_documents": K.Constraints(["call_id", "version_number", "document_id"], {"DIGEST_REQUIRED": K.required("digest"), "DIGEST_SHAPE": K.shaped("digest", "^[a-z]+-[01]$")}),
+    "watches": K.Constraints(["watch_id"], unique={"ONE_WATCH_PER_PROJECT": (["project_id"], "enabled")}),
+    "rule_groups": K.Constraints(["rule_set", "group_id"], {"KIND": K.one_of("kind", "AND", "OR", "NOT")}, {"GROUP_ID": (["rule_set", "group_id"], "true")}, {"PARENT": (["rule_set", "parent_id"], "rule_groups", ["rule_set", "group_id"])}, {"ONE_ROOT": ("rule_set", "parent_id")}),
+    "verified_conditions": K.Constraints(["rule_set", "condition_id"], references={"EVIDENCE": (["rule_set", "condition_id"], "evidenced", ["rule_set", "condition_id"])}),
+}
+
+
+def constraint_violations(s, d):
+    tables = {n: view(s, d, n) for n in DECLARED if n != "verified_conditions"}
+    conditions = view(s, d, "set_conditions").select("rule_set", "condition_id", "verified", "evidence")
+    tables |= {"current_open": view(s, d, "current_calls").filter("status = 'OPEN'"), "verified_conditions": conditions.filter("verified"), "evidenced": conditions.filter("evidence")}
+    return K.violations(tables, DECLARED)
+
+
+#: table, rule, key, view and which of its rows break the rule
+BROKEN = [
+    ("funded", "CURRENCY", "project_id, scenario_id", "currency <> 'CZK'"), ("funded", "INSTRUMENT", "project_id, scenario_id", "instrument <> 'GRANT'"), ("funded", "RATE_BPS", "project_id, scenario_id", "rate_bps < 0 or rate_bps > 2500"),
+    ("funded", "GRANT_ORDER", "project_id, scenario_id", "min_minor > cap_minor or cap_minor > total_minor"), ("funded", "ELIGIBLE_REQUIRED", "project_id, scenario_id", "eligible_minor is null"), ("funded", "CALL", "project_id, scenario_id", "call_id not in (select call_id from {current_calls} where status = 'OPEN')"),
+    ("requirements", "NECESSITY", "call_id, version_number, requirement_id", "necessity = 'RECOMMENDED'"), ("requirements", "APPLIES_REQUIRED", "call_id, version_number, requirement_id", "necessity = 'CONDITIONAL' and condition_applies is null"),
+    ("version_documents", "DIGEST_REQUIRED", "call_id, version_number, document_id", "digest is null"), ("version_documents", "DIGEST_SHAPE", "call_id, version_number, document_id", "digest like '%-2'"),
+    ("rule_groups", "PARENT", "rule_set, group_id", "parent_id is not null and not exists (select 1 from {rule_groups} o where o.rule_set = x.rule_set and o.group_id = x.parent_id)"),
+]
+SHARED = [("requirements", "ONE_TITLE", "call_id, version_number, title", "true"), ("watches", "ONE_WATCH_PER_PROJECT", "project_id", "enabled"), ("rule_groups", "GROUP_ID", "rule_set, group_id", "true")]
+add(
+    "E12_constraints",
+    constraint_violations,
+    " union all ".join(
+        [f"select '{t}' as table_name, '{rule}' as rule, concat_ws(':', {key}) as row_key, 1::bigint as n from {{{t}}} x where {test}" for t, rule, key, test in BROKEN]
+        + [f"select '{t}', '{rule}', concat_ws(':', {key}), count(*) from {{{t}}} where {test} group by {key} having count(*) > 1" for t, rule, key, test in SHARED]
+        + ["select 'rule_groups', 'ONE_ROOT', cast(rule_set as varchar), count(*) filter (parent_id is null) from {rule_groups} group by rule_set having count(*) filter (parent_id is null) <> 1", "select 'verified_conditions', 'EVIDENCE', concat_ws(':', rule_set, condition_id), 1 from {set_conditions} where verified and not evidence"]
+    ),
+)
 add("E14_all_missing", lambda s, d: view(s, d, "observations").groupBy("external_id").agg(F.every(col("day") < F.lit("2024-01-10").cast("date")).alias("all_missing")), "select external_id, bool_and(day < '2024-01-10') as all_missing from {observations} group by 1")
 REQUESTS = """select o_orderkey as request_id, (o_orderkey * 7 + o_custkey) % (select count(*) from {documents}) as doc_id, case o_orderkey % 3 when 0 then 'OPEN' when 1 then 'PLANNED' end as status, case when o_orderkey % 4 = 0 then concat('src', cast(o_orderkey % 5 as string)) end as provider, case o_orderkey % 5 when 0 then 'KNOWN' when 1 then 'UNKNOWN' end as deadline,
     case when o_orderkey % 6 < 3 then date '2024-02-01' end as closes_from, case when o_orderkey % 7 < 3 then date '2025-02-01' end as closes_by from {orders}"""
