@@ -50,6 +50,33 @@ def keyed_steps(rows: DataFrame, newest: DataFrame, key: str, value: str) -> Dat
     return out.select("call_id", "event.version_number", key, "event.change", "event.old_value", "event.new_value")
 
 
+def version_drift(workspaces: DataFrame, versions: DataFrame, requirements: DataFrame, events: DataFrame) -> DataFrame:
+    """(workspace_id, call_id, baseline, current, source, field, before, after) where a call has a newer
+    version than a workspace was begun on: the events recorded between these two versions, else the
+    differences of close date, status and requirements. A requirement that the newer version lacks is
+    never told as removed, as a source may have left it out. ``events``: (call_id, version_number,
+    field_path, old_value, new_value), each against the version before; ``versions``: (call_id,
+    version_number, close_at, status); ``requirements``: (call_id, version_number, requirement_id,
+    title, necessity)."""
+    newest = versions.groupBy("call_id").agg(F.max("version_number").alias("current"))
+    moved = workspaces.join(newest, "call_id").filter("baseline <> current")
+    names = ["workspace_id", "call_id", "baseline", "current"]
+    row = lambda field, before, after: F.struct(field.alias("field"), before.cast("string").alias("before"), after.cast("string").alias("after"))
+    col = F.col
+    told = events.filter("not (startswith(field_path, 'requirements.') and new_value is null)").withColumnRenamed("version_number", "current")
+    recorded = moved.filter("current = baseline + 1").join(told, ["call_id", "current"]).select(*names, row(col("field_path"), col("old_value"), col("new_value")).alias("diff"))
+    rest = moved.join(recorded.select("workspace_id").distinct(), "workspace_id", "left_anti")
+    at = lambda df, version, *cols: df.select("call_id", col("version_number").alias(version), *[col(c).alias(f"{version}_{c}") for c in cols])
+    both = rest.join(at(versions, "baseline", "close_at", "status"), ["call_id", "baseline"]).join(at(versions, "current", "close_at", "status"), ["call_id", "current"])
+    fields = [F.when(~col(f"baseline_{c}").eqNullSafe(col(f"current_{c}")), row(F.lit(name), col(f"baseline_{c}"), col(f"current_{c}"))) for c, name in (("close_at", "submissionCloseAt"), ("status", "status"))]
+    plain = both.select(*names, F.explode(F.array_compact(F.array(*fields))).alias("diff"))
+    new = rest.join(requirements.select("call_id", col("version_number").alias("current"), "requirement_id", "title", "necessity"), ["call_id", "current"])
+    old = requirements.select("call_id", col("version_number").alias("baseline"), "requirement_id", col("necessity").alias("old_necessity"))
+    needs = new.join(old, ["call_id", "baseline", "requirement_id"], "left").select(*names, F.when(col("old_necessity").isNull(), row(F.lit("requirementAddedUnverified"), F.lit(None), col("title"))).when(col("old_necessity") != col("necessity"), row(F.lit("requirementNecessityUnverified"), col("old_necessity"), col("necessity"))).alias("diff")).filter("diff is not null")
+    out = recorded.withColumn("source", F.lit("RECORDED")).unionByName(plain.unionByName(needs).withColumn("source", F.lit("FALLBACK")))
+    return out.select(*names, "source", "diff.field", "diff.before", "diff.after")
+
+
 def severity_rank(c: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), c)
 

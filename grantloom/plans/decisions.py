@@ -234,13 +234,13 @@ def keyed_diff(s, d):
     return C.keyed_steps(told("requirements", "requirement_id", "title").unionByName(told("version_documents", "document_id", "digest")), newest, "field_path", "x")
 
 
-add("I3_keyed_diff", keyed_diff,
-    """with v as materialized (select call_id, version_number from {versions}), r as materialized (select call_id, version_number, 'requirements.' || requirement_id as field_path, title as x from {requirements}
+KEYED_SQL = """with v as materialized (select call_id, version_number from {versions}), r as materialized (select call_id, version_number, 'requirements.' || requirement_id as field_path, title as x from {requirements}
         union all select call_id, version_number, 'documents.' || document_id, digest from {version_documents}),
     o as materialized (select r.call_id, r.version_number + 1 as version_number, field_path, x from r join v on v.call_id = r.call_id and v.version_number = r.version_number + 1)
     select call_id, version_number, field_path, 'ADDED' as change, null as old_value, x as new_value from r where version_number > 1 and not exists (select 1 from o where o.call_id = r.call_id and o.version_number = r.version_number and o.field_path = r.field_path)
     union all select call_id, version_number, field_path, 'REMOVED', x, null from o where not exists (select 1 from r where o.call_id = r.call_id and o.version_number = r.version_number and o.field_path = r.field_path)
-    union all select o.call_id, o.version_number, o.field_path, 'CHANGED', o.x, r.x from o join r using (call_id, version_number, field_path) where o.x is distinct from r.x""")
+    union all select o.call_id, o.version_number, o.field_path, 'CHANGED', o.x, r.x from o join r using (call_id, version_number, field_path) where o.x is distinct from r.x"""
+add("I3_keyed_diff", keyed_diff, KEYED_SQL)
 add("I5_event_order", lambda s, d: C.scalar_events(view(s, d, "steps")).withColumn("place", F.row_number().over(Window.partitionBy("call_id", "version_number").orderBy(C.severity_rank(F.col("severity")), "field_path", "event_id"))).select("call_id", "version_number", "field_path", "place"),
     f"select call_id, version_number, field_path, row_number() over (partition by call_id, version_number order by case severity when 'CRITICAL' then 0 when 'IMPORTANT' then 1 when 'INFORMATIONAL' then 2 else 3 end, field_path) as place from ({EVENTS})")
 #: What is known of a watch's applicant for a call's version, as SQL over watch_id, call_id and v.

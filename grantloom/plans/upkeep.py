@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from grantloom.operators import changes as C
 from grantloom.operators import constraints as K
 from grantloom.operators import rule_trees as T
 from grantloom.operators import versioning as V
@@ -147,7 +148,29 @@ add("J6_workspace_status", lambda s, d: view(s, d, "projects").select("project_i
 add("J8_checklist_diff", lambda s, d: (lambda r: r.select("call_id", "version_number", "requirement_id", col("necessity").alias("n")).join(r.select("call_id", (col("version_number") + 1).alias("version_number"), "requirement_id", col("necessity").alias("o")), ["call_id", "version_number", "requirement_id"], "full_outer").filter("version_number > 1").join(view(s, d, "versions").select("call_id", "version_number"), ["call_id", "version_number"], "left_semi").groupBy("call_id", "version_number").agg(F.count_if(col("o").isNull()).alias("added"), F.count_if(col("n").isNull()).alias("removed"), F.count_if(col("o") != col("n")).alias("changed")))(view(s, d, "requirements")),
     """select call_id, version_number, count(*) filter (o.necessity is null) as added, count(*) filter (n.necessity is null) as removed, count(*) filter (o.necessity <> n.necessity) as changed from {requirements} n full outer join (select call_id, version_number + 1 as version_number, requirement_id, necessity from {requirements}) o using (call_id, version_number, requirement_id)
     where version_number > 1 and exists (select 1 from {versions} v where v.call_id = coalesce(n.call_id, o.call_id) and v.version_number = coalesce(n.version_number, o.version_number)) group by call_id, version_number""")
-add("J9_version_drift", lambda s, d: view(s, d, "candidates").join(view(s, d, "versions").groupBy("call_id").agg(F.max("version_number").alias("current")), "call_id").filter("version_number <> current").groupBy("watch_id", "current", "call_id").agg(F.count("*").alias("baselines")), "select watch_id, \"current\", call_id, count(*) as baselines from {candidates} join (select call_id, max(version_number) as \"current\" from {versions} group by 1) using (call_id) where version_number <> \"current\" group by all")
+
+def version_drift(s, d):
+    events = C.scalar_events(view(s, d, "steps")).select("call_id", "version_number", "field_path", "old_value", "new_value")
+    events = events.unionByName(decisions.keyed_diff(s, d).select("call_id", "version_number", "field_path", "old_value", "new_value"))
+    versions = view(s, d, "versions").select("call_id", "version_number", "close_at", "status")
+    # events of even calls only have been recorded, so that some workspaces ask for a diff
+    return C.version_drift(view(s, d, "workspaces"), versions, view(s, d, "requirements"), events.filter("call_id % 2 = 0"))
+
+
+MOVED = "with newest as (select call_id, max(version_number) as current_number from {versions} group by call_id), moved as materialized (select w.*, n.current_number from {workspaces} w join newest n using (call_id) where baseline <> current_number)"
+add(
+    "J9_version_drift",
+    version_drift,
+    f"""{MOVED}, told as materialized (select call_id, version_number, field_path, old_value, new_value from ({decisions.EVENTS}) e where call_id % 2 = 0 union all select call_id, version_number, field_path, old_value, new_value from ({decisions.KEYED_SQL}) k where call_id % 2 = 0 and not (field_path like 'requirements.%' and new_value is null)),
+    recorded as materialized (select m.*, field_path, old_value, new_value from moved m join told t on t.call_id = m.call_id and t.version_number = m.current_number where current_number = baseline + 1),
+    rest as materialized (select * from moved m where not exists (select 1 from recorded r where r.workspace_id = m.workspace_id)), v as materialized (select call_id, version_number, close_at, status from {{versions}}), q as materialized (select * from {{requirements}})
+    select workspace_id, call_id, baseline, current_number as "current", 'RECORDED' as source, field_path as field, old_value as before, new_value as after from recorded
+    union all select r.workspace_id, r.call_id, baseline, current_number, 'FALLBACK', 'submissionCloseAt', cast(o.close_at as varchar), cast(n.close_at as varchar) from rest r join v o on o.call_id = r.call_id and o.version_number = baseline join v n on n.call_id = r.call_id and n.version_number = current_number where o.close_at is distinct from n.close_at
+    union all select r.workspace_id, r.call_id, baseline, current_number, 'FALLBACK', 'status', o.status, n.status from rest r join v o on o.call_id = r.call_id and o.version_number = baseline join v n on n.call_id = r.call_id and n.version_number = current_number where o.status is distinct from n.status
+    union all select r.workspace_id, r.call_id, baseline, current_number, 'FALLBACK', 'requirementAddedUnverified', null, n.title from rest r join q n on n.call_id = r.call_id and n.version_number = current_number where not exists (select 1 from q o where o.call_id = r.call_id and o.version_number = baseline and o.requirement_id = n.requirement_id)
+    union all select r.workspace_id, r.call_id, baseline, current_number, 'FALLBACK', 'requirementNecessityUnverified', o.necessity, n.necessity from rest r join q n on n.call_id = r.call_id and n.version_number = current_number join q o on o.call_id = r.call_id and o.version_number = baseline and o.requirement_id = n.requirement_id where o.necessity <> n.necessity""",
+)
+add("J9_version_alerts", lambda s, d: view(s, d, "workspaces").join(view(s, d, "versions").groupBy("call_id").agg(F.max("version_number").alias("current")), "call_id").filter("baseline <> current").select("workspace_id", "current").distinct(), MOVED + ' select distinct workspace_id, current_number as "current" from moved')
 
 
 # --- further operators

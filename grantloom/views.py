@@ -119,6 +119,8 @@ VIEWS = {
         case (v.l_suppkey + r.n) % 3 when 0 then 'REQUIRED' when 1 then 'CONDITIONAL' else 'RECOMMENDED' end as necessity,
         case (v.quantity + r.n) % 3 when 0 then true when 1 then false else null end as condition_applies
         from {versions} v join (select 'budget' as req, 0 as n union all select 'consent', 1 union all select 'plan', 2 union all select 'statute', 3) r on (v.quantity + r.n) % 4 <> 0""",
+    # a project's workspaces, one per call, begun on some version of it
+    "workspaces": """select concat(cast(l_orderkey as string), ':', cast(call_id as string)) as workspace_id, call_id, min(version_number) as baseline from {versions} group by l_orderkey, call_id""",
     "version_documents": """select v.call_id, v.version_number, d.doc as document_id, case when (v.l_suppkey + d.n) % 9 = 4 then null else concat(d.doc, '-', cast((v.quantity * 7 + d.n) % 3 as string)) end as digest
         from {versions} v join (select 'annex' as doc, 0 as n union all select 'form', 1 union all select 'guide', 2) d on (v.l_suppkey + d.n) % 5 <> 1""",
 }
