@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grantloom.operators import changes as C
 from grantloom.operators import constraints as K
+from grantloom.operators import profiles as PR
 from grantloom.operators import rule_trees as T
 from grantloom.operators import versioning as V
 from grantloom.plans import decisions
@@ -54,7 +55,6 @@ add("D1_observe_records", observed,
     select source_id, external_id, case when b.hash is null then 'UNSEEN' when st.hash is null then 'NEW' when st.hash <> b.hash then 'CHANGED' else 'NOT_MODIFIED' end as action, cast(coalesce(f, b.day) as varchar) as first_seen, cast(coalesce(b.day, l) as varchar) as last_seen, coalesce(b.hash, st.hash) as hash from st full outer join b using (source_id, external_id)""")
 add("D11_latest_version", lambda s, d: V.latest(view(s, d, "versions"), ["call_id"], [col("version_number").desc()]).select("call_id", "version_number", "status"), "select call_id, max(version_number) as version_number, arg_max(status, version_number) as status from {versions} group by call_id")
 add("D12_evidence_by_entity", lambda s, d: view(s, d, "versions").withColumn("place", F.row_number().over(W("call_id").orderBy(col("open_at").desc(), "version_number"))).select("call_id", "version_number", "place"), "select call_id, version_number, row_number() over (partition by call_id order by open_at desc, version_number) as place from {versions}")
-add("D14_invalidate", lambda s, d: view(s, d, "facts").select("subject_id", F.when(col("geo_unknown"), F.when(col("rule_set") == 0, "USER_DECLARED").otherwise("NEEDS_REVIEW")).otherwise("VERIFIED").alias("verification")), "select subject_id, case when geo_unknown then case when rule_set = 0 then 'USER_DECLARED' else 'NEEDS_REVIEW' end else 'VERIFIED' end as verification from {facts}")
 add("D15_json_type", lambda s, d: view(s, d, "events").withColumn("raw", F.expr("case event_id % 5 when 0 then props when 1 then '12' when 2 then '1.5' when 3 then 'true' else '[\"a\"]' end")).select("event_id", F.when(col("raw").rlike(r"^-?\d+$"), "INTEGER").when(F.expr("try_cast(raw as double)").isNotNull(), "NUMBER").when(col("raw").isin("true", "false"), "BOOLEAN").when(F.startswith("raw", F.lit("[")), "STRING_SET").otherwise("STRING").alias("kind")), "select event_id, case event_id % 5 when 0 then 'STRING' when 1 then 'INTEGER' when 2 then 'NUMBER' when 3 then 'BOOLEAN' else 'STRING_SET' end as kind from {events}")
 add("D17_run_summary", lambda s, d: view(s, d, "events").groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count_distinct("user_id").alias("seen"), F.count_if(col("value") < 10).alias("errors")).withColumn("status", F.when(col("errors") > 0, "PARTIAL_FAILED").otherwise("COMPLETED")), "select event_type, cast(ts::date as varchar) as day, count(distinct user_id) as seen, count(*) filter (value < 10) as errors, case when count(*) filter (value < 10) > 0 then 'PARTIAL_FAILED' else 'COMPLETED' end as status from {events} group by 1, 2")
 
@@ -187,8 +187,42 @@ def document_versions(s, d):
 add("D2_observe_documents", document_versions,
     """with o as (select *, sha256(payload) as sha from {observations}) select source_id, external_id, cast(day as varchar) as day, case when row_number() over (partition by source_id, external_id order by day) = 1 then 'NEW_DOCUMENT'
     when exists (select 1 from o p where p.source_id = o.source_id and p.external_id = o.external_id and p.sha = o.sha and p.day < o.day) then 'NOT_MODIFIED' else 'NEW_VERSION' end as action from o""")
-add("D13_patch_merge", lambda s, d: (lambda f, p: f.join(p, "subject_id", "left").select("subject_id", F.when(col("mask").bitwiseAND(1) != 0, col("new_segment")).otherwise(col("segment")).alias("segment"), F.when(col("mask").bitwiseAND(2) != 0, F.lit(None)).otherwise(col("balance_minor")).alias("balance_minor")))(view(s, d, "facts"), view(s, d, "projects").groupBy(col("applicant_id").alias("subject_id")).agg(F.max("project_id").alias("p")).select("subject_id", F.concat(F.lit("S"), col("p").cast("string")).alias("new_segment"), F.pmod("p", F.lit(4)).cast("int").alias("mask"))),
-    """select subject_id, case when p % 4 in (1, 3) then 'S' || p else segment end as segment, case when p % 4 in (2, 3) then null else balance_minor end as balance_minor from {facts} left join (select applicant_id as subject_id, max(project_id) as p from {projects} group by 1) using (subject_id)""")
+PROFILE = ["ico", "municipality_code", "municipality_name", "region_code", "municipality_population", "municipality_population_as_of"]
+
+
+def patched(s, d):
+    """Every applicant's profile after its patch, with the changed fields."""
+    wide = view(s, d, "profile_patches")
+    entries = lambda value, keep: F.map_from_entries(F.transform(F.filter(F.array(*[F.struct(F.lit(f).alias("k"), value(f).alias("v"), keep(f).alias("keep")) for f in PROFILE]), lambda x: x["keep"]), lambda x: F.struct(x["k"], x["v"])))
+    profiles = wide.select("subject_id", entries(lambda f: col(f"old_{f}"), lambda f: F.lit(True)).alias("fields"), entries(lambda f: col(f"source_{f}"), lambda f: col(f"source_{f}").isNotNull()).alias("sources"))
+    told = F.when(col("sourced"), entries(lambda f: col(f"told_{f}"), lambda f: col(f"told_{f}").isNotNull()))
+    patches = wide.filter("patched").select("subject_id", entries(lambda f: col(f"new_{f}"), lambda f: col(f"gives_{f}")).alias("fields"), told.alias("sources"))
+    return PR.merged(profiles, patches)
+
+
+def changed_sql(*fields):
+    return "(" + " or ".join(f"gives_{f} and new_{f} is distinct from old_{f}" for f in fields) + ")"
+
+
+PARENTS = {"municipality_name": ["municipality_code"], "region_code": ["municipality_code"], "municipality_population": ["municipality_code"], "municipality_population_as_of": ["municipality_code", "municipality_population"]}
+add(
+    "D13_patch_merge",
+    lambda s, d: patched(s, d).select("subject_id", "sources", F.explode("fields").alias("field", "value")).select("subject_id", "field", "value", col("sources")[col("field")].alias("source")),
+    " union all ".join(
+        f"""select subject_id, '{f}' as field, case when gives_{f} then new_{f} when {changed_sql(*PARENTS[f]) if f in PARENTS else 'false'} then null else old_{f} end as value,
+        case when sourced then case when {changed_sql(f, *PARENTS.get(f, []))} and told_{f} is not distinct from source_{f} then null else told_{f} end when {changed_sql(f, *PARENTS.get(f, []))} then null else source_{f} end as source from {{profile_patches}}"""
+        for f in PROFILE
+    ),
+)
+#: Facts of applicants, three each.
+FACTS = """select c_custkey as subject_id, k.attribute_key, case when (c_custkey + k.i) % 3 = 0 then 'USER' else 'OTHER_OFFICIAL' end as source_kind, 'VERIFIED' as verification
+    from {customer} cross join (select 'applicant.ico' as attribute_key, 0 as i union all select 'applicant.municipality.code', 1 union all select 'applicant.municipality.population', 2) k"""
+add(
+    "D14_invalidate",
+    lambda s, d: PR.invalidated(sql(s, d, FACTS), patched(s, d)).select("subject_id", "attribute_key", "verification"),
+    f"""select f.subject_id, attribute_key, case when {changed_sql('ico')} or ({changed_sql('municipality_code')} and attribute_key like 'applicant.municipality.%') then case when source_kind = 'USER' then 'USER_DECLARED' else 'NEEDS_REVIEW' end else verification end as verification
+    from ({FACTS}) f join {{profile_patches}} p on p.subject_id = f.subject_id""",
+)
 add("D16_reprocess", lambda s, d: view(s, d, "projects").filter("eligible_minor is null").select("project_id", F.when(col("vat_minor").isNotNull(), "RESOLVED").otherwise("OPEN").alias("state"), F.lit(2).alias("parser_version")),
     "select project_id, case when vat_minor is not null then 'RESOLVED' else 'OPEN' end as state, 2 as parser_version from {projects} where eligible_minor is null")
 add("F20_export_check", lambda s, d: view(s, d, "calls").join(view(s, d, "versions").groupBy("call_id").agg(F.count_if(col("status") == "OPEN").alias("evidence")), "call_id", "left").select("call_id", F.array_join(F.array_compact(F.array(F.when(F.trim("provider") == "", "NO_PROVIDER"), F.when(F.coalesce("evidence", F.lit(0)) == 0, "NO_EVIDENCE"))), ",").alias("problems")),

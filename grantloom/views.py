@@ -119,6 +119,14 @@ VIEWS = {
         case (v.l_suppkey + r.n) % 3 when 0 then 'REQUIRED' when 1 then 'CONDITIONAL' else 'RECOMMENDED' end as necessity,
         case (v.quantity + r.n) % 3 when 0 then true when 1 then false else null end as condition_applies
         from {versions} v join (select 'budget' as req, 0 as n union all select 'consent', 1 union all select 'plan', 2 union all select 'statute', 3) r on (v.quantity + r.n) % 4 <> 0""",
+    # profiles with the patch that each applicant's last project brings, if any
+    "profile_patches": """select c_custkey as subject_id, p is not null as patched, coalesce(p % 4 = 0, false) as sourced, cast(c_custkey as string) as old_ico, case when (c_custkey + 0) % 4 <> 0 then 'register' end as source_ico, coalesce(p % 7 = 0, false) as gives_ico, case when p % 14 = 0 then cast(p as string) else cast(c_custkey as string) end as new_ico, case when (p + 0) % 3 = 0 then 'register' when (p + 0) % 3 = 1 then 'form' end as told_ico,
+        concat('m', cast(c_nationkey as string)) as old_municipality_code, case when (c_custkey + 1) % 4 <> 0 then 'register' end as source_municipality_code, coalesce(p % 3 = 0, false) as gives_municipality_code, concat('m', cast(p % 25 as string)) as new_municipality_code, case when (p + 1) % 3 = 0 then 'register' when (p + 1) % 3 = 1 then 'form' end as told_municipality_code,
+        concat('town ', cast(c_nationkey as string)) as old_municipality_name, case when (c_custkey + 2) % 4 <> 0 then 'register' end as source_municipality_name, coalesce(p % 6 = 0, false) as gives_municipality_name, concat('town ', cast(p % 25 as string)) as new_municipality_name, case when (p + 2) % 3 = 0 then 'register' when (p + 2) % 3 = 1 then 'form' end as told_municipality_name,
+        concat('r', cast(c_nationkey % 5 as string)) as old_region_code, case when (c_custkey + 3) % 4 <> 0 then 'register' end as source_region_code, coalesce(p % 11 = 0, false) as gives_region_code, cast(null as string) as new_region_code, case when (p + 3) % 3 = 0 then 'register' when (p + 3) % 3 = 1 then 'form' end as told_region_code,
+        cast(c_custkey % 900 as string) as old_municipality_population, case when (c_custkey + 4) % 4 <> 0 then 'register' end as source_municipality_population, coalesce(p % 5 = 0, false) as gives_municipality_population, case when p % 10 = 0 then cast(p % 900 as string) else cast(c_custkey % 900 as string) end as new_municipality_population, case when (p + 4) % 3 = 0 then 'register' when (p + 4) % 3 = 1 then 'form' end as told_municipality_population,
+        '2024-01-01' as old_municipality_population_as_of, case when (c_custkey + 5) % 4 <> 0 then 'register' end as source_municipality_population_as_of, coalesce(p % 15 = 0, false) as gives_municipality_population_as_of, '2025-01-01' as new_municipality_population_as_of, case when (p + 5) % 3 = 0 then 'register' when (p + 5) % 3 = 1 then 'form' end as told_municipality_population_as_of
+        from {customer} left join (select o_custkey, max(o_orderkey) as p from {orders} where o_orderkey % 3 <> 1 group by o_custkey) o on o_custkey = c_custkey""",
     # a project's workspaces, one per call, begun on some version of it
     "workspaces": """select concat(cast(l_orderkey as string), ':', cast(call_id as string)) as workspace_id, call_id, min(version_number) as baseline from {versions} group by l_orderkey, call_id""",
     "version_documents": """select v.call_id, v.version_number, d.doc as document_id, case when (v.l_suppkey + d.n) % 9 = 4 then null else concat(d.doc, '-', cast((v.quantity * 7 + d.n) % 3 as string)) end as digest
