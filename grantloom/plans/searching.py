@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grantloom.functions.normalize import fold_text
+from grantloom.operators import details as D
 from grantloom.operators import search as S
 from grantloom.plans.fields import fold
 from grantloom.tables import kept
-from grantloom.views import duck, view
+from grantloom.views import duck, sql, view
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -264,17 +265,34 @@ add(
 )
 
 
+#: The child lists of a call: rows (call_id, place, text) and how many are shown.
+LISTS = {
+    "sources": ("select call_id, lpad(cast(1000000 - max(version_number) as string), 8, '0') as place, concat('source ', cast(l_suppkey as string)) as text from {versions} group by call_id, l_suppkey", 20),
+    "deadlines": ("select call_id, cast(close_at as string) as place, concat('close ', cast(close_at as string)) as text from {newest_versions} where status in ('OPEN', 'PLANNED', 'ANNOUNCED')", 50),
+    "scenarios": ("select call_id, scenario_id as place, concat(scenario_id, ' ', instrument) as text from (select distinct call_id, scenario_id, instrument from {funded}) t", 20),
+    "requirements": ("select r.call_id, concat(case r.necessity when 'REQUIRED' then '0' when 'CONDITIONAL' then '1' else '2' end, r.requirement_id) as place, concat(r.requirement_id, ' ', r.necessity) as text from {requirements} r join {newest_versions} n on n.call_id = r.call_id and n.version_number = r.version_number", 100),
+    "evidence": ("select call_id, concat(lpad(cast(1000000 - version_number as string), 8, '0'), '/status') as place, concat(cast(version_number as string), ' /status') as text from {versions} where quantity % 2 = 0", 100),
+    "changes": ("select call_id, lpad(cast(1000000 - version_number as string), 8, '0') as place, concat(cast(version_number as string), ' ', coalesce(old_status, '?'), ' > ', status) as text from {steps} where old_number is not null and old_status <> status", 20),
+    "versions": ("select call_id, lpad(cast(1000000 - version_number as string), 8, '0') as place, concat(cast(version_number as string), ' ', status) as text from {versions}", 20),
+}
+
+
 def detail(s, d):
-    v = view(s, d, "versions").withColumn("r", F.row_number().over(Window.partitionBy("call_id").orderBy(F.col("version_number").desc()))).filter("r <= 20")
-    vs = v.groupBy("call_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "status"))), lambda x: x["status"]), ",").alias("statuses"), F.count("*").alias("n_versions"))
-    r = view(s, d, "requirements").filter("version_number = 1").groupBy("call_id").agg(F.array_join(F.array_sort(F.collect_list("title")), ",").alias("requirements"))
-    return view(s, d, "calls").join(vs, "call_id", "left").join(r, "call_id", "left").select("call_id", "title", "statuses", F.coalesce("n_versions", F.lit(0)).alias("n_versions"), "requirements")
+    """Calls with their lists, what there is, and a window made up from the newest version's dates
+    where no deadline is known."""
+    children = {tag: (sql(s, d, text), cap) for tag, (text, cap) in LISTS.items()}
+    joined = [F.array_join(F.coalesce(tag, F.array()), "; ").alias(tag) for tag in LISTS]
+    flags = [(F.coalesce(f"n_{tag}", F.lit(0)) > 0).alias(f"has_{tag}") for tag in LISTS]
+    n = view(s, d, "newest_versions").select("call_id", F.concat_ws("..", "open_at", "close_at").alias("span"))
+    df = view(s, d, "calls").join(D.nested(children, "call_id"), "call_id", "left").join(n, "call_id", "left")
+    window = F.when(F.coalesce("n_deadlines", F.lit(0)) == 0, F.col("span"))
+    return df.select("call_id", "title", *joined, *flags, window.alias("synthetic_window"), F.coalesce("n_versions", F.lit(0)).alias("n_versions"))
 
 
-add(
-    "F19_call_detail",
-    detail,
-    """select c.call_id, c.title, v.statuses, coalesce(v.n_versions, 0) as n_versions, r.requirements from {calls} c
-        left join (select call_id, string_agg(status, ',' order by version_number desc) as statuses, count(*) as n_versions from (select *, row_number() over (partition by call_id order by version_number desc) as r from {versions}) where r <= 20 group by call_id) v using (call_id)
-        left join (select call_id, string_agg(title, ',' order by title) as requirements from {requirements} where version_number = 1 group by call_id) r using (call_id)""",
-)
+def detail_sql():
+    lists = [f"(select call_id, string_agg(text, '; ' order by place, text) filter (nth <= {cap}) as {tag}, count(*) as n_{tag} from (select *, row_number() over (partition by call_id order by place, text) as nth from ({text}) x0) x1 group by call_id) l_{tag} on l_{tag}.call_id = c.call_id" for tag, (text, cap) in LISTS.items()]
+    joined = ", ".join(f"coalesce({tag}, '') as {tag}, coalesce(n_{tag}, 0) > 0 as has_{tag}" for tag in LISTS)
+    return f"select c.call_id, c.title, {joined}, case when coalesce(n_deadlines, 0) = 0 then concat_ws('..', n.open_at, n.close_at) end as synthetic_window, coalesce(n_versions, 0) as n_versions from {{calls}} c left join {{newest_versions}} n on n.call_id = c.call_id left join " + " left join ".join(lists)
+
+
+add("F19_call_detail", detail, detail_sql())

@@ -106,6 +106,7 @@ VIEWS = {
     # the current version of each call, with the text that searches see
     "current_calls": """select c.call_id, v.version_number, v.status, concat(c.title, ' ', c.activity, ' k', cast(cast(floor(c.call_id / 8.0) as int) as string)) as text
         from {calls} c join (select *, max(version_number) over (partition by call_id) as newest from {versions}) v on v.call_id = c.call_id and v.version_number = v.newest""",
+    "newest_versions": "select call_id, version_number, status, open_at, close_at from (select *, max(version_number) over (partition by call_id) as newest from {versions}) t where version_number = newest",
     # every version with the text that searches see, and the number of its call's newest one
     "version_texts": """select c.call_id, v.version_number, v.status, v.newest, concat(c.title, ' ', c.activity, ' k', cast(cast(floor(c.call_id / 8.0) as int) as string)) as text
         from {calls} c join (select *, max(version_number) over (partition by call_id) as newest from {versions}) v on v.call_id = c.call_id""",
