@@ -145,15 +145,15 @@ def linked(pairs: DataFrame, k: int, tables: int, threshold: float) -> DataFrame
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):  # one at a time: a row holds two blocks' vectors
-                r = batch.slice(i, 1).to_pylist()[0]
-                alone = r["part"] == r["part2"]  # a block and itself
-                both, own, weights, vectors = (r[c] if alone else r[c] + r[f"{c}2"] for c in ("rows", "labels", "ns", "embeddings"))
-                ids, labels, n = np.array(both, np.int64), np.array(own, object), np.array(weights, np.int64)
-                second = np.arange(len(both)) >= len(r["rows"])
+                r = {c: batch.column(c)[i] for c in batch.schema.names}
+                part, part2, t = (r[c].as_py() for c in ("part", "part2", "t"))
+                alone = part == part2  # a block and itself
+                own = {c: [r[c].values] if alone else [r[c].values, r[f"{c}2"].values] for c in ("rows", "labels", "ns", "embeddings")}
+                ids, n = (np.concatenate([x.to_numpy() for x in own[c]]) for c in ("rows", "ns"))
+                labels = np.array([x for y in own["labels"] for x in y.to_pylist()], object)
+                second = np.arange(len(ids)) >= len(own["rows"][0])
                 rows, others, counts = [], [], []
-                for dims, at in by_length(vectors):
-                    at = np.array(at)
-                    x = units([vectors[j] for j in at], dims)
+                for at, x in stacked(own["embeddings"]):
                     a, b = np.flatnonzero(~second[at]), np.flatnonzero(second[at] | alone)
                     p, q = np.nonzero(x[a] @ x[b].T >= threshold)
                     p, q = a[p], b[q]
@@ -165,9 +165,9 @@ def linked(pairs: DataFrame, k: int, tables: int, threshold: float) -> DataFrame
                         used, back = np.unique(np.concatenate([p, q]), return_inverse=True)
                         c = cells(x[used], k, tables, threshold)
                         p_at, q_at = back[: len(p)], back[len(p) :]
-                        here = np.concatenate([(c[p_at[s : s + 4096]] == c[q_at[s : s + 4096]]).argmax(axis=1) == r["t"] for s in range(0, len(p), 4096)])
+                        here = np.concatenate([(c[p_at[s : s + 4096]] == c[q_at[s : s + 4096]]).argmax(axis=1) == t for s in range(0, len(p), 4096)])
                         p, q = at[p[here]], at[q[here]]
-                    total = np.zeros(len(both), np.int64)
+                    total = np.zeros(len(ids), np.int64)
                     np.add.at(total, p, n[q]), np.add.at(total, q, n[p])
                     some = np.flatnonzero(total)
                     forest = edges(p, q)
@@ -180,6 +180,18 @@ def linked(pairs: DataFrame, k: int, tables: int, threshold: float) -> DataFrame
     return pairs.mapInArrow(run, "row long, other long, n long")
 
 
+def stacked(vectors: list[pa.ListArray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, unit vectors) of the vectors of one length, for every length."""
+    size = np.concatenate([v.value_lengths().to_numpy() for v in vectors])
+    flat = np.concatenate([v.flatten().to_numpy() for v in vectors])
+    start = np.cumsum(size) - size
+    out = []
+    for dims in np.unique(size).tolist():
+        at = np.flatnonzero(size == dims)
+        out.append((at, units(flat[start[at][:, None] + np.arange(dims)], dims)))
+    return out
+
+
 def edges(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links (p, q)."""
     up: dict[int, int] = {}
