@@ -222,3 +222,13 @@ def test_phrases_need_all_tokens(spark):
     assert {(r["phrase"], r["doc_id"]) for r in search.all_match(phrases, search.index_hits(phrases, post)).collect()} == {("p", 1), ("p", 2), ("q", 1), ("q", 2), ("q", 3)}
     plain = search.token_hits(phrases, search.postings(docs, {"text": 1.0}))
     assert sorted(map(tuple, search.index_hits(phrases, post).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_award_files_of_several_layouts(spark, tmp_path):
+    from grantloom.sources.files import read_award_csv
+
+    (tmp_path / "a b.csv").write_bytes("\ufeffID;Name\n1; Žďár \n2;\"x\ny\"\n".encode())
+    (tmp_path / "old.csv").write_bytes("name,ID\nŽďár,3\n".encode("cp1250"))
+    (tmp_path / "more.csv").write_bytes("id|name|state\n4|é|A\n".encode())
+    got = {tuple(r[c] for c in ("id", "name", "state")) for r in read_award_csv(spark, str(tmp_path)).collect()}
+    assert got == {("1", "Žďár", None), ("2", "x\ny", None), ("3", "Žďár", None), ("4", "é", "A")}
