@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from grantloom.functions.normalize import fold_text
 from grantloom.operators import details as D
+from grantloom.operators import paging as PG
 from grantloom.operators import search as S
 from grantloom.plans.fields import fold
 from grantloom.tables import kept
@@ -186,11 +187,33 @@ add(
     lambda s, d: (lambda v, p: p.join(v.filter("quantity > 5").select(F.col("l_orderkey").alias("project_id"), (F.col("cap_minor") * 3).alias("hi"), "cap_minor"), "project_id").filter("total_minor between cap_minor and hi").select("project_id").distinct())(view(s, d, "versions"), view(s, d, "projects").filter("currency = 'CZK'")),
     "select project_id from {projects} p where currency = 'CZK' and exists (select 1 from {versions} v where v.l_orderkey = p.project_id and v.quantity > 5 and p.total_minor between v.cap_minor and v.cap_minor * 3)",
 )
-add(
-    "F10_keyset_page",
-    lambda s, d: view(s, d, "search_docs").filter("status = 'OPEN'").withColumn("late", F.col("close_at").isNull()).filter(F.expr("struct(late, coalesce(close_at, date '9999-12-31'), doc_id) > struct(false, date '2024-03-01', 40L)")).orderBy("late", "close_at", "doc_id").limit(21).select("doc_id", F.col("close_at").cast("string").alias("close_at")),
-    "select doc_id, cast(close_at as varchar) as close_at from {search_docs} where status = 'OPEN' and (close_at is null or close_at > date '2024-03-01' or (close_at = date '2024-03-01' and doc_id > 40)) order by close_at is null, close_at, doc_id limit 21",
-)
+#: Three orders as keys (late, k, id): by relevance, by deadline, by deadline backwards; unknown ones last.
+DAY_NUMBER = {"relevance": ("0", "-(doc_id * 7919 % 1000)"), "deadline": ("case when close_at is null then 1 else 0 end", "coalesce({days}, 0)"), "deadline_desc": ("case when close_at is null then 1 else 0 end", "-coalesce({days}, 0)")}
+#: A request per project: an order, a cursor (none for every fifth) and a size.
+PAGES = """select o_orderkey as request_id, case o_orderkey % 3 when 0 then 'relevance' when 1 then 'deadline' else 'deadline_desc' end as ordered_by, cast(case when o_orderkey % 9 = 0 and o_orderkey % 3 > 0 then 1 else 0 end as int) as late,
+    cast(case o_orderkey % 3 when 0 then -(o_custkey * 31 % 1000) when 1 then o_custkey * 31 % 700 else -(o_custkey * 31 % 700) end as bigint) as k, case when o_orderkey % 5 = 0 then null else cast(o_orderkey % 500 as bigint) end as id, cast(1 + o_orderkey % 20 as int) as size from {orders}"""
+
+
+def keyset_pages(s, d):
+    out, days = None, "datediff(close_at, date '2024-01-01')"
+    docs, asked = view(s, d, "search_docs").filter("status = 'OPEN'"), sql(s, d, PAGES)
+    for name, (late, k) in DAY_NUMBER.items():
+        rows = docs.selectExpr(f"cast({late} as int) as late", f"cast({k.format(days=days)} as bigint) as k", "cast(doc_id as bigint) as id")
+        page = PG.keyset_pages(rows, asked.filter(F.col("ordered_by") == name).drop("ordered_by"))
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+def pages_sql():
+    parts = []
+    for n, (name, (late, k)) in enumerate(DAY_NUMBER.items()):
+        parts.append(f"r{n} as materialized (select *, row_number() over (order by late, k, id) as rank, count(*) over () as total from (select {late} as late, {k.format(days="(close_at - date '2024-01-01')")} as k, doc_id as id from {{search_docs}} where status = 'OPEN') x)")
+        parts.append(f"q{n} as materialized (select q.request_id, size, case when q.id is null then 0 else coalesce(max(r.rank), 0) end as upto from (select * from asked where ordered_by = '{name}') q left join r{n} r on q.id is not null and (r.late, r.k, r.id) <= (q.late, q.k, q.id) group by q.request_id, size, q.id)")
+    whole = " union all ".join(f"select request_id, cast(rank - upto as integer) as place, id, case when upto + size < total then last_value(id) over (partition by request_id order by rank rows between unbounded preceding and unbounded following) end as next_id from q{n} join r{n} on rank > upto and rank <= upto + size" for n in range(len(DAY_NUMBER)))
+    return f"with asked as materialized ({PAGES}), {', '.join(parts)} {whole}"
+
+
+add("F10_keyset_page", keyset_pages, pages_sql())
 KEPT = {"status": "status = 'OPEN'", "provider": "provider in ('src0', 'src1', 'src2', 'src3')", "deadline": "deadline = 'KNOWN'"}
 FACET = lambda name: f"select '{name}' as facet, cast({name} as varchar) as value, count(*) as n from d where {' and '.join(c for k, c in KEPT.items() if k != name)} group by {name}"
 add(
