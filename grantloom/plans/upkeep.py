@@ -149,6 +149,18 @@ add("J8_checklist_diff", lambda s, d: (lambda r: r.select("call_id", "version_nu
     """select call_id, version_number, count(*) filter (o.necessity is null) as added, count(*) filter (n.necessity is null) as removed, count(*) filter (o.necessity <> n.necessity) as changed from {requirements} n full outer join (select call_id, version_number + 1 as version_number, requirement_id, necessity from {requirements}) o using (call_id, version_number, requirement_id)
     where version_number > 1 and exists (select 1 from {versions} v where v.call_id = coalesce(n.call_id, o.call_id) and v.version_number = coalesce(n.version_number, o.version_number)) group by call_id, version_number""")
 
+#: The single changes behind the counts: an item's title and need, as one value.
+ITEM = "select call_id, version_number, concat('chk:', requirement_id) as item_id, concat(title, ' / ', necessity) as shown from {requirements}"
+add(
+    "J8_checklist_changes",
+    lambda s, d: C.keyed_steps(sql(s, d, ITEM), view(s, d, "versions").groupBy("call_id").agg(F.max("version_number").alias("newest")), "item_id", "shown"),
+    f"""with v as materialized (select call_id, version_number from {{versions}}), i as materialized ({ITEM}), o as materialized (select i.call_id, i.version_number + 1 as version_number, item_id, shown from i join v on v.call_id = i.call_id and v.version_number = i.version_number + 1)
+    select call_id, version_number, item_id, 'ADDED' as change, null as old_value, shown as new_value from i where version_number > 1 and not exists (select 1 from o where o.call_id = i.call_id and o.version_number = i.version_number and o.item_id = i.item_id)
+    union all select call_id, version_number, item_id, 'REMOVED', shown, null from o where not exists (select 1 from i where o.call_id = i.call_id and o.version_number = i.version_number and o.item_id = i.item_id)
+    union all select o.call_id, o.version_number, o.item_id, 'CHANGED', o.shown, i.shown from o join i using (call_id, version_number, item_id) where o.shown <> i.shown""",
+)
+
+
 def version_drift(s, d):
     events = C.scalar_events(view(s, d, "steps")).select("call_id", "version_number", "field_path", "old_value", "new_value")
     events = events.unionByName(decisions.keyed_diff(s, d).select("call_id", "version_number", "field_path", "old_value", "new_value"))
