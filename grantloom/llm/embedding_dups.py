@@ -145,18 +145,23 @@ def linked(pairs: DataFrame, k: int, tables: int, threshold: float) -> DataFrame
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):  # one at a time: a row holds two blocks' vectors
-                r = {c: batch.column(c)[i] for c in batch.schema.names}
-                part, part2, t = (r[c].as_py() for c in ("part", "part2", "t"))
+                part, part2 = (batch.column(c)[i].as_py() for c in ("part", "part2"))
                 alone = part == part2  # a block and itself
-                own = {c: [r[c].values] if alone else [r[c].values, r[f"{c}2"].values] for c in ("rows", "labels", "ns", "embeddings")}
-                ids, n = (np.concatenate([x.to_numpy() for x in own[c]]) for c in ("rows", "ns"))
-                labels = np.array([x for y in own["labels"] for x in y.to_pylist()], object)
-                second = np.arange(len(ids)) >= len(own["rows"][0])
-                rows, others, counts = [], [], []
-                for at, x in stacked(own["embeddings"]):
+                own = lambda c: [batch.column(x)[i].values for x in ([c] if alone else [c, f"{c}2"])]  # noqa: B023, E731
+                vectors = own("embeddings")
+                second = np.arange(sum(map(len, vectors))) >= len(vectors[0])
+                alike = []
+                for at, x in stacked(vectors):
                     a, b = np.flatnonzero(~second[at]), np.flatnonzero(second[at] | alone)
                     p, q = np.nonzero(x[a] @ x[b].T >= threshold)
-                    p, q = a[p], b[q]
+                    if len(p) > alone * len(at):  # a vector is alike itself
+                        alike.append((at, x, a[p], b[q]))
+                if not alike:
+                    continue
+                ids, n = (np.concatenate([x.to_numpy() for x in own(c)]) for c in ("rows", "ns"))
+                labels, t = np.array([x for y in own("labels") for x in y.to_pylist()], object), batch.column("t")[i].as_py()
+                rows, others, counts = [], [], []
+                for at, x, p, q in alike:
                     keep = labels[at[p]] == labels[at[q]]
                     if alone:
                         keep &= p < q
