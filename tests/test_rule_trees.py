@@ -112,3 +112,15 @@ def test_status_and_gates(spark):
                 mine = [x for x in rows if x[0] == k and x[2] in below(g)]
                 good = trusted_set and all(x[7] and x[8] and x[5] in ("PASS", "FAIL") for x in mine) and found[g] in ("PASS", "FAIL")
                 assert gated[k][g] == (found[g] if good else "UNKNOWN")
+
+
+def test_steps_are_worked_out_once(spark):
+    """No step stands inside a lambda of the next one: paths, conditions and groups once in the plan."""
+    sets = [random_set(random.Random(3)) for _ in range(3)]
+    groups = spark.createDataFrame([(k, *g, 1) for k, (gs, _) in enumerate(sets) for g in gs], "rule_set int, group_id string, parent_id string, kind string, position int, own int")
+    rows = [(k, 1, at, place, c, result, blocking) for k, (_, cs) in enumerate(sets) for c, at, place, result, blocking in cs]
+    results = spark.createDataFrame(rows, "rule_set int, subject_id int, group_id string, place int, condition_id string, result string, blocking boolean")
+    folded = rule_trees.fold_sets(results, rule_trees.trees(groups)).filter("fault is null").selectExpr("rule_set", "posexplode(causes) as (nth, condition_id)")
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(x) for x in ("lpad", "sort_array(transform", "aggregate(array_sort(")] == [2, 1, 1]
+    assert not plan.count("Join LeftOuter")
