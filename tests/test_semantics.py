@@ -232,3 +232,30 @@ def test_award_files_of_several_layouts(spark, tmp_path):
     (tmp_path / "more.csv").write_bytes("id|name|state\n4|é|A\n".encode())
     got = {tuple(r[c] for c in ("id", "name", "state")) for r in read_award_csv(spark, str(tmp_path)).collect()}
     assert got == {("1", "Žďár", None), ("2", "x\ny", None), ("3", "Žďár", None), ("4", "é", "A")}
+
+
+def test_most_similar_by_classes_of_copies(spark, monkeypatch):
+    """Against all pairs; 300 copies of one item meet as one class."""
+    import random
+
+    r = random.Random(5)
+    terms = {i: {"a", "b"} if i < 300 else set(r.sample("abcdef", r.randint(1, 4))) for i in range(340)}
+    at = {i: (r.choice([None, 1999, 2001]), r.choice("xy")) for i in terms}
+    h = spark.createDataFrame([(i, x) for i, xs in terms.items() for x in xs], "id long, term string")
+    order = spark.createDataFrame([(i, *at[i]) for i in terms], "id long, year int, title string")
+    queries = spark.createDataFrame([(i,) for i in terms if i % 20 == 0 or i > 330], "query_id long")
+    got = search.most_similar(h, queries, order, [F.col("year").desc_nulls_last(), F.col("title").asc()], 5)
+    want = []
+    for q in [i for i in terms if i % 20 == 0 or i > 330]:
+        found = [(-(len(terms[q] & terms[i]) * 1_000_000 // len(terms[q])), -(at[i][0] or 0), at[i][1], i) for i in terms if i != q and terms[q] & terms[i]]
+        want += [(q, i, len(terms[q] & terms[i]), -p, k + 1) for k, (p, _, _, i) in enumerate(sorted(found)[:5])]
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+
+
+def test_phrase_hits_deal_texts_by_id(spark):
+    """One shuffle, of the texts before they are split; hits are grouped where they are found."""
+    texts = spark.createDataFrame([(1, "red big car"), (2, "big")], "id long, folded string")
+    phrases = spark.createDataFrame([("t", "big car", 1.0), ("u", "big", 0.5)], "term string, phrase string, weight double")
+    found = search.phrase_hits(texts, phrases.hint("broadcast"))
+    assert sorted(map(tuple, found.collect())) == [(1, "t", 1.0), (1, "u", 0.5), (2, "u", 0.5)]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
