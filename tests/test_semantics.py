@@ -259,3 +259,14 @@ def test_phrase_hits_deal_texts_by_id(spark):
     found = search.phrase_hits(texts, phrases.hint("broadcast"))
     assert sorted(map(tuple, found.collect())) == [(1, "t", 1.0), (1, "u", 0.5), (2, "u", 0.5)]
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_pages_are_not_gathered_again(spark):
+    """Ranks meet requests where these lie: no shuffle by request; pages at the end, beyond it and of size 0."""
+    from grantloom.operators import paging
+
+    rows = spark.createDataFrame([(0, k, 10 * k) for k in range(5)], "late int, k long, id long")
+    asked = spark.createDataFrame([(1, None, None, None, 2), (2, 0, 2, 20, 2), (3, 0, 2, 20, 1), (4, 0, 9, 0, 3), (5, 0, 0, 5, 0), (6, 0, 0, 5, 9)], "request_id long, late int, k long, id long, size int")
+    got = paging.keyset_pages(rows, asked)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, 0, 10), (1, 2, 10, 10), (2, 1, 30, None), (2, 2, 40, None), (3, 1, 30, 30)] + [(6, k, 10 * k, None) for k in range(1, 5)], key=str)
+    assert "hashpartitioning(request_id" not in got._jdf.queryExecution().executedPlan().toString()
