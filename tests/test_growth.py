@@ -1,6 +1,11 @@
 """Work that must not grow faster than the input: copies are worked on once, hits are not dealt again."""
 
-from grantloom.operators import search
+import os
+
+from grantloom import registry
+from grantloom.operators import changes, search
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_any_phrase_meets_by_classes(spark, monkeypatch):
@@ -24,3 +29,23 @@ def test_any_phrase_meets_by_classes(spark, monkeypatch):
                 want[i, d] = want.get((i, d), 0) + 1
     assert {(r["id"], r["doc_id"]): r["n_phrases"] for r in got.collect()} == want
     assert sizes["class_pairs"] <= 2 * 6 < len(want)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_drift_is_dealt_by_call_once(spark):
+    assert shuffles(registry.QUERIES["J9_version_drift"](spark, SF)) == 1
+
+
+def test_drift_of_workspaces(spark):
+    need, told = "requirements array<struct<requirement_id:string,title:string,necessity:string>>", "told array<struct<field:string,before:string,after:string>>"
+    rows = [
+        (1, 1, ["a", "b"], "d1", "OPEN", [("r", "R", "REQUIRED")], None), (1, 2, ["c"], None, "OPEN", [], None), (1, 3, ["z"], "d1", "OPEN", [("r", "R2", "CONDITIONAL"), ("s", "S", "REQUIRED")], [("status", "x", "y")]),
+        (2, 1, ["e"], "d1", "OPEN", [], None), (2, 2, [], "d1", "OPEN", [], []),
+    ]
+    got = changes.version_drift(spark.createDataFrame(rows, f"call_id long, version_number int, workspaces array<string>, close_at string, status string, {need}, {told}"))
+    plain = [("FALLBACK", "requirementAddedUnverified", None, "S"), ("FALLBACK", "requirementNecessityUnverified", "REQUIRED", "CONDITIONAL")]
+    found = [(r["workspace_id"], r["source"], r["field"], r["before"], r["after"]) for r in got.collect()]
+    assert sorted(found, key=str) == sorted([(w, *x) for w in "ab" for x in plain] + [("c", "RECORDED", "status", "x", "y")], key=str)
