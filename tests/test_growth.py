@@ -49,3 +49,7 @@ def test_drift_of_workspaces(spark):
     plain = [("FALLBACK", "requirementAddedUnverified", None, "S"), ("FALLBACK", "requirementNecessityUnverified", "REQUIRED", "CONDITIONAL")]
     found = [(r["workspace_id"], r["source"], r["field"], r["before"], r["after"]) for r in got.collect()]
     assert sorted(found, key=str) == sorted([(w, *x) for w in "ab" for x in plain] + [("c", "RECORDED", "status", "x", "y")], key=str)
+
+
+def test_event_order_is_dealt_by_call_once(spark):
+    assert shuffles(registry.QUERIES["I5_event_order"](spark, SF)) == 1
