@@ -73,3 +73,12 @@ def test_a_known_version_adds_only_new_matches(spark, tmp_path):
     told = [(r["watch_id"], r["call_id"]) for r in spark.read.parquet(f"{tmp_path}/sink").collect()]
     assert sorted(told) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
     assert {r["dedupe_key"] for r in spark.read.parquet(f"{tmp_path}/sink").filter("watch_id = 3").collect()} == {"watch:3:call:3:version:1:status:MATCHED"}
+
+
+def test_index_counts_slices_of_documents(spark, monkeypatch):
+    rows = [(i, ["a b a", None, "", "b c"][i % 4], ["b", "", None, "c c"][i % 4]) for i in range(23)]
+    monkeypatch.setattr(search, "SLICE", 5)
+    docs = spark.createDataFrame(rows, "doc_id long, x string, y string").coalesce(1)
+    fields = {"x": 2.0, "y": 0.5}
+    got = search.index(docs, fields).select("doc_id", "term", "tf", "length")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.postings(docs, fields).select("doc_id", "term", "tf", "length").collect()))
