@@ -82,3 +82,23 @@ def test_index_counts_slices_of_documents(spark, monkeypatch):
     fields = {"x": 2.0, "y": 0.5}
     got = search.index(docs, fields).select("doc_id", "term", "tf", "length")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.postings(docs, fields).select("doc_id", "term", "tf", "length").collect()))
+
+
+def test_rule_graphs_are_followed_within_a_row(spark):
+    from grantloom.operators import rules
+
+    assert shuffles(registry.QUERIES["E8_rule_graph_check"](spark, SF)) <= 10
+    # per call a list of (group, parent), the groups of conditions, and those of scenarios
+    chain = lambda n: [(f"g{k}", f"g{k - 1}" if k else None) for k in range(n)]
+    calls = [
+        (chain(3), ["g2"], ["g1"]), (chain(64), ["g63"], ["g0"]), (chain(65), ["g64"], ["g0"]), ([("g0", None), ("g1", "g2"), ("g2", "g1")], ["g0"], ["g0"]), ([("g0", None), ("g1", "g0")], ["g1", "g9"], ["g0"]),
+        ([("g0", None), ("g1", "g0"), ("g2", "g0")], ["g1"], ["g2"]), ([("g0", None), ("g0", "g0")], ["g0"], ["g0"]), ([], ["g0"], ["g0"]), (chain(2), ["g1"] * 129, ["g0"]), (chain(2), ["g1"], [None]), (chain(2), ["g0"], ["g0"]), ([("g0", None), (None, "g0")], ["g0"], ["g0"]),
+    ]
+    put = lambda rows, schema: spark.createDataFrame(rows, schema)
+    versions, sets = put([(i, True) for i in range(len(calls))], "call_id long, verified boolean"), put([(i, -i, True, True) for i in range(len(calls))], "call_id long, rule_set long, complete boolean, verified boolean")
+    groups = put([(-i, g, up, "AND") for i, (gs, _, _) in enumerate(calls) for g, up in gs], "rule_set long, group_id string, parent_id string, kind string")
+    conditions = put([(-i, g, True) for i, (_, cs, _) in enumerate(calls) for g in cs], "rule_set long, group_id string, trusted boolean")
+    offers = put([(i, g, True) for i, (_, _, os) in enumerate(calls) for g in os], "call_id long, group_id string, trusted boolean")
+    got = {r["call_id"]: r["code"] for r in rules.graph_check(versions, sets, groups, conditions, offers).collect()}
+    good, over, part = "VERSION_BOUND_EVIDENCE_REFERENCES_ONLY", "SNAPSHOT_LIMIT_EXCEEDED", "INCOMPLETE_RULE_GRAPH"
+    assert [got[i] for i in range(len(calls))] == [good, good, over, "INVALID_RULE_GRAPH", "UNVERIFIED_OFFICIAL_EVIDENCE", part, part, part, over, part, "UNSUPPORTED_RULE_GRAPH", part]
