@@ -46,6 +46,8 @@ from grantloom.llm.hashing import B1, C1, C2, copies_of, digests, mix, runs, wor
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
 #: About so many members of a bucket are compared with as many others at a time.
 BLOCK = 64
+#: Bits that tell which ids may be members, and how many of them a row holds.
+BITS, ROW_BITS = 1 << 24, 32768
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -205,20 +207,33 @@ def mixed_buckets(members: DataFrame, labels: DataFrame, buckets: DataFrame) ->
     return at, written(both.select("h", "main", "n"), "mixed")
 
 
+def likely(df: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose doc_id may be among the members: all that are and few others, so that these are not
+    shuffled for the exact join that follows. Told by a bit per hashed id, 2 MB at most for any corpus; with
+    more members than bits, more rows pass."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    split = [F.floor(place / ROW_BITS).alias("row"), (place % ROW_BITS).alias("bit")]
+    marks = members.select(*split).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("bit") / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    marked = df.select("*", *split).join(F.broadcast(marks), "row").filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return marked.select(*df.columns)
+
+
 def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
     """Links (a, b, j) between different texts, enough to connect all that are similar, and the
     components' labels (doc_id, label)."""
     signed = written(signatures(first, bands, rows, weighting), "bands")
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "h"))
     buckets = written(banded.groupBy("h").agg(F.min(order_of("doc_id"))["d"].alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
-    members = written(banded.join(buckets.select("h", "pivot"), "h"), "members")
-    sets = written(sets_of(first.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), weighting), "sets")
+    # merged at any size, as these tables grow with the corpus and a broadcast one passes through the driver
+    members = written(banded.join(buckets.select("h", "pivot").hint("merge"), "h"), "members")
+    sets = written(sets_of(likely(first, members).join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), weighting), "sets")
     pairs = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
     labels = components(links)
     at, mixed = mixed_buckets(members, labels, buckets)
     at = at.join(mixed, "h").withColumn("stranger", F.col("label") != F.col("main"))
-    at = at.join(signed.select("doc_id", "keys", "sig"), "doc_id").join(sets.select("doc_id", "packed"), "doc_id")
+    at = at.join(likely(signed, members).select("doc_id", "keys", "sig"), "doc_id").join(sets.select("doc_id", "packed"), "doc_id")
     part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK)).cast("int")
     blocks = at.groupBy("h", "stranger", part.alias("part")).agg(F.first("band").alias("band"), *[F.collect_list(c).alias(f"{c}s") for c in ("doc_id", "label", "keys", "sig", "packed")])
     blocks = written(blocks, "blocks")

@@ -282,3 +282,20 @@ def test_recall_at_the_threshold():
     one, two = (embedding_dups.cells(x, k, tables, 0.98) for x in (a, c * a + np.sqrt(1 - c * c) * b))
     assert (one == two).any(axis=1).mean() >= 0.999
     assert (one == embedding_dups.cells(b, k, tables, 0.98)).mean() < 1e-4
+
+
+def test_only_members_are_shuffled(spark, monkeypatch):
+    from grantloom.llm import near_dups
+
+    docs = spark.range(20_000).selectExpr("id * 3 as doc_id", "'x' as text")
+    members = docs.filter("doc_id % 60 = 0").select("doc_id")
+    kept = near_dups.likely(docs, members)
+    assert kept.columns == docs.columns and kept.join(members, "doc_id", "left_semi").count() == 1000 and kept.count() < 1200
+    assert near_dups.likely(docs, members.limit(0)).count() == 0
+    plans, real = [], near_dups.sets_of
+    monkeypatch.setattr(near_dups, "sets_of", lambda df, weighting: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, weighting))
+    words = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(12)]
+    rows = [(i, words[i // 2] + (" end" if i % 2 else "")) for i in range(24)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+    assert "SortMergeJoin" in plans[0] and "bitmap_construct_agg" in plans[0]
