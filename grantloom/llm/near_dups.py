@@ -226,8 +226,9 @@ def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = B
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "h"))
     buckets = written(banded.groupBy("h").agg(F.min(order_of("doc_id"))["d"].alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     # merged at any size, as these tables grow with the corpus and a broadcast one passes through the driver
+    # (and no semi-join, which Spark would put before the one that marks the likely rows)
     members = written(banded.join(buckets.select("h", "pivot").hint("merge"), "h"), "members")
-    sets = written(sets_of(likely(first, members).join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), weighting), "sets")
+    sets = written(sets_of(likely(first, members).join(members.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", "text"), weighting), "sets")
     pairs = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
     labels = components(links)

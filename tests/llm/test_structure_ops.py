@@ -298,4 +298,5 @@ def test_only_members_are_shuffled(spark, monkeypatch):
     rows = [(i, words[i // 2] + (" end" if i % 2 else "")) for i in range(24)]
     got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(24)}
-    assert "SortMergeJoin" in plans[0] and "bitmap_construct_agg" in plans[0]
+    # the likely rows are marked below the exact join, so before the shuffle
+    assert "bitmap_construct_agg" in plans[0] and plans[0].index("SortMergeJoin") < plans[0].index("BroadcastHashJoin")
