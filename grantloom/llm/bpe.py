@@ -95,6 +95,8 @@ class Bpe:
         self.before: dict[str, bytes] = {}
         self.pieces_kept: dict[str, list[int]] = {}
         self.pieces_before: dict[str, list[int]] = {}
+        self.leaves_kept: dict[str, int] = {}
+        self.leaves_before: dict[str, int] = {}
         for content, i in self.special.items():
             self.bytes_of[i] = content.encode()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
@@ -103,6 +105,7 @@ class Bpe:
         self.older_pieces = regex.compile("(?V1)" + older).findall
         self.match, self.older_match = regex.compile(PATTERN).match, regex.compile("(?V1)" + older).match
         self.has_newer = re.compile(f"[{NEWER}]").search
+        self.may_have_newer = re.compile(f"[{min(set(NEWER) - {'-'})}-\U0010ffff]").search  # far cheaper, for most texts
         self.chunks = re.compile(CHUNK).findall
         self.table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
 
@@ -191,8 +194,8 @@ class Bpe:
             end -= size[end]
         return out[::-1]
 
-    def pre_tokens(self, chunk: str) -> list[str]:
-        return self.older_pieces(chunk) if self.has_newer(chunk) else self.pieces(chunk)
+    def pre_tokens(self, text: str) -> list[str]:
+        return self.older_pieces(text) if self.may_have_newer(text) and self.has_newer(text) else self.pieces(text)
 
     def next_piece(self, text: str, at: int) -> str:
         """The pre-token that starts at ``at``."""

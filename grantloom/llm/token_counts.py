@@ -31,41 +31,40 @@ neither read nor returned.
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.bpe import KEEP, KEEP_CHARS, Bpe, default_path, load
+from grantloom.llm.bpe import KEEP_CHARS, Bpe, default_path, load
 from grantloom.llm.common import documents, read
 
 LOOK, HALF = 2, 128
-#: Leaves of the chunks met by this worker; at most KEEP of them.
-MET: dict[str, list[int]] = {}
+#: Leaves of so many pre-tokens met make a generation; two are kept per vocabulary and worker.
+LEAVES = 500_000
 #: A leaf or a sum of leaves is one number: characters * ONE + tokens.
 ONE = 1 << 32
 
 
-def count(piece: str, bpe: Bpe) -> int:
-    return len(bpe.piece(piece) if len(piece) <= KEEP_CHARS else bpe.encode_bytes(piece.encode()))
-
-
-def chunk_leaves(chunk: str, bpe: Bpe) -> list[int]:
-    got = [len(p) * ONE + count(p, bpe) for p in bpe.pre_tokens(chunk)]
-    if len(chunk) <= KEEP_CHARS:
-        if len(MET) >= KEEP:
-            MET.clear()
-        MET[chunk] = got
+def leaf(piece: str, bpe: Bpe) -> int:
+    """Of one pre-token. A full generation becomes the older one, what is met again moves to the new one."""
+    got = bpe.leaves_kept.get(piece)
+    if got is None:
+        got = bpe.leaves_before.get(piece) or len(piece) * ONE + len(bpe.encode_bytes(piece.encode()))
+        if len(piece) <= KEEP_CHARS:
+            bpe.leaves_kept[piece] = got
+            if len(bpe.leaves_kept) >= LEAVES:
+                bpe.leaves_before, bpe.leaves_kept = bpe.leaves_kept, {}
     return got
 
 
 def leaves_of(text: str, bpe: Bpe) -> list[int]:
-    chunks = bpe.chunks(text)
-    got = list(map(MET.get, chunks))
+    pieces = bpe.pre_tokens(text)
+    got = list(map(bpe.leaves_kept.get, pieces))
     if None in got:
-        got = [chunk_leaves(c, bpe) if x is None else x for c, x in zip(chunks, got, strict=True)]
-    return list(chain.from_iterable(got))
+        got = [leaf(p, bpe) if x is None else x for p, x in zip(pieces, got, strict=True)]
+    return got
 
 
 class CountTree:
@@ -154,7 +153,7 @@ class CountTree:
                 upto += 1  # the next block's text may change the piece's end
                 text += self.texts[upto]
                 continue
-            fresh.append(len(piece) * ONE + count(piece, self.bpe))
+            fresh.append(leaf(piece, self.bpe))
             pos += len(piece)
         self.encoded += len(fresh)
         if pos == len(text) and upto == len(self.blocks) - 1:

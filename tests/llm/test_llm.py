@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and edge cases on small tables."""
 
 import hashlib
+import json
 import random
 import re
 import struct
@@ -439,6 +440,21 @@ def test_edits_encode_their_surroundings_only():
     assert tree.tokens == len(own.ids(tree.text, special=False)) // 4
 
 
+def test_leaves_are_kept_per_vocabulary_in_two_generations(monkeypatch, tmp_path):
+    own, text = bpe.Bpe(bpe.default_path()), "the words of the text"
+    (tmp_path / "bytes.json").write_text(json.dumps({"model": {"vocab": {c: i for i, c in enumerate(bpe.byte_letters())}, "merges": []}}))
+    plain = bpe.Bpe(str(tmp_path / "bytes.json"))
+    tokens = lambda v: sum(token_counts.leaves_of(text, v)) % token_counts.ONE
+    assert tokens(own) == len(own.ids(text)) // 4 < tokens(plain) == len(text)
+    # what was met in the generation before is not encoded again
+    monkeypatch.setattr(token_counts, "LEAVES", 4)
+    fresh, encoded = bpe.Bpe(bpe.default_path()), []
+    monkeypatch.setattr(fresh, "encode_bytes", lambda w: encoded.append(w) or own.encode_bytes(w))
+    for t in ("a b c", "d e a", "b c f", " e a"):
+        assert token_counts.leaves_of(t, fresh) == token_counts.leaves_of(t, own)
+    assert sorted(encoded) == sorted({w for t in ("a b c", "d e a", "b c f") for w in map(str.encode, own.pre_tokens(t))}) and len(fresh.leaves_kept) < 4
+
+
 def test_stored_trees(spark, docs, empty):
     own = bpe.load(bpe.default_path())
     kept = written(token_counts.trees(docs), "trees")
