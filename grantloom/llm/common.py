@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +86,16 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def documents(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+@contextmanager
+def small_batches(df: DataFrame, size: str = "8m") -> Iterator[None]:
+    """What is written meanwhile hands rows to Python by fewer at a time: long texts, or rows that hold many sets, take
+    several times their size there and as much again in the JVM's buffers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = conf.get(name)
+    conf.set(name, size)
+    try:
+        yield
+    finally:
+        conf.set(name, old)

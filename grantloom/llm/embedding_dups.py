@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import read, release, written
+from grantloom.llm.common import read, release, small_batches, written
 from grantloom.llm.hashing import B1, C1, mix
-from grantloom.llm.near_dups import components, small_batches
+from grantloom.llm.near_dups import components
 
 THRESHOLD, BLOCK, MISS, SEED = 0.98, 256, 1e-4, 13
 #: A cell's width in distances at the threshold, and the cells' resolution.

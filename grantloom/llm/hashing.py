@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import release, written
+from grantloom.llm.common import release, small_batches, written
 
 B1, B2, C1, C2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 
@@ -70,15 +71,23 @@ def digest(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()[:16]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, words, n): digest and length of each document's word sequence, as a table."""
+def text_digest(text: str | None) -> tuple[bytes, int]:
+    """Digest and length of a text's word sequence."""
+    words = (text or "").encode().split()
+    return digest(words), len(words)
+
 
-    def run(batches):
-        for b in batches:
-            rows = [(t or "").encode().split() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([digest(r) for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int64())], ["doc_id", "words", "n"])
+def digest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [text_digest(t.as_py()) for t in b.column("text")]  # the words of one text at a time
+        found = [pa.array([d for d, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *found], ["doc_id", "words", "n"])
 
-    return written(docs.mapInArrow(run, "doc_id long, words binary, n long"), "digests")
+
+def digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, words, n): digest and length of each document's word sequence, as a table."""
+    with small_batches(docs):
+        return written(docs.mapInArrow(digest_batches, "doc_id long, words binary, n long"), "digests")
 
 
 def copies_of(keys: DataFrame, least: int = 0) -> DataFrame:

@@ -32,15 +32,12 @@ copies; an empty table gives an empty result; extra columns are neither read nor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.llm.common import free_name, numbered, read, release, written
+from grantloom.llm.common import free_name, numbered, read, release, small_batches, written
 from grantloom.llm.hashing import B1, C1, C2, copies_of, digests, mix, runs, word_hashes, words_of
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6
@@ -222,13 +219,15 @@ def likely(df: DataFrame, members: DataFrame) -> DataFrame:
 def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
     """Links (a, b, j) between different texts, enough to connect all that are similar, and the
     components' labels (doc_id, label)."""
-    signed = written(signatures(first, bands, rows, weighting), "bands")
+    with small_batches(first):
+        signed = written(signatures(first, bands, rows, weighting), "bands")
     banded = signed.select("doc_id", F.posexplode("bands").alias("band", "h"))
     buckets = written(banded.groupBy("h").agg(F.min(order_of("doc_id"))["d"].alias("pivot"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     # merged at any size, as these tables grow with the corpus and a broadcast one passes through the driver
     # (and no semi-join, which Spark would put before the one that marks the likely rows)
     members = written(banded.join(buckets.select("h", "pivot").hint("merge"), "h"), "members")
-    sets = written(sets_of(likely(first, members).join(members.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", "text"), weighting), "sets")
+    with small_batches(first):
+        sets = written(sets_of(likely(first, members).join(members.select("doc_id").distinct().hint("merge"), "doc_id").select("doc_id", "text"), weighting), "sets")
     pairs = members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     links = written(likeness(pairs, sets).filter(F.col("j") >= threshold), "likeness")
     labels = components(links)
@@ -249,18 +248,6 @@ def similar_links(first: DataFrame, threshold: float = THRESHOLD, bands: int = B
     return links, labels
 
 
-@contextmanager
-def small_batches(df: DataFrame, size: str = "8m") -> Iterator[None]:
-    """Rows that hold many sets go to Python by fewer at a time."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    old = conf.get(name)
-    conf.set(name, size)
-    try:
-        yield
-    finally:
-        conf.set(name, old)
-
-
 def resembling(blocks: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
     """(a, b, j): links between two blocks of a bucket, with different labels. Only pairs whose
     signatures agree in a share of coordinates at most five standard deviations below the

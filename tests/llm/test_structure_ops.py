@@ -4,14 +4,16 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from grantloom.llm import conversation_repair, divergence, embedding_dups
+from grantloom.llm import conversation_repair, divergence, embedding_dups, hashing
 
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -300,3 +302,30 @@ def test_only_members_are_shuffled(spark, monkeypatch):
     assert got == {i: i - i % 2 for i in range(24)}
     # the likely rows are marked below the exact join, so before the shuffle
     assert "bitmap_construct_agg" in plans[0] and plans[0].index("SortMergeJoin") < plans[0].index("BroadcastHashJoin")
+
+
+def test_digests_split_one_text_at_a_time():
+    batch = pa.record_batch([pa.array(range(200), pa.int64()), pa.array([f"{i} " * 2000 for i in range(199)] + [None], pa.string())], ["doc_id", "text"])
+    tracemalloc.start()
+    (out,) = hashing.digest_batches([batch])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2_000_000  # 400,000 words as objects take ten times that
+    assert out.column("n").to_pylist() == [2000] * 199 + [0] and out.column("words")[5].as_py() == hashing.digest([b"5"] * 2000)
+
+
+def test_texts_of_near_duplicates_go_to_python_in_small_batches(spark, monkeypatch):
+    from grantloom.llm import common, near_dups
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    before, real = spark.conf.get(name), common.written
+
+    def recorded(df, table, *rest):
+        seen[table] = spark.conf.get(name)
+        return real(df, table, *rest)
+
+    for module in (near_dups, hashing):
+        monkeypatch.setattr(module, "written", recorded)
+    docs = spark.createDataFrame([(i, f"{'a b c d e f g h i j k l m n o p q r s t ' * 5}{i % 3}") for i in range(9)], "doc_id long, text string")
+    assert near_dups.classes(docs).count() == 9
+    assert {seen[t] for t in ("digests", "bands", "sets", "links")} == {"8m"} and spark.conf.get(name) == before
