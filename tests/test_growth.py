@@ -155,3 +155,17 @@ def test_blocks_of_wanted_columns(spark):
     for some in (["kind"], ["section", "link_url"], ["cells", "pos"], ["heading_level", "locator", "text"]):
         got = pages.html_blocks(df, *some)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, everything.select(got.columns).collect()), key=str) and set(got.columns) == {"page_id", *some}
+
+
+def test_pairs_are_unpacked_after_all_joins(spark, monkeypatch):
+    """Whatever the sizes of packs; one class of documents is dealt by pack."""
+    monkeypatch.setattr(search, "DOCS", 3)
+    monkeypatch.setattr(search, "ASKED", 2)
+    asked = [(i, p) for i in range(7) for p in (["alpha"] if i < 5 else ["beta", "alpha"])]
+    texts = {d: "alpha" if d < 10 else "beta alpha" if d < 14 else "none" for d in range(16)}
+    got = search.any_phrase(spark.createDataFrame(asked, "id long, phrase string"), spark.createDataFrame(list(texts.items()), "doc_id long, a string"), {"a": 1.0})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2 and plan.rindex("Generate explode") < plan.index("Join")
+    want = {(i, d, n) for i in range(7) for d, text in texts.items() if (n := sum(p in text.split() for p in (["alpha"] if i < 5 else ["beta", "alpha"])))}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
