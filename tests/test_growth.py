@@ -169,3 +169,27 @@ def test_pairs_are_unpacked_after_all_joins(spark, monkeypatch):
     want = {(i, d, n) for i in range(7) for d, text in texts.items() if (n := sum(p in text.split() for p in (["alpha"] if i < 5 else ["beta", "alpha"])))}
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+def test_rules_are_checked_where_their_rows_lie(spark, monkeypatch):
+    """Rules of one row, of a key and of a reference within the first column of a key shuffle nothing, beside the
+    one shuffle of what is cached; and nothing stays cached."""
+    from grantloom.operators import constraints
+    from grantloom.plans import upkeep
+
+    plans, real = [], upkeep.kept
+
+    def looked_at(df, name, **options):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        plans.append((plan.count("ENSURE_REQUIREMENTS"), plan.count("REPARTITION_BY_COL")))
+        return real(df, name, **options)
+
+    monkeypatch.setattr(upkeep, "kept", looked_at)
+    got = registry.QUERIES["E12_constraints"](spark, SF)
+    order = [[*c.checks, *c.unique, *c.references, *c.one_root][0] for t in ("funded", "requirements", "version_documents", "rule_groups", "verified_conditions", "watches") for c in constraints.apart(upkeep.DECLARED[t])]
+    found = dict(zip(order, plans, strict=True))
+    for rule in ("NECESSITY", "ONE_TITLE", "DIGEST_REQUIRED", "KIND", "GROUP_ID", "ONE_ROOT", "PARENT", "EVIDENCE"):
+        assert found[rule][0] == 0 and found[rule][1] > 0, (rule, found)
+    assert shuffles(got) == 0 and spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
