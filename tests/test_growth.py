@@ -182,10 +182,12 @@ def test_rules_are_checked_where_their_rows_lie(spark, monkeypatch):
     def looked_at(df, name, **options):
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-        plans.append((plan.count("ENSURE_REQUIREMENTS"), plan.count("REPARTITION_BY_COL")))
+        assert "lineitem" not in plan or ", 6), REPARTITION_BY_NUM" in plan  # 6,000 lines
+        plans.append((plan.count("ENSURE_REQUIREMENTS"), plan.count("REPARTITION_BY_NUM")))
         return real(df, name, **options)
 
     monkeypatch.setattr(upkeep, "kept", looked_at)
+    monkeypatch.setattr(upkeep, "LINES", 1000)
     got = registry.QUERIES["E12_constraints"](spark, SF)
     order = [[*c.checks, *c.unique, *c.references, *c.one_root][0] for t in ("funded", "requirements", "version_documents", "rule_groups", "verified_conditions", "watches") for c in constraints.apart(upkeep.DECLARED[t])]
     found = dict(zip(order, plans, strict=True))
